@@ -12,6 +12,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliant.llm.suffix_dedup import repeated_spans
+
+    return repeated_spans(table(spark, sf_dir, "documents"))
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foliant.llm.ngram_jaccard import jaccard_join
 
@@ -19,7 +25,7 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_ngram_jaccard,)}
+    return {f.__name__: f for f in (op2_suffix_dedup, op4_ngram_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
