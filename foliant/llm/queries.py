@@ -6,12 +6,20 @@ from collections.abc import Callable
 from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliant.llm.language_id import predict
+
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return predict(table(spark, sf_dir, "documents"), held_out)
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foliant.llm.suffix_dedup import repeated_spans
 
@@ -25,7 +33,7 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_suffix_dedup, op4_ngram_jaccard)}
+    return {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op4_ngram_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
