@@ -32,8 +32,16 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"), k=3, threshold=Fraction(9, 10))
 
 
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from foliant.llm.byte_bpe import encode_documents
+
+    return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op4_ngram_jaccard)}
+    return {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op4_ngram_jaccard, op8_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
