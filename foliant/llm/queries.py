@@ -40,8 +40,14 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op10_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliant.llm.arc_to_warc import pages_to_warc
+
+    return pages_to_warc(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op4_ngram_jaccard, op8_byte_bpe)}
+    return {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op4_ngram_jaccard, op8_byte_bpe, op10_arc_to_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
