@@ -46,6 +46,12 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliant.llm.pii_crf import personal_data
+
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def op10_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foliant.llm.arc_to_warc import pages_to_warc
 
@@ -53,7 +59,7 @@ def op10_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op4_ngram_jaccard, op7_quality_rules, op8_byte_bpe, op10_arc_to_warc)}
+    return {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op4_ngram_jaccard, op7_quality_rules, op8_byte_bpe, op9_pii_crf, op10_arc_to_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
