@@ -32,6 +32,12 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"), k=3, threshold=Fraction(9, 10))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliant.llm.decontamination import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foliant.llm.quality_rules import quality_rules
 
@@ -59,7 +65,7 @@ def op10_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op4_ngram_jaccard, op7_quality_rules, op8_byte_bpe, op9_pii_crf, op10_arc_to_warc)}
+    return {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op4_ngram_jaccard, op6_decontamination, op7_quality_rules, op8_byte_bpe, op9_pii_crf, op10_arc_to_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
