@@ -26,12 +26,25 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans(table(spark, sf_dir, "documents"))
 
 
+def op3_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliant.llm.tool_calls import calls_of_chat, link_calls
+
+    out = link_calls(*calls_of_chat(table(spark, sf_dir, "conversations")))
+    return out.select("conv_id", "call_id", F.col("level").cast("long").alias("level"), "linked", "broken", F.sha2("json", 256).alias("json_sha256"))
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foliant.llm.ngram_jaccard import jaccard_join
 
     return jaccard_join(table(spark, sf_dir, "documents"), k=3, threshold=Fraction(9, 10))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliant.llm.license_scan import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foliant.llm.decontamination import leaks
 
@@ -65,7 +78,7 @@ def op10_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op4_ngram_jaccard, op6_decontamination, op7_quality_rules, op8_byte_bpe, op9_pii_crf, op10_arc_to_warc)}
+    return {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op3_tool_calls, op4_ngram_jaccard, op5_license_scan, op6_decontamination, op7_quality_rules, op8_byte_bpe, op9_pii_crf, op10_arc_to_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
