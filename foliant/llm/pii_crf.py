@@ -319,3 +319,27 @@ def personal_data(docs: DataFrame, with_text: bool = False, id_col: str = "doc_i
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string" + (", masked string" if with_text else "")
     return rows.mapInArrow(_detect(trained(), with_text), schema)
+
+
+def _mask(weights: np.ndarray, text_at: int, size_at: int | None):
+    def run(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, 512):
+                part = batch.slice(a, 512)
+                out = []
+                for t in part.column(text_at).to_pylist():
+                    spans = find(t or "", weights)[1]
+                    out.append(masked(t, spans) if spans else t)
+                cols = list(part.columns)
+                cols[text_at] = pa.array(out, part.schema.field(text_at).type)
+                if size_at is not None:
+                    cols[size_at] = pa.array([None if t is None else len(t) for t in out], part.schema.field(size_at).type)
+                yield pa.RecordBatch.from_arrays(cols, names=part.schema.names)
+
+    return run
+
+
+def mask_documents(docs: DataFrame, text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
+    """docs with each span of personal data replaced by its kind in brackets, and the length column, if there is one, made anew."""
+    size = docs.columns.index(size_col) if size_col in docs.columns else None
+    return docs.mapInArrow(_mask(trained(), docs.columns.index(text_col), size), docs.schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -52,6 +53,11 @@ class Scratch:
             if p := getattr(t, "_scratch_path", None):
                 self._delete(p)
 
+    def release(self) -> None:
+        """Lets the cleaner remove the shuffle files of plans that nothing refers to any more."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def close(self) -> None:
         self._delete(self.root)
 

@@ -62,18 +62,22 @@ def minimizers(d: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return h, window, least, np.flatnonzero((most == h) & (at + LEAD <= end))
 
 
-def _windows(h: np.ndarray, window: np.ndarray, least: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _windows(h: np.ndarray, window: np.ndarray, least: np.ndarray, sampled: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts of the windows whose first least string is one of the chosen positions, and that position."""
-    starts, owners = [], []
-    for p in chosen:
-        j = np.arange(max(0, p - SPAN), p + 1)
-        j = j[window[j] & (least[j] == h[p])]
-        if len(j):  # an earlier equal string in the window owns it instead
-            before = np.flatnonzero(h[j[0] : p] == h[p])
-            j = j[j > j[0] + before[-1]] if len(before) else j
-            starts.append(j)
-            owners.append(np.full(len(j), p))
-    return (np.concatenate(starts), np.concatenate(owners)) if starts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    if not len(chosen):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    j = np.unique((chosen[:, None] - np.arange(SPAN + 1)[None, :]).reshape(-1))
+    j = j[j >= 0]
+    j = j[window[j]]
+    k = np.searchsorted(sampled, j)
+    open_ = np.flatnonzero(h[sampled[k]] != least[j])
+    while len(open_):
+        k[open_] += 1
+        open_ = open_[h[sampled[k[open_]]] != least[j[open_]]]
+    owner = sampled[k]
+    mine = np.zeros(len(h), dtype=bool)
+    mine[chosen] = True
+    return j[mine[owner]], owner[mine[owner]]
 
 
 def _profile(batches):
@@ -109,49 +113,55 @@ def _profile(batches):
 
 
 def scan(batches) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (a, u): adds to bits 1 if a neighbour has the same a, 2 if also the same u, 4 if the same a and another u.
+    """Rows (a, u, doc_id, tag) sorted so: adds to the tag's bits 1 if a neighbour has the same a, 2 if also the same u, 4 if the same a and another u.
 
-    Levels that are only scanned (role 0) give back just the rows with new bits.
+    A tag is position << 6 | bits << 2 | role. Levels that are only scanned (role 0) give back just the rows with new bits.
     """
-    held = None  # the last row is judged with the next batch
-    before = None
-    names = ["a", "u", "doc_id", "p", "bits", "role"]
-
-    def judge(t: dict[str, np.ndarray], n: int, before):
-        a, u = t["a"], t["u"]
-        pa_, pu = np.roll(a, 1), np.roll(u, 1)
-        same, ctx = a == pa_, (a == pa_) & (u == pu)
+    held = before = None  # the last row is judged with the next batch
+    names = ["a", "u", "doc_id", "tag"]
+
+    def judge(t: list[np.ndarray], n: int, before):
+        a, u, ids, tag = t
+        same, ctx = np.empty(len(a), dtype=bool), np.empty(len(a), dtype=bool)
+        same[1:], ctx[1:] = a[1:] == a[:-1], u[1:] == u[:-1]
         same[0] = before is not None and a[0] == before[0]
         ctx[0] = same[0] and u[0] == before[1]
+        ctx &= same
         same2, ctx2 = np.append(same[1:], False), np.append(ctx[1:], False)
-        new = (same | same2).astype(np.int32) + 2 * (ctx | ctx2) + 4 * ((same & ~ctx) | (same2 & ~ctx2))
-        bits = t["bits"] | new.astype(np.int32)
-        changed = bits != t["bits"]
-        out = {**t, "bits": bits}
-        keep = np.flatnonzero((changed | (t["role"] > 0))[:n])
-        cols = [pa.array(out[c][:n][keep]) for c in names]
-        return pa.RecordBatch.from_arrays([*cols, pa.array(changed[:n][keep])], names=[*names, "changed"])
+        new = (same | same2) * 4 + (ctx | ctx2) * 8 + ((same & ~ctx) | (same2 & ~ctx2)) * 16
+        out = tag | new
+        changed = out != tag
+        keep = np.flatnonzero((changed | (tag & 3 > 0))[:n])
+        return pa.RecordBatch.from_arrays([*(pa.array(x[keep]) for x in (a, u, ids, out)), pa.array(changed[keep])], names=[*names, "changed"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        t = {c: batch.column(i).to_numpy(zero_copy_only=False) for i, c in enumerate(names)}
+        t = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
         if held:
-            t = {c: np.concatenate((held[c], t[c])) for c in names}
-        n = len(t["a"]) - 1
+            t = [np.concatenate(x) for x in zip(held, t, strict=True)]
+        n = len(t[0]) - 1
         if n:
             yield judge(t, n, before)
-            before = (t["a"][n - 1], t["u"][n - 1])
-        held = {c: t[c][n:] for c in names}
+            before = (t[0][n - 1], t[1][n - 1])
+        held = [x[n:] for x in t]
     if held:
         yield judge(held, 1, before)
 
 
-SUFFIX = "a long, u long, doc_id long, p long, bits int, role int"
+def _scanned(rows: DataFrame) -> DataFrame:
+    cut = rows.repartition(partitions(rows.sparkSession), "a").sortWithinPartitions("a", "u", "doc_id", "tag")
+    return cut.mapInArrow(scan, "a long, u long, doc_id long, tag long, changed boolean")
+
 
+def _tag(role: int):
+    return (F.shiftleft(F.col("p"), 6) + role).alias("tag")
 
-def _scanned(rows: DataFrame) -> DataFrame:
-    return rows.repartition(partitions(rows.sparkSession), "a").sortWithinPartitions("a", "u", "doc_id", "p").mapInArrow(scan, SUFFIX + ", changed boolean")
+
+def _untagged(rows: DataFrame) -> DataFrame:
+    """doc_id, p and bits of the rows with a match."""
+    bits = F.shiftright("tag", 2).bitwiseAND(F.lit(15)).cast("int")
+    return rows.select("doc_id", F.shiftright("tag", 6).alias("p"), bits.alias("bits")).where("bits > 0")
 
 
 class SuffixFamily:
@@ -165,16 +175,17 @@ class SuffixFamily:
     def insert(self, batch: DataFrame) -> None:
         """Adds rows (a, u, doc_id, p): one scan against all levels, merging those that are full."""
         full = next((i for i, x in enumerate(self.levels) if x is None), len(self.levels))
-        rows = batch.select("a", "u", "doc_id", "p", F.lit(0).alias("bits"), F.lit(2).alias("role"))
+        rows = batch.select("a", "u", "doc_id", _tag(2))
         for i, level in enumerate(self.levels):
             if level is not None:
-                rows = rows.union(level.withColumn("role", F.lit(1 if i < full else 0)))
+                role = F.shiftleft(F.shiftright("tag", 2), 2) + (1 if i < full else 0)
+                rows = rows.union(level.select("a", "u", "doc_id", role.alias("tag")))
         out = self.scratch.save(_scanned(rows), f"level{full}")
         if full == len(self.levels):
             self.levels.append(None)
         for i in range(full):
             self.levels[i] = None
-        self.levels[full] = out.where("role > 0").select("a", "u", "doc_id", "p", "bits", "role")
+        self.levels[full] = out.where("tag & 3 > 0").select("a", "u", "doc_id", "tag")
         # what a merged level found stays in its rows' bits; of others the marks are kept
         self.scratch.drop(*(t for t in self.tables if t._level <= full))
         self.tables = [t for t in self.tables if t._level > full]
@@ -183,17 +194,16 @@ class SuffixFamily:
 
     def marks(self) -> DataFrame:
         """Rows (doc_id, p, bits) of all suffixes that have a long match."""
-        found = [t.where("bits > 0").select("doc_id", "p", "bits") for t in self.tables]
+        found = [_untagged(t) for t in self.tables]
         out = found[0]
         for t in found[1:]:
             out = out.union(t)
         return out
 
 
-def repeated(rows: DataFrame) -> DataFrame:
-    """Of rows (a, u, doc_id, p) those whose (a, u) stands more than once."""
-    tagged = rows.select("a", "u", "doc_id", "p", F.lit(0).alias("bits"), F.lit(2).alias("role"))
-    return _scanned(tagged).where(F.col("bits").bitwiseAND(2) > 0).select("doc_id", "p")
+def matches(rows: DataFrame) -> DataFrame:
+    """Of rows (a, u, doc_id, p) those with a match, as (doc_id, p, bits)."""
+    return _untagged(_scanned(rows.select("a", "u", "doc_id", _tag(2))))
 
 
 def _cover(n: int, spans: np.ndarray) -> np.ndarray:
@@ -242,50 +252,59 @@ def _settle(batches):
 
 
 def _open(d: np.ndarray, refs: np.ndarray):
-    h, window, least, _ = minimizers(d, np.array([0, len(d)]))
-    return _windows(h, window, least, refs)
+    h, window, least, sampled = minimizers(d, np.array([0, len(d)]))
+    return _windows(h, window, least, sampled, refs)
+
+
+def _hulls(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What contains all windows of each block (position * 16 + block) of a text of n bytes: start, end, and the start unclipped."""
+    lo = keys // 16 - STEP * (keys % 16) - (STEP - 1)
+    return np.maximum(lo, 0), np.minimum(lo + WIDTH + STEP - 1, n), lo
 
 
 def _blocks(batches):
-    """(doc_id, bytes, refs) to what each block of windows around a reference has in common; p is position * 16 + block."""
+    """(doc_id, bytes, refs) to what the windows of each block around a reference have in common (a), and to their hull (u)."""
     for batch in batches:
         for doc, text, refs in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             d = np.frombuffer(text, dtype=np.uint8)
             j, p = _open(d, np.array(refs, dtype=np.int64))
             key = np.unique(p * 16 + (p - j) // STEP)
-            p, c = key // 16, key % 16
-            lo, hi = p - STEP * c, p + WIDTH - STEP * c - (STEP - 1)
-            lo, hi = np.maximum(lo, 0), np.minimum(hi, len(d))
-            a, u = span_hashes(d, lo, hi), span_hashes(d, lo, hi, _second)
+            lo, hi, free = _hulls(key, len(d))
+            inner = np.maximum(free + STEP - 1, 0), np.minimum(free + WIDTH, len(d))
             with np.errstate(over="ignore"):
-                a = mix(a + c.astype(np.uint64))
+                a = mix(span_hashes(d, *inner) + (key % 16).astype(np.uint64))
+                u = mix(span_hashes(d, lo, hi, _second) + (lo - free).astype(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(u.view(np.int64)), pa.array(np.full(len(a), doc)), pa.array(key)], names=["a", "u", "doc_id", "p"])
 
 
 def _single(batches):
-    """(doc_id, bytes, refs, blocks) to the windows of those blocks."""
+    """(doc_id, bytes, refs, blocks, bits) to the windows of the blocks whose hulls differ."""
     for batch in batches:
-        for doc, text, refs, blocks in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+        for doc, text, refs, blocks, bits in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            mixed = np.array(blocks, dtype=np.int64)[np.array(bits, dtype=np.int64) & 4 > 0]
+            if not len(mixed):
+                continue
             d = np.frombuffer(text, dtype=np.uint8)
             j, p = _open(d, np.array(refs, dtype=np.int64))
-            j = np.unique(j[np.isin(p * 16 + (p - j) // STEP, blocks)])
+            j = np.unique(j[np.isin(p * 16 + (p - j) // STEP, mixed)])
             a, u = span_hashes(d, j, j + WIDTH), span_hashes(d, j, j + WIDTH, _second)
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(u.view(np.int64)), pa.array(np.full(len(a), doc)), pa.array(j)], names=["a", "u", "doc_id", "p"])
 
 
 def _finish(batches):
-    """(doc_id, bytes, full, starts) to results."""
+    """(doc_id, bytes, full, blocks, bits, starts) to results."""
     for batch in batches:
         rows = []
-        for doc, text, full, starts in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            d, j = np.frombuffer(text, dtype=np.uint8), np.array(starts, dtype=np.int64)
-            spans = np.concatenate((_contexts(np.array(full, dtype=np.int64)), np.stack((j, j + WIDTH), 1)))
+        for doc, text, full, blocks, bits, starts in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            d, j = np.frombuffer(text, dtype=np.uint8), np.array(starts or [], dtype=np.int64)
+            lo, hi, _ = _hulls(np.array(blocks, dtype=np.int64)[np.array(bits, dtype=np.int64) & 2 > 0], len(d))
+            spans = np.concatenate((_contexts(np.array(full, dtype=np.int64)), np.stack((lo, hi), 1), np.stack((j, j + WIDTH), 1)))
             rows.append((doc, len(d), *_result(d, _cover(len(d), spans))))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def repeated_spans(docs: DataFrame, batches: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_spans(docs: DataFrame, batches: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, n_bytes, n_removed, n_spans, kept_sha256): each text without the bytes of 200-byte strings that stand more than once.
 
     Null counts as empty; texts under 200 bytes lose nothing, so copies of short texts stay. All copies of a string go,
@@ -304,14 +323,19 @@ def repeated_spans(docs: DataFrame, batches: int = 4, id_col: str = "doc_id", te
     copied = texts.where(f"n_bytes >= {WIDTH}").groupBy("n_bytes", "t1", "t2").agg(F.count("*").alias("c")).where("c > 1")
     copies = texts.join(copied, ["n_bytes", "t1", "t2"]).select("doc_id", F.lit(True).alias("copies"))
     marked = scratch.save(lists_.join(copies, "doc_id", "full").select("doc_id", F.coalesce("copies", F.lit(False)).alias("copies"), F.col("m.p").alias("p"), F.col("m.bits").alias("bits")), "marked")
+    scratch.drop(profile, *family.tables)
+    scratch.release()
     joined = docs.join(marked, "doc_id", "left").select("doc_id", "text", "copies", "p", "bits")
     settled = scratch.save(joined.mapInArrow(_settle, RESULT + ", bytes binary, full array<long>, refs array<long>"), "settled")
+    scratch.drop(marked)
+    scratch.release()
 
     open_ = settled.where("bytes is not null").select("doc_id", "bytes", "full", "refs")
-    blocks = repeated(open_.select("doc_id", "bytes", "refs").mapInArrow(_blocks, "a long, u long, doc_id long, p long")).groupBy("doc_id").agg(F.collect_set("p").alias("blocks"))
-    some = scratch.save(open_.join(blocks, "doc_id"), "open")
-    starts = repeated(some.select("doc_id", "bytes", "refs", "blocks").mapInArrow(_single, "a long, u long, doc_id long, p long")).groupBy("doc_id").agg(F.collect_list("p").alias("starts"))
-    late = some.where("full is not null").join(starts, "doc_id").select("doc_id", "bytes", "full", "starts").mapInArrow(_finish, RESULT)
+    found = matches(open_.select("doc_id", "bytes", "refs").mapInArrow(_blocks, "a long, u long, doc_id long, p long")).groupBy("doc_id").agg(F.collect_list(F.struct("p", "bits")).alias("b"))
+    some = scratch.save(open_.join(found, "doc_id").select("doc_id", "bytes", "full", "refs", F.col("b.p").alias("blocks"), F.col("b.bits").alias("bits")), "open")
+    single = matches(some.select("doc_id", "bytes", "refs", "blocks", "bits").mapInArrow(_single, "a long, u long, doc_id long, p long"))
+    starts = single.where(F.col("bits").bitwiseAND(2) > 0).groupBy("doc_id").agg(F.collect_list("p").alias("starts"))
+    late = some.where("full is not null").join(starts, "doc_id", "left").select("doc_id", "bytes", "full", "blocks", "bits", "starts").mapInArrow(_finish, RESULT)
     late = scratch.save(late, "late")
     early = settled.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").join(late.select("doc_id"), "doc_id", "left_anti")
     return early.union(late)
