@@ -113,7 +113,7 @@ def synthesise(source: str, fields: dict[str, str], block: bytes, refers_to: int
     lines = [
         "WARC/1.0", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:uuid:{name}>",
         f"WARC-Date: {d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z", f"WARC-Target-URI: {fields['URL']}", f"WARC-IP-Address: {fields['IP-address']}",
-        f"WARC-Payload-Digest: sha1:{sha1(payload)}", f"WARC-Block-Digest: sha1:{sha1(kept)}", f"X-Source: {source}", f"X-Payload-Length: {len(payload)}",
+        f"WARC-Payload-Digest: sha1:{sha1(payload)}", f"WARC-Block-Digest: sha1:{sha1(kept)}", f"X-Source: {source or '-'}", f"X-Payload-Length: {len(payload)}",
     ]
     if refers_to is not None:
         lines += [f"WARC-Profile: {REVISIT}", f"X-Refers-To-Source: {refers_to}"]
@@ -147,7 +147,7 @@ def _convert(batches):
     for batch in batches:
         for k in range(0, batch.num_rows, 256):
             part = batch.slice(k, 256)
-            out = [synthesise(str(s), f, b, r) for s, c, r in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True) for f, b in read_arc(c)]
+            out = [synthesise("" if s is None else str(s), f, b, r) for s, c, r in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True) for f, b in read_arc(c)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
 
@@ -159,11 +159,12 @@ def _back(batches):
         for content in batch.column(0):
             rows = []
             for h, block in read_warc(content.as_py()):
+                source = None if h["X-Source"] == "-" else int(h["X-Source"])
                 if h["WARC-Type"] == "response":
                     payload = payload_of(block)[1]
-                    rows.append((int(h["X-Source"]), len(payload), sha1(payload), "response", None))
+                    rows.append((source, len(payload), sha1(payload), "response", None))
                 else:
-                    rows.append((int(h["X-Source"]), int(h["X-Payload-Length"]), h["WARC-Payload-Digest"].removeprefix("sha1:"), "revisit", int(h["X-Refers-To-Source"])))
+                    rows.append((source, int(h["X-Payload-Length"]), h["WARC-Payload-Digest"].removeprefix("sha1:"), "revisit", int(h["X-Refers-To-Source"])))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
 
@@ -175,7 +176,7 @@ def convert(arcs: DataFrame, least_bytes: int, scratch: Scratch) -> str:
     """
     digests = scratch.save(arcs.mapInArrow(_digests, "source long, digest string, n long"), "digests")
     last = digests.where(F.col("n") >= least_bytes).groupBy("digest", "n").agg(F.max("source").alias("refers_to"), F.count("*").alias("c")).where("c > 1").drop("c")
-    refers = scratch.save(digests.join(last, ["digest", "n"]).where("source <> refers_to").select("source", "refers_to"), "refers")
+    refers = scratch.save(digests.join(last, ["digest", "n"]).where("source <> refers_to").select("source", "refers_to").distinct(), "refers")
     records = arcs.join(small_or_shuffled(refers, BROADCAST_ROWS), "source", "left").select("source", "content", "refers_to").mapInArrow(_convert, "record binary")
     path = scratch.path("warc")
     records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
@@ -191,10 +192,11 @@ def read_back(spark, path: str) -> DataFrame:
 def pages_to_warc(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id") -> DataFrame:
     """Each page as an ARC file, in version 1 or 2 by turns, converted to WARC, written, and read back.
 
-    Null html counts as empty; a null address becomes `-`. Ids are unique and not null; other columns are ignored.
+    Null html counts as empty; a null address becomes `-`. A page without an id is always a response and comes back
+    without one. Ids are unique: rows that repeat one are judged together. Other columns are ignored.
     No pages: no files and an empty result.
     """
     spark = pages.sparkSession
     scratch = Scratch(spark, "warc")
-    arcs = pages.select(F.col(id_col).cast("long").alias("source"), arc_file(F.col("url"), F.col("html"), F.col(id_col) % 2 + 1, F.lit("20200101000000")).alias("content"))
+    arcs = pages.select(F.col(id_col).cast("long").alias("source"), arc_file(F.col("url"), F.col("html"), F.coalesce(F.col(id_col) % 2 + 1, F.lit(1)), F.lit("20200101000000")).alias("content"))
     return read_back(spark, convert(arcs, least_bytes, scratch))

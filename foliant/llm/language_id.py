@@ -176,14 +176,16 @@ def training_rows(docs: DataFrame, sample: int = SAMPLE_TEXTS) -> DataFrame:
     distinct = key.groupBy("lang", "h").agg(F.min("doc_id").alias("doc_id"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
     chosen = distinct.withColumn("r", rank).where(F.col("r") <= sample).select("doc_id", "h")
-    return docs.join(F.broadcast(chosen), "doc_id").select("text", "lang", "h").orderBy("lang", "h").drop("h")
+    texts = docs.withColumn("h", F.xxhash64("text")).join(F.broadcast(chosen), ["doc_id", "h"])
+    return texts.groupBy("lang", "h").agg(F.min("text").alias("text")).orderBy("lang", "h").select("text", "lang")
 
 
 def predict(docs: DataFrame, held_out: Column, sample: int = SAMPLE_TEXTS) -> DataFrame:
     """Rows (doc_id, held_out, lang_pred, score, mixture) of docs (doc_id, text, lang); the model is fitted where held_out is false.
 
     Null texts and texts without a letter are `und` with score 0, as is everything if no text is labelled. Labels are
-    never read at prediction; other columns are ignored. The sample is bounded by `sample` texts a language.
+    never read at prediction; other columns are ignored. The sample is bounded by `sample` texts a language. Rows whose
+    held_out is null, as that of a null id, are not learned from. An empty table gives an empty one.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", held_out.alias("held_out"))
     model = fit([tuple(r) for r in training_rows(rows.where("not held_out").drop("held_out"), sample).collect()])

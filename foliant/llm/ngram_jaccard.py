@@ -184,16 +184,17 @@ def _verify(t: Fraction):
 def jaccard_components(docs: DataFrame, k: int, threshold: Fraction, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, n_shingles, component_id): every document with the least id that links reach.
 
-    Other columns of docs are ignored. Null or empty text: 0 shingles, linked with nothing. Ids are unique and not
-    null; rows with equal texts are linked, as are texts with equal sets. An empty table gives an empty one.
+    Other columns of docs are ignored. Null or empty text: 0 shingles, linked with nothing. Rows with equal texts are
+    linked, as are texts with equal sets. Ids are unique: rows that repeat an id are one node. A row with a null id is no
+    node; it gets the component of the texts with an equal set. An empty table gives an empty one.
     """
     spark, t = docs.sparkSession, threshold
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     profile = scratch.save(docs.mapInArrow(_profile(k, t), "doc_id long, n long, h1 long, h2 long, signatures array<long>"), "profile")
     sets = profile.select("doc_id", "n", "h1", "h2")
-    classes = scratch.save(sets.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
+    classes = scratch.save(sets.where("n > 0 and doc_id is not null").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
 
-    rows = profile.select(F.explode("signatures").alias("s"), "doc_id")
+    rows = profile.where("doc_id is not null").select(F.explode("signatures").alias("s"), "doc_id")
     sized = rows.repartition(partitions(spark), "s").sortWithinPartitions("s", "doc_id")
     near = scratch.save(sized.mapInArrow(_runs, "a long, b long").distinct(), "near")
     ends = near.select(F.col("a").alias("doc_id")).union(near.select(F.col("b").alias("doc_id"))).distinct()

@@ -125,7 +125,8 @@ def judged(docs: DataFrame, scratch: Scratch, cutoff: float = CUTOFF, id_col: st
     """base_statistics plus base_failed, distance and kept of every text.
 
     Texts that fail the base rules have no distance and are not kept. A null language or source is a group of its own.
-    The estimates are made of all texts that pass the base rules, however many. No texts give an empty table.
+    The estimates are made of all texts that pass the base rules, however many. Each row is judged, whatever its id; other
+    columns are ignored. No texts give an empty table.
     """
     p = len(NAMES)
     stats = scratch.save(base_statistics(docs, id_col, text_col).withColumn("base_failed", base_failed()), "stats")
@@ -135,7 +136,7 @@ def judged(docs: DataFrame, scratch: Scratch, cutoff: float = CUTOFF, id_col: st
     pools = sizes.where(F.col("n") < LEAST).groupBy(F.col("lang").alias("pool")).agg(F.sum("n").alias("k"))
     level = F.when(F.col("n") >= LEAST, F.concat_ws("\x01", mark("lang_"), mark("source_"))).when(F.col("k") >= LEAST, mark("lang_")).otherwise(F.lit("*"))
     named = sizes.select(F.col("lang").alias("lang_"), F.col("source").alias("source_"), "n")
-    names = named.join(pools, F.col("lang_").eqNullSafe(F.col("pool")), "left").select("lang_", "source_", level.alias("g"))
+    names = scratch.save(named.join(pools, F.col("lang_").eqNullSafe(F.col("pool")), "left").select("lang_", "source_", level.alias("g")), "groups")
     rows = good.join(names, good["lang"].eqNullSafe(F.col("lang_")) & good["source"].eqNullSafe(F.col("source_"))).select("doc_id", "g", *NAMES)
     rows = scratch.save(rows, "vectors")
     middle = rows.groupBy("g").agg(*(F.percentile_approx(c, F.lit(0.5), F.lit(1000)).alias(f"m_{i}") for i, c in enumerate(NAMES)))
@@ -147,8 +148,9 @@ def judged(docs: DataFrame, scratch: Scratch, cutoff: float = CUTOFF, id_col: st
         cut = near.groupBy("g").agg(F.percentile_approx("d", F.lit(SUBSET), F.lit(1000)).alias("cut"))
         inner = near.join(cut, "g").where("d <= cut")
         fitted = scratch.save(_factor(_moments(inner)), "fit")
-    distance = rows.join(fitted, "g").select("doc_id", _distance().alias("distance"))
-    return stats.join(distance, "doc_id", "left").withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True)))
+    placed = transformed(stats).join(names, stats["lang"].eqNullSafe(F.col("lang_")) & stats["source"].eqNullSafe(F.col("source_")), "left").join(fitted, "g", "left")
+    out = placed.withColumn("distance", F.when(~F.col("base_failed"), _distance()))
+    return out.select(*stats.columns, "distance").withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True)))
 
 
 def quality_rules(docs: DataFrame, **columns) -> DataFrame:

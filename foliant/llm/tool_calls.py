@@ -86,10 +86,11 @@ def link_calls(calls: DataFrame, results: DataFrame, tools: DataFrame, scratch:
     calls: conv_id, call_id, turn, name, arguments (JSON), depends_on; results: conv_id, call_id, content; tools: name,
     parameters. A call that is repeated counts once, at its first turn; of several results the first in text order counts.
     linked is false and the result null where there is none; results without a call are left out. A null in any column is
-    kept as null, calls without an identifier are left out. Other columns are ignored.
+    kept as null, but calls without an identifier or a conversation are left out. Other columns are ignored. Without calls
+    the result is empty.
     """
     scratch = scratch or Scratch(calls.sparkSession, "calls")
-    one = calls.where("call_id is not null").groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "name", "arguments", "depends_on")).alias("c")).select("conv_id", "call_id", "c.*")
+    one = calls.where("conv_id is not null and call_id is not null").groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "name", "arguments", "depends_on")).alias("c")).select("conv_id", "call_id", "c.*")
     found = results.where("call_id is not null").groupBy("conv_id", "call_id").agg(F.min("content").alias("content"), F.lit(True).alias("linked"))
     if tools.limit(MOST_TOOLS + 1).count() > MOST_TOOLS:
         raise ValueError("too many tools to broadcast")
@@ -102,7 +103,7 @@ def link_calls(calls: DataFrame, results: DataFrame, tools: DataFrame, scratch:
 def calls_of_chat(messages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Plain chats as exchanges: system and user turns are calls, an assistant turn is the result of the turn before it.
 
-    A user turn depends on its chat's system turn, if that is turn 0. Returns calls, results and tools for link_calls.
+    A turn depends on its chat's turn 0, if that is a call. Returns calls, results and tools for link_calls.
     """
     name = lambda turn: F.concat(F.col("conv_id").cast("string"), F.lit(":"), turn.cast("string"))
     asked = messages.where(F.col("role").isin("user", "system"))
