@@ -250,7 +250,7 @@ def postings_stats(spark, d):
 
 @query()
 def search_stemmed(spark, d):
-    return search.search(_records(spark, d), "licensing clowns", stemmed=True).select("doc_id", "source", "rank")
+    return search.search(_records(spark, d), "works licensing", stemmed=True).select("doc_id", "source", "rank")
 
 
 @query()
