@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from foliant.functions.stem import porter
 
@@ -32,7 +32,7 @@ def tokens(text: Column, stops: list[str]) -> Column:
     return F.filter(words, lambda w: ~w.isin(stops))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def _stemmed(words: pd.Series) -> pd.Series:
     return words.map(lambda ws: [porter(w) for w in ws])
 
