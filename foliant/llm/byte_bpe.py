@@ -204,7 +204,7 @@ def encode_words_native(words: DataFrame, ranks: dict[bytes, int], col: str = "w
     table = F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<map<string,int>>")
 
     def rank(h):
-        return F.get(F.get(table, (F.crc32(h.cast("binary")) % BUCKETS).cast("int")), h)
+        return F.try_element_at(F.get(table, (F.crc32(h.cast("binary")) % BUCKETS).cast("int")), h)
 
     def merge(pieces, _):
         pairs = F.transform(F.sequence(F.lit(0), F.size(pieces) - 2), lambda i: F.struct(F.coalesce(rank(F.concat(F.get(pieces, i), F.get(pieces, i + 1))), F.lit(1 << 30)).alias("r"), i.alias("i")))

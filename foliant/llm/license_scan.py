@@ -31,7 +31,7 @@ SPELLINGS = (("licence", "license"), ("licenced", "licensed"), ("sub-license", "
 #: Known texts are broadcast; the list must not grow beyond this.
 MOST_KNOWN = 10_000
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\t\n\x0b\f\r ‘’“”–—•"
-COPYRIGHT = r"(?m)^[^\S\n]*(?:copyright\b|\(c\)|©)[^\n]*$|^[^\S\n]*all rights reserved\.?[^\S\n]*$"
+COPYRIGHT = r"(?m)^[^\S\n]*(?:copyright[^\S\n]*(?:\(c\)|©|[0-9]{4})|\(c\)|©)[^\n]*$|^[^\S\n]*all rights reserved\.?[^\S\n]*$"
 
 
 def canonical(text: Column) -> Column:
