@@ -209,8 +209,8 @@ def matches(rows: DataFrame) -> DataFrame:
 def _cover(n: int, spans: np.ndarray) -> np.ndarray:
     """A boolean for each of n bytes: inside one of the spans (rows of start, end)."""
     edge = np.zeros(n + 1, dtype=np.int64)
-    np.add.at(edge, np.maximum(spans[:, 0], 0), 1)
-    np.add.at(edge, np.minimum(spans[:, 1], n), -1)
+    np.add.at(edge, np.clip(spans[:, 0], 0, n), 1)
+    np.add.at(edge, np.clip(spans[:, 1], 0, n), -1)
     return np.cumsum(edge[:-1]) > 0
 
 
@@ -253,6 +253,7 @@ def _settle(batches):
 
 def _open(d: np.ndarray, refs: np.ndarray):
     h, window, least, sampled = minimizers(d, np.array([0, len(d)]))
+    refs = refs[np.isin(refs, sampled)]  # another text with the same id may have more
     return _windows(h, window, least, sampled, refs)
 
 
@@ -269,6 +270,8 @@ def _blocks(batches):
             d = np.frombuffer(text, dtype=np.uint8)
             j, p = _open(d, np.array(refs, dtype=np.int64))
             key = np.unique(p * 16 + (p - j) // STEP)
+            if not len(key):
+                continue
             lo, hi, free = _hulls(key, len(d))
             inner = np.maximum(free + STEP - 1, 0), np.minimum(free + WIDTH, len(d))
             with np.errstate(over="ignore"):
@@ -308,7 +311,9 @@ def repeated_spans(docs: DataFrame, batches: int = 2, id_col: str = "doc_id", te
     """Rows (doc_id, n_bytes, n_removed, n_spans, kept_sha256): each text without the bytes of 200-byte strings that stand more than once.
 
     Null counts as empty; texts under 200 bytes lose nothing, so copies of short texts stay. All copies of a string go,
-    the first included, also inside one document. Other columns are ignored; ids are unique and not null.
+    the first included, also inside one document. Other columns are ignored. Ids are unique: rows that repeat an id with
+    another text share their marks where these fit. A row with a null id is compared with nothing and loses nothing.
+    An empty table gives an empty one.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffix")
@@ -316,12 +321,12 @@ def repeated_spans(docs: DataFrame, batches: int = 2, id_col: str = "doc_id", te
     profile = scratch.save(docs.mapInArrow(_profile, "doc_id long, n_bytes long, t1 long, t2 long, a array<long>, u array<long>, p array<long>"), "profile")
     family = SuffixFamily(scratch)
     for k in range(batches):
-        mine = profile.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k)
+        mine = profile.where("doc_id is not null").where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k)
         family.insert(mine.select("doc_id", F.explode(F.arrays_zip("a", "u", "p")).alias("s")).select("s.a", "s.u", "doc_id", "s.p"))
     lists_ = family.marks().groupBy("doc_id").agg(F.collect_list(F.struct("p", "bits")).alias("m"))
     texts = profile.select("doc_id", "n_bytes", "t1", "t2")
     copied = texts.where(f"n_bytes >= {WIDTH}").groupBy("n_bytes", "t1", "t2").agg(F.count("*").alias("c")).where("c > 1")
-    copies = texts.join(copied, ["n_bytes", "t1", "t2"]).select("doc_id", F.lit(True).alias("copies"))
+    copies = texts.join(copied, ["n_bytes", "t1", "t2"]).select("doc_id", F.lit(True).alias("copies")).distinct()
     marked = scratch.save(lists_.join(copies, "doc_id", "full").select("doc_id", F.coalesce("copies", F.lit(False)).alias("copies"), F.col("m.p").alias("p"), F.col("m.bits").alias("bits")), "marked")
     scratch.drop(profile, *family.tables)
     scratch.release()
