@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions.text import DIGIT, EDGES, GENERAL, HEADER_CHARS, NL, NOT_CAPITAL
 from foliant.operators import evaluation, export, regions, search, state, structure
-from foliant.sources import files
+from foliant.sources import files, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -507,6 +507,28 @@ def recent_documents(spark, d):
     return state.recent(e, e.where("doc_id % 3 <> 0"))
 
 
+@query("SELECT doc_id, CASE WHEN count(*) FILTER (k < n) = 0 THEN NULL ELSE CAST(count(*) FILTER (k < n) AS INT) END AS n, string_agg(CASE WHEN k < n THEN doc_id || '/images/' || k || '.' || f END, ',' ORDER BY k) AS keys FROM (SELECT doc_id, doc_id % 3 AS n, k, CASE doc_id % 4 WHEN 0 THEN 'png' WHEN 1 THEN 'jpg' WHEN 2 THEN 'png' ELSE 'jp2' END AS f FROM documents, unnest(range(0, 3)) AS u(k)) GROUP BY doc_id")
+def crop_keys(spark, d):
+    docs, i = documents(spark, d), F.col("doc_id")
+    form = F.when(i % 4 == 1, ".jpg").when(i % 4 == 2, "").when(i % 4 == 3, "jp2")
+    rows = docs.where("doc_id % 3 > 0").select("doc_id", F.explode(F.sequence(F.lit(0), (i % 3 - 1).cast("int"))).alias("ord"), form.alias("format"))
+    out = sinks.stored_regions(docs, rows)
+    return out.select("doc_id", F.when(F.col("image_regions").isNotNull(), F.size("image_regions")).alias("n"), F.when(F.col("image_regions").isNotNull(), F.array_join(F.transform("image_regions", lambda x: x["storage_key"]), ",")).alias("keys"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN md5(source) END AS data_md5 FROM documents")
+def crop_resolution(spark, d):
+    docs = documents(spark, d)
+    key = files.crop_key(F.col("doc_id").cast("string"), F.lit(0), F.lit("png"))
+    stored = docs.where("doc_id % 5 <> 0").select(key.alias("key"), F.col("source").cast("binary").alias("data"))
+    return sinks.resolved(docs.select("doc_id", key.alias("storage_key")), stored.union(stored)).select("doc_id", F.md5("data").alias("data_md5"))
+
+
+@query(f"SELECT doc_id, source, {STATUS} AS status, CAST({CREATED} AS TIMESTAMP) AS created_at FROM documents WHERE doc_id % 10 = 3")
+def record_projection(spark, d):
+    return sinks.record(_records(spark, d).where("doc_id % 10 = 3"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -104,3 +104,25 @@ def test_discovery(spark, tmp_path):
 def test_bad_psm():
     with pytest.raises(ValueError):
         files.check_ocr(14)
+
+
+def test_blobs(spark, tmp_path):
+    from foliant.sources import sinks
+
+    root = str(tmp_path / "store")
+    sinks.write_blobs(spark.createDataFrame([("1/a.png", b"x")], sinks.BLOB), root)
+    got = sinks.resolved(spark.createDataFrame([("1/a.png",), ("2/b.png",)], "storage_key string"), sinks.read_blobs(spark, root)).collect()
+    assert {r["storage_key"]: r["data"] and bytes(r["data"]) for r in got} == {"1/a.png": b"x", "2/b.png": None}
+    with pytest.raises(ValueError):
+        sinks.write_blobs(spark.createDataFrame([("../a", b"x")], sinks.BLOB), root)
+
+
+def test_report_paths(spark, tmp_path):
+    from foliant.sources import sinks
+
+    assert sinks.check_report_path("/r/reports/../reports/x", "/r") == "/r/reports/x"
+    for f, bad in ((sinks.check_report_path, "/r/x"), (sinks.check_report_path, "/r/reports/../x"), (sinks.check_samples_path, "/r/s"), (sinks.check_samples_path, "/r")):
+        with pytest.raises(ValueError):
+            f(bad, "/r")
+    sinks.write_report(spark.createDataFrame([("a",), ("b",)], "line string"), str(tmp_path / "out"), "/r")
+    assert [r[0] for r in spark.read.text(str(tmp_path / "out")).collect()] == ["a", "b"]
