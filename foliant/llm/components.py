@@ -37,6 +37,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         mark = now
         new = scratch.save(_stars(_stars(e, True), False), "stars")
         scratch.drop(e)
+        scratch.release()
         e = new
     roots = e.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.union(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

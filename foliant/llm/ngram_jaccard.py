@@ -1,16 +1,19 @@
 """N-gram Jaccard join: size-banded tiles, bitmap bounds, then exact intersection.
 
 Two texts link when |A & B| >= t * |A | B| for their shingle sets A and B. With d the largest
-symmetric difference that a linked pair in a size band can have, the hash space is cut into
-d + 2 tiles; a linked pair then has at least two equal tiles. A text sends one signature for each
-filled tile (and for each pair of tiles that it leaves empty), so texts that share only common
-shingles or one passage never meet, however frequent that is. Equal signatures, read from one sort
+symmetric difference that a linked pair in a size band can have, the hash space is cut into m > d
+tiles; a linked pair then has at least m - d equal tiles. A text sends one signature for each filled
+tile. m is so large that hardly any text leaves m - d tiles empty; one that does also sends each pair
+of its empty tiles, so no link is lost. Texts that share only common shingles or one passage hardly
+ever meet, however frequent that is. Before that, sets with enough tokens of their own are left out of
+the search, by counting the tokens of one part of the hash space. Equal signatures, read from one sort
 as a stream, group the candidates; these are compared block by block, with the population count of
 xor-ed bitmaps as an upper bound of the overlap before sorted arrays are intersected.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -27,6 +30,8 @@ from foliant.llm.textbytes import column_bytes, lists, mix, row_chunks, shingle_
 BLOCK_DOCS, BLOCK_SHINGLES = 512, 400_000
 #: Candidates of which the ids are broadcast at most (16 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
+#: Lower thresholds would need tiles so small that most are empty.
+LEAST_THRESHOLD = Fraction(4, 5)
 _U = np.uint64
 
 
@@ -47,10 +52,18 @@ def bands(n: int, t: Fraction) -> list[int]:
         hi = hi * 3 // 2
 
 
-def tiles(hi: int, t: Fraction) -> int:
-    """Tiles of a band: two more than the largest symmetric difference of linked sets of at most hi elements."""
+def region(t: Fraction) -> np.uint64:
+    """The end of the part of the hash space, twice the share in which linked sets may differ, whose tokens are counted."""
+    return _U(min((1 << 64) - 1, int(2 * (1 - t) * (1 << 64)) + 1))
+
+
+def tiles(hi: int, t: Fraction) -> tuple[int, int]:
+    """Tiles of a band and how many of them linked sets of at most hi elements have equal at least, always two or more."""
     q, p = t.denominator, t.numerator
-    return (q - p) * 2 * hi // (q + p) + 2
+    d = (q - p) * 2 * hi // (q + p)
+    m = d + 2
+    m += int(1.6 * m * math.exp(-2 * hi / 3 / m))
+    return m, m - d
 
 
 def signatures(x: np.ndarray, t: Fraction) -> np.ndarray:
@@ -60,8 +73,8 @@ def signatures(x: np.ndarray, t: Fraction) -> np.ndarray:
         c = np.zeros(len(x) + 1, dtype=np.uint64)
         np.cumsum(mix(x + _U(0x632BE59BD9B4E019)), out=c[1:])
         for hi in bands(len(x), t):
-            m = tiles(hi, t)
-            if m <= 2:
+            m, equal = tiles(hi, t)
+            if m == equal:
                 continue  # only equal sets are linked here
             cuts = (np.arange(1, m, dtype=np.float64) * (2.0**64 / m)).astype(np.uint64)
             at = np.concatenate(([0], np.searchsorted(x, cuts), [len(x)]))
@@ -69,7 +82,7 @@ def signatures(x: np.ndarray, t: Fraction) -> np.ndarray:
             seed = mix(np.arange(m, dtype=np.uint64) + _U(m << 32))
             out.append(mix((c[at[1:]] - c[at[:-1]]) ^ seed)[full])
             empty = seed[~full]
-            if len(empty) > 1:
+            if len(empty) >= equal:
                 i, j = np.triu_indices(len(empty), 1)
                 out.append(mix(empty[i] * _U(3) + empty[j]))
     return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
@@ -82,23 +95,67 @@ def _sets(batches, k: int) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
             yield batch.slice(a, b - a), shingle_sets(d[o[a] : o[b]], o[a : b + 1] - o[a], k)
 
 
+def _hashes(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    with np.errstate(over="ignore"):
+        return [(int(x.sum(dtype=np.uint64)), int(mix(x).sum(dtype=np.uint64))) for x in sets]
+
+
 def _profile(k: int, t: Fraction):
-    """(doc_id, text) to (doc_id, n, h1, h2, signatures); a task sends the signatures of equal sets once."""
+    """(doc_id, text) to (doc_id, n, r, h1, h2): size, tokens in the region, and hashes of the set."""
+
+    def run(batches):
+        for batch, sets in _sets(batches, k):
+            r = [int(np.searchsorted(x, region(t))) for x in sets]
+            signed = np.array(_hashes(sets), dtype=np.uint64).view(np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(r, pa.int64()), pa.array(signed[:, 0].copy()), pa.array(signed[:, 1].copy())], names=["doc_id", "n", "r", "h1", "h2"])
+
+    return run
+
+
+def _tokens(k: int, t: Fraction):
+    """(doc_id, text) to (doc_id, tokens) of the region; a task sends those of equal sets once."""
 
     def run(batches):
         seen: set[tuple[int, int]] = set()
         for batch, sets in _sets(batches, k):
-            with np.errstate(over="ignore"):
-                h = [(int(x.sum(dtype=np.uint64)), int(mix(x).sum(dtype=np.uint64))) for x in sets]
             sent = []
-            for x, key in zip(sets, h, strict=True):
-                fresh = key not in seen
+            for x, key in zip(sets, _hashes(sets), strict=True):
+                sent.append(x[:0] if key in seen else x[: np.searchsorted(x, region(t))])
                 seen.add(key)
-                sent.append(signatures(x, t) if fresh else np.zeros(0, dtype=np.uint64))
             if len(seen) > 1_000_000:
                 seen.clear()
-            signed = np.array(h, dtype=np.uint64).view(np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(signed[:, 0].copy()), pa.array(signed[:, 1].copy()), lists([s.view(np.int64) for s in sent])], names=["doc_id", "n", "h1", "h2", "signatures"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists([s.view(np.int64) for s in sent])], names=["doc_id", "tokens"])
+
+    return run
+
+
+def _shared(batches):
+    """(s, doc_id) sorted by s to (doc_id, c): how many of a document's rows have a neighbour with the same s."""
+    held = before = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        s, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        if held is not None:
+            s, ids = np.concatenate((held[0], s)), np.concatenate((held[1], ids))
+        same = s[1:] == s[:-1]
+        hit = np.append(same, False)
+        hit[1:] |= same
+        hit[0] |= before is not None and s[0] == before
+        n = len(s) - 1
+        found, c = np.unique(ids[:n][hit[:n]], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(c.astype(np.int64))], names=["doc_id", "c"])
+        held, before = (s[n:], ids[n:]), s[n - 1] if n else before
+    if held is not None and before is not None and held[0][0] == before:
+        yield pa.RecordBatch.from_arrays([pa.array(held[1]), pa.array([1], pa.int64())], names=["doc_id", "c"])
+
+
+def _signatures(k: int, t: Fraction):
+    """(doc_id, text) to (doc_id, signatures)."""
+
+    def run(batches):
+        for batch, sets in _sets(batches, k):
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists([signatures(x, t).view(np.int64) for x in sets])], names=["doc_id", "signatures"])
 
     return run
 
@@ -188,15 +245,28 @@ def jaccard_components(docs: DataFrame, k: int, threshold: Fraction, scratch: Sc
     linked, as are texts with equal sets. Ids are unique: rows that repeat an id are one node. A row with a null id is no
     node; it gets the component of the texts with an equal set. An empty table gives an empty one.
     """
+    if not LEAST_THRESHOLD <= threshold <= 1:
+        raise ValueError(f"the threshold must be {LEAST_THRESHOLD} to 1")
     spark, t = docs.sparkSession, threshold
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    profile = scratch.save(docs.mapInArrow(_profile(k, t), "doc_id long, n long, h1 long, h2 long, signatures array<long>"), "profile")
+    profile = scratch.save(docs.mapInArrow(_profile(k, t), "doc_id long, n long, r long, h1 long, h2 long"), "profile")
     sets = profile.select("doc_id", "n", "h1", "h2")
     classes = scratch.save(sets.where("n > 0 and doc_id is not null").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
 
-    rows = profile.where("doc_id is not null").select(F.explode("signatures").alias("s"), "doc_id")
+    # a set with n - ceil(t n) + 1 tokens that no other set has is linked with none, and out of the search
+    tokens = docs.where("doc_id is not null").mapInArrow(_tokens(k, t), "doc_id long, tokens array<long>").select(F.explode("tokens").alias("s"), "doc_id")
+    common = tokens.repartition(partitions(spark), "s").sortWithinPartitions("s", "doc_id").mapInArrow(_shared, "doc_id long, c long")
+    common = scratch.save(common.groupBy("doc_id").agg(F.sum("c").alias("c")), "common")
+    scratch.release()
+    alone = F.col("n") - F.ceil(F.col("n") * t.numerator / t.denominator - F.lit(1e-9)) + 1
+    open_ = profile.join(common, "doc_id", "left").where(F.col("n") > 0).where(F.col("r") - F.coalesce("c", F.lit(0)) < alone).select("n", "h1", "h2")
+    searched = scratch.save(classes.join(open_.distinct(), ["n", "h1", "h2"]).select(F.col("rep").alias("doc_id")), "searched")
+
+    mine = docs.join(small_or_shuffled(searched, BROADCAST_ROWS), "doc_id")
+    rows = mine.mapInArrow(_signatures(k, t), "doc_id long, signatures array<long>").select(F.explode("signatures").alias("s"), "doc_id")
     sized = rows.repartition(partitions(spark), "s").sortWithinPartitions("s", "doc_id")
     near = scratch.save(sized.mapInArrow(_runs, "a long, b long").distinct(), "near")
+    scratch.release()
     ends = near.select(F.col("a").alias("doc_id")).union(near.select(F.col("b").alias("doc_id"))).distinct()
     reps = scratch.save(sets.join(small_or_shuffled(scratch.save(ends, "ends"), BROADCAST_ROWS), "doc_id").join(classes.drop("copies"), ["n", "h1", "h2"]).select("doc_id", "rep", "n"), "reps")
     edges = near.join(reps.select(F.col("doc_id").alias("a"), F.col("rep").alias("x")), "a").join(reps.select(F.col("doc_id").alias("b"), F.col("rep").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
@@ -222,6 +292,6 @@ def jaccard_components(docs: DataFrame, k: int, threshold: Fraction, scratch: Sc
     return sets.join(mine, ["n", "h1", "h2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def jaccard_join(docs: DataFrame, k: int = 5, threshold: Fraction = Fraction(8, 10), keep_scratch: bool = True, **columns) -> DataFrame:
+def jaccard_join(docs: DataFrame, k: int = 5, threshold: Fraction = Fraction(8, 10), **columns) -> DataFrame:
     """jaccard_components with a scratch folder of its own."""
     return jaccard_components(docs, k, threshold, Scratch(docs.sparkSession, "jaccard"), **columns)
