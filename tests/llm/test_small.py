@@ -334,6 +334,20 @@ def test_leaks(spark, texts):
         assert lcs(masks, len(a), b) == best[-1][-1]
 
 
+@pytest.mark.parametrize("share", [0.1, 0.3, 1.0])
+def test_leaks_of_a_hot_item(spark, share):
+    """Over 1000 documents, one item in many of them, in all at last; a short item."""
+    from foliant.llm.decontamination import leaks
+
+    r = random.Random(8)
+    items = [" ".join(base_words(r, 25)) + ". " + " ".join(base_words(r, 5)) + "." for _ in range(4)] + ["zyx wvu"]
+    some = [" ".join(base_words(r, 60)) for _ in range(1100)]
+    hosts = set(r.sample(range(1100), int(share * 1100)))
+    some = [f"{t} {items[0]} {t[:200]}" if i in hosts else t for i, t in enumerate(some)] + ["Zyx, wvu"]
+    bench = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    assert {(x["doc_id"], x["item_id"]) for x in leaks(frame(spark, some), bench).collect()} == {(i, 0) for i in hosts} | {(1100, 4)}
+
+
 def test_licenses(spark):
     from foliant.llm.license_scan import KNOWN, scan_licenses
 
