@@ -56,6 +56,19 @@ def test_export_files(spark):
         export.render(rows, "odt")
 
 
+def test_export_files_of_all_documents(spark, tmp_path):
+    from foliant.plans import catalog
+
+    texts = {1: "HEAD:\nbody\na | b\nc | d", 3: "plain", 7: "", 20: "x" * 300, 21: None}
+    spark.createDataFrame([(i, t, "s") for i, t in texts.items()], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["filename"]: r for r in catalog.QUERIES["export_files"](spark, str(tmp_path)).collect()}
+    assert set(got) == {f"{i}.{kind}" for i in texts for kind in export.MIME}
+    for kind in export.MIME:
+        data = {r["filename"]: bytes(r["bytes"]) for r in export.render(catalog._structured(spark, str(tmp_path)), kind).collect()}
+        assert {n: len(b) for n, b in data.items()} == {n: r["n_bytes"] for n, r in got.items() if n.endswith(kind)}
+        assert all(b.startswith(b"%PDF") and b.endswith(b"%%EOF\n") if kind == "pdf" else zipfile.ZipFile(io.BytesIO(b)).testzip() is None for b in data.values())
+
+
 def test_wrap_and_sizes(spark):
     one = spark.range(1)
     n = lambda k: one.select(F.size(export.wrapped(F.lit("x" * k)))).first()[0]
