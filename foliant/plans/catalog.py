@@ -529,6 +529,11 @@ def record_projection(spark, d):
     return sinks.record(_records(spark, d).where("doc_id % 10 = 3"))
 
 
+@query(f"SELECT doc_id, source, {STATUS} AS status, CAST({CREATED} AS TIMESTAMP) AS created_at FROM documents")
+def record_projection_all(spark, d):
+    return sinks.record(_records(spark, d))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

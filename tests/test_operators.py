@@ -69,6 +69,12 @@ def test_export_files_of_all_documents(spark, tmp_path):
         assert all(b.startswith(b"%PDF") and b.endswith(b"%%EOF\n") if kind == "pdf" else zipfile.ZipFile(io.BytesIO(b)).testzip() is None for b in data.values())
 
 
+def test_record_projection_of_all_documents(spark, small):
+    from foliant.plans import catalog
+
+    assert catalog.QUERIES["record_projection_all"](spark, small).count() == catalog.documents(spark, small).count()
+
+
 def test_wrap_and_sizes(spark):
     one = spark.range(1)
     n = lambda k: one.select(F.size(export.wrapped(F.lit("x" * k)))).first()[0]
