@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import gc
+import contextlib
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: With it set, an SQL execution removes its shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def session() -> SparkSession:
@@ -16,11 +17,16 @@ def session() -> SparkSession:
 
 
 def base_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the session has it; a temporary folder only where it is unset."""
+    """spark.checkpoint.dir as the session has it; where it is unset, a temporary folder in local mode and an error on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = known.get() if known.isDefined() else tempfile.mkdtemp(prefix="foliant-")
+        if known.isDefined():
+            folder = known.get()
+        elif spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
+            folder = tempfile.mkdtemp(prefix="foliant-")
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
@@ -41,22 +47,43 @@ class Scratch:
         self._n += 1
         return f"{self.root}/{self._n:03d}-{name}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, *parts: str) -> DataFrame:
+        """df as a Parquet table, in folders by the columns parts, which must be its last ones."""
         path = self.path(name)
-        df.write.parquet(path)
+        with self.clean():
+            df.write.partitionBy(*parts).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
 
+    def save_bucketed(self, df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+        """df as a table bucketed and sorted by key, so that a plan which needs its rows by key finds them in place."""
+        path, table = self.path(name), f"foliant_{uuid.uuid4().hex}"
+        with self.clean():
+            df.write.bucketBy(buckets, key).sortBy(key).option("path", path).format("parquet").saveAsTable(table)
+        out = self.spark.table(table)
+        out._scratch_path, out._scratch_table = path, table
+        return out
+
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
+            if name := getattr(t, "_scratch_table", None):
+                self.spark.sql(f"drop table if exists {name}")
             if p := getattr(t, "_scratch_path", None):
                 self._delete(p)
 
-    def release(self) -> None:
-        """Lets the cleaner remove the shuffle files of plans that nothing refers to any more."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+    @contextlib.contextmanager
+    def clean(self):
+        """Executions begun here remove their shuffle files when they end, also when they fail."""
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            yield
+        finally:
+            if before is None:
+                self.spark.conf.unset(CLEANUP)
+            else:
+                self.spark.conf.set(CLEANUP, before)
 
     def close(self) -> None:
         self._delete(self.root)
