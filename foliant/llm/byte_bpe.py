@@ -18,10 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.textbytes import row_chunks
+from foliant.llm.textbytes import column_bytes, lists, row_chunks, trimmed
 
-#: Words of which a worker keeps the ids at most; it starts anew beyond that.
-CACHE_WORDS = 400_000
+#: Words of which a worker keeps the ids at most, but for those of one chunk; it starts anew beyond that.
+CACHE_WORDS = 100_000
+#: Bytes of text that are encoded before a batch of results is sent; a longer text is alone.
+CHUNK = 1 << 19
 #: Longer pre-tokens are merged one at a time, by a heap, rather than in the common fold.
 LONG_WORD = 64
 
@@ -47,7 +49,11 @@ class Merger:
                     values.append(rank)
         order = np.argsort(np.array(keys, dtype=np.int64))
         self.keys, self.values = np.array(keys, dtype=np.int64)[order], np.array(values, dtype=np.int64)[order]
-        self.pairs: dict[tuple[int, int], int] = {(int(k) >> 32, int(k) & 0xFFFFFFFF): int(v) for k, v in zip(self.keys, self.values, strict=True)}
+
+    def pair(self, left: int, right: int) -> int | None:
+        key = left << 32 | right
+        at = int(np.searchsorted(self.keys, key))
+        return int(self.values[at]) if at < len(self.keys) and self.keys[at] == key else None
 
     def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left << 32 | right
@@ -94,7 +100,7 @@ class Merger:
         ids = self.single[np.frombuffer(word, dtype=np.uint8)].tolist()
         n = len(ids)
         left, right = list(range(-1, n - 1)), [*range(1, n), -1]
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := self.pairs.get((ids[i], ids[i + 1]))) is not None]
+        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := self.pair(ids[i], ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
             r, i, a, b = heapq.heappop(heap)
@@ -106,68 +112,94 @@ class Merger:
                 left[right[i]] = i
             for x in (left[i], i):
                 y = right[x] if x >= 0 else -1
-                if y >= 0 and (s := self.pairs.get((ids[x], ids[y]))) is not None:
+                if y >= 0 and (s := self.pair(ids[x], ids[y])) is not None:
                     heapq.heappush(heap, (s, x, ids[x], ids[y]))
         return [x for x in ids if x >= 0]
 
 
-def _codec(pattern: str, ranks: dict[bytes, int]):
-    """Both directions on this worker: texts to id lists as strings, and ids to bytes."""
-    import regex
+class Codec:
+    """Both directions, with the words that return kept: a word to its ids as one string, such a string to its bytes."""
+
+    def __init__(self, pattern: str, ranks: dict[bytes, int]):
+        import regex
+
+        self.split = regex.compile(pattern).findall
+        self.merger = Merger(ranks)
+        self.pieces = {v: k for k, v in ranks.items()}
+        self.known: dict[str, str] = {}
+        self.bytes: dict[str, bytes] = {}
+
+    def encode(self, texts: list[str]) -> list[list[str]]:
+        """For each text the ids of each pre-token, joined by blanks."""
+        split = [self.split(t) for t in texts]
+        fresh = list({w for words in split for w in words}.difference(self.known))
+        for w, ids in zip(fresh, self.merger.fold([w.encode("utf-8", "replace") for w in fresh]), strict=True):
+            self.known[w] = key = " ".join(map(str, ids))
+            self.bytes[key] = b"".join(map(self.pieces.__getitem__, ids))
+        return [list(map(self.known.__getitem__, words)) for words in split]
 
-    find = regex.compile(pattern).findall
-    merger = Merger(ranks)
-    known: dict[str, str] = {}
+    def decode(self, parts: list[str]) -> bytes:
+        return b"".join(map(self.bytes.__getitem__, parts))
 
-    def encode(texts: list[str]) -> list[list[str]]:
-        split = [find(t) for t in texts]
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        fresh = list({w for words in split for w in words}.difference(known))
-        for w, ids in zip(fresh, merger.fold([w.encode("utf-8", "replace") for w in fresh]), strict=True):
-            known[w] = " ".join(map(str, ids))
-        return [list(map(known.__getitem__, words)) for words in split]
+    def trim(self) -> None:
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+            self.bytes.clear()
 
-    return encode
 
+#: The codec of this worker, kept between tasks: (number of the broadcast vocabulary, pattern) to codec; one at a time.
+_codecs: dict[tuple[int, str], Codec] = {}
+#: Driver: (application, path, pattern) to the broadcast vocabulary, so that a table encoded again sends nothing anew.
+_shared: dict[tuple[str, str], object] = {}
 
-def _run(pattern: str, shared, with_ids: bool):
+
+def _vocabulary(spark, path: str):
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _shared:
+        _shared[key] = spark.sparkContext.broadcast(load_ranks(path))
+    return _shared[key]
+
+
+def _run(pattern: str, shared, number: int, with_ids: bool):
     def run(batches):
-        ranks = shared.value
-        pieces = {str(v): k for k, v in ranks.items()}
-        encode = _codec(pattern, ranks)
+        codec = _codecs.get((number, pattern))
+        if codec is None:
+            _codecs.clear()
+            codec = _codecs[number, pattern] = Codec(pattern, shared.value)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            sizes = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
-            for a, b in row_chunks(sizes):
+            _, offsets = column_bytes(batch.column(1))
+            for a, b in row_chunks(offsets, CHUNK):
                 counts, ids_sha, text_sha, all_ids = [], [], [], []
-                for words in encode(texts[a:b]):
-                    joined = " ".join(words)
-                    ids = joined.split(" ") if joined else []
-                    counts.append(len(ids))
+                for parts in codec.encode([t or "" for t in batch.column(1).slice(a, b - a).to_pylist()]):
+                    joined = " ".join(parts)
+                    counts.append(joined.count(" ") + 1 if joined else 0)
                     ids_sha.append(hashlib.sha256(joined.encode()).hexdigest())
-                    text_sha.append(hashlib.sha256(b"".join(map(pieces.__getitem__, ids))).hexdigest())
+                    text_sha.append(hashlib.sha256(codec.decode(parts)).hexdigest())
                     if with_ids:
-                        all_ids.append(np.array(ids, dtype=np.int32))
+                        all_ids.append(np.fromstring(joined, dtype=np.int32, sep=" ") if joined else np.zeros(0, np.int32))
+                codec.trim()
                 cols = [batch.column(0).slice(a, b - a), pa.array(counts, pa.int64()), pa.array(ids_sha), pa.array(text_sha)]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
-                    cols.append(pa.array(all_ids, pa.list_(pa.int32())))
+                    cols.append(lists(all_ids, np.int32))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return run
+    return trimmed(run)
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, n_tokens, ids_sha256, decoded_sha256[, ids array<int>]) of whole texts.
 
-    Null and empty texts have no tokens and the digest of nothing. The vocabulary, of a fixed size, is read here and
-    broadcast. decoded_sha256 is of the bytes that the ids decode to.
+    Null and empty texts have no tokens and the digest of nothing. Each row is encoded for itself, so rows with a null or
+    repeated id and repeated rows each give a row; other columns are ignored; an empty table gives an empty one. A very long
+    text is encoded whole, alone in its chunk. The vocabulary, of a fixed size, is read here and broadcast once a session.
+    decoded_sha256 is of the bytes that the ids decode to.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
-    return rows.mapInArrow(_run(pattern, docs.sparkSession.sparkContext.broadcast(load_ranks(path)), with_ids), schema)
+    shared = _vocabulary(docs.sparkSession, path)
+    return rows.mapInArrow(_run(pattern, shared, shared._jbroadcast.id(), with_ids), schema)
 
 
 def _decode(shared):
@@ -182,7 +214,7 @@ def _decode(shared):
 
 def decode_documents(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """Rows (doc_id, bytes) of id lists; a null list gives null. An id that the vocabulary lacks is an error."""
-    return tokens.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(_decode(tokens.sparkSession.sparkContext.broadcast(load_ranks(path))), "doc_id long, bytes binary")
+    return tokens.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(_decode(_vocabulary(tokens.sparkSession, path)), "doc_id long, bytes binary")
 
 
 #: Buckets of the literal rank map: one lookup reads one bucket, not the whole map.

@@ -5,16 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.scratch import Scratch
+from foliant.llm.scratch import Scratch, small_or_shuffled
 
 
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
-    """One contraction step on rows (a, b), b < a. large: bind larger neighbours of each node to its least one; else the smaller."""
+#: Nodes of which the least neighbours are broadcast at most (16 bytes each); those of more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def _stars(edges: DataFrame, large: bool, scratch: Scratch) -> DataFrame:
+    """One contraction step on rows (a, b), b < a. large: bind larger neighbours of each node to its least one; else the smaller.
+
+    The least neighbours are a table of their own, so that both sides of the join are read anew and a node with very many
+    neighbours can be split.
+    """
     near = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     if large:
         near = near.union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    tied = near.join(least, "u")
+    least = scratch.save(least, "least")
+    tied = near.join(small_or_shuffled(least, BROADCAST_ROWS), "u")
     if large:
         out = tied.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
@@ -35,9 +44,8 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         if now == mark or not now["n"]:
             break
         mark = now
-        new = scratch.save(_stars(_stars(e, True), False), "stars")
+        new = scratch.save(_stars(_stars(e, True, scratch), False, scratch), "stars")
         scratch.drop(e)
-        scratch.release()
         e = new
     roots = e.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.union(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -2,13 +2,14 @@
 
 Two texts link when |A & B| >= t * |A | B| for their shingle sets A and B. With d the largest
 symmetric difference that a linked pair in a size band can have, the hash space is cut into m > d
-tiles; a linked pair then has at least m - d equal tiles. A text sends one signature for each filled
-tile. m is so large that hardly any text leaves m - d tiles empty; one that does also sends each pair
-of its empty tiles, so no link is lost. Texts that share only common shingles or one passage hardly
-ever meet, however frequent that is. Before that, sets with enough tokens of their own are left out of
-the search, by counting the tokens of one part of the hash space. Equal signatures, read from one sort
-as a stream, group the candidates; these are compared block by block, with the population count of
-xor-ed bitmaps as an upper bound of the overlap before sorted arrays are intersected.
+tiles; a linked pair then has at least m - d equal tiles. A text has one signature for each filled
+tile; one that leaves m - d tiles empty also has one for each pair of these, so no link is lost.
+Sets with enough tokens of their own are left out of the search first, by counting the tokens of one
+part of the hash space. Signatures are counted over all texts, and each text searches with its rarest
+ones only, so many of them that a linked pair must still meet: what very many texts share, as a
+passage, makes no candidates of them. Candidates are compared block by block, with the population count of
+xor-ed bitmaps as an upper bound of the overlap before sorted arrays are intersected. A large group is first
+compared within blocks, then by one text of what these connect; only texts that are then still apart meet.
 """
 
 from __future__ import annotations
@@ -24,12 +25,16 @@ from pyspark.sql import functions as F
 
 from foliant.llm.components import components
 from foliant.llm.scratch import Scratch, partitions, small_or_shuffled
-from foliant.llm.textbytes import column_bytes, lists, mix, row_chunks, shingle_sets
+from foliant.llm.textbytes import column_bytes, lists, mix, row_chunks, shingle_sets, trimmed
 
 #: Documents, and shingles, of one block of candidates at most; a larger document is alone.
 BLOCK_DOCS, BLOCK_SHINGLES = 512, 400_000
 #: Candidates of which the ids are broadcast at most (16 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
+#: Tokens that a task combines before it sends them.
+COMBINE = 1 << 20
+#: The part of a large group's blocks in which texts of several components are.
+MIXED = -1
 #: Lower thresholds would need tiles so small that most are empty.
 LEAST_THRESHOLD = Fraction(4, 5)
 _U = np.uint64
@@ -66,8 +71,12 @@ def tiles(hi: int, t: Fraction) -> tuple[int, int]:
     return m, m - d
 
 
-def signatures(x: np.ndarray, t: Fraction) -> np.ndarray:
-    """Of one sorted set; sets that are linked but not equal share at least one."""
+def signatures(x: np.ndarray, t: Fraction) -> list[tuple[int, int, np.ndarray]]:
+    """Of one sorted set, for each band (number, least, signatures).
+
+    Sets that are linked but not equal share at least `least` signatures of one number, where that is positive in both, or else
+    at least one: of the filled tiles, or of the pairs of empty ones, whose number is negative.
+    """
     out = []
     with np.errstate(over="ignore"):
         c = np.zeros(len(x) + 1, dtype=np.uint64)
@@ -80,12 +89,12 @@ def signatures(x: np.ndarray, t: Fraction) -> np.ndarray:
             at = np.concatenate(([0], np.searchsorted(x, cuts), [len(x)]))
             full = np.diff(at) > 0
             seed = mix(np.arange(m, dtype=np.uint64) + _U(m << 32))
-            out.append(mix((c[at[1:]] - c[at[:-1]]) ^ seed)[full])
             empty = seed[~full]
+            out.append((hi, max(1, equal - len(empty)), mix((c[at[1:]] - c[at[:-1]]) ^ seed)[full]))
             if len(empty) >= equal:
                 i, j = np.triu_indices(len(empty), 1)
-                out.append(mix(empty[i] * _U(3) + empty[j]))
-    return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
+                out.append((-hi, 1, mix(empty[i] * _U(3) + empty[j])))
+    return out
 
 
 def _sets(batches, k: int) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
@@ -112,69 +121,115 @@ def _profile(k: int, t: Fraction):
     return run
 
 
+def _runs(s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order that sorts s, the starts of its runs of equal values in that order, and their lengths."""
+    order = np.argsort(s, kind="stable")
+    v = s[order]
+    start = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1]))) if len(v) else np.zeros(0, np.int64)
+    return order, start, np.diff(np.append(start, len(v)))
+
+
+def _gathered(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(values, ids) of some COMBINE values at a time."""
+    held, n = [], 0
+    for s, ids in parts:
+        held.append((s, ids))
+        n += len(s)
+        if n >= COMBINE:
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            held, n = [], 0
+    if n:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
+def _batches(arrays: list[np.ndarray], masks: list[np.ndarray | None], names: list[str]) -> Iterator[pa.RecordBatch]:
+    for k in range(0, len(arrays[0]), 1 << 16):
+        cut = slice(k, k + (1 << 16))
+        yield pa.RecordBatch.from_arrays([pa.array(x[cut], mask=None if m is None else m[cut]) for x, m in zip(arrays, masks, strict=True)], names=names)
+
+
 def _tokens(k: int, t: Fraction):
-    """(doc_id, text) to (doc_id, tokens) of the region; a task sends those of equal sets once."""
+    """(doc_id, text) to tokens of the region as rows (s, doc_id, c).
+
+    Of tokens that some COMBINE ones hold more than once just one row without a document travels, as a witness; how many of
+    them each document has is a row with c instead. So a token of very many documents is a row a task or so. A task sends the
+    tokens of equal sets once.
+    """
 
     def run(batches):
         seen: set[tuple[int, int]] = set()
-        for batch, sets in _sets(batches, k):
-            sent = []
-            for x, key in zip(sets, _hashes(sets), strict=True):
-                sent.append(x[:0] if key in seen else x[: np.searchsorted(x, region(t))])
-                seen.add(key)
-            if len(seen) > 1_000_000:
-                seen.clear()
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists([s.view(np.int64) for s in sent])], names=["doc_id", "tokens"])
 
-    return run
+        def parts():
+            for batch, sets in _sets(batches, k):
+                for i, x, key in zip(batch.column(0).to_pylist(), sets, _hashes(sets), strict=True):
+                    if key not in seen:
+                        seen.add(key)
+                        x = x[: np.searchsorted(x, region(t))]
+                        yield x.view(np.int64), np.full(len(x), i)
+                if len(seen) > 500_000:
+                    seen.clear()
+
+        for s, ids in _gathered(parts()):
+            order, start, n = _runs(s)
+            known = np.repeat(n > 1, n)
+            docs, c = np.unique(ids[order[known]], return_counts=True)
+            first = order[start]
+            rows = [np.concatenate((s[first], mix(docs.view(np.uint64)).view(np.int64))), np.concatenate((ids[first], docs)), np.concatenate((np.zeros(len(first), np.int64), c))]
+            yield from _batches(rows, [None, np.concatenate((n > 1, np.zeros(len(docs), bool))), None], ["s", "doc_id", "c"])
+
+    return trimmed(run)
 
 
 def _shared(batches):
-    """(s, doc_id) sorted by s to (doc_id, c): how many of a document's rows have a neighbour with the same s."""
+    """Rows of _tokens sorted by s to (doc_id, c): how many of a document's tokens other rows have too."""
     held = before = None
+    names = ["doc_id", "c"]
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        s, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        ids, c = batch.column(1), batch.column(2).to_numpy()
+        sums = np.flatnonzero(c > 0)
+        if len(sums):
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(sums)), pa.array(c[sums])], names=names)
+        known = ids.is_null().to_numpy(zero_copy_only=False)[c == 0]
+        s, ids = batch.column(0).to_numpy()[c == 0], ids.fill_null(0).to_numpy()[c == 0]
         if held is not None:
-            s, ids = np.concatenate((held[0], s)), np.concatenate((held[1], ids))
+            s, ids, known = np.concatenate((held[0], s)), np.concatenate((held[1], ids)), np.concatenate((held[2], known))
+        if not len(s):
+            continue
         same = s[1:] == s[:-1]
         hit = np.append(same, False)
         hit[1:] |= same
         hit[0] |= before is not None and s[0] == before
         n = len(s) - 1
-        found, c = np.unique(ids[:n][hit[:n]], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(c.astype(np.int64))], names=["doc_id", "c"])
-        held, before = (s[n:], ids[n:]), s[n - 1] if n else before
-    if held is not None and before is not None and held[0][0] == before:
-        yield pa.RecordBatch.from_arrays([pa.array(held[1]), pa.array([1], pa.int64())], names=["doc_id", "c"])
+        found, count = np.unique(ids[:n][(hit & ~known)[:n]], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(count.astype(np.int64))], names=names)
+        held, before = (s[n:], ids[n:], known[n:]), s[n - 1] if n else before
+    if held is not None and before is not None and held[0][0] == before and not held[2][0]:
+        yield pa.RecordBatch.from_arrays([pa.array(held[1]), pa.array([1], pa.int64())], names=names)
 
 
 def _signatures(k: int, t: Fraction):
-    """(doc_id, text) to (doc_id, signatures)."""
+    """(doc_id, text) to rows (doc_id, band, least, s), s a list."""
 
     def run(batches):
         for batch, sets in _sets(batches, k):
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists([signatures(x, t).view(np.int64) for x in sets])], names=["doc_id", "signatures"])
+            rows = [(i, *sig) for i, x in zip(batch.column(0).to_pylist(), sets, strict=True) for sig in signatures(x, t)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), lists([r[3].view(np.int64) for r in rows])], names=["doc_id", "band", "least", "s"])
 
-    return run
+    return trimmed(run)
 
 
-def _runs(batches):
-    """(s, doc_id) sorted by s to candidate edges (a, b): from each later row of a signature to its first row."""
-    sig = first = None
-    for batch in batches:
-        s, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        if not len(s):
-            continue
-        new = np.empty(len(s), dtype=bool)
-        new[0], new[1:] = sig is None or s[0] != sig, s[1:] != s[:-1]
-        at = np.maximum.accumulate(np.where(new, np.arange(len(s)), -1))
-        hub = np.where(at >= 0, ids[np.maximum(at, 0)], first if first is not None else 0)
-        sig, first = s[-1], hub[-1]
-        keep = ~new & (hub != ids)
-        pairs = np.unique(np.stack([ids[keep], hub[keep]], 1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+def candidates(signed: DataFrame, scratch: Scratch) -> DataFrame:
+    """Edges (a, b) of rows (doc_id, band, least, s): each document with the least one of each signature that it searches with.
+
+    A document searches with the rarest of its signatures that others have too, all but least - 1 of a band.
+    """
+    rows = signed.select("doc_id", "band", "least", F.explode("s").alias("s"))
+    common = rows.groupBy("s").agg(F.count("*").alias("f")).where("f > 1")
+    ordered = rows.join(common, "s").groupBy("doc_id", "band").agg(F.first("least").alias("least"), F.sort_array(F.collect_list(F.struct("f", "s"))).alias("x"))
+    some = ordered.where(F.size("x") >= F.col("least")).select("doc_id", F.explode(F.slice("x", F.lit(1), (F.size("x") - F.col("least") + 1).cast("int"))).alias("x"))
+    kept = scratch.save(some.select("doc_id", F.col("x.s").alias("s")), "kept")
+    hubs = kept.groupBy("s").agg(F.min("doc_id").alias("hub"), F.count("*").alias("c")).where("c > 1").drop("c")
+    return kept.join(hubs, "s").where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
 
 
 def _arrays(k: int):
@@ -238,55 +293,101 @@ def _verify(t: Fraction):
     return run
 
 
+def blocked(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """rows (doc_id, n, g, part) with a column block: the documents of a part in order of size, cut by count and by weight.
+
+    Only the sizes of a part are put in order; documents of one size fall into its blocks by a hash, so no part is gathered.
+    """
+    counted = rows.groupBy("g", "part", "n").agg((F.count("*") * (F.lit(1.0 / BLOCK_DOCS) + F.col("n") / F.lit(float(BLOCK_SHINGLES)))).alias("weight"))
+    before = F.sum("weight").over(Window.partitionBy("g", "part").orderBy("n").rowsBetween(Window.unboundedPreceding, -1))
+    scale = scratch.save(counted.select("g", "part", "n", F.coalesce(before, F.lit(0.0)).alias("before"), "weight"), "scale")
+    within = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    placed = rows.join(small_or_shuffled(scale, BROADCAST_ROWS), ["g", "part", "n"])
+    return scratch.save(placed.select("doc_id", "n", "g", "part", F.floor(F.col("before") + within * F.col("weight")).cast("long").alias("block")), "blocks")
+
+
+def _meetings(placed: DataFrame, t: Fraction, inside: bool | None) -> DataFrame:
+    """Rows (g, i, j, i_part, j_part, ...) of the pairs of blocks to compare: blocks with themselves, others of like size, or (None) both.
+
+    Blocks of one part that isn't null are left apart if not inside.
+    """
+    spans = placed.groupBy("g", "part", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    x, y = spans.alias("x"), spans.alias("y")
+    mine, theirs = F.struct("x.part", "x.block"), F.struct("y.part", "y.block")
+    close = (F.col("y.lo") * t.numerator <= F.col("x.hi") * t.denominator) & (F.col("x.lo") * t.numerator <= F.col("y.hi") * t.denominator)
+    if inside:
+        return spans.select("g", F.struct("part", "block").alias("i"), F.struct("part", "block").alias("j"))
+    apart = F.lit(True) if inside is None else (F.col("x.part") != F.col("y.part")) | (F.col("x.part") == MIXED)
+    return x.join(y, F.col("x.g") == F.col("y.g")).where((mine <= theirs) & close & apart).select(F.col("x.g").alias("g"), mine.alias("i"), theirs.alias("j"))
+
+
+def _compared(docs: DataFrame, placed: DataFrame, met: DataFrame, k: int, t: Fraction, scratch: Scratch, name: str) -> DataFrame:
+    """Links (a, b) between the documents of the blocks that meet."""
+    met = scratch.save(met, "met")
+    sides = met.select("g", F.col("i").alias("at"), "i", "j", F.lit(0).alias("side")).union(met.where("i <> j").select("g", F.col("j").alias("at"), "i", "j", F.lit(1).alias("side")))
+    busy = placed.withColumn("at", F.struct("part", "block")).join(small_or_shuffled(scratch.save(sides.select("g", "at").distinct(), "busy"), BROADCAST_ROWS), ["g", "at"], "left_semi")
+    keys = scratch.save(busy.select("doc_id", "g", "n", "at"), "keys")
+    arrays = docs.join(small_or_shuffled(keys, BROADCAST_ROWS), "doc_id").select("doc_id", "text", "g", "n", F.col("at.part").alias("part"), F.col("at.block").alias("block"))
+    arrays = arrays.mapInArrow(trimmed(_arrays(k)), "doc_id long, g long, n long, part long, block long, shingles binary")
+    pairs = arrays.withColumn("at", F.struct("part", "block")).join(small_or_shuffled(scratch.save(sides, "sides"), BROADCAST_ROWS), ["g", "at"])
+    pairs = pairs.select("doc_id", "n", "shingles", "g", F.col("i.part").alias("ip"), F.col("i.block").alias("ib"), F.col("j.part").alias("jp"), F.col("j.block").alias("jb"), "side")
+    return scratch.save(pairs.groupBy("g", "ip", "ib", "jp", "jb").applyInArrow(_verify(t), "a long, b long"), name)
+
+
+def connected(docs: DataFrame, sized: DataFrame, k: int, t: Fraction, scratch: Scratch) -> DataFrame:
+    """Components (node, root) of the links among the documents (doc_id, n, g) of each candidate group g."""
+    placed = blocked(sized.withColumn("part", F.lit(0).cast("long")), scratch)
+    links = _compared(docs, placed, _meetings(placed, t, True), k, t, scratch, "links")
+    labels = scratch.save(components(links, scratch), "labels")
+    large = scratch.save(placed.groupBy("g").agg(F.max("block").alias("last")).where(F.col("last") > 0).select("g"), "large")
+    if large.isEmpty():
+        return labels
+    rest = scratch.save(placed.join(small_or_shuffled(large, BROADCAST_ROWS), "g").select("doc_id", "n", "g", "block"), "rest")
+
+    def labelled(labels: DataFrame) -> DataFrame:
+        mine = small_or_shuffled(labels.select(F.col("node").alias("doc_id"), "root"), BROADCAST_ROWS)
+        return rest.join(mine, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+
+    one = labelled(labels).groupBy("g", "block", "root").agg(F.min(F.struct("n", "doc_id")).alias("x")).select("x.doc_id", "x.n", "g", F.lit(0).cast("long").alias("part"))
+    heads = blocked(scratch.save(one, "heads"), scratch)
+    links = scratch.save(links.union(_compared(docs, heads, _meetings(heads, t, None), k, t, scratch, "headlinks")), "links")
+    named = scratch.save(labelled(scratch.save(components(links, scratch), "labels")).select("doc_id", "n", "g", "root"), "named")
+    big = scratch.save(named.groupBy("g", "root").agg(F.count("*").alias("c")).where(F.col("c") >= BLOCK_DOCS).drop("c"), "big")
+    parts = named.join(small_or_shuffled(big.withColumn("part", F.col("root")), BROADCAST_ROWS), ["g", "root"], "left").select("doc_id", "n", "g", F.coalesce("part", F.lit(MIXED)).alias("part"))
+    placed = blocked(scratch.save(parts, "parts"), scratch)
+    return components(links.union(_compared(docs, placed, _meetings(placed, t, False), k, t, scratch, "lastlinks")), scratch)
+
+
 def jaccard_components(docs: DataFrame, k: int, threshold: Fraction, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, n_shingles, component_id): every document with the least id that links reach.
 
     Other columns of docs are ignored. Null or empty text: 0 shingles, linked with nothing. Rows with equal texts are
     linked, as are texts with equal sets. Ids are unique: rows that repeat an id are one node. A row with a null id is no
-    node; it gets the component of the texts with an equal set. An empty table gives an empty one.
+    node; it gets the component of the texts with an equal set. Very long texts are compared whole, each in a block of its
+    own. An empty table gives an empty one.
     """
     if not LEAST_THRESHOLD <= threshold <= 1:
         raise ValueError(f"the threshold must be {LEAST_THRESHOLD} to 1")
     spark, t = docs.sparkSession, threshold
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    profile = scratch.save(docs.mapInArrow(_profile(k, t), "doc_id long, n long, r long, h1 long, h2 long"), "profile")
+    profile = scratch.save(docs.mapInArrow(trimmed(_profile(k, t)), "doc_id long, n long, r long, h1 long, h2 long"), "profile")
     sets = profile.select("doc_id", "n", "h1", "h2")
-    classes = scratch.save(sets.where("n > 0 and doc_id is not null").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
+    classes = scratch.save(sets.where("n > 0 and doc_id is not null").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep")), "classes")
 
     # a set with n - ceil(t n) + 1 tokens that no other set has is linked with none, and out of the search
-    tokens = docs.where("doc_id is not null").mapInArrow(_tokens(k, t), "doc_id long, tokens array<long>").select(F.explode("tokens").alias("s"), "doc_id")
-    common = tokens.repartition(partitions(spark), "s").sortWithinPartitions("s", "doc_id").mapInArrow(_shared, "doc_id long, c long")
+    tokens = docs.where("doc_id is not null").mapInArrow(_tokens(k, t), "s long, doc_id long, c long")
+    common = tokens.repartition(partitions(spark), "s").sortWithinPartitions("s").mapInArrow(_shared, "doc_id long, c long")
     common = scratch.save(common.groupBy("doc_id").agg(F.sum("c").alias("c")), "common")
-    scratch.release()
     alone = F.col("n") - F.ceil(F.col("n") * t.numerator / t.denominator - F.lit(1e-9)) + 1
     open_ = profile.join(common, "doc_id", "left").where(F.col("n") > 0).where(F.col("r") - F.coalesce("c", F.lit(0)) < alone).select("n", "h1", "h2")
-    searched = scratch.save(classes.join(open_.distinct(), ["n", "h1", "h2"]).select(F.col("rep").alias("doc_id")), "searched")
-
-    mine = docs.join(small_or_shuffled(searched, BROADCAST_ROWS), "doc_id")
-    rows = mine.mapInArrow(_signatures(k, t), "doc_id long, signatures array<long>").select(F.explode("signatures").alias("s"), "doc_id")
-    sized = rows.repartition(partitions(spark), "s").sortWithinPartitions("s", "doc_id")
-    near = scratch.save(sized.mapInArrow(_runs, "a long, b long").distinct(), "near")
-    scratch.release()
-    ends = near.select(F.col("a").alias("doc_id")).union(near.select(F.col("b").alias("doc_id"))).distinct()
-    reps = scratch.save(sets.join(small_or_shuffled(scratch.save(ends, "ends"), BROADCAST_ROWS), "doc_id").join(classes.drop("copies"), ["n", "h1", "h2"]).select("doc_id", "rep", "n"), "reps")
-    edges = near.join(reps.select(F.col("doc_id").alias("a"), F.col("rep").alias("x")), "a").join(reps.select(F.col("doc_id").alias("b"), F.col("rep").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    groups = components(edges, scratch)
-
-    # blocks: members of a group in order of size, cut by count and by weight
-    sizes = groups.join(reps.select(F.col("rep").alias("node"), "n").distinct(), "node")
-    order = Window.partitionBy("root").orderBy("n", "node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    weight = F.sum(F.lit(1.0 / BLOCK_DOCS) + F.col("n") / F.lit(float(BLOCK_SHINGLES))).over(order)
-    placed = scratch.save(sizes.select(F.col("node").alias("doc_id"), F.col("root").alias("g"), F.col("n").alias("m"), F.floor(weight - F.lit(1e-9)).cast("int").alias("block")), "blocks")
-    spans = placed.groupBy("g", "block").agg(F.min("m").alias("lo"), F.max("m").alias("hi"))
-    x, y = spans.alias("x"), spans.alias("y")
-    close = (F.col("x.block") <= F.col("y.block")) & (F.col("y.lo") * t.numerator <= F.col("x.hi") * t.denominator)
-    met = x.join(y, F.col("x.g") == F.col("y.g")).where(close).select(F.col("x.g").alias("g"), F.col("x.block").alias("i"), F.col("y.block").alias("j"))
-    sides = met.select("g", F.col("i").alias("block"), "i", "j", F.lit(0).alias("side")).union(met.where("i < j").select("g", F.col("j").alias("block"), "i", "j", F.lit(1).alias("side")))
-    arrays = docs.join(small_or_shuffled(placed, BROADCAST_ROWS), "doc_id").select("doc_id", "text", "g", "m", "block")
-    arrays = arrays.mapInArrow(_arrays(k), "doc_id long, g long, m long, block int, shingles binary").withColumnRenamed("m", "n")
-    pairs = arrays.join(sides, ["g", "block"]).select("doc_id", "n", "shingles", "g", "i", "j", "side")
-    links = pairs.groupBy("g", "i", "j").applyInArrow(_verify(t), "a long, b long")
-    labels = components(links, scratch)
+    searched = scratch.save(classes.join(open_.distinct(), ["n", "h1", "h2"]).select(F.col("rep").alias("doc_id"), "n"), "searched")
+
+    mine = docs.join(small_or_shuffled(searched.select("doc_id"), BROADCAST_ROWS), "doc_id")
+    signed = scratch.save(mine.mapInArrow(_signatures(k, t), "doc_id long, band long, least long, s array<long>"), "signed")
+    groups = scratch.save(components(candidates(signed, scratch), scratch), "groups")
+    scratch.drop(signed)
+    sized = scratch.save(groups.join(searched, groups["node"] == searched["doc_id"]).select("doc_id", "n", F.col("root").alias("g")), "sized")
+    labels = connected(docs.join(small_or_shuffled(sized.select("doc_id"), BROADCAST_ROWS), "doc_id", "left_semi"), sized, k, t, scratch)
 
     mine = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("n", "h1", "h2", F.coalesce("root", "rep").alias("component_id"))
     return sets.join(mine, ["n", "h1", "h2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

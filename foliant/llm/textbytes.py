@@ -2,20 +2,37 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
+#: What parts words (a fixed value).
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
 CHUNK = 1 << 20
-BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _U = np.uint64
 
-IS_WORD = np.ones(256, dtype=bool)
-IS_WORD[list(SPACES)] = False
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
+#: Translation tables: A-Z to a-z, and also all ASCII but letters and digits to blanks.
+LOWER = bytes(range(256)).lower()
+LETTERS = bytes(c if c > 127 or chr(c).isalnum() else 0x20 for c in LOWER)
+
+
+def trimmed(run):
+    """run, a function of Arrow batches, and after its last batch the memory that it held back to the system.
+
+    Workers serve one task after the other, and what one has freed would else stay with it.
+    """
+
+    def whole(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # another C library
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return whole
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -26,24 +43,27 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> _U(31))
 
 
-class Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, made once and grown when needed."""
+class Words(dict):
+    """Words as bytes to 64 bits of a strong digest, so that no two words are made to clash; a bounded memory of them."""
+
+    MOST = 200_000
 
-    def __init__(self, base: np.uint64 = BASE):
-        self.base, self.inverse = base, _U(pow(int(base), -1, 1 << 64))
-        self.up = self.down = np.ones(1, dtype=np.uint64)
+    def __missing__(self, word: bytes) -> int:
+        if len(word) > 256:
+            return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        self[word] = h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        return h
 
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            with np.errstate(over="ignore"):
-                for name, b in (("up", self.base), ("down", self.inverse)):
-                    a = np.full(n, b, dtype=np.uint64)
-                    a[0] = 1
-                    setattr(self, name, np.cumprod(a, dtype=np.uint64))
-        return self.up, self.down
+    def hashes(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the words of all texts one after the other, and the texts' offsets into them."""
+        if len(self) > self.MOST:
+            self.clear()
+        first = np.zeros(len(texts) + 1, dtype=np.int64)
+        np.cumsum([len(t) for t in texts], out=first[1:])
+        return np.fromiter((h for t in texts for h in map(self.__getitem__, t)), dtype=np.uint64, count=int(first[-1])), first
 
 
-_powers = Powers()
+_words = Words()
 
 
 def column_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -68,38 +88,16 @@ def row_chunks(offsets: np.ndarray, most: int = CHUNK) -> Iterator[tuple[int, in
         a = min(b, n)
 
 
-def word_spans(d: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and rows of the words [^\\x20\\x09-\\x0D]+; words never cross rows. o starts at 0."""
-    w = IS_WORD[d]
-    before, after = np.empty_like(w), np.empty_like(w)
-    if len(w):
-        before[0], before[1:] = False, w[:-1]
-        after[-1], after[:-1] = False, w[1:]
-        inner = o[1:-1]
-        inner = inner[(inner > 0) & (inner < len(w))]
-        before[inner] = False
-        after[inner - 1] = False
-    starts, ends = np.flatnonzero(w & ~before), np.flatnonzero(w & ~after) + 1
-    return starts, ends, np.searchsorted(o, starts, "right") - 1
-
-
-def span_hashes(d: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers: Powers = _powers) -> np.ndarray:
-    """A 64-bit hash of each span's bytes, the same wherever the span stands."""
-    up, down = powers.get(len(d) + 1)
-    with np.errstate(over="ignore"):
-        c = np.empty(len(d) + 1, dtype=np.uint64)
-        c[0] = 0
-        np.cumsum((d.astype(np.uint64) + _U(1)) * up[: len(d)], out=c[1:])
-        return mix((c[ends] - c[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+def split(d: np.ndarray, o: np.ndarray, table: bytes) -> list[list[bytes]]:
+    """The words of each row, bytes being translated by table first; what split() parts are just the bytes SPACES."""
+    text = d.tobytes().translate(table)
+    return [text[a:b].split() for a, b in zip(o[:-1].tolist(), o[1:].tolist(), strict=True)]
 
 
 def shingle_sets(d: np.ndarray, o: np.ndarray, k: int) -> list[np.ndarray]:
     """For each row the sorted distinct hashes of its k-word shingles, A-Z lower-cased; a row of fewer words has one, of no words none."""
-    low = LOWER[d]
-    s, e, row = word_spans(low, o)
-    h = span_hashes(low, s, e)
+    h, first = _words.hashes(split(d, o, LOWER))
     n = len(o) - 1
-    first = np.searchsorted(row, np.arange(n + 1))
     count = np.diff(first)
     with np.errstate(over="ignore"):
         m = len(h) - k + 1
