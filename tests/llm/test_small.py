@@ -85,6 +85,76 @@ def test_jaccard(spark, texts, k, t):
     assert len({v[1] for v in got.values()}) < len(texts)
 
 
+def test_jaccard_combines_hot_values(monkeypatch):
+    """Tokens that a task combines give the counts that plain rows give."""
+    import numpy as np
+    import pyarrow as pa
+
+    from foliant.llm import ngram_jaccard as j
+
+    r = random.Random(12)
+    words = base_words(r, 400)
+    texts = [" ".join(words[a : a + 80]) for a in range(0, 300, 3)] + [" ".join(base_words(r, 50)) for _ in range(20)]
+    t, k = Fraction(4, 5), 1
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    ids = lambda: range(len(texts))
+    (_, sets), = j._sets([batch], k)
+    region = [{int(v) for v in x[: np.searchsorted(x, j.region(t))].view(np.int64)} for x in sets]
+    many = collections.Counter(v for x in region for v in x)
+
+    def shuffled(rows, size):
+        rows = rows.sort_by("s").combine_chunks()
+        return [b for b in rows.to_batches(max_chunksize=size)]
+
+    for combine in (1, 500, 1 << 20):
+        monkeypatch.setattr(j, "COMBINE", combine)
+        sent = pa.Table.from_batches(list(j._tokens(k, t)([batch])))
+        got = collections.Counter()
+        for out in j._shared(shuffled(sent, 97)):
+            for i, c in zip(*(x.to_pylist() for x in out.columns), strict=True):
+                got[i] += c
+        assert {i: got[i] for i in ids() if got[i]} == {i: n for i in ids() if (n := sum(many[v] > 1 for v in region[i]))}
+
+
+def test_jaccard_of_large_groups(spark, monkeypatch):
+    """Groups of several blocks, with one large component, some small ones and texts apart, joined only across blocks."""
+    from foliant.llm import ngram_jaccard as j
+
+    r = random.Random(13)
+    words = base_words(r, 60)
+    some = []
+    for i in range(160):
+        w = list(words)
+        for _ in range(r.choice([1, 2, 3, 6, 12])):
+            w[r.randrange(60)] = "zz" + r.choice("abcdefgh")
+        some.append(" ".join(w[: r.choice([60, 58, 50])]))
+    some += [" ".join([f"v{i}", *words[:50], *base_words(r, 4)]) for i in range(20)]
+    t = Fraction(8, 10)
+    sets = [shingles(x, 2) for x in some]
+    expected = roots(sets, lambda c, u: 10 * c >= 8 * u)
+    sizes = collections.Counter(expected).most_common()
+    assert sizes[0][1] > 40 and len(sizes) > 10
+    monkeypatch.setattr(j, "BLOCK_DOCS", 8)
+    for rows in (500_000, 0):
+        monkeypatch.setattr(j, "BROADCAST_ROWS", rows)
+        got = {x["doc_id"]: x["component_id"] for x in j.jaccard_join(spark.createDataFrame(list(enumerate(some)), "doc_id long, text string"), 2, t).collect()}
+        assert got == dict(enumerate(expected))
+
+
+def test_hashes_of_built_texts(spark):
+    """One-word texts that polynomials modulo powers of two take for equal are no link and no leak."""
+    from foliant.llm.decontamination import leaks
+    from foliant.llm.ngram_jaccard import jaccard_join
+
+    bits = [bin(i).count("1") % 2 for i in range(4096)]
+    x, y = ("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+    df = spark.createDataFrame([(1, x), (2, y), (3, x.upper())], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in jaccard_join(df, 3, Fraction(9, 10)).collect()} == {1: 1, 2: 2, 3: 1}
+    bench = spark.createDataFrame([(7, f"{y} und so"), (8, f"{x} und so")], "item_id long, text string")
+    long = df.select("doc_id", F.concat("text", F.lit(" und so")).alias("text"))
+    assert {(r["doc_id"], r["item_id"]) for r in leaks(long, bench).where("lcs = 1").collect()} == {(1, 8), (2, 7), (3, 8)}
+
+
 def test_jaccard_null_ids_and_empty(spark, texts):
     from foliant.llm.ngram_jaccard import jaccard_join
 
@@ -94,7 +164,7 @@ def test_jaccard_null_ids_and_empty(spark, texts):
 
 
 def test_signatures_meet():
-    """Linked sets share a signature, whatever their sizes."""
+    """Linked sets share enough signatures of a band, whatever their sizes."""
     import numpy as np
 
     from foliant.llm.ngram_jaccard import linked, signatures
@@ -107,7 +177,9 @@ def test_signatures_meet():
                 y = np.unique(np.concatenate((x[r.permutation(len(x))[drop:]], r.integers(0, 2**63, r.integers(0, n // 8 + 1)).astype(np.uint64))))
                 common = len(np.intersect1d(x, y))
                 if common < len(np.union1d(x, y)) and linked(common, len(x), len(y), t):
-                    assert np.intersect1d(signatures(x, t), signatures(y, t)).size, (t, n, drop)
+                    mine, theirs = ({b: (least, s) for b, least, s in signatures(z, t)} for z in (x, y))
+                    both = [(mine[b], theirs[b]) for b in mine.keys() & theirs.keys()]
+                    assert any(np.intersect1d(p[1], q[1]).size >= max(p[0], q[0]) for p, q in both), (t, n, drop)
 
 
 def removed(texts, width=200):
@@ -134,22 +206,131 @@ def test_suffixes(spark, texts, batches):
 
 
 def test_suffixes_null_ids_and_empty(spark, texts):
+    """Rows without an id, or with one that another text has, are documents like any other."""
     from foliant.llm.suffix_dedup import repeated_spans
 
-    got = repeated_spans(frame(spark, texts[:30], null_id=True)).collect()
-    assert len(got) == 32 and all(r["n_removed"] == 0 for r in got if r["doc_id"] is None)
+    some = [*texts[:30], *[t for t in texts if t and len(t) > 300][:6]]
+    rows = [(None if i % 7 == 0 else i // 2, t) for i, t in enumerate([*some, some[-1], some[-2] + "x"])]
+    got = collections.Counter(tuple(r) for r in repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == collections.Counter((i, *x) for (i, _), x in zip(rows, removed([t for _, t in rows]), strict=True))
     assert repeated_spans(frame(spark, [])).collect() == []
 
 
+def test_suffixes_null_twin(spark):
+    """A copy without an id in the same task hides no match of the other's."""
+    from foliant.llm.suffix_dedup import repeated_spans
+
+    r = random.Random(3)
+    word = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    shared = word(421)
+    x, y = word(400) + shared + word(438), word(300) + shared + word(200)
+    rows = [(None, x), (1, x), (2, y)]
+    got = {r["doc_id"]: r["n_removed"] for r in repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    assert got == {None: 1259, 1: 1259, 2: 421}
+
+
+def test_suffixes_thue_morse(spark):
+    """Texts that polynomials modulo powers of two take for equal."""
+    from foliant.llm.suffix_dedup import repeated_spans
+
+    bits = [bin(i).count("1") % 2 for i in range(4096)]
+    x, y = ("".join(f"{'ab'[b ^ flip]}{'xy'[i % 7 % 2]}" for i, b in enumerate(bits)) for flip in (0, 1))
+    for some in ([x, y], [x[:8192] + "1", y[:8192] + "2"]):
+        got = {r["doc_id"]: tuple(r)[1:] for r in repeated_spans(spark.createDataFrame(list(enumerate(some)), "doc_id long, text string")).collect()}
+        assert got == dict(enumerate(removed(some)))
+
+
+def test_suffixes_of_a_hot_string(spark, monkeypatch):
+    """Many contexts of few leading strings, by pairs, by windows in a task and by windows over all tasks."""
+    from foliant.llm import suffix_dedup as s
+
+    r = random.Random(4)
+    word = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    line, near = word(60), word(400)
+    some = [word(r.randint(100, 260)) + line + word(r.randint(100, 260)) for _ in range(90)]
+    some += [word(200) + near[r.randint(0, 150) : r.randint(260, 400)] + word(150) for _ in range(90)]
+    expected = dict(enumerate(removed(some)))
+    assert sum(v[1] > 0 for v in expected.values()) > 20
+    df = spark.createDataFrame(list(enumerate(some)), "doc_id long, text string")
+    got = lambda: {x["doc_id"]: tuple(x)[1:] for x in s.repeated_spans(df).collect()}
+    assert got() == expected
+    monkeypatch.setattr(s, "HOT", 20)
+    assert got() == expected
+    monkeypatch.setattr(s, "BROADCAST_ROWS", 0)
+    assert got() == expected
+
+
+def test_reaches_brute_force():
+    import numpy as np
+
+    from foliant.llm import suffix_dedup as s
+
+    r = random.Random(9)
+    for most in (64, 3):
+        before, after, group = [], [], []
+        for g in range(30):
+            lead = "".join(r.choice("ab") for _ in range(32))
+            for _ in range(r.randint(1, 7)):
+                b, a = r.choice(["q" * 168, "q" * r.randint(0, 168), "q" * 60 + "z" * 50]), lead + r.choice(["w" * 168, "w" * r.randint(0, 168), "w" * 90 + "v" * 78])
+                before.append(b.encode())
+                after.append(a.encode())
+                group.append(g)
+        old, s.PAIRS = s.PAIRS, most
+        try:
+            left, right = s.reaches(np.array(group), before, after)
+        finally:
+            s.PAIRS = old
+        for i in range(len(group)):
+            best = [0, 0]
+            for j in range(len(group)):
+                if i != j and group[i] == group[j]:
+                    x = next((k for k, (p, q) in enumerate(zip(before[i], before[j], strict=False)) if p != q), min(len(before[i]), len(before[j])))
+                    y = next((k for k, (p, q) in enumerate(zip(after[i], after[j], strict=False)) if p != q), min(len(after[i]), len(after[j])))
+                    if x + y >= 200:
+                        best = [max(best[0], x), max(best[1], y)]
+            assert [left[i], right[i]] == best
+
+
+def test_suffixes_of_a_long_text(spark):
+    """A text of 5 MB in one row: pieces give what the whole would, in a few times its size."""
+    import resource
+
+    from foliant.llm import suffix_dedup as s
+
+    r = random.Random(10)
+    part = "".join(r.choices("abcdefghij klm", k=300_000))
+    long = "".join(r.choices("abcdefghij klm", k=2_500_000)) + part + "".join(r.choices("abcdefghij klm", k=2_000_000)) + part
+    other = "0" * 50 + part[1000:2000] + "1" * 40
+    df = spark.createDataFrame([(1, long), (2, other)], "doc_id long, text string")
+    got = {x["doc_id"]: (x["n_bytes"], x["n_removed"], x["n_spans"]) for x in s.repeated_spans(df).collect()}
+    assert got == {1: (len(long), 600_000, 2), 2: (1090, 1000, 1)}
+    import numpy as np
+
+    d = np.frombuffer(long[:900_000].encode(), np.uint8)
+    p, h = s.minimizers(d, np.array([0, len(d)]))
+    parts = [(q.tolist(), g.tolist()) for _, _, q, g in s._pieces(d, np.array([0, len(d)]))]
+    assert [x for q, _ in parts for x in q] == p.tolist() and [x for _, g in parts for x in g] == h.tolist() and len(parts) > 2
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([1]), pa.array([1]), pa.array([long])], names=["doc_id", "id0", "th", "text"])
+    assert sum(x.num_rows for x in s._profile([batch])) == 1
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 150_000
+
+
 def test_levels_merge(spark):
     from foliant.llm.scratch import Scratch
     from foliant.llm.suffix_dedup import SuffixFamily
 
     family = SuffixFamily(Scratch(spark, "levels"))
     for k in range(5):
-        family.insert(spark.createDataFrame([(k % 3, 1, k, 0), (100 + k, 0, k, 9)], "a long, u long, doc_id long, p long"))
+        family.insert(spark.createDataFrame([([k % 3, 100 + k, 50, 50 if k == 2 else 60 + k], [1, 0, 7, 7])], "a array<long>, u array<long>"))
     assert [x is not None for x in family.levels] == [True, False, True]
-    assert {(r["doc_id"], r["p"]) for r in family.marks().collect()} == {(0, 0), (1, 0), (3, 0), (4, 0)}
+    assert {tuple(x) for x in family.hits().collect()} == {(0, False), (1, False), (50, False)}
+    plan = family.levels[0].union(family.levels[2]).groupBy("a").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    family.insert(spark.createDataFrame([([2, 64], [5, 6])], "a array<long>, u array<long>"))
+    assert {tuple(x) for x in family.hits().collect()} == {(0, False), (1, False), (50, False), (2, True), (64, True)}
 
 
 def test_language(spark):
@@ -291,17 +472,80 @@ def test_quality(spark, texts):
     assert quality_rules(frame(spark, [])).collect() == []
 
 
-def test_quality_long_windows(spark):
-    """The two-part keys of very long texts give the same as packed ones."""
+def test_quality_long_windows(spark, monkeypatch):
+    """Windows sorted as they are, for very long texts and clashes, give the same as their hashes."""
     from foliant.llm import quality_rules as q
 
     df = spark.createDataFrame([("a b c d a b c x y z",), ("a a a a",), ("p q",)], "t string")
-    short = [r[0] for r in df.select(q.repeated_words(q.words(F.col("t")))).collect()]
-    before, q._POSITION = q._POSITION, 1
-    try:
-        assert short == [r[0] for r in df.select(q.repeated_words(q.words(F.col("t")))).collect()] == [6, 4, 0]
-    finally:
-        q._POSITION = before
+    got = lambda: [r[0] for r in df.select(q.repeated_words(q.words(F.col("t")))).collect()]
+    assert got() == [6, 4, 0]
+    monkeypatch.setattr(q, "_POSITION", 1)
+    assert got() == [6, 4, 0]
+    monkeypatch.setattr(q, "_POSITION", 62)  # two bits of hash: all clash
+    assert got() == [6, 4, 0]
+
+
+def mcd(z):
+    """The estimate of one group in plain numpy: centre and covariance, as the operator documents them."""
+    import numpy as np
+
+    from foliant.llm import quality_rules as q
+
+    floor = np.diag(np.array(list(q.FLOORS.values())) ** 2)
+    pick = lambda v, share: np.sort(v)[max(1, int(np.ceil(share * len(v)))) - 1]
+    y = z - np.array([pick(c, 0.5) for c in z.T])
+
+    def nearest(d):
+        inner = y[d <= pick(d, q.SUBSET)]
+        return inner.mean(0), np.cov(inner.T, bias=True)
+
+    def distances(fit):
+        x = y - fit[0]
+        return (x * np.linalg.solve(fit[1] + floor, x.T).T).sum(1)
+
+    det = lambda fit: np.linalg.slogdet(fit[1] + floor)[1]
+    mad = np.diag([(1.4826 * pick(np.abs(c), 0.5)) ** 2 for c in y.T])
+    fits = [(np.zeros(len(mad)), mad), (y.mean(0), np.cov(y.T, bias=True)), nearest((np.abs(y) / np.sqrt(np.diag(mad + floor))).max(1))]
+    for _ in range(q.FIRST_STEPS):
+        fits = [nearest(distances(f)) for f in fits]
+    best = min(fits, key=det)
+    for _ in range(q.MOST_STEPS):
+        old, best = best, nearest(distances(best))
+        if abs(det(best) - det(old)) <= q.STILL:
+            break
+    return distances((best[0], best[1] * q.CONSISTENT))
+
+
+def test_quality_verdict_brute_force(spark):
+    """Distances and verdicts of two sources, and of a pool of small ones, against plain numpy."""
+    import numpy as np
+
+    from foliant.llm import quality_rules as q
+    from foliant.llm.scratch import Scratch
+
+    r = random.Random(18)
+    rows = []
+    for i in range(420):
+        w = base_words(r, r.randint(60, 400))
+        if i % 9 == 0:
+            w = [x + r.choice(["#", "|||", "<>", ""]) for x in w]
+        t = " ".join(w) + "\nx y" * (r.randint(0, 6) if i % 5 == 0 else 0)
+        rows.append((i, t, "en" if i % 3 else None, f"s{i % 2}" if i < 380 else f"few{i}"))
+    got = {x["doc_id"]: x for x in q.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), Scratch(spark, "mcd")).collect()}
+    groups = collections.defaultdict(list)
+    for i, _, lang, source in rows:
+        if not got[i]["base_failed"]:
+            groups[(lang, source) if i < 380 else "*"].append(i)
+    assert len(groups) == 5 and sum(map(len, groups.values())) > 400
+    for members in groups.values():
+        x = [got[i] for i in members]
+        n, k = np.array([v["n_words"] for v in x], float), np.array([v["n_lines"] for v in x], float)
+        z = np.stack([np.log1p(n), np.array([v["word_chars"] for v in x]) / n, np.sqrt(np.array([v["n_symbols"] for v in x]) / n), np.sqrt(np.array([v["n_dup_lines"] for v in x]) / k), np.sqrt(np.array([v["n_repeat_words"] for v in x]) / n)], 1)
+        expected = mcd(z)
+        assert np.allclose([v["distance"] for v in x], expected, rtol=1e-6)
+        assert [v["kept"] for v in x] == (expected <= q.CUTOFF).tolist()
+    assert 0 < sum(not x["kept"] for x in got.values()) < 120
+    assert abs(q.chi2_quantile(0.999, 5) - 20.515) < 1e-3 and abs(q.chi2_cdf(q.chi2_quantile(0.3, 7), 7) - 0.3) < 1e-9
 
 
 def test_leaks(spark, texts):
