@@ -2,32 +2,64 @@
 
 Base statistics of each text are counted by column expressions; texts that fail the base rules go.
 The others' transformed statistics are compared with their language and source: a minimum covariance
-determinant estimate, found by concentration steps from medians and deviations and regularised by
-floors, gives a Mahalanobis distance, beyond which a text is rejected.
+determinant estimate, regularised by floors, gives a Mahalanobis distance, beyond which a text is
+rejected. Concentration steps run from several starts; the one of least determinant goes on until
+the determinant stands still, and is scaled to be consistent for normal data.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.scratch import Scratch
+from foliant.llm.scratch import Scratch, small_or_shuffled
 
 WHITE = "\t\n\x0b\f\r "
 SYMBOLS = "#*$%&|<>"
-#: Share of a group's texts that the estimate is fitted on, and concentration steps.
-SUBSET, STEPS = 0.75, 3
+#: Share of a group's texts that the estimate is fitted on.
+SUBSET = 0.75
+#: Concentration steps from each start, and at most from the best one; it ends where no log-determinant moves by more than STILL.
+FIRST_STEPS, MOST_STEPS, STILL = 2, 12, 1e-3
 #: Groups of fewer texts are pooled by language, and pools of fewer into one.
 LEAST = 60
-#: Squared distance beyond which a text is rejected: far outside what clean texts of any shape reach.
-CUTOFF = 64.0
+#: Groups of which the tables are broadcast at most.
+BROADCAST_ROWS = 20_000
 #: Names of the statistics and the standard deviation that each has at least: the regularisation of the covariance.
 FLOORS = {"z_length": 1.0, "z_word": 0.5, "z_symbols": 0.06, "z_lines": 0.25, "z_repeats": 0.15}
 NAMES = list(FLOORS)
-#: Bits of a window's position in its sort key; longer texts use two-part keys.
+P = len(NAMES)
+_PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
+#: Bits of a window's position in its sort key; longer texts are sorted by the windows themselves.
 _POSITION = 20
 
 
+def chi2_cdf(x: float, p: int) -> float:
+    """Of chi-square with p degrees of freedom, by the series of the incomplete gamma function."""
+    a, x = p / 2, x / 2
+    term = total = 1 / a
+    for k in range(1, 500):
+        term *= x / (a + k)
+        total += term
+    return total * math.exp(a * math.log(x) - x - math.lgamma(a)) if x > 0 else 0.0
+
+
+def chi2_quantile(q: float, p: int) -> float:
+    lo, hi = 0.0, 200.0
+    for _ in range(100):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if chi2_cdf(mid, p) < q else (lo, mid)
+    return hi
+
+
+#: Squared distance beyond which a text is rejected: what one normal text in 1000 reaches.
+CUTOFF = chi2_quantile(0.999, P)
+#: What the covariance of the innermost SUBSET of normal data is multiplied by to be that of all.
+CONSISTENT = SUBSET / chi2_cdf(chi2_quantile(SUBSET, P), P + 2)
+
+
 def _let(value: Column, use) -> Column:
     """use(value) with value computed once."""
     return F.element_at(F.transform(F.array(value), use), 1)
@@ -40,7 +72,11 @@ def words(text: Column) -> Column:
 
 
 def repeated_words(w: Column) -> Column:
-    """Words that lie in a 3-word window found twice or more; windows are sorted by hash and position, neighbours compared word by word."""
+    """Words that lie in a 3-word window found twice or more.
+
+    Windows are sorted by hash and position, neighbours compared word by word. If two different windows clash, or positions
+    are too large for the key, the windows themselves are sorted.
+    """
 
     def covered(s: Column, at, same) -> Column:
         dup = F.filter(s, lambda x, k: ((k > 0) & same(x, F.get(s, k - 1))) | same(x, F.get(s, k + 1)))
@@ -50,17 +86,17 @@ def repeated_words(w: Column) -> Column:
 
     def of(w: Column) -> Column:
         windows = F.sequence(F.lit(0), F.size(w) - 3)
-        hashed = lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
         mask = (1 << _POSITION) - 1
         low = lambda x: x.bitwiseAND(F.lit(mask)).cast("int")
+        hashed = lambda i: F.shiftleft(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)), _POSITION).bitwiseOR(i.cast("long"))
+        near = lambda x, y: F.coalesce(F.shiftrightunsigned(x, _POSITION) == F.shiftrightunsigned(y, _POSITION), F.lit(False))
         equal = lambda i, j: (F.get(w, i) == F.get(w, j)) & (F.get(w, i + 1) == F.get(w, j + 1)) & (F.get(w, i + 2) == F.get(w, j + 2))
-        packed = F.sort_array(F.transform(windows, lambda i: F.shiftleft(hashed(i), _POSITION).bitwiseOR(i.cast("long"))))
-        same = lambda x, y: F.coalesce((F.shiftrightunsigned(x, _POSITION) == F.shiftrightunsigned(y, _POSITION)) & equal(low(x), low(y)), F.lit(False))
-        wide = F.array_sort(F.transform(windows, lambda i: F.struct(hashed(i).alias("h"), i.alias("i"))))
-        same_wide = lambda x, y: F.coalesce((x["h"] == y["h"]) & equal(x["i"], y["i"]), F.lit(False))
-        short = _let(packed, lambda s: covered(s, low, same))
-        long = _let(wide, lambda s: covered(s, lambda x: x["i"], same_wide))
-        return F.when(F.size(w) < 4, F.lit(0)).when(F.size(w) <= mask, short).otherwise(long)
+        same = lambda x, y: F.coalesce(near(x, y) & equal(low(x), low(y)), F.lit(False))
+        plain = F.array_sort(F.transform(windows, lambda i: F.struct(F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("t"), i.alias("i"))))
+        exact = _let(plain, lambda s: covered(s, lambda x: x["i"], lambda x, y: F.coalesce(x["t"] == y["t"], F.lit(False))))
+        clash = lambda s: F.exists(F.transform(s, lambda x, k: near(x, F.get(s, k + 1)) & ~same(x, F.get(s, k + 1))), lambda x: x)
+        short = _let(F.sort_array(F.transform(windows, hashed)), lambda s: F.when(clash(s), exact).otherwise(covered(s, low, same)))
+        return F.when(F.size(w) < 4, F.lit(0)).when(F.size(w) <= mask, short).otherwise(exact)
 
     return _let(w, of)
 
@@ -91,34 +127,85 @@ def transformed(stats: DataFrame) -> DataFrame:
     return stats.select("*", *(x.alias(c) for x, c in zip(z, NAMES, strict=True)))
 
 
-def _factor(groups: DataFrame) -> DataFrame:
-    """groups (g, m_*, c_i_j) to centres and the Cholesky factor of the regularised covariance."""
-    out, p = groups, len(NAMES)
-    for i in range(p):
-        for j in range(i + 1):
-            value = F.coalesce(F.col(f"c_{j}_{i}"), F.lit(0.0))
+def _factor(groups: DataFrame, starts: range, scale: float = 1.0) -> DataFrame:
+    """groups (g, and for each start s m{s}_i, c{s}_i_j) to centres, Cholesky factors l{s}_i_j of the regularised covariances, and their log-determinants e{s}."""
+    out = groups
+    for s in starts:
+        for i, j in _PAIRS:
+            value = F.coalesce(F.col(f"c{s}_{i}_{j}"), F.lit(0.0)) * scale
             if i == j:
                 value = F.greatest(value, F.lit(0.0)) + F.lit(FLOORS[NAMES[i]] ** 2)
             for k in range(j):
-                value = value - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
-            out = out.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(value, F.lit(1e-9))) if i == j else value / F.col(f"l_{j}_{j}"))
-    return out.select("g", *(f"m_{i}" for i in range(p)), *(f"l_{i}_{j}" for i in range(p) for j in range(i + 1)))
+                value = value - F.col(f"l{s}_{i}_{k}") * F.col(f"l{s}_{j}_{k}")
+            out = out.withColumn(f"l{s}_{i}_{j}", F.sqrt(F.greatest(value, F.lit(1e-9))) if i == j else value / F.col(f"l{s}_{j}_{j}"))
+        out = out.withColumn(f"e{s}", sum((2 * F.log(F.col(f"l{s}_{i}_{i}")) for i in range(1, P)), 2 * F.log(F.col(f"l{s}_0_0"))))
+    return out.select("g", *(c for s in starts for c in _names(s)))
+
 
+def _names(s: int) -> list[str]:
+    return [*(f"m{s}_{i}" for i in range(P)), *(f"l{s}_{i}_{j}" for i, j in _PAIRS), f"e{s}"]
 
-def _distance(i_max: int = len(NAMES)) -> Column:
+
+def _distance(y: list[Column], s: int = 0) -> Column:
     """Squared Mahalanobis distance of a row that carries its group's centre and factor, by forward substitution."""
     solved: list[Column] = []
-    for i in range(i_max):
-        value = F.col(NAMES[i]) - F.col(f"m_{i}")
-        for j, y in enumerate(solved):
-            value = value - F.col(f"l_{i}_{j}") * y
-        solved.append(value / F.col(f"l_{i}_{i}"))
-    return sum((y * y for y in solved[1:]), solved[0] * solved[0])
+    for i in range(P):
+        value = y[i] - F.col(f"m{s}_{i}")
+        for j, z in enumerate(solved):
+            value = value - F.col(f"l{s}_{i}_{j}") * z
+        solved.append(value / F.col(f"l{s}_{i}_{i}"))
+    return sum((z * z for z in solved[1:]), solved[0] * solved[0])
+
+
+def _moments(rows: DataFrame, inside: list[Column]) -> DataFrame:
+    """For each g means m{s}_i and covariances c{s}_i_j of the rows inside, one condition for each start; statistics y_i are about 0."""
+    y = [F.col(f"y_{i}") for i in range(P)]
+    aggs = []
+    for s, within in enumerate(inside):
+        aggs.append(F.sum(within.cast("double")).alias(f"n{s}"))
+        aggs += [F.sum(F.when(within, y[i])).alias(f"s{s}_{i}") for i in range(P)] + [F.sum(F.when(within, y[i] * y[j])).alias(f"s{s}_{i}_{j}") for i, j in _PAIRS]
+    mean = lambda s, *i: F.col("_".join([f"s{s}", *map(str, i)])) / F.col(f"n{s}")
+    out = rows.groupBy("g").agg(*aggs)
+    return out.select("g", *(mean(s, i).alias(f"m{s}_{i}") for s in range(len(inside)) for i in range(P)), *((mean(s, i, j) - mean(s, i) * mean(s, j)).alias(f"c{s}_{i}_{j}") for s in range(len(inside)) for i, j in _PAIRS))
+
+
+def _joined(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    return rows.join(small_or_shuffled(groups, BROADCAST_ROWS), "g")
 
 
-def _moments(rows: DataFrame) -> DataFrame:
-    p = len(NAMES)
-    return rows.groupBy("g").agg(*(F.avg(NAMES[i]).alias(f"m_{i}") for i in range(p)), *(F.covar_pop(NAMES[j], NAMES[i]).alias(f"c_{j}_{i}") for i in range(p) for j in range(i + 1)))
+def _nearest(rows: DataFrame, distances: list[Column], scratch: Scratch) -> DataFrame:
+    """Moments of the SUBSET of each group's rows that are nearest by each distance."""
+    near = rows.select("g", *(f"y_{i}" for i in range(P)), *(d.alias(f"d{s}") for s, d in enumerate(distances)))
+    cut = scratch.save(near.groupBy("g").agg(*(F.percentile_approx(f"d{s}", F.lit(SUBSET), F.lit(1000)).alias(f"cut{s}") for s in range(len(distances)))), "cut")
+    return _moments(_joined(near, cut), [F.col(f"d{s}") <= F.col(f"cut{s}") for s in range(len(distances))])
+
+
+def fitted(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """Rows (g, y_0..): statistics less their group's medians, to a row for each group: the consistent estimate, as by _factor.
+
+    Starts: medians and absolute deviations; means and covariances of all; those of the rows nearest to the medians.
+    """
+    y, every = [F.col(f"y_{i}") for i in range(P)], range(3)
+    spread = scratch.save(rows.groupBy("g").agg(*(F.percentile_approx(F.abs(y[i]), F.lit(0.5), F.lit(1000)).alias(f"d_{i}") for i in range(P))), "spread")
+    wide = [F.pow(F.col(f"d_{i}") * 1.4826, 2) for i in range(P)]
+    far = reduce(F.greatest, (F.abs(y[i]) / F.sqrt(wide[i] + FLOORS[NAMES[i]] ** 2) for i in range(P)))
+    plain = _nearest(_joined(rows, spread), [F.lit(0.0), far], scratch)
+    renamed = plain.select("g", *(F.col(f"{c}").alias(c[0] + str(int(c[1]) + 1) + c[2:]) for c in plain.columns if c != "g"))
+    first = spread.select("g", *(F.lit(0.0).alias(f"m0_{i}") for i in range(P)), *((wide[i] if i == j else F.lit(0.0)).alias(f"c0_{i}_{j}") for i, j in _PAIRS))
+    fit = scratch.save(_factor(_joined(first, scratch.save(renamed, "starts")), every), "fit")
+    for _ in range(FIRST_STEPS):
+        fit = scratch.save(_factor(_nearest(_joined(rows, fit), [_distance(y, s) for s in every], scratch), every), "fit")
+    least = F.least(*(F.col(f"e{s}") for s in every))
+    best = lambda c: F.coalesce(*(F.when(F.col(f"e{s}") == least, F.col(c[0] + str(s) + c[2:])) for s in every)).alias(c)
+    fit = scratch.save(fit.select("g", *map(best, _names(0))), "best")
+    for _ in range(MOST_STEPS):
+        moments = scratch.save(_nearest(_joined(rows, fit), [_distance(y)], scratch), "moments")
+        new = scratch.save(_factor(moments, range(1)), "fit")
+        moved = _joined(new, fit.select("g", F.col("e0").alias("old"))).agg(F.max(F.abs(F.col("e0") - F.col("old")))).first()[0]
+        fit = new
+        if moved is None or moved <= STILL:
+            break
+    return _factor(moments, range(1), CONSISTENT)
 
 
 def judged(docs: DataFrame, scratch: Scratch, cutoff: float = CUTOFF, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -126,30 +213,26 @@ def judged(docs: DataFrame, scratch: Scratch, cutoff: float = CUTOFF, id_col: st
 
     Texts that fail the base rules have no distance and are not kept. A null language or source is a group of its own.
     The estimates are made of all texts that pass the base rules, however many. Each row is judged, whatever its id; other
-    columns are ignored. No texts give an empty table.
+    columns are ignored. No texts give an empty table. Only tables of a row for each language and source are joined to the
+    texts' statistics, by broadcast up to BROADCAST_ROWS of them.
     """
-    p = len(NAMES)
     stats = scratch.save(base_statistics(docs, id_col, text_col).withColumn("base_failed", base_failed()), "stats")
     good = transformed(stats.where("not base_failed"))
     mark = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
-    sizes = good.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    pools = sizes.where(F.col("n") < LEAST).groupBy(F.col("lang").alias("pool")).agg(F.sum("n").alias("k"))
+    sizes = scratch.save(good.groupBy("lang", "source").agg(F.count("*").alias("n")), "sizes")
+    pools = scratch.save(sizes.where(F.col("n") < LEAST).groupBy(F.col("lang").alias("pool")).agg(F.sum("n").alias("k")), "pools")
     level = F.when(F.col("n") >= LEAST, F.concat_ws("\x01", mark("lang_"), mark("source_"))).when(F.col("k") >= LEAST, mark("lang_")).otherwise(F.lit("*"))
     named = sizes.select(F.col("lang").alias("lang_"), F.col("source").alias("source_"), "n")
-    names = scratch.save(named.join(pools, F.col("lang_").eqNullSafe(F.col("pool")), "left").select("lang_", "source_", level.alias("g")), "groups")
-    rows = good.join(names, good["lang"].eqNullSafe(F.col("lang_")) & good["source"].eqNullSafe(F.col("source_"))).select("doc_id", "g", *NAMES)
-    rows = scratch.save(rows, "vectors")
-    middle = rows.groupBy("g").agg(*(F.percentile_approx(c, F.lit(0.5), F.lit(1000)).alias(f"m_{i}") for i, c in enumerate(NAMES)))
-    spread = rows.join(middle, "g").groupBy("g").agg(*(F.percentile_approx(F.abs(F.col(c) - F.col(f"m_{i}")), F.lit(0.5), F.lit(1000)).alias(f"d_{i}") for i, c in enumerate(NAMES)))
-    start = middle.join(spread, "g").select("g", *(f"m_{i}" for i in range(p)), *((F.pow(F.col(f"d_{i}") * 1.4826, 2) if i == j else F.lit(0.0)).alias(f"c_{j}_{i}") for i in range(p) for j in range(i + 1)))
-    fitted = scratch.save(_factor(start), "fit")
-    for _ in range(STEPS):
-        near = rows.join(fitted, "g").withColumn("d", _distance())
-        cut = near.groupBy("g").agg(F.percentile_approx("d", F.lit(SUBSET), F.lit(1000)).alias("cut"))
-        inner = near.join(cut, "g").where("d <= cut")
-        fitted = scratch.save(_factor(_moments(inner)), "fit")
-    placed = transformed(stats).join(names, stats["lang"].eqNullSafe(F.col("lang_")) & stats["source"].eqNullSafe(F.col("source_")), "left").join(fitted, "g", "left")
-    out = placed.withColumn("distance", F.when(~F.col("base_failed"), _distance()))
+    names = scratch.save(named.join(small_or_shuffled(pools, BROADCAST_ROWS), F.col("lang_").eqNullSafe(F.col("pool")), "left").select("lang_", "source_", level.alias("g")), "groups")
+    small = small_or_shuffled(names, BROADCAST_ROWS)
+    grouped = lambda x, how: x.join(small, x["lang"].eqNullSafe(F.col("lang_")) & x["source"].eqNullSafe(F.col("source_")), how)
+    vectors = scratch.save(grouped(good, "inner").select("g", *NAMES), "vectors")
+    middle = scratch.save(vectors.groupBy("g").agg(*(F.percentile_approx(c, F.lit(0.5), F.lit(1000)).alias(f"o_{i}") for i, c in enumerate(NAMES))), "middle")
+    centred = [(F.col(c) - F.col(f"o_{i}")).alias(f"y_{i}") for i, c in enumerate(NAMES)]
+    rows = scratch.save(_joined(vectors, middle).select("g", *centred), "centred")
+    fit = scratch.save(_joined(fitted(rows, scratch), middle), "estimate")
+    placed = grouped(transformed(stats), "left").join(small_or_shuffled(fit, BROADCAST_ROWS), "g", "left")
+    out = placed.withColumn("distance", F.when(~F.col("base_failed"), _distance(centred)))
     return out.select(*stats.columns, "distance").withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True)))
 
 
