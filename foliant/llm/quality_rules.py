@@ -22,7 +22,7 @@ SYMBOLS = "#*$%&|<>"
 #: Share of a group's texts that the estimate is fitted on.
 SUBSET = 0.75
 #: Concentration steps from each start, and at most from the best one; it ends where no log-determinant moves by more than STILL.
-FIRST_STEPS, MOST_STEPS, STILL = 2, 12, 1e-3
+FIRST_STEPS, MOST_STEPS, STILL = 2, 6, 1e-2
 #: Groups of fewer texts are pooled by language, and pools of fewer into one.
 LEAST = 60
 #: Groups of which the tables are broadcast at most.
@@ -173,11 +173,12 @@ def _joined(rows: DataFrame, groups: DataFrame) -> DataFrame:
     return rows.join(small_or_shuffled(groups, BROADCAST_ROWS), "g")
 
 
-def _nearest(rows: DataFrame, distances: list[Column], scratch: Scratch) -> DataFrame:
-    """Moments of the SUBSET of each group's rows that are nearest by each distance."""
-    near = rows.select("g", *(f"y_{i}" for i in range(P)), *(d.alias(f"d{s}") for s, d in enumerate(distances)))
-    cut = scratch.save(near.groupBy("g").agg(*(F.percentile_approx(f"d{s}", F.lit(SUBSET), F.lit(1000)).alias(f"cut{s}") for s in range(len(distances)))), "cut")
-    return _moments(_joined(near, cut), [F.col(f"d{s}") <= F.col(f"cut{s}") for s in range(len(distances))])
+def _nearest(rows: DataFrame, groups: DataFrame, distances: list[Column], scratch: Scratch) -> DataFrame:
+    """Moments of the SUBSET of each group's rows that are nearest by each distance, which is over the columns of rows and groups."""
+    near = lambda groups, *more: _joined(rows, groups).select("g", *(f"y_{i}" for i in range(P)), *more, *(d.alias(f"d{s}") for s, d in enumerate(distances)))
+    cut = near(groups).groupBy("g").agg(*(F.percentile_approx(f"d{s}", F.lit(SUBSET), F.lit(1000)).alias(f"cut{s}") for s in range(len(distances))))
+    cut = scratch.save(_joined(groups, scratch.save(cut, "cut")), "cuts")
+    return _moments(near(cut, *(f"cut{s}" for s in range(len(distances)))), [F.col(f"d{s}") <= F.col(f"cut{s}") for s in range(len(distances))])
 
 
 def fitted(rows: DataFrame, scratch: Scratch) -> DataFrame:
@@ -189,17 +190,17 @@ def fitted(rows: DataFrame, scratch: Scratch) -> DataFrame:
     spread = scratch.save(rows.groupBy("g").agg(*(F.percentile_approx(F.abs(y[i]), F.lit(0.5), F.lit(1000)).alias(f"d_{i}") for i in range(P))), "spread")
     wide = [F.pow(F.col(f"d_{i}") * 1.4826, 2) for i in range(P)]
     far = reduce(F.greatest, (F.abs(y[i]) / F.sqrt(wide[i] + FLOORS[NAMES[i]] ** 2) for i in range(P)))
-    plain = _nearest(_joined(rows, spread), [F.lit(0.0), far], scratch)
+    plain = _nearest(rows, spread, [F.lit(0.0), far], scratch)
     renamed = plain.select("g", *(F.col(f"{c}").alias(c[0] + str(int(c[1]) + 1) + c[2:]) for c in plain.columns if c != "g"))
     first = spread.select("g", *(F.lit(0.0).alias(f"m0_{i}") for i in range(P)), *((wide[i] if i == j else F.lit(0.0)).alias(f"c0_{i}_{j}") for i, j in _PAIRS))
     fit = scratch.save(_factor(_joined(first, scratch.save(renamed, "starts")), every), "fit")
     for _ in range(FIRST_STEPS):
-        fit = scratch.save(_factor(_nearest(_joined(rows, fit), [_distance(y, s) for s in every], scratch), every), "fit")
+        fit = scratch.save(_factor(_nearest(rows, fit, [_distance(y, s) for s in every], scratch), every), "fit")
     least = F.least(*(F.col(f"e{s}") for s in every))
     best = lambda c: F.coalesce(*(F.when(F.col(f"e{s}") == least, F.col(c[0] + str(s) + c[2:])) for s in every)).alias(c)
     fit = scratch.save(fit.select("g", *map(best, _names(0))), "best")
     for _ in range(MOST_STEPS):
-        moments = scratch.save(_nearest(_joined(rows, fit), [_distance(y)], scratch), "moments")
+        moments = scratch.save(_nearest(rows, fit, [_distance(y)], scratch), "moments")
         new = scratch.save(_factor(moments, range(1)), "fit")
         moved = _joined(new, fit.select("g", F.col("e0").alias("old"))).agg(F.max(F.abs(F.col("e0") - F.col("old")))).first()[0]
         fit = new
