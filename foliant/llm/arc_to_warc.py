@@ -2,13 +2,15 @@
 
 An ARC file starts with a version block that names the fields of its header lines; each record is one
 such line, with a declared length, and so many bytes. A converted record gets the identifier, time,
-type and digests that WARC wants. Files are written by Spark's text sink, whose line separator is
-the end of a WARC record, so any file system that Spark writes to will do.
+type and digests that WARC wants. A WARC file holds a warcinfo record and then records up to a number of
+bytes, each a gzip member of its own. Files are written by Spark's text sink, one row a file, so any file
+system that Spark writes to will do; the sink's line separator is a gzip member of nothing.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 import zlib
@@ -19,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.scratch import Scratch, small_or_shuffled
+from foliant.llm.textbytes import trimmed
 
 #: The header fields of the two versions of the format, as its specification lists them (fixed values).
 FIELDS = {
@@ -27,7 +30,10 @@ FIELDS = {
 }
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = "\r\n\r\n"
-RECORDS_PER_FILE = 2000
+#: Compressed bytes of a file; a larger record is alone in one.
+FILE_BYTES = 32 << 20
+LEVEL = 4
+NOTHING = gzip.compress(b"", mtime=0)
 BROADCAST_ROWS = 500_000
 
 
@@ -104,21 +110,40 @@ def sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def synthesise(source: str, fields: dict[str, str], block: bytes, refers_to: int | None) -> bytes:
-    """The WARC record, without its final blank lines, of an ARC record; a revisit keeps the HTTP head only."""
+def record_id(source: str, digest: str) -> str:
+    """What a record's page and payload give; a revisit names its response by it."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{source}|{digest}')}>"
+
+
+def warc_date(date: str) -> str:
+    d = date.ljust(14, "0")
+    return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
+
+
+def synthesise(source: str, fields: dict[str, str], block: bytes, refers_to: dict | None) -> bytes:
+    """The WARC record of an ARC record; a revisit of refers_to (source, url, date) keeps the HTTP head only."""
     head, payload = payload_of(block)
-    kept = block if refers_to is None else head
-    d = fields["Archive-date"].ljust(14, "0")
-    name = uuid.uuid5(uuid.NAMESPACE_URL, f"{source}|{fields['URL']}|{d}")
+    kept, digest = block if refers_to is None else head, sha1(payload)
+    name = record_id(source, digest) if refers_to is None else record_id(f"{source}|revisit", digest)
     lines = [
-        "WARC/1.0", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:uuid:{name}>",
-        f"WARC-Date: {d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z", f"WARC-Target-URI: {fields['URL']}", f"WARC-IP-Address: {fields['IP-address']}",
-        f"WARC-Payload-Digest: sha1:{sha1(payload)}", f"WARC-Block-Digest: sha1:{sha1(kept)}", f"X-Source: {source or '-'}", f"X-Payload-Length: {len(payload)}",
+        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {name}",
+        f"WARC-Date: {warc_date(fields['Archive-date'])}", f"WARC-Target-URI: {fields['URL']}", f"WARC-IP-Address: {fields['IP-address']}",
+        f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Block-Digest: sha1:{sha1(kept)}", f"X-Source: {source or '-'}", f"X-Payload-Length: {len(payload)}",
     ]
     if refers_to is not None:
-        lines += [f"WARC-Profile: {REVISIT}", f"X-Refers-To-Source: {refers_to}"]
+        lines += [
+            f"WARC-Profile: {REVISIT}", f"WARC-Refers-To: {record_id(str(refers_to['source']), digest)}", f"WARC-Refers-To-Target-URI: {refers_to['url']}",
+            f"WARC-Refers-To-Date: {warc_date(refers_to['date'])}", f"X-Refers-To-Source: {refers_to['source']}",
+        ]
     lines += [f"Content-Type: {'application/http; msgtype=response' if head else fields['Content-type']}", f"Content-Length: {len(kept)}"]
-    return ("\r\n".join(lines) + END).encode() + kept
+    return ("\r\n".join(lines) + END).encode() + kept + END.encode()
+
+
+def warcinfo(first: bytes) -> bytes:
+    """The record that begins a file, of a name made of its first record."""
+    body = b"software: foliant\r\nformat: WARC File Format 1.1\r\n"
+    lines = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: {record_id('warcinfo', sha1(first))}", "WARC-Date: 2020-01-01T00:00:00Z", "Content-Type: application/warc-fields", f"Content-Length: {len(body)}"]
+    return ("\r\n".join(lines) + END).encode() + body + END.encode()
 
 
 def read_warc(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -136,19 +161,31 @@ def read_warc(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def _digests(batches):
-    """(source, content) of ARC files to (source, digest, n)."""
+    """(source, content) of ARC files to (source, digest, n, url, date)."""
+    kinds = {"source": pa.int64(), "digest": pa.string(), "n": pa.int64(), "url": pa.string(), "date": pa.string()}
     for batch in batches:
-        rows = [(s, sha1(p), len(p)) for s, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for _, b in read_arc(c) for p in [payload_of(b)[1]]]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.string(), pa.int64()))], names=["source", "digest", "n"])
+        rows = [(s.as_py(), sha1(p), len(p), f["URL"], f["Archive-date"]) for s, c in zip(batch.column(0), batch.column(1), strict=True) for f, b in read_arc(c.as_py()) for p in [payload_of(b)[1]]]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds.values())], names=list(kinds))
 
 
 def _convert(batches):
-    """(source, content, refers_to) to WARC records, a few MB at a time."""
+    """(source, content, refers_to) to whole WARC files."""
+    held, n = [], 0
+    sent = lambda held: pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["file"])
     for batch in batches:
-        for k in range(0, batch.num_rows, 256):
-            part = batch.slice(k, 256)
-            out = [synthesise("" if s is None else str(s), f, b, r) for s, c, r in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True) for f, b in read_arc(c)]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
+        for source, content, refers in zip(*(batch.column(i) for i in range(3)), strict=True):
+            for fields, block in read_arc(content.as_py()):
+                record = synthesise("" if source.as_py() is None else str(source.as_py()), fields, block, refers.as_py())
+                member = gzip.compress(record, LEVEL, mtime=0)
+                if held and n + len(member) > FILE_BYTES:
+                    yield sent(held)
+                    held, n = [], 0
+                if not held:
+                    held.append(gzip.compress(warcinfo(record), LEVEL, mtime=0))
+                held.append(member)
+                n += len(member)
+    if held:
+        yield sent(held)
 
 
 def _back(batches):
@@ -159,6 +196,8 @@ def _back(batches):
         for content in batch.column(0):
             rows = []
             for h, block in read_warc(content.as_py()):
+                if h["WARC-Type"] == "warcinfo":
+                    continue
                 source = None if h["X-Source"] == "-" else int(h["X-Source"])
                 if h["WARC-Type"] == "response":
                     payload = payload_of(block)[1]
@@ -174,29 +213,33 @@ def convert(arcs: DataFrame, least_bytes: int, scratch: Scratch) -> str:
     Of records with equal payloads of at least least_bytes, the one with the largest source is the response and the
     others revisit it. The digests travel, the payloads don't; what each revisit refers to is broadcast only while it is small.
     """
-    digests = scratch.save(arcs.mapInArrow(_digests, "source long, digest string, n long"), "digests")
-    last = digests.where(F.col("n") >= least_bytes).groupBy("digest", "n").agg(F.max("source").alias("refers_to"), F.count("*").alias("c")).where("c > 1").drop("c")
-    refers = scratch.save(digests.join(last, ["digest", "n"]).where("source <> refers_to").select("source", "refers_to").distinct(), "refers")
-    records = arcs.join(small_or_shuffled(refers, BROADCAST_ROWS), "source", "left").select("source", "content", "refers_to").mapInArrow(_convert, "record binary")
+    digests = scratch.save(arcs.mapInArrow(trimmed(_digests), "source long, digest string, n long, url string, date string"), "digests")
+    last = digests.where(F.col("n") >= least_bytes).groupBy("digest", "n").agg(F.max(F.struct("source", "url", "date")).alias("refers_to"), F.count("*").alias("c")).where("c > 1").drop("c")
+    # tables of their own, so that a digest of very many pages is joined by broadcast or can be split
+    last = small_or_shuffled(scratch.save(last, "last"), BROADCAST_ROWS)
+    refers = digests.select("source", "digest", "n").join(last, ["digest", "n"]).where("source <> refers_to.source").groupBy("source").agg(F.first("refers_to").alias("refers_to"))
+    refers = small_or_shuffled(scratch.save(refers, "refers"), BROADCAST_ROWS)
+    files = arcs.join(refers, "source", "left").select("source", "content", "refers_to").mapInArrow(trimmed(_convert), "file binary")
     path = scratch.path("warc")
-    records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    with scratch.clean():
+        files.select(F.col("file").cast("string").alias("value")).write.option("encoding", "ISO-8859-1").option("lineSep", NOTHING.decode("latin-1")).option("maxRecordsPerFile", 1).text(path)
     return path
 
 
 def read_back(spark, path: str) -> DataFrame:
     """One row a record of the WARC files under path: page_id, payload_bytes, payload_digest, record_type, refers_to."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(path).select("content")
-    return files.mapInArrow(_back, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("content")
+    return files.mapInArrow(trimmed(_back), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def pages_to_warc(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id") -> DataFrame:
     """Each page as an ARC file, in version 1 or 2 by turns, converted to WARC, written, and read back.
 
-    Null html counts as empty; a null address becomes `-`. A page without an id is always a response and comes back
-    without one. Ids are unique: rows that repeat one are judged together. Other columns are ignored.
-    No pages: no files and an empty result.
+    Null html counts as empty; a null address becomes `-`. Ids have either sign. A page without an id is always a response
+    and comes back without one. Ids are unique: rows that repeat one are judged together. Other columns are ignored. A very
+    large page is a file of its own. No pages: no files and an empty result.
     """
     spark = pages.sparkSession
     scratch = Scratch(spark, "warc")
-    arcs = pages.select(F.col(id_col).cast("long").alias("source"), arc_file(F.col("url"), F.col("html"), F.coalesce(F.col(id_col) % 2 + 1, F.lit(1)), F.lit("20200101000000")).alias("content"))
+    arcs = pages.select(F.col(id_col).cast("long").alias("source"), arc_file(F.col("url"), F.col("html"), F.coalesce(F.pmod(F.col(id_col), F.lit(2)) + 1, F.lit(1)), F.lit("20200101000000")).alias("content"))
     return read_back(spark, convert(arcs, least_bytes, scratch))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from foliant.llm import license_scan as ls
-
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
 JACCARD = f"""
@@ -16,24 +14,57 @@ SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, (SELECT min(root) FROM reac
 """
 
 
-def _text(x: str) -> str:
-    return "'" + x.replace("'", "''") + "'"
-
-
-def _canonical(x: str) -> str:
-    out = f"lower({x})"
-    for a, b in ls.SPELLINGS:
-        out = f"replace({out}, {_text(a)}, {_text(b)})"
-    out = f"regexp_replace({out}, {_text(ls.COPYRIGHT)}, '', 'g')"
-    out = f"translate({out}, {_text(ls.PUNCTUATION)}, {_text(' ' * len(ls.PUNCTUATION))})"
-    return f"nullif(trim(regexp_replace({out}, ' {{2,}}', ' ', 'g')), '')"
-
+#: The canonical form in SQL's own terms; the digests below are written out, so that a change of the operator's tables or expressions shows.
+_CANONICAL = r"""nullif(trim(regexp_replace(translate(regexp_replace(replace(replace(replace(replace(replace(replace(lower({x}),
+'licence', 'license'), 'sub-license', 'sublicense'), 'non-infringement', 'noninfringement'), 'merchantibility', 'merchantability'), 'acknowledgement', 'acknowledgment'), 'http://', 'https://'),
+'(?m)^[^\S\n]*(?:copyright[^\S\n]*(?:\(c\)|©|[0-9]{{4}})|\(c\)|©)[^\n]*$|^[^\S\n]*all rights reserved\.?[^\S\n]*$', '', 'g'),
+'!"#$%&''()*+,-./:;<=>?@[\]^_`{{|}}~‘’“”–—•' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), repeat(' ', 44)), ' {{2,}}', ' ', 'g')), '')"""
+_KNOWN = """('25a274d52b3014d9bd64e0f3362fd279ac1655f163d5c518f6b9f6c43354802c', '0BSD'),
+('08fe576fe0b58cdba2ce74db4b4a03861f339a8abec5e910aff7657b0e4ec33b', 'Apache-2.0'),
+('28de6b6f31af692f3276f4c7d7f809bc7d39d3206a71fe090d61d943447aabc6', 'Apache-2.0'),
+('c40235f98e8998f2e4f5fc5131b16fb3c6c5f8ce252d3e6e08daf233725c2073', 'Apache-2.0'),
+('cc31b92fc0ea6895531537118f604200d6560f6fd6e2394146ed1707168cc0cc', 'Apache-2.0'),
+('e963bc30f4d3c45f45030c34409ee37315564625649c1394e32bb5ddd99e01b2', 'Artistic-1.0-Perl'),
+('a56fee4b2f66331ed54da4950ef9c9391453fd1490b4d8ea202bc29683bcbd30', 'BSD-2-Clause'),
+('9b83d3dee0616d07b82a272dd9bf5134a9f402b750f5ee6188458073b0a32ff2', 'BSD-3-Clause'),
+('4242941f56cc0aaf7a416006734167273b17a074704308b941e02a99526671b6', 'BSL-1.0'),
+('5aee400278b51606c2353a854f7d936ffffe555bf9c67e56d5db376a76b63bb2', 'CC-BY-4.0'),
+('e34399ae0e957e9bb9b4a0e3f615d05722861801f4e0718f35cefc762c349a16', 'CC-BY-NC-4.0'),
+('96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f', 'CC0-1.0'),
+('1c057ea35084eb195331cec1a49fca335c176422a7726a9a23636906fd4e241f', 'GFDL-1.2'),
+('7e8edd3abe6258bb82bb853d91a0c24fcd9976894fd0592747354cffe1cb18e7', 'GFDL-1.3'),
+('8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224', 'GPL-1.0'),
+('e1270b653c300290e7c039142bccb8776f9b5d14e8a05bc4e87dc7d1614a3b34', 'GPL-2.0'),
+('efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821', 'GPL-2.0'),
+('37d45dc3b9135ed58bd277e14112dfea95629cda77a8d62cdb6bcd862e7b5bf5', 'GPL-3.0'),
+('66237b20dfaa335f5c003a3da64555538643deb65ca015c0d5fa588527312c4e', 'GPL-3.0'),
+('a8cd54d6683aa630f0b8d05d56184ad91dc486756da2df61c94d3e4e8d5ecb68', 'GPL-3.0'),
+('ac6b52d57c0104e687039148f7b8e370e04c9bb5705bb786f8ef814eb65e8636', 'GPL-3.0'),
+('217da0747cec63a2e734185db11cbaa819bcd9e5b83cd12f812128fffe66e26a', 'ISC'),
+('f172f90a892d869d5d840d5f4363218a9b21bdb1bd3925ba9c752d1660134fee', 'ISC'),
+('61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908', 'LGPL-2.0'),
+('48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4', 'LGPL-2.1'),
+('4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891', 'LGPL-2.1'),
+('aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be', 'LGPL-3.0'),
+('00217f00b903e5911b513ea1f36a2aeb7b8999ee6622cd67b2e675f98285e541', 'MIT'),
+('0cf21bdfd1964a97a8615e128534845826afbc887edc95aa5c925cbf64386b5c', 'MIT'),
+('123a3b9fdc300d1b6f077f74b288de15d7f2c5b0b3b11e89fd799b48bfad5940', 'MIT'),
+('35a446201226de6b27cfb7106d0f6c697f63bfeac2913dcf89024911e66ef164', 'MIT'),
+('6ad3654379e72bbdf8478d5c90fb1e2525aba033fbe675e0ef2248aac67c0f6f', 'MIT'),
+('6c833965e9ca4cf8095655005226f24fe8bf7b1605dbe513204837a7371fa127', 'MIT'),
+('a181c333030f65ebcf2eabeca3493225b6b03fce6907bdd3e59e7a8a37180fbd', 'MIT-0'),
+('fbe9a0b96f52e03cb474f9a7083781399c011279e85b548118563ec96e659354', 'MPL-1.1'),
+('3dacd2c104719e7227969cbdcc7d581518827199e830b9379627eec0a32f8ab7', 'MPL-2.0'),
+('c933e7afa5abf4f2ac1fe841a7716f9501b9882b5a4565611f8e066d58c9470c', 'Unlicense'),
+('fd1b07be5f4f94926b6ea4df3943b05ab90c1a1f3b1a3d574ae7ab58bca58fff', 'Unlicense'),
+('5757ac9cdd42713ed24f9dc174585ad1f3d214a70f8b5a6bc83ea39768bbe195', 'WTFPL'),
+('1b8c5cd52eceb19ab0bc3cb40be110b1c0e7fa2671a3fe5866e59dd1502e69c7', 'Zlib')"""
 
 LICENSES = f"""
-WITH k AS (SELECT sha256({_canonical('t')}) AS digest, min(license) AS license FROM (VALUES {', '.join(f'({_text(n)}, {_text(t)})' for n, ts in ls.KNOWN.items() for t in ts)}) AS v(license, t) GROUP BY ALL),
+WITH k(digest, license) AS (VALUES {_KNOWN}),
 lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
-found AS (SELECT doc_id, array_to_string(list_sort(list_distinct(list(license))), ',') AS notices FROM (SELECT doc_id, sha256({_canonical('line')}) AS digest FROM lines WHERE regexp_matches(line, '(?i)licen[cs]e|public domain')) JOIN k USING (digest) GROUP BY doc_id)
-SELECT doc_id, digest, license, coalesce(notices, '') AS notices FROM (SELECT doc_id, sha256({_canonical('text')}) AS digest FROM documents) LEFT JOIN k USING (digest) LEFT JOIN found USING (doc_id)
+found AS (SELECT doc_id, array_to_string(list_sort(list_distinct(list(license))), ',') AS notices FROM (SELECT doc_id, sha256({_CANONICAL.format(x="line")}) AS digest FROM lines) JOIN k USING (digest) GROUP BY doc_id)
+SELECT doc_id, digest, license, coalesce(notices, '') AS notices FROM (SELECT doc_id, sha256({_CANONICAL.format(x="text")}) AS digest FROM documents) LEFT JOIN k USING (digest) LEFT JOIN found USING (doc_id)
 """
 
 CALLS = """

@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 from fractions import Fraction
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -424,13 +425,13 @@ def test_warc(spark):
     from foliant.llm.arc_to_warc import pages_to_warc, read_arc, read_warc, synthesise
 
     same = "<p>same\r\n\r\nWARC/1.0</p>"
-    rows = [(1, "http://a/", same), (2, "http://b/ c\nd", same), (3, None, None), (4, "", ""), (5, "http://é/", "x" * 300000), (6, "http://a/", "é"), (7, "u", same), (7, "u", same), (None, "n", "only"), (None, None, same)]
+    rows = [(1, "http://a/", same), (2, "http://b/ c\nd", same), (3, None, None), (4, "", ""), (5, "http://é/", "x" * 300000), (6, "http://a/", "é"), (7, "u", same), (7, "u", same), (None, "n", "only"), (None, None, same), (-3, "neg", "minus"), (-4, "neg", same), (-8, "n", "y" * 3_000_000)]
     got = pages_to_warc(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("source", F.lit(1)).withColumn("digest", F.lit(2))).collect()
     assert len(got) == len(rows)
     by = {}
     for i, _, h in rows:
         if i is not None:
-            by[h or ""] = max(i, by.get(h or "", 0))
+            by[h or ""] = max(i, by.get(h or "", i))
     for x in got:
         if x["page_id"] is not None:
             data = next(h or "" for i, _, h in rows if i == x["page_id"])
@@ -442,13 +443,52 @@ def test_warc(spark):
     arc = arc.replace(b" 76\n", b" %d\n" % len(b"1 0 Org\nURL IP-address Archive-date Content-type Archive-length\n"))
     (fields, body), = read_arc(arc)
     assert body == b"hello" and fields["Content-type"] == "text/html; a=b"
-    (head, block), = read_warc(synthesise("9", fields, body, None) + b"\r\n\r\n")
+    (head, block), = read_warc(synthesise("9", fields, body, None))
     assert head["WARC-Date"] == "2020-01-02T03:04:05Z" and head["WARC-Target-URI"] == "http://x/" and block == b"hello"
     for bad in (b"http://x/ 1 2 t 3\nabc", arc[:-3], b"filedesc://f 0 1 t 9\nshort"):
         with pytest.raises(ValueError):
             list(read_arc(bad))
 
 
+def test_warc_files(spark, tmp_path):
+    """Files start with a warcinfo record, each record is a gzip member, and a revisit names its response."""
+    import gzip
+    import zlib
+
+    from foliant.llm import arc_to_warc as w
+
+    pages = [(i, f"http://x/{i}", "same" if i % 3 else f"page {i}") for i in range(1, 40)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    arcs = df.select(F.col("page_id").alias("source"), w.arc_file(F.col("url"), F.col("html"), F.lit(2), F.lit("20210203040506")).alias("content"))
+    path = w.convert(arcs, 0, w.Scratch(spark, "files"))
+    files = [bytes(r["content"]) for r in spark.read.format("binaryFile").load(path).collect()]
+    records = [x for f in files for x in w.read_warc(f)]
+    assert [h["WARC-Type"] for h, _ in records].count("warcinfo") == len(files)
+    ids = {h["WARC-Record-ID"]: h for h, _ in records}
+    revisits = [h for h, _ in records if h["WARC-Type"] == "revisit"]
+    assert len(ids) == len(records) == 39 + len(files) and len(revisits) == 25
+    for h in revisits:
+        to = ids[h["WARC-Refers-To"]]
+        assert to["WARC-Type"] == "response" and to["WARC-Target-URI"] == h["WARC-Refers-To-Target-URI"] == "http://x/38" and to["WARC-Date"] == h["WARC-Refers-To-Date"]
+    for f in files:
+        members = 0
+        while f:
+            z = zlib.decompressobj(31)
+            data = z.decompress(f)
+            members, f = members + bool(data), z.unused_data
+            assert not data or len(list(w.read_warc(data))) == 1
+        assert members > 1
+    small = list(w._convert(arcs.withColumn("refers_to", F.lit(None)).toArrow().to_batches()))
+    old, w.FILE_BYTES = w.FILE_BYTES, 2000
+    try:
+        parts = [x.column(0)[0].as_py() for x in w._convert(arcs.withColumn("refers_to", F.lit(None)).toArrow().to_batches())]
+    finally:
+        w.FILE_BYTES = old
+    assert len(small) == 1 and len(parts) > 3 and all(len(x) < 4000 for x in parts)
+    assert sum(h["WARC-Type"] == "response" for x in parts for h, _ in w.read_warc(x)) == 39
+    assert gzip.decompress(w.NOTHING) == b""
+
+
 def test_quality(spark, texts):
     from foliant.llm.quality_rules import quality_rules
 
@@ -593,14 +633,33 @@ def test_leaks_of_a_hot_item(spark, share):
 
 
 def test_licenses(spark):
-    from foliant.llm.license_scan import KNOWN, scan_licenses
+    from foliant.llm.license_scan import KNOWN, LONG_TEXTS, anchors, known_digests, scan_licenses
 
-    mit = KNOWN["MIT"][0]
+    mit, isc, bsd = KNOWN["MIT"][0], KNOWN["ISC"][0], KNOWN["BSD-2-Clause"][0]
     some = [mit, "Copyright (c) 2020 Ann\n\n" + mit.lower().replace("sublicense", "sub-license").replace(". ", ".\n  "), mit + " extra", None, "", "(c) me", "x\nreleased under the MIT licence!\nLicensed under CC BY-NC 4.0", "Licensed under the Apache License, Version 2.0."]
-    got = {x["doc_id"]: x for x in scan_licenses(frame(spark, some)).collect()}
+    some += [f"prose\n{isc}\nmore\n{bsd.upper()}\n", *(text for texts in KNOWN.values() for text in texts)]
+    got = {x["doc_id"]: x for x in scan_licenses(frame(spark, some, null_id=True)).collect()}
     assert [got[i]["license"] for i in range(8)] == ["MIT", "MIT", None, None, None, None, None, "Apache-2.0"]
     assert got[6]["notices"] == "CC-BY-NC-4.0,MIT" and got[3]["digest"] is None and got[4]["digest"] is None and got[5]["digest"] is None
+    assert got[8]["notices"] == "BSD-2-Clause,ISC"
+    assert [got[i + 9]["license"] for i in range(len(some) - 9)] == [name for name, texts in KNOWN.items() for _ in texts]
+    assert all(got[i + 9]["notices"] == got[i + 9]["license"] for i in range(len(some) - 9))
     assert scan_licenses(frame(spark, [])).collect() == []
+    # without words every line is looked up: the same rows; and without a broadcast
+    plain = known_digests(spark)
+    assert anchors(plain.drop("words")) is None and len(anchors(plain)) < 12
+    same = lambda df: collections.Counter(tuple(r) for r in df.collect())
+    assert same(scan_licenses(frame(spark, some), plain.drop("words"))) == same(scan_licenses(frame(spark, some)))
+    # a null or repeated id keeps its own notices
+    odd = spark.createDataFrame([(None, "x\n" + isc), (None, "y"), (1, "x\n" + isc), (1, "y\n" + bsd)], "doc_id long, text string")
+    assert sorted((r["doc_id"] or 0, r["notices"]) for r in scan_licenses(odd).collect()) == [(0, ""), (0, "ISC"), (1, "BSD-2-Clause"), (1, "ISC")]
+    folder = Path("/usr/share/common-licenses")
+    if (folder / "GPL-3").exists():
+        long = {"GPL-3": "GPL-3.0", "GPL-2": "GPL-2.0", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0"}
+        texts = [(folder / f).read_text(errors="replace") for f in long]
+        found = {r["doc_id"]: r["license"] for r in scan_licenses(frame(spark, [*texts, texts[0].upper().replace("    ", "  ")])).collect()}
+        assert found == dict(enumerate([*long.values(), "GPL-3.0"]))
+    assert len({d for d in LONG_TEXTS}) == 17
 
 
 def test_calls(spark):
