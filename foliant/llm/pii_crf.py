@@ -4,10 +4,15 @@ The base patterns are deterministic. What they leave open around digits and @ is
 field: features of whole spans score each candidate segment under each kind, and a dynamic programme
 over segments of bounded length chooses boundaries and kinds together. The field is trained here, by
 gradient ascent on the exact likelihood of generated sentences with known segments.
+
+Features are made of running counts over a text, for all candidates of all its regions at once. A segment
+of negative score is never part of the best segmentation, since leaving its atoms outside scores 0; only
+the others enter the programme.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import random
@@ -18,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliant.llm.textbytes import trimmed
+
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -27,11 +34,18 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TRIGGER = re.compile(r"[0-9@]")
 DIGITS = re.compile(r"[0-9]")
-ATOM = re.compile(r"[^\W_]+|.", re.S)
-#: Atoms and characters of one candidate segment at most.
-MOST_ATOMS, MOST_CHARS = 13, 96
-#: Characters around a trigger that belong to its region.
-MARGIN = 32
+#: Atoms and characters of one candidate segment at most, and characters at least.
+MOST_ATOMS, MOST_CHARS, LEAST_CHARS = 13, 96, 6
+#: Characters around a trigger that belong to its region, and before a segment in which a keyword announces it.
+MARGIN, BEFORE = 96, 24
+#: What a segment of a kind may look like as a whole; being one of these matches is a feature, and no more than that.
+SHAPES = {
+    "email": re.compile(r"(?<![A-Za-z0-9._%+@-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]*[A-Za-z0-9])+(?![A-Za-z0-9@_-])"),
+    "ip": re.compile(r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])"),
+    "card": re.compile(r"(?<![0-9A-Za-z.-])[0-9](?:[\x20-]?[0-9]){12,18}(?![0-9A-Za-z]|[-.][0-9])"),
+    "phone": re.compile(r"(?<![0-9A-Za-z(+.-])(?:\+[0-9](?:[\x20().-]{0,2}[0-9]){6,14}|\([0-9]{2,4}\)[\x20-]?[0-9](?:[\x20.-]?[0-9]){5,9}|[0-9]{3}[-.\x20][0-9]{3}[-.\x20][0-9]{4})(?![0-9A-Za-z]|[-.][0-9])"),
+    "secret": re.compile(r"(?<![A-Za-z0-9])(?=[A-Za-z]*[0-9])(?=[0-9]*[A-Za-z])[A-Za-z0-9]{16,}(?![A-Za-z0-9])"),
+}
 KEYWORDS = {
     "email": ("mail", "contact"),
     "ip": ("ip", "host", "server", "address"),
@@ -41,6 +55,9 @@ KEYWORDS = {
 }
 
 
+_KEYWORDS = {kind: re.compile("|".join(words), re.I) for kind, words in KEYWORDS.items()}
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -78,121 +95,143 @@ def base_spans(t: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def regions(t: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Stretches around triggers outside what is taken; they touch no taken span and are cut nowhere inside a word."""
-    taken = sorted(taken)
-    out: list[list[int]] = []
-    k = 0
-    for m in TRIGGER.finditer(t):
-        i = m.start()
-        while k < len(taken) and taken[k][1] <= i:
-            k += 1
-        if k < len(taken) and taken[k][0] <= i:
-            continue
-        if out and i < out[-1][1] - MARGIN // 2:
-            continue
-        lo = max(i - MARGIN, taken[k - 1][1] if k else 0)
-        hi = min(i + MARGIN + MOST_CHARS, taken[k][0] if k < len(taken) else len(t))
-        while lo > 0 and hi - lo < 4 * MOST_CHARS and t[lo - 1].isalnum() and not (k and lo == taken[k - 1][1]):
-            lo -= 1
-        if out and lo <= out[-1][1] and (not k or taken[k - 1][1] <= out[-1][0] or taken[k - 1][0] >= hi):
-            out[-1][1] = max(hi, out[-1][1])
+class Marks:
+    """Running counts and word bounds of a text, made once."""
+
+    def __init__(self, t: str):
+        code = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        self.digit = (code >= 48) & (code <= 57)
+        self.letter = ((code | 32) >= 97) & ((code | 32) <= 122) & (code < 128)
+        for c in np.unique(code[code > 127]).tolist():
+            if chr(c).isalnum():
+                self.letter |= code == c
+        self.alnum = self.digit | self.letter
+        self.at, self.space = code == 64, code == 32
+        self.opens = (code == 43) | (code == 40)
+        self.glue = self.alnum | self.at | (code == 46)
+        self.n = len(code)
+        count = lambda m: np.concatenate(([0], np.cumsum(m)))
+        self.digits, self.letters, self.ats, self.spaces = count(self.digit), count(self.letter), count(self.at), count(self.space)
+        before = np.concatenate(([False], self.alnum[:-1]))
+        self.start = ~(self.alnum & before)  # of atoms: a run of letters and digits, or one other character
+        self.starts = np.flatnonzero(self.start)
+        self.ends = np.append(self.starts[1:], self.n)
+
+
+def regions(t: str, taken: list[tuple[int, int]], marks: Marks | None = None) -> list[tuple[int, int]]:
+    """Stretches of MARGIN around triggers outside what is taken, to the bounds of words; they touch nothing that is taken and one another nowhere."""
+    marks = marks or Marks(t)
+    merged: list[list[int]] = []
+    for a, b in sorted(taken):
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(b, merged[-1][1])
         else:
-            out.append([max(lo, out[-1][1] if out else 0), hi])
-    return [(a, b) for a, b in out if a < b]
+            merged.append([a, b])
+    lows, highs = np.array([0, *(b for _, b in merged)]), np.array([*(a for a, _ in merged), marks.n])
+    trigger = np.flatnonzero(marks.digit | marks.at)
+    gap = np.searchsorted(lows, trigger, "right") - 1
+    trigger, gap = trigger[trigger < highs[gap]], gap[trigger < highs[gap]]
+    if not len(trigger):
+        return []
+    atom = lambda at: np.searchsorted(marks.starts, at, "right") - 1
+    lo = np.maximum(marks.starts[atom(np.maximum(trigger - MARGIN, 0))], lows[gap])
+    hi = np.minimum(marks.ends[atom(np.minimum(trigger + MARGIN, marks.n - 1))], highs[gap])
+    new = np.flatnonzero(np.concatenate(([True], lo[1:] > np.maximum.accumulate(hi)[:-1])) | np.concatenate(([False], gap[1:] != gap[:-1])))
+    return list(zip(lo[new].tolist(), np.maximum.reduceat(hi, new).tolist(), strict=True))
 
 
+#: Shared by all kinds but for the last three, which are of the kind's own shape and keywords.
 N_FEATURES = 12
-
-
-def features(t: str, s: int, e: int, before: str) -> list[float]:
-    """Of the span t[s:e] as a whole; shared by all kinds but for the kinds' own pattern and keyword."""
-    x = t[s:e]
-    digits = sum(c.isdigit() for c in x)
-    letters = sum(c.isalpha() for c in x)
-    left, right = s > 0 and (t[s - 1].isalnum() or t[s - 1] in "@."), e < len(t) and (t[e].isalnum() or t[e] == "@")
-    return [1.0, min(len(x), 60) / 20, float(left), float(right), float("@" in x), float(digits >= 7), float(digits >= 13), float(letters > 0), float(letters > 0 and digits > 3 and len(x) >= 16 and x.isascii() and x.isalnum()), float(x.count(" ") > 3), float(len(x) - digits - letters > digits + letters), float(x[0] in "+(")]
-
-
-def own_features(kind: str, x: str, before: str) -> list[float]:
-    """Pattern of the kind fits; a word that announces the kind stands shortly before."""
-    digits = "".join(DIGITS.findall(x))
-    fits = {
-        "email": "@" in x and DOMAIN.fullmatch(x.split("@", 1)[1]) is not None and x.split("@", 1)[0] != "",
-        "ip": IP.fullmatch(x) is not None,
-        "card": 13 <= len(digits) <= 19 and CARD.fullmatch(x) is not None and luhn(digits),
-        "phone": 7 <= len(digits) <= 15 and re.fullmatch(r"[+(0-9][\x20().0-9-]*[0-9]", x) is not None and not IP.fullmatch(x),
-        "secret": re.fullmatch(r"[A-Za-z0-9]{16,}", x) is not None and len(digits) > 3 and not x.isdigit(),
-    }[kind]
-    said = any(w in before for w in KEYWORDS[kind])
-    return [float(fits), float(said), float(fits and said)]
-
-
 WIDTH = N_FEATURES + 3
 
 
-def candidates(t: str, lo: int, hi: int) -> tuple[list[int], list[tuple[int, int]], np.ndarray]:
-    """Atom ends of t[lo:hi], candidate segments as atom ranges, and features (segments, kinds, WIDTH)."""
-    atoms = [m.span() for m in ATOM.finditer(t, lo, hi)]
-    bounds = [lo, *(e for _, e in atoms)]
-    spans, rows = [], []
-    for i, (s, _) in enumerate(atoms):
-        if not (t[s].isalnum() or t[s] in "+("):
-            continue
-        before = t[max(0, s - 24) : s].lower()
-        hot = False
-        for j in range(i + 1, min(len(atoms), i + MOST_ATOMS) + 1):
-            e = atoms[j - 1][1]
-            if e - s > MOST_CHARS:
-                break
-            hot = hot or TRIGGER.search(t, atoms[j - 1][0], e) is not None
-            if not hot or not t[e - 1].isalnum() or e - s < 6:
-                continue
-            shared = features(t, s, e, before)
-            spans.append((i, j))
-            rows.append([shared + own_features(k, t[s:e], before) for k in KINDS])
-    return bounds, spans, np.array(rows, dtype=np.float64).reshape(len(rows), len(KINDS), WIDTH)
-
-
-def _forward(n: int, spans: list[tuple[int, int]], score: np.ndarray, most: bool):
-    """Log-sums (or maxima) up to each atom over all segmentations; an atom outside any segment scores 0."""
-    by: list[list[int]] = [[] for _ in range(n + 1)]
-    for k, (_, j) in enumerate(spans):
-        by[j].append(k)
-    alpha, back = np.full(n + 1, -np.inf), [None] * (n + 1)
-    alpha[0] = 0
-    for j in range(1, n + 1):
-        best, from_ = alpha[j - 1], None
-        parts = [alpha[j - 1]]
-        for k in by[j]:
-            v = alpha[spans[k][0]] + score[k]
-            if most:
-                c = int(v.argmax())
-                if v[c] > best:
-                    best, from_ = v[c], (k, c)
-            else:
-                parts.extend(v)
-        alpha[j], back[j] = (best if most else np.logaddexp.reduce(parts)), from_
-    return alpha, back
-
-
-def decode(t: str, lo: int, hi: int, weights: np.ndarray) -> list[tuple[str, int, int]]:
-    """The best segmentation of t[lo:hi]: its segments as (kind, start, end)."""
-    bounds, spans, f = candidates(t, lo, hi)
-    if not spans:
-        return []
+def candidates(t: str, spans: list[tuple[int, int]], marks: Marks | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the candidate segments in the regions spans, and features (segments, kinds, WIDTH)."""
+    m = marks or Marks(t)
+    lo, hi = np.array([a for a, _ in spans]), np.array([b for _, b in spans])
+    # atoms of the regions; one that a region's end cuts is cut
+    inside = [np.unique(np.concatenate(([a], m.starts[np.searchsorted(m.starts, a) : np.searchsorted(m.starts, b)]))) for a, b in spans]
+    start = np.concatenate(inside) if inside else np.zeros(0, np.int64)
+    region = np.repeat(np.arange(len(inside)), [len(x) for x in inside])
+    end = np.append(start[1:], 0)
+    last = np.flatnonzero(np.append(region[1:] != region[:-1], True)) if len(region) else region
+    end[last] = hi[region[last]]
+    begins = m.alnum[start] | m.opens[start]
+    closes = m.alnum[end - 1]
+    first, final = [], []
+    for k in range(min(MOST_ATOMS, len(start))):
+        i = np.arange(len(start) - k)
+        j = i + k
+        ok = begins[i] & closes[j] & (region[i] == region[j])
+        i, j = i[ok], j[ok]
+        s, e = start[i], end[j]
+        ok = (e - s >= LEAST_CHARS) & (e - s <= MOST_CHARS) & (m.digits[e] - m.digits[s] + m.ats[e] - m.ats[s] > 0)
+        first.append(s[ok])
+        final.append(e[ok])
+    s, e = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (first, final))
+    order = np.lexsort((s, e))
+    s, e = s[order], e[order]
+    n, digits, letters, spaces = e - s, m.digits[e] - m.digits[s], m.letters[e] - m.letters[s], m.spaces[e] - m.spaces[s]
+    left, right = (s > 0) & m.glue[np.maximum(s - 1, 0)], (e < m.n) & (m.alnum | m.at)[np.minimum(e, m.n - 1)]
+    shared = np.stack([
+        np.ones(len(s)), np.minimum(n, 60) / 20, left, right, m.ats[e] > m.ats[s], digits >= 7, digits >= 13, letters > 0,
+        (letters > 0) & (digits > 3) & (n >= 16) & (digits + letters == n), spaces > 3, n - digits - letters > digits + letters, m.opens[s],
+    ], 1).astype(np.float64) if len(s) else np.zeros((0, N_FEATURES))
+    out = np.zeros((len(s), len(KINDS), WIDTH))
+    out[:, :, :N_FEATURES] = shared[:, None, :]
+    if len(s):
+        key = s * (m.n + 1) + e
+        for c, kind in enumerate(KINDS):
+            found, said = [], []
+            for a, b in spans:
+                found += [x.start() * (m.n + 1) + x.end() for x in SHAPES[kind].finditer(t, a, b) if kind != "card" or luhn("".join(DIGITS.findall(x[0])))]
+                said += [x.span() for x in _KEYWORDS[kind].finditer(t, max(0, a - BEFORE), b)]
+            fits = np.isin(key, np.array(found, dtype=np.int64))
+            told = np.zeros(len(s), dtype=bool)
+            if said:
+                said = np.array(sorted(set(said), key=lambda x: x[1]))
+                k = np.searchsorted(said[:, 1], s, "right") - 1
+                told = (k >= 0) & (said[np.maximum(k, 0), 0] >= s - BEFORE)
+            out[:, c, N_FEATURES:] = np.stack((fits, told, fits & told), 1)
+    return s, e, out
+
+
+def _forward(ends: list[int], segments: list[tuple[int, int]], score: np.ndarray) -> np.ndarray:
+    """Log-sums up to each bound (ends[0] is the region's start) over all segmentations; what lies outside segments scores 0."""
+    place = {b: i for i, b in enumerate(ends)}
+    by: list[list[int]] = [[] for _ in ends]
+    for k, (_, b) in enumerate(segments):
+        by[place[b]].append(k)
+    alpha = np.zeros(len(ends))
+    for j in range(1, len(ends)):
+        parts = [np.array([alpha[j - 1]])] + [alpha[place[segments[k][0]]] + score[k] for k in by[j]]
+        alpha[j] = np.logaddexp.reduce(np.concatenate(parts)) if len(parts) > 1 else alpha[j - 1]
+    return alpha
+
+
+def decode(t: str, spans: list[tuple[int, int]], weights: np.ndarray, marks: Marks | None = None) -> list[tuple[str, int, int]]:
+    """The best segmentation of the regions spans: its segments as (kind, start, end)."""
+    s, e, f = candidates(t, spans, marks)
     score = np.einsum("skf,kf->sk", f, weights)
-    _, back = _forward(len(bounds) - 1, spans, score, True)
-    out, j = [], len(bounds) - 1
-    while j > 0:
-        if back[j] is None:
-            j -= 1
-            continue
-        k, c = back[j]
-        i = spans[k][0]
-        s = bounds[i]
-        out.append((KINDS[c], s, bounds[j]))
-        j = i
+    kind, top = score.argmax(1), score.max(1) if len(s) else np.zeros(0)
+    some = np.flatnonzero(top > 0)
+    if not len(some):
+        return []
+    s, e, kind, top = (x[some].tolist() for x in (s, e, kind, top))
+    # segments are in order of their ends: the best of those that end no later than each, with or without it
+    best, back = [0.0], [None]
+    for k in range(len(s)):
+        i = bisect.bisect_right(e, s[k], 0, k)
+        with_it = best[i] + top[k]
+        best.append(max(best[-1], with_it))
+        back.append((k, i) if with_it > best[-2] else None)
+    out, k = [], len(s)
+    while k > 0:
+        if back[k] is None:
+            k -= 1
+        else:
+            out.append((KINDS[kind[back[k][0]]], s[back[k][0]], e[back[k][0]]))
+            k = back[k][1]
     return out[::-1]
 
 
@@ -234,7 +273,7 @@ def sentences(n: int, seed: int = 7) -> list[tuple[str, list[tuple[str, int, int
 
 
 #: Training sentences, steps and step length.
-SENTENCES, TRAIN_STEPS, RATE, DECAY = 140, 50, 0.3, 0.002
+SENTENCES, TRAIN_STEPS, RATE, DECAY = 200, 60, 0.3, 0.002
 
 
 @functools.cache
@@ -242,25 +281,26 @@ def trained(n: int = SENTENCES, steps: int = TRAIN_STEPS) -> np.ndarray:
     """Weights (kinds, WIDTH) by gradient ascent on the likelihood of generated sentences."""
     data = []
     for text, gold in sentences(n):
-        bounds, spans, f = candidates(text, 0, len(text))
-        at = {(bounds[i], bounds[j]): k for k, (i, j) in enumerate(spans)}
+        marks = Marks(text)
+        s, e, f = candidates(text, [(0, len(text))], marks)
+        segments = list(zip(s.tolist(), e.tolist(), strict=True))
+        at = {x: k for k, x in enumerate(segments)}
         seen = np.zeros(f.shape[1:])
-        for kind, s, e in gold:
-            if (k := at.get((s, e))) is not None:
+        for kind, a, b in gold:
+            if (k := at.get((a, b))) is not None:
                 seen[KINDS.index(kind)] += f[k, KINDS.index(kind)]
-        data.append((len(bounds) - 1, spans, f, seen))
+        bounds = sorted({0, len(text), *s.tolist(), *e.tolist()})
+        if segments:
+            data.append((bounds, segments, [-b for b in reversed(bounds)], [(-b, -a) for a, b in segments], f, seen))
     w, m, v = np.zeros((len(KINDS), WIDTH)), 0.0, 0.0
     for step in range(1, steps + 1):
         grad = -DECAY * w * n
-        for atoms, spans, f, seen in data:
-            if not spans:
-                continue
+        for bounds, segments, mirrored, turned, f, seen in data:
             score = np.einsum("skf,kf->sk", f, w)
-            alpha, _ = _forward(atoms, spans, score, False)
-            flipped = [(atoms - j, atoms - i) for i, j in spans]
-            beta, _ = _forward(atoms, flipped, score, False)
-            i, j = np.array(spans).T
-            p = np.exp(alpha[i][:, None] + score + beta[atoms - j][:, None] - alpha[atoms])
+            alpha, beta = _forward(bounds, segments, score), _forward(mirrored, turned, score)
+            before, after = {b: x for b, x in zip(bounds, alpha, strict=True)}, {-b: x for b, x in zip(mirrored, beta, strict=True)}
+            outside = np.array([before[a] + after[b] for a, b in segments])
+            p = np.exp(outside[:, None] + score - alpha[-1])
             grad += seen - np.einsum("sk,skf->kf", p, f)
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         w = w + RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
@@ -271,10 +311,9 @@ def find(t: str, weights: np.ndarray) -> tuple[list[tuple[str, int, int]], list[
     """Base spans, and all spans: base ones and those that the field adds where no base span stands."""
     if not TRIGGER.search(t):
         return [], []
-    base = base_spans(t)
-    more = []
-    for lo, hi in regions(t, [(s, e) for _, s, e in base]):
-        more += decode(t, lo, hi, weights)
+    base, marks = base_spans(t), Marks(t)
+    open_ = regions(t, [(s, e) for _, s, e in base], marks)
+    more = decode(t, open_, weights, marks) if open_ else []
     return base, sorted(base + more, key=lambda x: (KINDS.index(x[0]), x[1], x[2]))
 
 
@@ -307,14 +346,16 @@ def _detect(weights: np.ndarray, with_text: bool):
                     names.append("masked")
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return run
+    return trimmed(run)
 
 
 def personal_data(docs: DataFrame, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans[, masked]) of whole texts.
 
     Counts and base_sha256 are of the base patterns; spans also has what the field adds, of kind secret too. Null and empty
-    texts have no spans; masked is null where the text is. Other columns are ignored.
+    texts have no spans; masked is null where the text is. Each row is read for itself, so null and repeated ids and repeated
+    rows give a row each; other columns are ignored; an empty table gives an empty one. Very long texts are read whole, in
+    time that grows with their length.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string" + (", masked string" if with_text else "")
@@ -336,7 +377,7 @@ def _mask(weights: np.ndarray, text_at: int, size_at: int | None):
                     cols[size_at] = pa.array([None if t is None else len(t) for t in out], part.schema.field(size_at).type)
                 yield pa.RecordBatch.from_arrays(cols, names=part.schema.names)
 
-    return run
+    return trimmed(run)
 
 
 def mask_documents(docs: DataFrame, text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
