@@ -353,6 +353,94 @@ def test_language(spark):
     assert predict(df.limit(0), F.lit(False)).collect() == []
 
 
+def test_language_brute_force(spark):
+    """Trigram probabilities and proportions against plain counting and expectation-maximisation; scripts with many letters."""
+    import math
+
+    import numpy as np
+
+    from foliant.llm import language_id as li
+
+    r = random.Random(21)
+    greek, cyrillic = [chr(c) for c in range(0x3B1, 0x3CA) if c != 0x3C2], [chr(c) for c in range(0x430, 0x450)]
+    kanji, kana = [chr(c) for c in range(0x4E00, 0x4E60)], [chr(c) for c in range(0x3042, 0x3090)]
+    alphabets = {"el": greek, "ru": cyrillic, "zh": kanji, "ja": kanji[:20] + kana, "en": list("etaoinshr"), "xx": list("etaoinshrdluç")}
+    text = lambda lang, n: " ".join("".join(r.choice(alphabets[lang]) for _ in range(r.randint(1, 7))) for _ in range(n))
+    train = [(lang, text(lang, 40)) for lang in alphabets for _ in range(12)]
+    model = li.fit(spark.createDataFrame(train, "lang string, text string"))
+    assert model.languages == sorted(alphabets) and len(model.letters) == len({c for a in alphabets.values() for c in a})
+    three, lead, pair, first = ({lang: collections.Counter() for lang in alphabets} for _ in range(4))
+
+    def grams(t):
+        for w in t.split(" "):
+            x = ["", "", *w, ""]
+            yield from zip(x, x[1:], x[2:], strict=False)
+
+    for lang, t in train:
+        for a, b, c in grams(t):
+            three[lang][a, b, c] += 1
+            lead[lang][a, b] += 1
+            pair[lang][b, c] += 1
+            first[lang][b] += 1
+    n = len(model.letters) + 2
+
+    def logp(lang, a, b, c):
+        back = (pair[lang][b, c] + li.SMOOTHING) / (first[lang][b] + li.SMOOTHING * n)
+        return math.log((three[lang][a, b, c] + li.BACKOFF * back) / (lead[lang][a, b] + li.BACKOFF))
+
+    cache = li.Cache(model)
+    some = [text("el", 5), text("ja", 9) + " " + text("zh", 4), text("en", 7) + " " + text("xx", 30), "étη"]
+    for t in some:
+        x = cache.table[li.code_points([t])[0]]
+        code, _ = li.trigrams(x, model.base)
+        known = lambda c: c if c == "" or ord(c) in set(model.letters.tolist()) else None
+        expected = [[logp(lang, *map(known, g)) for lang in model.languages] for g in grams(t)]
+        for _ in range(2):
+            assert np.allclose(cache.logp(code), expected, atol=1e-4)
+        like = [[math.exp(sum(logp(lang, *map(known, g)) for g in grams(w))) for lang in model.languages] for w in t.split(" ")]
+
+        def em(active, like=like):
+            share = [a / sum(active) for a in active]
+            for _ in range(li.ROUNDS):
+                parts = [[p * s for p, s in zip(w, share, strict=True)] for w in like]
+                share = [sum(p[k] / sum(p) for p in parts) / len(like) for k in range(len(share))]
+            return share, sum(math.log(sum(p * s for p, s in zip(w, share, strict=True))) for w in like)
+
+        active, penalty = [1] * len(alphabets), math.log(max(len(like), 2))
+        share, ll = em(active)
+        best = -2 * ll + penalty * (sum(active) - 1)
+        while sum(active) > 1:
+            weak = min((k for k in range(len(active)) if active[k]), key=lambda k: share[k])
+            trial = [0 if k == weak else a for k, a in enumerate(active)]
+            s2, l2 = em(trial)
+            score = -2 * l2 + penalty * (sum(trial) - 1)
+            if score > best:
+                break
+            active, share, best = trial, s2, score
+        logs = np.log(np.array(like))
+        got = li.infer(np.exp(logs - logs.max(1, keepdims=True)), np.array([0, len(like)]))[0]
+        assert np.allclose(got, share, atol=1e-3), t
+    df = spark.createDataFrame([(i, text(lang, 60), lang) for i in range(180) for lang in [list(alphabets)[i % 6]]] + [(900, "\U00030000\U00030001", None), (901, "½ 12", None)], "doc_id long, text string, lang string")
+    out = {x["doc_id"]: x for x in li.predict(df, F.col("doc_id") % 5 == 0).collect()}
+    assert all(out[i]["lang_pred"] == list(alphabets)[i % 6] for i in range(180)) and out[900]["lang_pred"] != "und" and out[901]["lang_pred"] == "und"
+
+
+def test_language_of_documents(spark):
+    """Held-out accuracy on the given documents, and a hot text in the sample once."""
+    from foliant.llm import queries as q
+    from foliant.llm.language_id import training_rows
+    from foliant.llm.scratch import Scratch
+
+    folder = "/root/testdata/sf0.01"
+    truth = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{folder}/documents.parquet").where("lang is not null").collect()}
+    got = [r for r in q.op1_language_id(spark, folder).collect() if r["held_out"] and r["doc_id"] in truth]
+    right = sum(r["lang_pred"] == truth[r["doc_id"]] for r in got)
+    assert len(got) > 100 and right >= 0.95 * len(got)
+    df = spark.createDataFrame([(i, "hot text" if i % 3 else f"text {i}", "aa") for i in range(600)], "doc_id long, text string, lang string")
+    rows = [r["text"] for r in training_rows(df, Scratch(spark, "hot"), 50).collect()]
+    assert 25 <= len(rows) <= 85 and len(set(rows)) == len(rows)
+
+
 def test_bpe(spark, texts):
     import public_tokenizers as p
     import tiktoken
