@@ -68,11 +68,11 @@ SELECT doc_id, digest, license, coalesce(notices, '') AS notices FROM (SELECT do
 """
 
 CALLS = """
-WITH c AS (SELECT conv_id, turn, conv_id || ':' || turn AS call_id, role, text FROM conversations WHERE role IN ('user', 'system')),
+WITH c AS (SELECT conv_id, turn, conv_id || ':' || turn AS call_id, role, text FROM conversations WHERE role IS DISTINCT FROM 'assistant'),
 r AS (SELECT conv_id, conv_id || ':' || (turn - 1) AS call_id, min(text) AS content FROM conversations WHERE role = 'assistant' GROUP BY ALL)
 SELECT conv_id, call_id, CAST(turn > 0 AND EXISTS (SELECT 1 FROM c AS z WHERE z.conv_id = c.conv_id AND z.turn = 0) AS BIGINT) AS level, content IS NOT NULL AS linked,
-concat_ws(',', CASE WHEN length(text) > CASE role WHEN 'user' THEN 400 ELSE 100 END THEN 'size' END, CASE WHEN text = '' THEN 'text' END) AS broken,
-sha256('{"arguments":{"size":' || length(text) || ',"text":' || to_json(text) || '},"id":"' || call_id || '","name":"' || role || '","result":' || coalesce(to_json(content), 'null') || '}') AS json_sha256
+CASE WHEN role IN ('user', 'system') THEN concat_ws(',', CASE WHEN length(text) > CASE role WHEN 'user' THEN 400 ELSE 100 END THEN 'size' END, CASE WHEN text = '' THEN 'text' END) ELSE '*' END AS broken,
+sha256('{"arguments":{"size":' || length(text) || ',"text":' || to_json(text) || '},"id":"' || call_id || '","name":' || coalesce('"' || role || '"', 'null') || ',"result":' || coalesce(to_json(content), 'null') || '}') AS json_sha256
 FROM c LEFT JOIN r USING (conv_id, call_id)
 """
 

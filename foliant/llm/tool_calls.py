@@ -10,39 +10,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.scratch import Scratch
+from foliant.llm.scratch import Scratch, small_or_shuffled
 
 #: JSON schema types by the head of the type name that Spark gives a variant (fixed values).
 TYPES = {"STRING": "string", "BIGINT": "integer", "DECIMAL": "number", "DOUBLE": "number", "FLOAT": "number", "BOOLEAN": "boolean", "ARRAY": "array", "OBJECT": "object", "VOID": "null"}
-#: Tools whose schemas are broadcast at most.
+#: Tools whose schemas are broadcast at most; those of more are joined by a shuffle.
 MOST_TOOLS = 10_000
 
 
 def levels(calls: DataFrame, scratch: Scratch) -> DataFrame:
     """calls (conv_id, call_id, depends_on array<string>) to (conv_id, call_id, level): 0 without dependencies, else one more than the highest.
 
-    Dependencies on calls that are not there are ignored. Calls on a cycle, or behind one, have level null. One round for
-    each level; what a round leaves open is written to the scratch folder.
+    Dependencies on calls that are not there are ignored. Calls on a cycle, or behind one, have level null. A round for each
+    level reads and writes only the dependencies that are still open, so rounds grow smaller and no plan grows.
     """
-    nodes = calls.select("conv_id", "call_id", F.coalesce("depends_on", F.array().cast("array<string>")).alias("d"))
-    edges = nodes.select("conv_id", "call_id", F.explode("d").alias("on")).distinct()
-    known = nodes.select("conv_id", F.col("call_id").alias("on")).distinct()
-    edges = scratch.save(edges.join(known, ["conv_id", "on"], "left_semi"), "edges")
-    nodes = nodes.select("conv_id", "call_id").distinct()
-    behind = edges.select("conv_id", "call_id").distinct()
-    done = scratch.save(nodes.join(behind, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0)), "level")
-    out, level = done, 0
-    while True:
-        placed = out.select("conv_id", F.col("call_id").alias("on"), F.col("level").alias("below"))
-        open_ = edges.join(out.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti")
-        ready = open_.join(placed, ["conv_id", "on"], "left").groupBy("conv_id", "call_id").agg(F.count("*").alias("n"), F.count("below").alias("k")).where("n = k")
-        level += 1
-        done = scratch.save(ready.select("conv_id", "call_id", F.lit(level).alias("level")), "level")
+    spark, key = calls.sparkSession, ["conv_id", "call_id"]
+    nodes = calls.select(*key, F.coalesce("depends_on", F.array().cast("array<string>")).alias("d"))
+    known = scratch.save(nodes.select(*key).distinct(), "nodes")
+    edges = nodes.select(*key, F.explode("d").alias("on")).distinct()
+    edges = scratch.save(edges.join(known.withColumnRenamed("call_id", "on"), ["conv_id", "on"], "left_semi"), "edges")
+    path, level = scratch.path("levels"), 0
+    done = scratch.save(known.join(edges.select(*key).distinct(), key, "left_anti"), "done")
+    with scratch.clean():
+        done.write.parquet(f"{path}/level=0")
+    while not edges.isEmpty():
+        left = scratch.save(edges.join(done.withColumnRenamed("call_id", "on"), ["conv_id", "on"], "left_anti"), "edges")
+        now = scratch.save(edges.select(*key).distinct().join(left.select(*key).distinct(), key, "left_anti"), "done")
+        scratch.drop(edges, done)
+        edges, done, level = left, now, level + 1
+        with scratch.clean():
+            done.write.parquet(f"{path}/level={level}")
         if done.isEmpty():
             break
-        out = out.unionByName(done)
-    cyclic = nodes.join(out, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(None).cast("int"))
-    return out.unionByName(cyclic)
+    types = dict(known.dtypes)
+    placed = spark.read.schema(f"conv_id {types['conv_id']}, call_id string, level int").parquet(path)
+    return known.join(placed, key, "left")
 
 
 def problems(arguments: Column, parameters: Column) -> Column:
@@ -86,27 +88,26 @@ def link_calls(calls: DataFrame, results: DataFrame, tools: DataFrame, scratch:
     calls: conv_id, call_id, turn, name, arguments (JSON), depends_on; results: conv_id, call_id, content; tools: name,
     parameters. A call that is repeated counts once, at its first turn; of several results the first in text order counts.
     linked is false and the result null where there is none; results without a call are left out. A null in any column is
-    kept as null, but calls without an identifier or a conversation are left out. Other columns are ignored. Without calls
-    the result is empty.
+    kept as null, but calls without an identifier or a conversation are left out. Of tools of one name the least schema
+    counts. Other columns are ignored. Very long arguments and results are kept whole. Without calls the result is empty.
     """
     scratch = scratch or Scratch(calls.sparkSession, "calls")
     one = calls.where("conv_id is not null and call_id is not null").groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "name", "arguments", "depends_on")).alias("c")).select("conv_id", "call_id", "c.*")
     found = results.where("call_id is not null").groupBy("conv_id", "call_id").agg(F.min("content").alias("content"), F.lit(True).alias("linked"))
-    if tools.limit(MOST_TOOLS + 1).count() > MOST_TOOLS:
-        raise ValueError("too many tools to broadcast")
+    tools = small_or_shuffled(scratch.save(tools.where("name is not null").groupBy("name").agg(F.min("parameters").alias("parameters")), "tools"), MOST_TOOLS)
     order = levels(one, scratch)
-    rows = one.join(found, ["conv_id", "call_id"], "left").join(order, ["conv_id", "call_id"]).join(F.broadcast(tools), "name", "left")
+    rows = one.join(found, ["conv_id", "call_id"], "left").join(order, ["conv_id", "call_id"]).join(tools, "name", "left")
     pieces = F.concat(F.lit('{"arguments":'), F.coalesce(canonical_json(F.col("arguments")), F.lit("null")), F.lit(',"id":'), quoted(F.col("call_id")), F.lit(',"name":'), quoted(F.col("name")), F.lit(',"result":'), quoted(F.col("content")), F.lit("}"))
     return rows.select("conv_id", "call_id", "level", F.coalesce("linked", F.lit(False)).alias("linked"), F.array_join(problems(F.col("arguments"), F.col("parameters")), ",").alias("broken"), pieces.alias("json"))
 
 
 def calls_of_chat(messages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Plain chats as exchanges: system and user turns are calls, an assistant turn is the result of the turn before it.
+    """Plain chats as exchanges: an assistant turn is the result of the turn before it, any other turn a call of its role.
 
     A turn depends on its chat's turn 0, if that is a call. Returns calls, results and tools for link_calls.
     """
     name = lambda turn: F.concat(F.col("conv_id").cast("string"), F.lit(":"), turn.cast("string"))
-    asked = messages.where(F.col("role").isin("user", "system"))
+    asked = messages.where(F.coalesce(F.col("role") != "assistant", F.lit(True)))
     arguments = F.to_json(F.struct(F.col("text"), F.length("text").alias("size")))
     root = F.concat(F.col("conv_id").cast("string"), F.lit(":0"))
     calls = asked.select("conv_id", name(F.col("turn")).alias("call_id"), "turn", F.col("role").alias("name"), arguments.alias("arguments"), F.when(F.col("turn") > 0, F.array(root)).alias("depends_on"))

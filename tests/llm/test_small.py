@@ -806,7 +806,8 @@ def test_calls(spark):
     df = spark.createDataFrame(calls, "conv_id long, call_id string, turn long, name string, arguments string, depends_on array<string>").withColumn("level", F.lit(9))
     results = spark.createDataFrame([(1, "a", 'q"\n'), (1, "a", "zz"), (1, "lost", "x"), (2, "a", None)], "conv_id long, call_id string, content string")
     p = "struct<key:string,type:string,required:boolean,maximum:double,least:int>"
-    tools = spark.createDataFrame([("add", [("x", "number", True, 50.0, 0), ("y", "integer", True, None, 0), ("z", "string", False, None, 1)])], f"name string, parameters array<{p}>")
+    schema = [("x", "number", True, 50.0, 0), ("y", "integer", True, None, 0), ("z", "string", False, None, 1)]
+    tools = spark.createDataFrame([("add", schema), ("add", [*schema, ("zz", "string", True, None, 1)]), (None, schema)], f"name string, parameters array<{p}>")
     got = {(x["conv_id"], x["call_id"]): x for x in link_calls(df, results, tools).collect()}
     assert set(got) == {(1, "a"), (1, "b"), (1, "c"), (1, "p"), (1, "q"), (2, "a"), (3, "n")}
     assert [got[1, k]["level"] for k in "abcpq"] == [0, 1, 2, None, None]
@@ -815,6 +816,17 @@ def test_calls(spark):
     assert got[1, "a"]["json"] == '{"arguments":{"x":1,"y":2},"id":"a","name":"add","result":"q\\"\\n"}'
     assert all(json.loads(x["json"]) for x in got.values())
     assert link_calls(df.limit(0), results, tools).collect() == []
+    chain = spark.createDataFrame([(7, f"c{i}", i, "add", "{}", [f"c{i - 1}", f"c{i // 2}"] if i else None) for i in range(12)], df.drop("level").schema)
+    assert [r["level"] for r in link_calls(chain, results, tools).orderBy(F.col("call_id").substr(2, 3).cast("int")).collect()] == list(range(12))
+
+
+def test_calls_of_odd_chats(spark):
+    """Turns of any role, null ones too."""
+    from foliant.llm.tool_calls import calls_of_chat, link_calls
+
+    chat = spark.createDataFrame([(1, 0, "system", "s"), (1, 1, "user", "u"), (1, 2, "assistant", "a"), (1, 3, "tool", "t"), (1, 4, None, None)], "conv_id long, turn long, role string, text string")
+    got = {r["call_id"]: r for r in link_calls(*calls_of_chat(chat)).collect()}
+    assert {k: (r["level"], r["linked"], r["broken"]) for k, r in got.items()} == {"1:0": (0, False, ""), "1:1": (1, True, ""), "1:3": (1, False, "*"), "1:4": (1, False, "*")}
 
 
 def test_repeated_rows(spark, texts):
