@@ -12,6 +12,8 @@ import pyarrow as pa
 
 #: What parts words (a fixed value).
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
+IS_WORD = np.ones(256, dtype=bool)
+IS_WORD[list(SPACES)] = False
 CHUNK = 1 << 20
 _U = np.uint64
 
@@ -43,29 +45,6 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> _U(31))
 
 
-class Words(dict):
-    """Words as bytes to 64 bits of a strong digest, so that no two words are made to clash; a bounded memory of them."""
-
-    MOST = 200_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(word) > 256:
-            return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        self[word] = h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return h
-
-    def hashes(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the words of all texts one after the other, and the texts' offsets into them."""
-        if len(self) > self.MOST:
-            self.clear()
-        first = np.zeros(len(texts) + 1, dtype=np.int64)
-        np.cumsum([len(t) for t in texts], out=first[1:])
-        return np.fromiter((h for t in texts for h in map(self.__getitem__, t)), dtype=np.uint64, count=int(first[-1])), first
-
-
-_words = Words()
-
-
 def column_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary column one after the other, and the rows' offsets; null counts as empty."""
     if isinstance(array, pa.ChunkedArray):
@@ -94,9 +73,52 @@ def split(d: np.ndarray, o: np.ndarray, table: bytes) -> list[list[bytes]]:
     return [text[a:b].split() for a, b in zip(o[:-1].tolist(), o[1:].tolist(), strict=True)]
 
 
+def word_spans(d: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words of all rows, and the rows' offsets into them; words never cross rows. o starts at 0."""
+    w = np.zeros(len(d) + 2, dtype=bool)
+    w[1:-1] = IS_WORD[d]
+    cut = np.zeros(len(d) + 1, dtype=bool)  # a row ends before this byte
+    cut[o] = True
+    starts = np.flatnonzero(w[1:-1] & (~w[:-2] | cut[:-1]))
+    ends = np.flatnonzero(w[1:-1] & (~w[2:] | cut[1:])) + 1
+    return starts, ends, np.searchsorted(starts, o)
+
+
+#: Longer words are hashed by a digest each.
+LANES = 8
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+
+
+def span_hashes(d: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of each span's bytes, the same wherever the span stands.
+
+    Two states of 64 bits take eight bytes at a time through a scramble that is no polynomial; spans of more than LANES
+    steps get 64 bits of blake2b.
+    """
+    size = ends - starts
+    padded = np.concatenate((d, np.zeros(8, dtype=np.uint8)))
+    eight = np.ndarray((len(d) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    with np.errstate(over="ignore"):
+        x = size.astype(np.uint64) * _U(0x9E3779B97F4A7C15)
+        y = x ^ _U(0xC2B2AE3D27D4EB4F)
+        live = np.flatnonzero(size <= 8 * LANES)
+        for k in range(LANES):
+            live = live[size[live] > 8 * k]
+            if not len(live):
+                break
+            v = eight[starts[live] + 8 * k] & _MASK[np.minimum(size[live] - 8 * k, 8)]
+            x[live], y[live] = mix(x[live] ^ v), mix(y[live] * _U(0xD6E8FEB86659FD93) + v)
+        out = mix(x + (y << _U(32) | y >> _U(32)))
+    for i in np.flatnonzero(size > 8 * LANES).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(d[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
 def shingle_sets(d: np.ndarray, o: np.ndarray, k: int) -> list[np.ndarray]:
     """For each row the sorted distinct hashes of its k-word shingles, A-Z lower-cased; a row of fewer words has one, of no words none."""
-    h, first = _words.hashes(split(d, o, LOWER))
+    low = np.frombuffer(LOWER, dtype=np.uint8)[d]
+    s, e, first = word_spans(low, o)
+    h = span_hashes(low, s, e)
     n = len(o) - 1
     count = np.diff(first)
     with np.errstate(over="ignore"):

@@ -142,6 +142,23 @@ def test_jaccard_of_large_groups(spark, monkeypatch):
         assert got == dict(enumerate(expected))
 
 
+def test_word_hashes():
+    """Spans and hashes against plain splitting: one value for each distinct word, wherever it stands."""
+    import numpy as np
+
+    from foliant.llm.textbytes import span_hashes, word_spans
+
+    r = random.Random(17)
+    rows = ["".join(r.choice("ab c\n\x0b\x1c\x85é") for _ in range(r.choice([0, 1, 5, 30, 200]))).encode() for _ in range(300)] + [b"a" * k for k in range(140)] + [b"", b"  "]
+    o = np.cumsum([0, *map(len, rows)])
+    d = np.frombuffer(b"".join(rows), dtype=np.uint8)
+    s, e, first = word_spans(d, o)
+    words = [d[a:b].tobytes() for a, b in zip(s, e, strict=True)]
+    assert [words[a:b] for a, b in zip(first[:-1], first[1:], strict=True)] == [re.findall(rb"[^\x20\x09-\x0D]+", x) for x in rows]
+    h = span_hashes(d, s, e).tolist()
+    assert len({*zip(words, h, strict=True)}) == len({*words}) == len({*h})
+
+
 def test_hashes_of_built_texts(spark):
     """One-word texts that polynomials modulo powers of two take for equal are no link and no leak."""
     from foliant.llm.decontamination import leaks
