@@ -24,37 +24,69 @@ from foliant.llm.scratch import Scratch, small_or_shuffled
 BROADCAST_ROWS = 500_000
 
 
-def _without(docs: DataFrame, drop: DataFrame, name: str) -> DataFrame:
-    """docs but for the ids in drop (doc_id), in docs' own columns."""
-    gone = Scratch(docs.sparkSession, name).save(drop.select("doc_id").distinct(), "drop")
-    return docs.join(small_or_shuffled(gone, BROADCAST_ROWS), "doc_id", "left_anti").select(*docs.columns)
+def _numbered(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """docs with a column _row, its own for each row: the id, or, of rows with a null or repeated one, a number above all ids.
+
+    Only such rows are written; they are numbered once, so the numbers stay.
+    """
+    key = F.col("doc_id").cast("long")
+    odd = scratch.save(docs.groupBy(key.alias("_id")).agg(F.count("*").alias("_n")).where("_id is null or _n > 1").select("_id"), "oddids")
+    if odd.isEmpty():
+        return docs.withColumn("_row", key)
+    top = docs.agg(F.max(key)).first()[0]
+    small = small_or_shuffled(odd, BROADCAST_ROWS)
+    same = key.eqNullSafe(F.col("_id"))
+    rows = scratch.save(docs.join(small, same, "left_semi").withColumn("_row", F.monotonically_increasing_id() + F.lit(0 if top is None else top + 1)), "oddrows")
+    return docs.join(small, same, "left_anti").withColumn("_row", key).union(rows)
+
+
+def _without(docs: DataFrame, drop: DataFrame, scratch: Scratch, columns: list[str]) -> DataFrame:
+    """docs but for the rows in drop (_row), in the columns named."""
+    gone = scratch.save(drop.select("_row").distinct(), "drop")
+    return docs.join(small_or_shuffled(gone, BROADCAST_ROWS), "_row", "left_anti").select(*columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, quality_rules(docs).where("not kept"), "quality")
+    """docs without those that the quality rules reject, row by row: null and empty texts, repeated and null ids are judged like any other row."""
+    scratch = Scratch(spark, "quality-stage")
+    rows = _numbered(docs, scratch)
+    verdicts = quality_rules(rows, id_col="_row").withColumnRenamed("doc_id", "_row")
+    return _without(rows, verdicts.where("not kept"), scratch, docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five-word shingles, similarity 0.8 or more."""
-    groups = jaccard_join(docs, k=5, threshold=Fraction(8, 10))
-    return _without(docs, groups.where("component_id <> doc_id"), "near")
+    """One row of each group that five-word shingles with a similarity of 0.8 or more connect: the one with the least id.
+
+    Rows whose id is null or stands more than once are kept only where no other row of the group is, and then one of them;
+    texts without a word are in no group and stay.
+    """
+    scratch = Scratch(spark, "near-stage")
+    rows = _numbered(docs, scratch)
+    groups = jaccard_join(rows, k=5, threshold=Fraction(8, 10), id_col="_row").withColumnRenamed("doc_id", "_row")
+    return _without(rows, groups.where("component_id <> _row"), scratch, docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), "leaks")
+    """docs without those that leak an item of benchmark, row by row, whatever their ids; null and empty texts leak nothing."""
+    scratch = Scratch(spark, "leaks-stage")
+    rows = _numbered(docs, scratch)
+    found = leaks(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="_row").withColumnRenamed("doc_id", "_row")
+    return _without(rows, found, scratch, docs.columns)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs with the personal data of each text masked; every row stays, a null text stays null, n_chars is that of the new text."""
     return mask_documents(docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row (doc_id, n_tokens, ids_sha256, decoded_sha256, ids) for each row of docs; null and empty texts have no tokens."""
     return encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True)
 
 
 STAGES = [("quality_rules", quality), ("ngram_jaccard", near_duplicates), ("decontamination", decontaminated), ("pii", private), ("byte_bpe", encoded)]
 
-#: SQL can't express the covariance estimate, the latent space or the random field; tests compare stages with brute force.
+#: SQL can't express the covariance estimate, the latent space or the random field; tests/llm compares each stage with plain Python.
 ORACLE_SQL = None
 
 
