@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.scratch import Scratch, small_or_shuffled
+from foliant.llm.scratch import Scratch, counted, small_or_shuffled
 
 
 #: Nodes of which the least neighbours are broadcast at most (16 bytes each); those of more are joined by a shuffle.
@@ -38,13 +38,11 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     Each round writes a table, so a lost executor costs at most that round.
     """
     e = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    e, mark = scratch.save(e, "edges"), None
-    while True:
-        now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
-        if now == mark or not now["n"]:
-            break
-        mark = now
-        new = scratch.save(_stars(_stars(e, True, scratch), False, scratch), "stars")
+    mark = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
+    e, before = scratch.save(e, "edges", mark=mark), None
+    while counted(e)["rows"] and counted(e) != before:
+        before = counted(e)
+        new = scratch.save(_stars(_stars(e, True, scratch), False, scratch), "stars", mark=mark)
         scratch.drop(e)
         e = new
     roots = e.select(F.col("a").alias("node"), F.col("b").alias("root"))

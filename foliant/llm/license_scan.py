@@ -124,7 +124,7 @@ def scan_licenses(docs: DataFrame, known: DataFrame | None = None, id_col: str =
     known = Scratch(docs.sparkSession, "licenses").save(known if known is not None else known_digests(docs.sparkSession), "known")
     words = anchors(known)
     holds = lambda x: F.lit(True) if words is None else reduce(lambda a, b: a | b, (F.contains(x, F.lit(w)) for w in words), F.lit(False))
-    small = small_or_shuffled(known.select("digest", "license"), MOST_KNOWN)
+    small = small_or_shuffled(known.select("digest", "license"), MOST_KNOWN, known)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("th", F.xxhash64("text"))
     whole = rows.select("doc_id", "th", digest(F.col("text")).alias("digest")).join(small, "digest", "left").select("doc_id", "th", "digest", "license")
     lines = rows.select("doc_id", "th", spelled(F.col("text")).alias("x")).where(holds(F.col("x"))).select("doc_id", "th", F.explode(F.filter(F.split("x", "\n"), holds)).alias("line"))

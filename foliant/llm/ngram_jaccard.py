@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.llm.components import components
-from foliant.llm.scratch import Scratch, partitions, small_or_shuffled
+from foliant.llm.scratch import Scratch, is_empty, partitions, small_or_shuffled
 from foliant.llm.textbytes import column_bytes, lists, mix, row_chunks, shingle_sets, trimmed
 
 #: Documents, and shingles, of one block of candidates at most; a larger document is alone.
@@ -32,7 +32,7 @@ BLOCK_DOCS, BLOCK_SHINGLES = 512, 400_000
 #: Candidates of which the ids are broadcast at most (16 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 #: Tokens that a task combines before it sends them.
-COMBINE = 1 << 20
+COMBINE = 1 << 19
 #: The part of a large group's blocks in which texts of several components are.
 MIXED = -1
 #: Lower thresholds would need tiles so small that most are empty.
@@ -340,12 +340,12 @@ def connected(docs: DataFrame, sized: DataFrame, k: int, t: Fraction, scratch: S
     links = _compared(docs, placed, _meetings(placed, t, True), k, t, scratch, "links")
     labels = scratch.save(components(links, scratch), "labels")
     large = scratch.save(placed.groupBy("g").agg(F.max("block").alias("last")).where(F.col("last") > 0).select("g"), "large")
-    if large.isEmpty():
+    if is_empty(large):
         return labels
     rest = scratch.save(placed.join(small_or_shuffled(large, BROADCAST_ROWS), "g").select("doc_id", "n", "g", "block"), "rest")
 
     def labelled(labels: DataFrame) -> DataFrame:
-        mine = small_or_shuffled(labels.select(F.col("node").alias("doc_id"), "root"), BROADCAST_ROWS)
+        mine = small_or_shuffled(labels.select(F.col("node").alias("doc_id"), "root"), BROADCAST_ROWS, labels)
         return rest.join(mine, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
 
     one = labelled(labels).groupBy("g", "block", "root").agg(F.min(F.struct("n", "doc_id")).alias("x")).select("x.doc_id", "x.n", "g", F.lit(0).cast("long").alias("part"))
@@ -353,7 +353,7 @@ def connected(docs: DataFrame, sized: DataFrame, k: int, t: Fraction, scratch: S
     links = scratch.save(links.union(_compared(docs, heads, _meetings(heads, t, None), k, t, scratch, "headlinks")), "links")
     named = scratch.save(labelled(scratch.save(components(links, scratch), "labels")).select("doc_id", "n", "g", "root"), "named")
     big = scratch.save(named.groupBy("g", "root").agg(F.count("*").alias("c")).where(F.col("c") >= BLOCK_DOCS).drop("c"), "big")
-    parts = named.join(small_or_shuffled(big.withColumn("part", F.col("root")), BROADCAST_ROWS), ["g", "root"], "left").select("doc_id", "n", "g", F.coalesce("part", F.lit(MIXED)).alias("part"))
+    parts = named.join(small_or_shuffled(big.withColumn("part", F.col("root")), BROADCAST_ROWS, big), ["g", "root"], "left").select("doc_id", "n", "g", F.coalesce("part", F.lit(MIXED)).alias("part"))
     placed = blocked(scratch.save(parts, "parts"), scratch)
     return components(links.union(_compared(docs, placed, _meetings(placed, t, False), k, t, scratch, "lastlinks")), scratch)
 
@@ -382,12 +382,12 @@ def jaccard_components(docs: DataFrame, k: int, threshold: Fraction, scratch: Sc
     open_ = profile.join(common, "doc_id", "left").where(F.col("n") > 0).where(F.col("r") - F.coalesce("c", F.lit(0)) < alone).select("n", "h1", "h2")
     searched = scratch.save(classes.join(open_.distinct(), ["n", "h1", "h2"]).select(F.col("rep").alias("doc_id"), "n"), "searched")
 
-    mine = docs.join(small_or_shuffled(searched.select("doc_id"), BROADCAST_ROWS), "doc_id")
+    mine = docs.join(small_or_shuffled(searched.select("doc_id"), BROADCAST_ROWS, searched), "doc_id")
     signed = scratch.save(mine.mapInArrow(_signatures(k, t), "doc_id long, band long, least long, s array<long>"), "signed")
     groups = scratch.save(components(candidates(signed, scratch), scratch), "groups")
     scratch.drop(signed)
     sized = scratch.save(groups.join(searched, groups["node"] == searched["doc_id"]).select("doc_id", "n", F.col("root").alias("g")), "sized")
-    labels = connected(docs.join(small_or_shuffled(sized.select("doc_id"), BROADCAST_ROWS), "doc_id", "left_semi"), sized, k, t, scratch)
+    labels = connected(docs.join(small_or_shuffled(sized.select("doc_id"), BROADCAST_ROWS, sized), "doc_id", "left_semi"), sized, k, t, scratch)
 
     mine = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("n", "h1", "h2", F.coalesce("root", "rep").alias("component_id"))
     return sets.join(mine, ["n", "h1", "h2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

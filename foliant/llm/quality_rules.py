@@ -127,58 +127,58 @@ def transformed(stats: DataFrame) -> DataFrame:
     return stats.select("*", *(x.alias(c) for x, c in zip(z, NAMES, strict=True)))
 
 
-def _factor(groups: DataFrame, starts: range, scale: float = 1.0) -> DataFrame:
-    """groups (g, and for each start s m{s}_i, c{s}_i_j) to centres, Cholesky factors l{s}_i_j of the regularised covariances, and their log-determinants e{s}."""
+def _factor(groups: DataFrame, scale: float = 1.0) -> DataFrame:
+    """groups (g, start, m_i, c_i_j) to centres, the Cholesky factor l_i_j of the regularised covariance, and its log-determinant e."""
     out = groups
-    for s in starts:
-        for i, j in _PAIRS:
-            value = F.coalesce(F.col(f"c{s}_{i}_{j}"), F.lit(0.0)) * scale
+    for i in range(P):  # a row of the factor needs the rows before it
+        row: dict[int, Column] = {}
+        for j in range(i + 1):
+            value = F.coalesce(F.col(f"c_{i}_{j}"), F.lit(0.0)) * scale
             if i == j:
                 value = F.greatest(value, F.lit(0.0)) + F.lit(FLOORS[NAMES[i]] ** 2)
             for k in range(j):
-                value = value - F.col(f"l{s}_{i}_{k}") * F.col(f"l{s}_{j}_{k}")
-            out = out.withColumn(f"l{s}_{i}_{j}", F.sqrt(F.greatest(value, F.lit(1e-9))) if i == j else value / F.col(f"l{s}_{j}_{j}"))
-        out = out.withColumn(f"e{s}", sum((2 * F.log(F.col(f"l{s}_{i}_{i}")) for i in range(1, P)), 2 * F.log(F.col(f"l{s}_0_0"))))
-    return out.select("g", *(c for s in starts for c in _names(s)))
+                value = value - row[k] * (row[k] if i == j else F.col(f"l_{j}_{k}"))
+            row[j] = F.sqrt(F.greatest(value, F.lit(1e-9))) if i == j else value / F.col(f"l_{j}_{j}")
+        out = out.select("*", *(row[j].alias(f"l_{i}_{j}") for j in range(i))) if i else out
+        diagonal = F.greatest(F.coalesce(F.col(f"c_{i}_{i}"), F.lit(0.0)) * scale, F.lit(0.0)) + F.lit(FLOORS[NAMES[i]] ** 2)
+        for k in range(i):
+            diagonal = diagonal - F.col(f"l_{i}_{k}") * F.col(f"l_{i}_{k}")
+        out = out.select("*", F.sqrt(F.greatest(diagonal, F.lit(1e-9))).alias(f"l_{i}_{i}"))
+    return out.select("g", "start", *_FIT[:-1], reduce(lambda x, i: x + 2 * F.log(F.col(f"l_{i}_{i}")), range(1, P), 2 * F.log(F.col("l_0_0"))).alias("e"))
 
 
-def _names(s: int) -> list[str]:
-    return [*(f"m{s}_{i}" for i in range(P)), *(f"l{s}_{i}_{j}" for i, j in _PAIRS), f"e{s}"]
+_FIT = [*(f"m_{i}" for i in range(P)), *(f"l_{i}_{j}" for i, j in _PAIRS), "e"]
 
 
-def _distance(y: list[Column], s: int = 0) -> Column:
+def _distance(y: list[Column]) -> Column:
     """Squared Mahalanobis distance of a row that carries its group's centre and factor, by forward substitution."""
     solved: list[Column] = []
     for i in range(P):
-        value = y[i] - F.col(f"m{s}_{i}")
+        value = y[i] - F.col(f"m_{i}")
         for j, z in enumerate(solved):
-            value = value - F.col(f"l{s}_{i}_{j}") * z
-        solved.append(value / F.col(f"l{s}_{i}_{i}"))
+            value = value - F.col(f"l_{i}_{j}") * z
+        solved.append(value / F.col(f"l_{i}_{i}"))
     return sum((z * z for z in solved[1:]), solved[0] * solved[0])
 
 
-def _moments(rows: DataFrame, inside: list[Column]) -> DataFrame:
-    """For each g means m{s}_i and covariances c{s}_i_j of the rows inside, one condition for each start; statistics y_i are about 0."""
+def _moments(rows: DataFrame) -> DataFrame:
+    """For each g and start means m_i and covariances c_i_j of rows; statistics y_i are about 0."""
     y = [F.col(f"y_{i}") for i in range(P)]
-    aggs = []
-    for s, within in enumerate(inside):
-        aggs.append(F.sum(within.cast("double")).alias(f"n{s}"))
-        aggs += [F.sum(F.when(within, y[i])).alias(f"s{s}_{i}") for i in range(P)] + [F.sum(F.when(within, y[i] * y[j])).alias(f"s{s}_{i}_{j}") for i, j in _PAIRS]
-    mean = lambda s, *i: F.col("_".join([f"s{s}", *map(str, i)])) / F.col(f"n{s}")
-    out = rows.groupBy("g").agg(*aggs)
-    return out.select("g", *(mean(s, i).alias(f"m{s}_{i}") for s in range(len(inside)) for i in range(P)), *((mean(s, i, j) - mean(s, i) * mean(s, j)).alias(f"c{s}_{i}_{j}") for s in range(len(inside)) for i, j in _PAIRS))
+    sums = rows.groupBy("g", "start").agg(F.count("*").alias("n"), *(F.sum(y[i]).alias(f"s_{i}") for i in range(P)), *(F.sum(y[i] * y[j]).alias(f"s_{i}_{j}") for i, j in _PAIRS))
+    mean = lambda *i: F.col("_".join(["s", *map(str, i)])) / F.col("n")
+    return sums.select("g", "start", *(mean(i).alias(f"m_{i}") for i in range(P)), *((mean(i, j) - mean(i) * mean(j)).alias(f"c_{i}_{j}") for i, j in _PAIRS))
 
 
-def _joined(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    return rows.join(small_or_shuffled(groups, BROADCAST_ROWS), "g")
+def _joined(rows: DataFrame, groups: DataFrame, *keys: str) -> DataFrame:
+    return rows.join(small_or_shuffled(groups, BROADCAST_ROWS), ["g", *keys])
 
 
-def _nearest(rows: DataFrame, groups: DataFrame, distances: list[Column], scratch: Scratch) -> DataFrame:
-    """Moments of the SUBSET of each group's rows that are nearest by each distance, which is over the columns of rows and groups."""
-    near = lambda groups, *more: _joined(rows, groups).select("g", *(f"y_{i}" for i in range(P)), *more, *(d.alias(f"d{s}") for s, d in enumerate(distances)))
-    cut = near(groups).groupBy("g").agg(*(F.percentile_approx(f"d{s}", F.lit(SUBSET), F.lit(1000)).alias(f"cut{s}") for s in range(len(distances))))
-    cut = scratch.save(_joined(groups, scratch.save(cut, "cut")), "cuts")
-    return _moments(near(cut, *(f"cut{s}" for s in range(len(distances)))), [F.col(f"d{s}") <= F.col(f"cut{s}") for s in range(len(distances))])
+def _nearest(rows: DataFrame, groups: DataFrame, distance: Column, scratch: Scratch) -> DataFrame:
+    """Moments of the SUBSET of each group's rows that are nearest, for each start; distance is over the columns of rows and groups (g, start, …)."""
+    near = lambda groups, *more: _joined(rows, groups).select("g", "start", *(f"y_{i}" for i in range(P)), *more, distance.alias("d"))
+    cut = near(groups).groupBy("g", "start").agg(F.percentile_approx("d", F.lit(SUBSET), F.lit(1000)).alias("cut"))
+    cut = scratch.save(_joined(groups, scratch.save(cut, "cut"), "start"), "cuts")
+    return scratch.save(_moments(near(cut, "cut").where("d <= cut")), "moments")
 
 
 def fitted(rows: DataFrame, scratch: Scratch) -> DataFrame:
@@ -186,27 +186,26 @@ def fitted(rows: DataFrame, scratch: Scratch) -> DataFrame:
 
     Starts: medians and absolute deviations; means and covariances of all; those of the rows nearest to the medians.
     """
-    y, every = [F.col(f"y_{i}") for i in range(P)], range(3)
+    y = [F.col(f"y_{i}") for i in range(P)]
     spread = scratch.save(rows.groupBy("g").agg(*(F.percentile_approx(F.abs(y[i]), F.lit(0.5), F.lit(1000)).alias(f"d_{i}") for i in range(P))), "spread")
     wide = [F.pow(F.col(f"d_{i}") * 1.4826, 2) for i in range(P)]
+    first = spread.select("g", F.lit(0).alias("start"), *(F.lit(0.0).alias(f"m_{i}") for i in range(P)), *((wide[i] if i == j else F.lit(0.0)).alias(f"c_{i}_{j}") for i, j in _PAIRS))
     far = reduce(F.greatest, (F.abs(y[i]) / F.sqrt(wide[i] + FLOORS[NAMES[i]] ** 2) for i in range(P)))
-    plain = _nearest(rows, spread, [F.lit(0.0), far], scratch)
-    renamed = plain.select("g", *(F.col(f"{c}").alias(c[0] + str(int(c[1]) + 1) + c[2:]) for c in plain.columns if c != "g"))
-    first = spread.select("g", *(F.lit(0.0).alias(f"m0_{i}") for i in range(P)), *((wide[i] if i == j else F.lit(0.0)).alias(f"c0_{i}_{j}") for i, j in _PAIRS))
-    fit = scratch.save(_factor(_joined(first, scratch.save(renamed, "starts")), every), "fit")
+    twice = spread.select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("start"))
+    others = _nearest(rows, scratch.save(twice, "twice"), F.when(F.col("start") == 2, far).otherwise(F.lit(0.0)), scratch)
+    fit = scratch.save(_factor(first.unionByName(others)), "fit")
     for _ in range(FIRST_STEPS):
-        fit = scratch.save(_factor(_nearest(rows, fit, [_distance(y, s) for s in every], scratch), every), "fit")
-    least = F.least(*(F.col(f"e{s}") for s in every))
-    best = lambda c: F.coalesce(*(F.when(F.col(f"e{s}") == least, F.col(c[0] + str(s) + c[2:])) for s in every)).alias(c)
-    fit = scratch.save(fit.select("g", *map(best, _names(0))), "best")
+        fit = scratch.save(_factor(_nearest(rows, fit, _distance(y), scratch)), "fit")
+    best = F.min(F.struct("e", "start", *_FIT[:-1])).alias("x")
+    fit = scratch.save(fit.groupBy("g").agg(best).select("g", "x.start", *(f"x.{c}" for c in _FIT)), "best")
     for _ in range(MOST_STEPS):
-        moments = scratch.save(_nearest(rows, fit, [_distance(y)], scratch), "moments")
-        new = scratch.save(_factor(moments, range(1)), "fit")
-        moved = _joined(new, fit.select("g", F.col("e0").alias("old"))).agg(F.max(F.abs(F.col("e0") - F.col("old")))).first()[0]
+        moments = _nearest(rows, fit, _distance(y), scratch)
+        new = scratch.save(_factor(moments), "fit")
+        moved = _joined(new.select("g", "e"), fit.select("g", F.col("e").alias("old"))).agg(F.max(F.abs(F.col("e") - F.col("old")))).first()[0]
         fit = new
         if moved is None or moved <= STILL:
             break
-    return _factor(moments, range(1), CONSISTENT)
+    return _factor(moments, CONSISTENT).drop("start")
 
 
 def judged(docs: DataFrame, scratch: Scratch, cutoff: float = CUTOFF, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -6,7 +6,8 @@ import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 #: With it set, an SQL execution removes its shuffle files when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -47,13 +48,16 @@ class Scratch:
         self._n += 1
         return f"{self.root}/{self._n:03d}-{name}"
 
-    def save(self, df: DataFrame, name: str, *parts: str) -> DataFrame:
-        """df as a Parquet table, in folders by the columns parts, which must be its last ones."""
-        path = self.path(name)
+    def save(self, df: DataFrame, name: str, *parts: str, **metrics: Column) -> DataFrame:
+        """df as a Parquet table, in folders by the columns parts, which must be its last ones.
+
+        Its rows are counted as they are written, so are aggregates named in metrics; see counted().
+        """
+        path, seen = self.path(name), Observation()
         with self.clean():
-            df.write.partitionBy(*parts).parquet(path)
+            df.observe(seen, F.count(F.lit(1)).alias("rows"), *(c.alias(k) for k, c in metrics.items())).write.partitionBy(*parts).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        out._scratch_path = path
+        out._scratch_path, out._scratch_seen = path, _seen(seen) or out.agg(F.count(F.lit(1)).alias("rows"), *(c.alias(k) for k, c in metrics.items())).first().asDict()
         return out
 
     def save_bucketed(self, df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
@@ -94,14 +98,33 @@ class Scratch:
         p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def small_or_shuffled(df: DataFrame, rows: int) -> DataFrame:
+def _seen(observation: Observation, tries: int = 50) -> dict | None:
+    """What an observation has seen; it comes shortly after the write, or not at all if the plan turned out empty."""
+    for _ in range(tries):
+        if got := observation._jo.getOrEmpty():
+            if got.nonEmpty():
+                return dict(observation.get)
+    return None
+
+
+def counted(df: DataFrame) -> dict | None:
+    """What was counted when df, a scratch table, was written; None of other tables."""
+    return getattr(df, "_scratch_seen", None)
+
+
+def small_or_shuffled(df: DataFrame, rows: int, of: DataFrame | None = None) -> DataFrame:
     """df with a broadcast hint if it has at most so many rows; else unchanged, so that a shuffle join runs.
 
-    df should be a scratch table, since it is counted here.
+    The rows of a scratch table are known, also if it is `of`, of which df is a part; another table is counted here.
     """
-    from pyspark.sql import functions as F
+    seen = counted(df if of is None else of)
+    small = seen["rows"] <= rows if seen else df.limit(rows + 1).count() <= rows
+    return F.broadcast(df) if small else df
+
 
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def is_empty(df: DataFrame) -> bool:
+    seen = counted(df)
+    return not seen["rows"] if seen else df.isEmpty()
 
 
 def partitions(spark: SparkSession) -> int:

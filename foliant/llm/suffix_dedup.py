@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.scratch import Scratch, partitions, small_or_shuffled
+from foliant.llm.scratch import Scratch, is_empty, partitions, small_or_shuffled
 from foliant.llm.textbytes import column_bytes, lists, mix, row_chunks, trimmed
 
 WIDTH, LEAD = 200, 32
@@ -372,7 +372,7 @@ def repeated_spans(docs: DataFrame, batches: int = BATCHES, id_col: str = "doc_i
     texts = _with_texts(docs.select("id0", "th", "text"), wanted, scratch).select("id0", "th", "text", "x")
     contexts = texts.mapInArrow(trimmed(_contexts), "a long, id0 long, th long, p long, once boolean, before binary, after binary")
     hot = scratch.save(one.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("a"), "hot")
-    if hot.isEmpty():
+    if is_empty(hot):
         spans = contexts.repartition(family.buckets, "a").sortWithinPartitions("a", "after").mapInArrow(trimmed(_settle), _SPANS)
     else:
         contexts = scratch.save(contexts, "hotcontexts")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.scratch import Scratch, small_or_shuffled
+from foliant.llm.scratch import Scratch, is_empty, small_or_shuffled
 
 #: JSON schema types by the head of the type name that Spark gives a variant (fixed values).
 TYPES = {"STRING": "string", "BIGINT": "integer", "DECIMAL": "number", "DOUBLE": "number", "FLOAT": "number", "BOOLEAN": "boolean", "ARRAY": "array", "OBJECT": "object", "VOID": "null"}
@@ -33,14 +33,14 @@ def levels(calls: DataFrame, scratch: Scratch) -> DataFrame:
     done = scratch.save(known.join(edges.select(*key).distinct(), key, "left_anti"), "done")
     with scratch.clean():
         done.write.parquet(f"{path}/level=0")
-    while not edges.isEmpty():
+    while not is_empty(edges):
         left = scratch.save(edges.join(done.withColumnRenamed("call_id", "on"), ["conv_id", "on"], "left_anti"), "edges")
         now = scratch.save(edges.select(*key).distinct().join(left.select(*key).distinct(), key, "left_anti"), "done")
         scratch.drop(edges, done)
         edges, done, level = left, now, level + 1
         with scratch.clean():
             done.write.parquet(f"{path}/level={level}")
-        if done.isEmpty():
+        if is_empty(done):
             break
     types = dict(known.dtypes)
     placed = spark.read.schema(f"conv_id {types['conv_id']}, call_id string, level int").parquet(path)
