@@ -18,7 +18,7 @@ from foliant.llm.decontamination import leaks
 from foliant.llm.ngram_jaccard import jaccard_join
 from foliant.llm.pii_crf import mask_documents
 from foliant.llm.quality_rules import quality_rules
-from foliant.llm.scratch import Scratch, small_or_shuffled
+from foliant.llm.scratch import Scratch, is_empty, small_or_shuffled
 
 #: Ids to drop that are broadcast at most; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
@@ -31,7 +31,7 @@ def _numbered(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """
     key = F.col("doc_id").cast("long")
     odd = scratch.save(docs.groupBy(key.alias("_id")).agg(F.count("*").alias("_n")).where("_id is null or _n > 1").select("_id"), "oddids")
-    if odd.isEmpty():
+    if is_empty(odd):
         return docs.withColumn("_row", key)
     top = docs.agg(F.max(key)).first()[0]
     small = small_or_shuffled(odd, BROADCAST_ROWS)
