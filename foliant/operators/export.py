@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+from collections.abc import Callable
 from xml.sax.saxutils import escape
 
 import pandas as pd
@@ -233,14 +234,58 @@ def pdf_bytes(pages: list[list[str]]) -> bytes:
     return out.getvalue()
 
 
-def _zipped(files: dict[str, str]) -> bytes:
+def _zipped(files: dict[str, str | bytes]) -> bytes:
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         for name, text in files.items():
-            z.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>' + text)
+            z.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), text if isinstance(text, bytes) else '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>' + text)
     return out.getvalue()
 
 
+def picture_kind(data: bytes) -> tuple[str, int, int]:
+    """Format, width and height of a PNG or JPEG, from its header; ValueError for anything else."""
+    if data[:8] == b"\x89PNG\r\n\x1a\n" and data[12:16] == b"IHDR" and len(data) >= 33:
+        return "png", int.from_bytes(data[16:20]), int.from_bytes(data[20:24])
+    at = 2
+    while data[:2] == b"\xff\xd8" and at + 9 < len(data) and data[at] == 0xFF:
+        kind, size = data[at + 1], int.from_bytes(data[at + 2 : at + 4])
+        if 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):  # a frame header
+            return "jpeg", int.from_bytes(data[at + 7 : at + 9]), int.from_bytes(data[at + 5 : at + 7])
+        at += 2 + size
+    raise ValueError("neither PNG nor JPEG")
+
+
+def _embeddable(data: bytes, reencode: Callable[[bytes], bytes] | None) -> tuple[bytes, str, int, int]:
+    """data, or what reencode makes of it if it is of another format, with its format and size."""
+    try:
+        return data, *picture_kind(data)
+    except ValueError:
+        if reencode is None:
+            raise
+    data = reencode(data)
+    return data, *picture_kind(data)
+
+
+_A = "http://schemas.openxmlformats.org/drawingml/2006"
+_R = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+_EMU = 914400
+
+
+def _graphic(k: int, cx: int, cy: int, outer: str) -> str:
+    """The picture of relationship p{k}, so large; outer is the prefix of its element."""
+    shape = f'<pic:spPr><a:xfrm><a:off x="0" y="0"/><a:ext cx="{cx}" cy="{cy}"/></a:xfrm><a:prstGeom prst="rect"><a:avLst/></a:prstGeom></pic:spPr>'
+    inside = f'<pic:nvPicPr><pic:cNvPr id="{k}" name="Figure {k}"/><pic:cNvPicPr/></pic:nvPicPr><pic:blipFill><a:blip r:embed="p{k}"/><a:stretch><a:fillRect/></a:stretch></pic:blipFill>{shape}'
+    return f'<pic:pic xmlns:pic="{_A}/picture">{inside}</pic:pic>' if outer == "pic" else f"<{outer}:pic>{inside.replace('pic:', outer + ':')}</{outer}:pic>"
+
+
+def _pictures(pictures: dict[int, tuple[bytes, str]], folder: str) -> tuple[dict[str, bytes], str, str]:
+    """Media files of pictures by number, their relationships, and the content types that they need."""
+    media = {f"{folder}/media/figure{k}.{kind}": data for k, (data, kind) in pictures.items()}
+    base = "../media" if folder == "xl" else "media"
+    links = "".join(f'<Relationship Id="p{k}" Type="{_R}/image" Target="{base}/figure{k}.{kind}"/>' for k, (_, kind) in pictures.items())
+    return media, links, "".join(f'<Default Extension="{kind}" ContentType="image/{kind}"/>' for kind in sorted({kind for _, kind in pictures.values()}))
+
+
 _CLEAN = {c: None for c in range(32) if c not in (9, 10, 13)}
 
 
@@ -248,24 +293,41 @@ def _xml(text) -> str:
     return escape((text or "").translate(_CLEAN))
 
 
-def docx_bytes(blocks: list[dict]) -> bytes:
-    """A DOCX of docx_blocks() rows; pictures appear as their size in inches."""
-    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+def docx_bytes(blocks: list[dict], figures: list[dict] | None = None, reencode: Callable[[bytes], bytes] | None = None) -> bytes:
+    """A DOCX of docx_blocks() rows; figures: n and data of the pictures, which follow their captions in that order.
+
+    A picture that can't be embedded, nor what reencode makes of it, is a note.
+    """
+    w = f'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:r="{_R}" xmlns:wp="{_A}/wordprocessingDrawing" xmlns:a="{_A}/main"'
     run = lambda text, props="": f'<w:r>{f"<w:rPr>{props}</w:rPr>" if props else ""}<w:t xml:space="preserve">{_xml(text)}</w:t></w:r>'
-    body = []
+    left = [f for f in sorted(figures or [], key=lambda f: f["n"]) if f["data"] is not None]
+    body, pictures = [], {}
     for b in blocks:
         if b["kind"] == "heading":
             body.append(f'<w:p><w:pPr><w:pStyle w:val="Heading{b["level"]}"/></w:pPr>{run(b["text"])}</w:p>')
         elif b["kind"] == "grid":
             rows = "".join("<w:tr>" + "".join(f"<w:tc><w:p>{run(c)}</w:p></w:tc>" for c in r) + "</w:tr>" for r in b["cells"])
             body.append(f'<w:tbl><w:tblPr><w:tblStyle w:val="TableGrid"/></w:tblPr>{rows}</w:tbl><w:p/>')
+        elif b["kind"] == "picture" and left:
+            figure = left.pop(0)
+            k = int(figure["n"])
+            try:
+                data, kind, width, height = _embeddable(bytes(figure["data"]), reencode)
+                cx = round(float(b["text"]) * _EMU)
+                cy = round(cx * height / max(width, 1))
+                pictures[k] = data, kind
+                graphic = f'<a:graphic><a:graphicData uri="{_A}/picture">{_graphic(k, cx, cy, "pic")}</a:graphicData></a:graphic>'
+                body.append(f'<w:p><w:r><w:drawing><wp:inline><wp:extent cx="{cx}" cy="{cy}"/><wp:docPr id="{k}" name="Figure {k}"/>{graphic}</wp:inline></w:drawing></w:r></w:p>')
+            except Exception as e:
+                body.append(f"<w:p>{run(f'[Figure {k}: could not embed image ({e})]')}</w:p>")
         else:
-            text = f"[picture, {b['text']} in]" if b["kind"] == "picture" else b["text"]
-            body.append(f'<w:p>{run(text, {"bold": "<w:b/>", "note": "<w:i/>"}.get(b["kind"], ""))}</w:p>')
+            body.append(f'<w:p>{run(b["text"], {"bold": "<w:b/>", "note": "<w:i/>"}.get(b["kind"], ""))}</w:p>')
+    media, links, types = _pictures(pictures, "word")
     return _zipped({
-        "[Content_Types].xml": '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/></Types>',
+        "[Content_Types].xml": f'<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/>{types}<Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/></Types>',
         "_rels/.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="word/document.xml"/></Relationships>',
         "word/document.xml": f"<w:document {w}><w:body>{''.join(body)}</w:body></w:document>",
+        **({"word/_rels/document.xml.rels": f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{links}</Relationships>'} if links else {}), **media,
     })
 
 
@@ -277,8 +339,25 @@ def _letter(col: int) -> str:
     return out
 
 
-def xlsx_bytes(cells: list[dict]) -> bytes:
-    """An XLSX of xlsx_cells() rows, with inline strings."""
+def xlsx_bytes(cells: list[dict], figures: list[dict] | None = None) -> bytes:
+    """An XLSX of xlsx_cells() rows, with inline strings; figures: n and data of the pictures, which stand where their cells are.
+
+    A picture that can't be embedded leaves a note in its cell.
+    """
+    pictures, anchors = {}, []
+    places = {f["n"]: (f["n"] - 1) * FIGURE_ROWS + 4 for f in figures or [] if f["data"] is not None}
+    for f in figures or []:
+        if f["data"] is None:
+            continue
+        cell = next((c for c in cells if c["sheet"] == "Figures" and c["row"] == places[f["n"]] and c["col"] == 1), None)
+        try:
+            data, kind, width, height = _embeddable(bytes(f["data"]), None)
+            shrink = min(1.0, XLSX_PIXELS / max(width, 1))
+            pictures[int(f["n"])] = data, kind
+            anchors.append((int(f["n"]), places[f["n"]] - 1, int(width * shrink) * 9525, int(height * shrink) * 9525))
+            cells = [c for c in cells if c is not cell]
+        except Exception:
+            cells = [c | {"value": "[image could not be embedded]"} if c is cell else c for c in cells]
     names = [n for n in ("Sections", "Tables", "Figures") if any(c["sheet"] == n for c in cells)]
     main, doc = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
     files = {
@@ -295,12 +374,26 @@ def xlsx_bytes(cells: list[dict]) -> bytes:
                 rows.setdefault(c["row"], []).append(c)
         put = lambda c: f'<c r="{_letter(c["col"])}{c["row"]}" t="inlineStr"{" s=\"1\"" if c["bold"] else ""}><is><t xml:space="preserve">{_xml(c["value"])}</t></is></c>'
         data = "".join(f'<row r="{r}">' + "".join(put(c) for c in sorted(cs, key=lambda c: c["col"])) + "</row>" for r, cs in sorted(rows.items()))
-        files[f"xl/worksheets/sheet{i}.xml"] = f'<worksheet xmlns="{main}"><sheetData>{data}</sheetData></worksheet>'
+        drawing = f'<drawing xmlns:r="{_R}" r:id="d1"/>' if name == "Figures" and pictures else ""
+        files[f"xl/worksheets/sheet{i}.xml"] = f'<worksheet xmlns="{main}"><sheetData>{data}</sheetData>{drawing}</worksheet>'
+        if drawing:
+            package = "http://schemas.openxmlformats.org/package/2006/relationships"
+            media, links, types = _pictures(pictures, "xl")
+            anchor = lambda k, row, cx, cy: f'<x:oneCellAnchor><x:from><x:col>0</x:col><x:colOff>0</x:colOff><x:row>{row}</x:row><x:rowOff>0</x:rowOff></x:from><x:ext cx="{cx}" cy="{cy}"/>{_graphic(k, cx, cy, "x")}<x:clientData/></x:oneCellAnchor>'
+            files[f"xl/worksheets/_rels/sheet{i}.xml.rels"] = f'<Relationships xmlns="{package}"><Relationship Id="d1" Type="{_R}/drawing" Target="../drawings/drawing1.xml"/></Relationships>'
+            files["xl/drawings/drawing1.xml"] = f'<x:wsDr xmlns:x="{_A}/spreadsheetDrawing" xmlns:a="{_A}/main" xmlns:r="{_R}">{"".join(anchor(*a) for a in anchors)}</x:wsDr>'
+            files["xl/drawings/_rels/drawing1.xml.rels"] = f'<Relationships xmlns="{package}">{links}</Relationships>'
+            overrides = f'{types}<Override PartName="/xl/drawings/drawing1.xml" ContentType="application/vnd.openxmlformats-officedocument.drawing+xml"/></Types>'
+            files["[Content_Types].xml"] = files["[Content_Types].xml"].replace("</Types>", overrides)
+            files |= media
     return _zipped(files)
 
 
-def render(docs: DataFrame, format_: str) -> DataFrame:
-    """(doc_id, filename, mime, bytes) of each document; an unknown format is an error."""
+def render(docs: DataFrame, format_: str, reencode: Callable[[bytes], bytes] | None = None) -> DataFrame:
+    """(doc_id, filename, mime, bytes) of each document; an unknown format is an error.
+
+    reencode makes a PNG of a picture of another format, for DOCX.
+    """
     if format_ not in MIME:
         raise ValueError(f"unknown export format: {format_!r}")
     if format_ == "pdf":
@@ -308,16 +401,20 @@ def render(docs: DataFrame, format_: str) -> DataFrame:
     else:
         rows = docx_blocks(docs) if format_ == "docx" else xlsx_cells(docs)
 
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+    def build(pdf: pd.DataFrame, figures: list[dict]) -> pd.DataFrame:
         if format_ == "pdf":
             pdf = pdf.sort_values(["page", "at"])
             data = pdf_bytes([list(g["line"]) for _, g in pdf.groupby("page")])
         elif format_ == "docx":
-            data = docx_bytes(pdf.sort_values("ord").to_dict("records"))
+            data = docx_bytes(pdf.sort_values("ord").to_dict("records"), figures, reencode)
         else:
-            data = xlsx_bytes(pdf.to_dict("records"))
+            data = xlsx_bytes(pdf.to_dict("records"), figures)
         return pd.DataFrame({"doc_id": [pdf["doc_id"].iloc[0]], "bytes": [data]})
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    made = rows.groupBy("doc_id").applyInPandas(build, f"doc_id {kind}, bytes binary")
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, bytes binary"
+    if format_ == "pdf" or "figures" not in docs.columns:
+        made = rows.groupBy("doc_id").applyInPandas(lambda pdf: build(pdf, []), schema)
+    else:
+        pictures = docs.select(F.col("doc_id").alias("of"), F.posexplode("figures").alias("n", "f")).select("of", (F.col("n") + 1).alias("n"), "f.data")
+        made = rows.groupBy("doc_id").cogroup(pictures.groupBy("of")).applyInPandas(lambda pdf, found: build(pdf, [{"n": int(r["n"]), "data": r["data"]} for r in found.to_dict("records")]), schema)
     return made.select("doc_id", filename(F.col("doc_id"), F.lit(format_)).alias("filename"), F.lit(MIME[format_]).alias("mime"), "bytes")

@@ -242,10 +242,13 @@ def search_empty(spark, d):
     return search.search(_records(spark, d), "the of and").select("doc_id", "source", "rank")
 
 
-@query("WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{Nd}]+')) AS lexeme FROM documents) SELECT lexeme, count(DISTINCT doc_id) AS df, count(*) AS tf FROM t WHERE lexeme IN ('clown', 'license', 'version', 'token', 'pathetic') GROUP BY lexeme")
+#: The English stop words that are made of letters alone (fixed values).
+STOPS = "a about above after again against all am an and any are as at be because been before being below between both but by can cannot could did do does doing don down during each few for from further had has have having he her here hers herself him himself his how i if in into is it its itself just me more most my myself no nor not now of off on once only or other ought our ours ourselves out over own s same she should so some such t than that the their theirs them themselves then there these they this those through to too under until up very was we were what when where which while who whom why will with would you your yours yourself yourselves"
+
+
+@query(f"WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{Nd}}]+')) AS lexeme FROM documents) SELECT lexeme, count(DISTINCT doc_id) AS df, count(*) AS tf FROM t WHERE NOT list_contains(string_split('{STOPS}', ' '), lexeme) GROUP BY lexeme")
 def postings_stats(spark, d):
-    p = search.postings(documents(spark, d)).where(F.col("lexeme").isin("clown", "license", "version", "token", "pathetic"))
-    return p.groupBy("lexeme").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    return search.postings(documents(spark, d)).groupBy("lexeme").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
 
 @query()
@@ -271,6 +274,11 @@ def highlight_parse(spark, d):
 STATUS = "['QUEUED', 'PROCESSING', 'DONE', 'FAILED'][doc_id % 4 + 1]"
 
 
+@query(_search_sql(["clown", "worthless"], "LIMIT 20").replace("SELECT doc_id, source, round", f"SELECT doc_id, source, {STATUS} AS status, CAST(created_at AS TIMESTAMP) AS created_at, round"))
+def search_summary(spark, d):
+    return sinks.summary(search.search(_records(spark, d), "the CLOWN, worthless"))
+
+
 @query(f"SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 422 WHEN doc_id % 5 = 0 THEN 404 WHEN {STATUS} <> 'DONE' THEN 409 ELSE 200 END AS code FROM documents")
 def export_gate(spark, d):
     i = F.col("doc_id")
@@ -436,20 +444,20 @@ def region_type(spark, d):
     return _stats(spark, d).select("doc_id", regions.region_type().alias("detected"), regions.native_type().alias("embedded"))
 
 
-@query("WITH i AS (SELECT doc_id % 20 AS doc, doc_id % 7 AS page, doc_id AS ord, [round_even((doc_id % 11) / 2.0, 0), 1, 2, 3] AS p, md5(left(text, 12)) AS h, doc_id % 9 <> 0 AS ok FROM documents), a AS (SELECT *, row_number() OVER (PARTITION BY doc, page, p ORDER BY ord) AS n FROM i), b AS (SELECT * EXCLUDE n, row_number() OVER (PARTITION BY doc, h ORDER BY page, ord) AS n FROM a WHERE n = 1), c AS (SELECT doc, page, ord, row_number() OVER (PARTITION BY doc ORDER BY page, ord) AS n FROM b WHERE n = 1 AND ok) SELECT CAST(doc AS BIGINT) AS doc_id, page, ord FROM c WHERE n <= 12")
+@query("WITH i AS (SELECT doc_id % 20 AS doc, doc_id % 7 AS page, doc_id AS ord, [round_even((doc_id % 11) / 2.0, 0), 1, 2, 3] AS p, md5(text) AS h, doc_id % 9 <> 0 AS ok FROM documents), a AS (SELECT *, row_number() OVER (PARTITION BY doc, page, p ORDER BY ord) AS n FROM i), b AS (SELECT * EXCLUDE n, row_number() OVER (PARTITION BY doc, h ORDER BY page, ord) AS n FROM a WHERE n = 1), c AS (SELECT doc, page, ord, row_number() OVER (PARTITION BY doc ORDER BY page, ord) AS n FROM b WHERE n = 1 AND ok) SELECT CAST(doc AS BIGINT) AS doc_id, page, ord FROM c WHERE n <= 12")
 def embedded_dedupe(spark, d):
     i = F.col("doc_id")
-    rows = documents(spark, d).select((i % 20).alias("doc_id"), (i % 7).alias("page"), i.alias("ord"), F.array((i % 11) / 2.0, F.lit(1.0), F.lit(2.0), F.lit(3.0)).alias("bbox"), F.left("text", F.lit(12)).cast("binary").alias("content"), (i % 9 != 0).alias("decodable"))
+    rows = documents(spark, d).select((i % 20).alias("doc_id"), (i % 7).alias("page"), i.alias("ord"), F.array((i % 11) / 2.0, F.lit(1.0), F.lit(2.0), F.lit(3.0)).alias("bbox"), F.col("text").cast("binary").alias("content"), (i % 9 != 0).alias("decodable"))
     return regions.embedded_images(rows).select("doc_id", "page", "ord")
 
 
-CANDIDATES = "SELECT doc_id % 30 AS doc, doc_id % 3 AS page, doc_id AS ord, doc_id * 3 % 400 AS x, doc_id * 7 % 500 AS y, doc_id * 37 % 900 AS w, doc_id * 41 % 300 AS h, doc_id % 8 AS h_lines, doc_id * 5 % 9 AS v_lines, doc_id % 13 AS joints, doc_id * 11 % 100 AS colour, doc_id * 13 % 110 AS sat, (doc_id * 17 % 100) / 100.0::DOUBLE AS white, left(text, 16) AS text FROM documents"
+CANDIDATES = "SELECT doc_id % 30 AS doc, doc_id % 3 AS page, doc_id AS ord, doc_id * 3 % 400 AS x, doc_id * 7 % 500 AS y, doc_id * 37 % 900 AS w, doc_id * 41 % 300 AS h, doc_id % 8 AS h_lines, doc_id * 5 % 9 AS v_lines, doc_id % 13 AS joints, doc_id * 11 % 100 AS colour, doc_id * 13 % 110 AS sat, (doc_id * 17 % 100) / 100.0::DOUBLE AS white, text FROM documents"
 
 
 def _candidates(spark, d):
     i = F.col("doc_id")
     cols = {"page": i % 3, "ord": i, "x": i * 3 % 400, "y": i * 7 % 500, "w": i * 37 % 900, "h": i * 41 % 300, "h_lines": i % 8, "v_lines": i * 5 % 9, "joints": i % 13, "colorfulness": i * 11 % 100, "mean_sat": i * 13 % 110, "white_frac": (i * 17 % 100) / 100.0}
-    return documents(spark, d).select((i % 30).alias("doc_id"), *(v.alias(k) for k, v in cols.items()), F.lit(1_000_000).alias("page_area"), F.lit(0.5).alias("scale"), F.left("text", F.lit(16)).alias("text"))
+    return documents(spark, d).select((i % 30).alias("doc_id"), *(v.alias(k) for k, v in cols.items()), F.lit(1_000_000).alias("page_area"), F.lit(0.5).alias("scale"), F.col("text"))
 
 
 @query(f"SELECT ord, CASE WHEN w * h < 10000 OR w < 60 OR h < 40 OR h_lines < 2 OR v_lines < 2 OR joints < 4 THEN 'too small' WHEN colour > 60 AND sat > 75 THEN 'coloured' WHEN white < 0.2::DOUBLE THEN 'dark' WHEN v_lines + 1 >= 5 AND h_lines + 1 <= v_lines + 4 AND h_lines + 1 <= 12 THEN 'form grid' END AS reason FROM ({CANDIDATES})")
@@ -524,14 +532,47 @@ def crop_resolution(spark, d):
     return sinks.resolved(docs.select("doc_id", key.alias("storage_key")), stored.union(stored)).select("doc_id", F.md5("data").alias("data_md5"))
 
 
-@query(f"SELECT doc_id, source, {STATUS} AS status, CAST({CREATED} AS TIMESTAMP) AS created_at FROM documents WHERE doc_id % 10 = 3")
+@query(f"SELECT doc_id, source, {STATUS} AS status, CAST({CREATED} AS TIMESTAMP) AS created_at FROM documents")
 def record_projection(spark, d):
-    return sinks.record(_records(spark, d).where("doc_id % 10 = 3"))
+    return sinks.record(_records(spark, d))
 
 
-@query(f"SELECT doc_id, source, {STATUS} AS status, CAST({CREATED} AS TIMESTAMP) AS created_at FROM documents")
-def record_projection_all(spark, d):
-    return sinks.record(_records(spark, d))
+@query("SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS text FROM documents")
+def page_concat(spark, d):
+    return documents(spark, d).select("doc_id", files.scanned_text(F.split("text", "\n")).alias("text"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'unknown' ELSE source END AS source FROM documents")
+def source_default(spark, d):
+    label = F.when(F.col("doc_id") % 6 == 0, "  ").when(F.col("doc_id") % 3 != 0, F.concat(F.lit(" "), F.col("source")))
+    rows = documents(spark, d).select(F.col("doc_id").cast("string").alias("path"), F.lit(1).alias("length"), F.lit(b"x").alias("content"), label.alias("label"))
+    return files.intake(rows, F.col("label")).select(F.col("name").cast("long").alias("doc_id"), "source")
+
+
+@query("WITH r AS (SELECT doc_id % 30 AS doc, doc_id % 3 AS page, doc_id AS ord, doc_id * 37 % 900 AS w, doc_id * 41 % 300 AS h FROM documents) SELECT CAST(doc AS BIGINT) AS doc_id, page, ord FROM (SELECT *, row_number() OVER (PARTITION BY doc, page ORDER BY w * h DESC, ord) AS n FROM r) WHERE n <= 12")
+def region_top12(spark, d):
+    return regions.largest(_candidates(spark, d), F.col("w") * F.col("h"), regions.DETECTED, "doc_id", "page").select("doc_id", "page", "ord")
+
+
+@query("SELECT doc_id, ['DCTDecode', 'JPXDecode', 'FlateDecode', NULL][doc_id % 4 + 1] AS name, CASE doc_id % 4 WHEN 0 THEN 'jpg' WHEN 1 THEN 'jp2' ELSE 'png' END AS format FROM documents")
+def embedded_format(spark, d):
+    i = F.col("doc_id")
+    filters = F.when(i % 4 == 0, F.array(F.lit("/FlateDecode"), F.lit("/DCTDecode"))).when(i % 4 == 1, F.array(F.lit("JPXDecode"))).when(i % 4 == 2, F.array(F.lit("/FlateDecode")))
+    name, form = regions.embedded_format(filters)
+    return documents(spark, d).select("doc_id", name.alias("name"), form.alias("format"))
+
+
+@query("WITH b AS (SELECT doc_id, doc_id % 700 - 50.0::DOUBLE AS x, doc_id % 11 * 20.0::DOUBLE AS w FROM documents), c AS (SELECT doc_id, greatest(0.0::DOUBLE, least(x, 612.0::DOUBLE)) AS x0, greatest(0.0::DOUBLE, least(x + w, 612.0::DOUBLE)) AS x1 FROM b) SELECT doc_id, CASE WHEN x1 - x0 >= 1 THEN x0 END AS x0, CASE WHEN x1 - x0 >= 1 THEN x1 END AS x1, CASE WHEN x1 - x0 >= 1 THEN CAST(round((x1 - x0) * 200 / 72) AS INT) END AS width FROM c")
+def render_box(spark, d):
+    x, w = (F.col("doc_id") % 700 - 50).cast("double"), (F.col("doc_id") % 11 * 20).cast("double")
+    box = regions.render_box(F.array(x, F.lit(10.0), x + w, F.lit(900.0)), F.lit(612.0), F.lit(792.0))
+    return documents(spark, d).select("doc_id", box.alias("b")).select("doc_id", "b.x0", "b.x1", "b.width")
+
+
+@query("SELECT doc_id, [round(doc_id / 7.0::DOUBLE, 2), round(doc_id / 3.0::DOUBLE, 2)] AS bbox, base64(encode(text)) AS image_base64 FROM documents")
+def region_payload(spark, d):
+    box = F.array(F.col("doc_id") / F.lit(7.0), F.col("doc_id") / F.lit(3.0))
+    return documents(spark, d).select("doc_id", regions.region_payload(box, F.col("text").cast("binary")).alias("p")).select("doc_id", "p.*")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -19,9 +19,15 @@ PAYLOAD = f"text string, text_source string, tables array<array<array<string>>>,
 
 
 def discover(spark: SparkSession, root: str) -> DataFrame:
-    """Files under root with a known suffix, any case, in order of path."""
+    """Files under root with a known suffix, any case, in order of path; without their bytes, which contents() adds."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return files.where(F.col("path").rlike(rf"(?i)\.({'|'.join(SUFFIXES)})$")).orderBy("path")
+    return files.where(F.col("path").rlike(rf"(?i)\.({'|'.join(SUFFIXES)})$")).select("path", "modificationTime", "length").orderBy("path")
+
+
+def contents(spark: SparkSession, root: str) -> DataFrame:
+    """The same files, unordered, with their content."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return files.where(F.col("path").rlike(rf"(?i)\.({'|'.join(SUFFIXES)})$"))
 
 
 def storage_key(doc_id: Column, name: Column) -> Column:
@@ -68,21 +74,36 @@ def scanned_text(pages: Column) -> Column:
     return F.array_join(pages, "\n\n")
 
 
+def _read(column: Column, kind) -> tuple[Column, Column]:
+    """Page texts and error of what a column function gave: an array of texts, or a struct<pages,error> as isolated() makes."""
+    if kind.simpleString().startswith("struct"):
+        return column["pages"], column["error"]
+    return column, F.lit(None).cast("string")
+
+
 def extract(files: DataFrame, native: Callable | None, recognise: Callable) -> DataFrame:
     """files (doc_id, name, content) to doc_id, text, text_source and error.
 
-    native and recognise are column functions of (name, content) that give page texts, array<string>, of PDFs and of scans.
-    Only files whose native text is too short, or that are no PDFs, go to recognise. Empty files are errors.
+    native and recognise are column functions of (name, content) that give page texts, array<string>, or struct<pages,error>
+    as recognisers.isolated() makes them. Each is planned once: a file that isn't one for it comes to it with null content,
+    which is to give null. So native sees PDFs only, and recognise what has no native text. An error of native is no error of
+    the file, which is then recognised; an empty file, and one of which nothing was recognised, is one.
     """
-    rows = files.withColumn("_n", native_text(native(F.col("name"), F.col("content"))) if native else F.lit(None).cast("string"))
-    rows = rows.withColumn("_n", F.when(is_pdf(F.col("name"), F.col("content")), F.col("_n")))
-    bad = F.coalesce(F.length("content"), F.lit(0)) == 0
-    out = ["doc_id", "text", "text_source", "error"]
-    empty = rows.where(bad).select("doc_id", F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("text_source"), F.lit("empty file").alias("error"))
-    ready = rows.where(~bad & F.col("_n").isNotNull()).select("doc_id", F.col("_n").alias("text"), F.lit("native_pdf").alias("text_source"), F.lit(None).cast("string").alias("error"))
-    read = rows.where(~bad & F.col("_n").isNull()).withColumn("text", scanned_text(recognise(F.col("name"), F.col("content"))))
-    read = read.select("doc_id", "text", F.when(F.col("text").isNotNull(), "ocr").alias("text_source"), F.when(F.col("text").isNull(), "nothing was recognised").alias("error"))
-    return empty.select(out).union(ready.select(out)).union(read.select(out))
+    rows = files.withColumn("_bad", F.coalesce(F.length("content"), F.lit(0)) == 0)
+    if native:
+        rows = rows.withColumn("_native", native(F.col("name"), F.when(~F.col("_bad") & is_pdf(F.col("name"), F.col("content")), F.col("content"))))
+        pages, _ = _read(F.col("_native"), rows.schema["_native"].dataType)
+        rows = rows.withColumn("_n", F.when(is_pdf(F.col("name"), F.col("content")), native_text(pages)))
+    else:
+        rows = rows.withColumn("_n", F.lit(None).cast("string"))
+    rows = rows.withColumn("_read", recognise(F.col("name"), F.when(~F.col("_bad") & F.col("_n").isNull(), F.col("content"))))
+    pages, error = _read(F.col("_read"), rows.schema["_read"].dataType)
+    scanned = F.when(~F.col("_bad") & F.col("_n").isNull(), scanned_text(pages))
+    rows = rows.withColumn("_scan", scanned).withColumn("_error", error)
+    found = F.col("_n").isNotNull()
+    problem = F.when(F.col("_bad"), F.lit("empty file")).when(~found, F.coalesce("_error", F.when(F.col("_scan").isNull(), F.lit("nothing was recognised"))))
+    ok = problem.isNull()
+    return rows.select("doc_id", F.when(ok, F.coalesce("_n", "_scan")).alias("text"), F.when(ok, F.when(found, "native_pdf").otherwise("ocr")).alias("text_source"), problem.alias("error"))
 
 
 def payload(json: Column) -> Column:
@@ -96,12 +117,20 @@ def payload(json: Column) -> Column:
     return F.struct(F.coalesce(x["text"], F.lit("")).alias("text"), F.coalesce(x["text_source"], F.lit("ocr")).alias("text_source"), F.coalesce(x["tables"], F.array().cast("array<array<array<string>>>")).alias("tables"), regions.alias("table_regions"), images.alias("images"))
 
 
-def lang_outcome(lang: Column, installed: list[str]) -> Column:
-    """ok; `422` for a shape other than codes joined by +; else `400:` and the sorted codes that aren't installed."""
-    missing = F.array_sort(F.array_distinct(F.array_except(F.split(lang, r"\+"), F.array(*map(F.lit, installed)))))
+def lang_outcome(lang: Column, installed: list[str] | None) -> Column:
+    """ok; `422` for a shape other than codes joined by +; else `400:` and the sorted codes that aren't installed.
+
+    installed is what a probe of the recogniser gave; None, a probe that failed, leaves English alone.
+    """
+    have = F.array(*map(F.lit, ["eng"] if installed is None else installed)).cast("array<string>")
+    missing = F.array_sort(F.array_distinct(F.array_except(F.split(lang, r"\+"), have)))
     return F.when(~F.coalesce(lang.rlike(LANG), F.lit(False)), "422").when(F.size(missing) > 0, F.concat(F.lit("400:"), F.array_join(missing, ","))).otherwise("ok")
 
 
-def check_ocr(psm: int = 6) -> None:
-    if psm not in PSM:
+def check_ocr(psm: int = 6, extract_images: bool = True) -> dict:
+    """The recogniser's parameters; one out of range is an error."""
+    if isinstance(psm, bool) or psm not in PSM:
         raise ValueError("psm must be 0 to 13")
+    if not isinstance(extract_images, bool):
+        raise ValueError("extract_images must be true or false")
+    return {"psm": psm, "extract_images": extract_images}

@@ -72,7 +72,7 @@ def test_export_files_of_all_documents(spark, tmp_path):
 def test_record_projection_of_all_documents(spark, small):
     from foliant.plans import catalog
 
-    assert catalog.QUERIES["record_projection_all"](spark, small).count() == catalog.documents(spark, small).count()
+    assert catalog.QUERIES["record_projection"](spark, small).count() == catalog.documents(spark, small).count()
 
 
 def test_wrap_and_sizes(spark):
