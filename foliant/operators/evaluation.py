@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,6 +63,55 @@ def report_lines(stats: DataFrame) -> DataFrame:
     return stats.select("overall", "category", F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line")).orderBy(F.desc("overall"), "category")
 
 
+def report_json(stats: DataFrame) -> DataFrame:
+    """(overall, category, line): each row of statistics as a JSON object with its columns' names, nulls kept; the one for all comes first."""
+    figures = F.struct(*(F.col(c) for c in stats.columns if c != "overall"))
+    return stats.select("overall", "category", F.to_json(figures, {"ignoreNullFields": "false"}).alias("line")).orderBy(F.desc("overall"), "category")
+
+
+def timed(call):
+    """A column function of (name, content) as recognisers.isolated() makes it, that also measures seconds: struct<pages,error,seconds>."""
+    from foliant.sources.recognisers import message
+
+    @F.pandas_udf("pages array<string>, error string, seconds double")
+    def run(names: pd.Series, contents: pd.Series) -> pd.DataFrame:
+        out = []
+        for name, content in zip(names, contents, strict=True):
+            began = time.perf_counter()
+            try:
+                pages, error = (None, None) if content is None else (list(call(name, bytes(content))), None)
+            except Exception as e:
+                pages, error = None, message(e)
+            out.append((pages, error, None if content is None else time.perf_counter() - began))
+        return pd.DataFrame(out, columns=["pages", "error", "seconds"], dtype=object)
+
+    return run
+
+
+def evaluate(files: DataFrame, native, recognise, confidence: DataFrame | None = None) -> DataFrame:
+    """Rows for report() of files (path, name, content): each is read, timed, and structured, and its figures are taken anew.
+
+    path is under the samples' root, and gives the category. native (or None) and recognise are Python functions of (name,
+    content) that return page texts; what they raise is the file's error. confidence: (doc_id, confidence), as word_confidence()
+    makes it; doc_id is the path. The rows are worth writing before a report, so that nothing is read twice.
+    """
+    from foliant.operators.structure import parse_structure
+    from foliant.sources.files import is_pdf, native_text, scanned_text
+
+    rows = files.select(F.col("path").alias("doc_id"), "name", "content").withColumn("_pdf", is_pdf(F.col("name"), F.col("content")))
+    none = F.lit(None).cast("struct<pages:array<string>,error:string,seconds:double>")
+    rows = rows.withColumn("_n", timed(native)("name", F.when(F.col("_pdf"), F.col("content"))) if native else none)
+    rows = rows.withColumn("_text", F.when(F.col("_pdf"), native_text(F.col("_n.pages"))))
+    rows = rows.withColumn("_r", timed(recognise)("name", F.when(F.col("_text").isNull(), F.col("content"))))
+    text, used = F.coalesce("_text", scanned_text(F.col("_r.pages"))), F.col("_text").isNotNull()
+    read = rows.select("doc_id", "name", text.alias("text"), used.alias("native"), text.isNull().alias("failed"), F.coalesce("_r.error", F.when(text.isNull(), F.lit("nothing was recognised"))).alias("error"), (F.coalesce("_n.seconds", F.lit(0.0)) + F.coalesce("_r.seconds", F.lit(0.0))).alias("seconds"))
+    parsed = parse_structure(read.select("doc_id", "text", F.when(~F.col("native"), "ocr").alias("text_source")))
+    out = read.join(parsed, "doc_id", "left")
+    out = out.withColumn("confidence", F.lit(None).cast("double")) if confidence is None else out.join(confidence, "doc_id", "left")
+    marks = flags(F.col("confidence"), F.col("text"), F.size("structure.sections"), F.size("structure.tables"), F.col("failed"))
+    return out.select(F.col("doc_id").alias("filename"), category(F.col("doc_id")).alias("category"), path_taken(F.col("name"), F.col("native"), F.col("failed")).alias("path_taken"), F.when(~F.col("failed"), F.col("seconds")).alias("seconds"), F.when(~F.col("failed"), F.col("confidence")).alias("confidence"), marks.alias("flags"), "failed", "error")
+
+
 def detail(rows: DataFrame) -> DataFrame:
     """The listing by category and file."""
     return rows.orderBy("category", "filename")

@@ -8,6 +8,7 @@ Spark's English list.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import pandas as pd
 from pyspark.ml.feature import StopWordsRemover
@@ -32,6 +33,11 @@ def tokens(text: Column, stops: list[str]) -> Column:
     return F.filter(words, lambda w: ~w.isin(stops))
 
 
+@F.pandas_udf(StringType())
+def _stem(words: pd.Series) -> pd.Series:
+    return words.map(porter)
+
+
 @F.pandas_udf(ArrayType(StringType()))
 def _stemmed(words: pd.Series) -> pd.Series:
     return words.map(lambda ws: [porter(w) for w in ws])
@@ -40,8 +46,12 @@ def _stemmed(words: pd.Series) -> pd.Series:
 def postings(docs: DataFrame, stemmed: bool = False) -> DataFrame:
     """(doc_id, lexeme, tf): the inverted table that a search joins instead of scanning texts."""
     words = tokens(F.col("text"), stop_words(docs.sparkSession))
-    words = _stemmed(words) if stemmed else words
-    return docs.where("text is not null").select("doc_id", F.explode(words).alias("lexeme")).groupBy("doc_id", "lexeme").agg(F.count("*").alias("tf"))
+    counted = docs.where("text is not null").select("doc_id", F.explode(words).alias("lexeme")).groupBy("doc_id", "lexeme").agg(F.count("*").alias("tf"))
+    if not stemmed:
+        return counted
+    # each distinct lexeme is stemmed once
+    stems = counted.select("lexeme").distinct().withColumn("stem", _stem("lexeme"))
+    return counted.join(stems, "lexeme").groupBy("doc_id", F.col("stem").alias("lexeme")).agg(F.sum("tf").alias("tf"))
 
 
 def query_terms(spark, query: str, stemmed: bool = False) -> list[str]:
@@ -72,7 +82,11 @@ def search(docs: DataFrame, query: str, limit: int = USUAL, offset: int = 0, ste
     spark = docs.sparkSession
     terms = query_terms(spark, query, stemmed)
     words = tokens(F.col("text"), stop_words(spark))
-    words = _stemmed(words) if stemmed else words
+    if stemmed:
+        # a stem, but for its last letter, begins the word, so only such words of only such documents are stemmed
+        likely = F.filter(words, lambda w: reduce(lambda a, b: a | b, (w.startswith(t[:-1]) for t in terms), F.lit(False)))
+        docs = docs.withColumn("_l", likely).where(F.size("_l") >= max(1, len(terms)))
+        words = _stemmed("_l")
     # terms are few: each document counts them in its own row, so nothing is shuffled before the top of the page
     hits = docs.where("text is not null").withColumn("_w", F.filter(words, lambda w: w.isin(terms) if terms else F.lit(False)))
     counts = [_count("_w", t) for t in terms]
@@ -80,10 +94,23 @@ def search(docs: DataFrame, query: str, limit: int = USUAL, offset: int = 0, ste
     match = F.lit(bool(terms))
     for c in counts:
         match = match & (c > 0)
-    ranked = hits.where(match).withColumn("rank", F.round(rank, 6)).drop("_w")
+    ranked = hits.where(match).withColumn("rank", F.round(rank, 6)).drop("_w", "_l")
     return ranked.orderBy(F.desc("rank"), F.desc("created_at"), "doc_id").offset(offset).limit(limit)
 
 
+def search_postings(index: DataFrame, docs: DataFrame, query: str, limit: int = USUAL, offset: int = 0, stemmed: bool = False) -> DataFrame:
+    """What search() gives, by an inverted table as postings() makes it: only the query's lexemes are read, and no text.
+
+    docs: (doc_id, created_at, …), of which only the documents that hold all terms are looked up.
+    """
+    check_page(query, limit, offset)
+    terms = query_terms(docs.sparkSession, query, stemmed)
+    mine = index.where(F.col("lexeme").isin(terms) if terms else F.lit(False))
+    rank = F.round(F.sum(F.col("tf") / (F.col("tf") + F.lit(1.0))), 6)
+    hits = mine.groupBy("doc_id").agg(F.count("*").alias("_n"), rank.alias("rank")).where(F.col("_n") == len(terms)).drop("_n")
+    return docs.join(hits, "doc_id").orderBy(F.desc("rank"), F.desc("created_at"), "doc_id").offset(offset).limit(limit)
+
+
 def headline(terms: list[str], stemmed: bool = False):
     """Column function: the words around the densest hits, at most MAX_WORDS, hits in <b> marks; null text gives an empty one."""
     wanted = frozenset(terms)

@@ -78,10 +78,17 @@ def parse_structure(docs: DataFrame) -> DataFrame:
     native, ruled = F.coalesce(F.size("native_tables") > 0, F.lit(False)), F.coalesce(F.size("ruled_regions") > 0, F.lit(False))
     on = (default(F.col("text_source"), "") != "ocr") & ~native & ~ruled
     rows = lines(docs, on)
-    secs = sections(rows).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("part", "title", "content"))).alias("s"))
-    found = heuristic_tables(rows).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("table_no", "raw_lines", "rows"))).alias("t"))
+    # the lines are made once: those of a section or table meet, then those of a document, all in the partition of its id
+    number = F.when(F.col("is_table"), F.col("island")).otherwise(F.col("part")).alias("no")
+    title = F.max(F.when(F.col("is_header"), title_of(F.col("s")))).alias("title")
+    body = F.array_join(_joined("s", ~F.col("is_table") & ~F.col("is_header")), "\n").alias("content")
+    table = F.array_sort(F.collect_list(F.when(F.col("is_table"), F.struct("pos", "raw", "s")))).alias("l")
+    blocks = rows.groupBy("doc_id", "is_table", number).agg(title, body, table)
+    section = F.when(~F.col("is_table") & ((F.col("no") > 0) | (F.col("content") != "")), F.struct("no", F.coalesce("title", F.lit(GENERAL)).alias("title"), "content"))
+    grid = F.when(F.col("is_table"), F.struct("no", F.transform("l", lambda x: x["raw"]).alias("raw_lines"), F.transform("l", lambda x: row_cells(x["s"])).alias("rows")))
+    found = blocks.groupBy("doc_id").agg(F.array_sort(F.collect_list(section)).alias("s"), F.array_sort(F.collect_list(grid)).alias("t"))
     none = F.array().cast(f"array<{TABLE}>")
     guessed = F.transform("t", lambda x: F.struct(F.lit("heuristic").alias("source"), x["raw_lines"].alias("raw_lines"), x["rows"].alias("rows"), F.lit(None).cast("array<int>").alias("bbox"), F.lit(None).cast("string").alias("region_text")).cast(TABLE))
     tables = F.when(native, clean_native_tables(F.col("native_tables"))).when(ruled, clean_ruled_regions(F.col("ruled_regions"))).otherwise(F.coalesce(guessed, none))
     parts = F.coalesce(F.transform("s", lambda x: F.struct(x["title"].alias("title"), x["content"].alias("content")).cast(SECTION)), F.array().cast(f"array<{SECTION}>"))
-    return docs.select("doc_id", "native_tables", "ruled_regions").join(secs, "doc_id", "left").join(found, "doc_id", "left").select("doc_id", F.struct(parts.alias("sections"), tables.alias("tables")).alias("structure"))
+    return docs.select("doc_id", "native_tables", "ruled_regions").join(found, "doc_id", "left").select("doc_id", F.struct(parts.alias("sections"), tables.alias("tables")).alias("structure"))

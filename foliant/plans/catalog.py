@@ -232,6 +232,12 @@ def search_exact(spark, d):
     return search.search(_records(spark, d), "the CLOWN, worthless").select("doc_id", "source", "rank")
 
 
+@query(_search_sql(["clown", "worthless"], "LIMIT 20"))
+def search_index(spark, d):
+    docs = _records(spark, d)
+    return search.search_postings(search.postings(docs), docs.drop("text"), "the CLOWN, worthless").select("doc_id", "source", "rank")
+
+
 @query(_search_sql(["license"], "LIMIT 10 OFFSET 5"))
 def search_paged(spark, d):
     return search.search(_records(spark, d), "License", limit=10, offset=5).select("doc_id", "source", "rank")
@@ -401,9 +407,13 @@ def eval_format(spark, d):
     return spark.createDataFrame([(1.006,), (1234567.891,), (0.0,), (None,), (99.999,)], "v double").select("v", evaluation.shown(F.col("v"), 2, "s").alias("shown"))
 
 
-@query()
+_DIGITS = "CASE WHEN {c} IS NULL THEN 'n/a' ELSE printf('%.{n}f', round({c}, {n})) || '{s}' END"
+
+
+@query(EVAL + "SELECT overall, category, '| ' || concat_ws(' | ', CASE WHEN overall = 1 THEN '**Overall**' ELSE category END, docs, errors, native, ocr, " + ", ".join(_DIGITS.format(c=c, n=n, s=u) for c, n, u in (("avg_seconds", 2, "s"), ("avg_confidence", 1, "%"), ("pct_low_confidence", 1, "%"), ("pct_no_structure_detected", 1, "%"), ("pct_near_empty_output", 1, "%"))) + ") || ' |' AS line FROM r")
 def eval_lines(spark, d):
-    return evaluation.report_lines(evaluation.report(_evaluated(spark, d)))
+    lines = evaluation.report_lines(evaluation.report(_evaluated(spark, d)))
+    return lines.select(F.col("overall").cast("int").alias("overall"), "category", "line")
 
 
 PATHS = [("labs/a.pdf", "labs"), ("Scan_01.png", "scan"), ("__ab__12.pdf", "ab"), ("ab1.pdf", "uncategorized"), ("12.pdf", "uncategorized"), ("---.pdf", "uncategorized"), ("x/y/z.jpg", "x"), ("Report-final.PDF", "report-final")]

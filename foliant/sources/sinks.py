@@ -69,6 +69,13 @@ def check_samples_path(path: str, repository: str) -> str:
     return path
 
 
-def write_report(lines: DataFrame, path: str, repository: str) -> None:
-    """Writes the report's lines (line, in their order) as one text file's folder."""
-    lines.select("line").coalesce(1).write.mode("overwrite").text(check_report_path(path, repository))
+def write_report(lines: DataFrame, path: str | None, repository: str) -> None:
+    """Writes the report's lines (line, in their order) as one text file's folder, or to standard output if there is no path.
+
+    A report has a line for each category, so one task writes it.
+    """
+    if path is None:
+        for row in lines.select("line").toLocalIterator():
+            print(row["line"])
+    else:
+        lines.select("line").coalesce(1).write.mode("overwrite").text(check_report_path(path, repository))

@@ -30,6 +30,55 @@ def test_search(spark):
             search.check_page(*bad)
 
 
+def test_search_stemmed_and_postings(spark, small):
+    """Stemmed search and searches over postings against plain counting of all documents."""
+    import collections
+    import re
+
+    from foliant.plans import catalog
+
+    rows = catalog._records(spark, small).select("doc_id", "text", "created_at", "source").collect()
+    docs = spark.createDataFrame(rows)
+    stops = set(search.stop_words(spark))
+    for query, stemmed in (("works licensing", True), ("possibly happy filings", True), ("license", True), ("clown worthless", False), ("the", True), ("x", True)):
+        f = porter if stemmed else (lambda w: w)
+        terms = sorted({f(w) for w in re.findall(r"[^\W_]+", query.lower()) if w not in stops})
+        expected = []
+        for r in rows:
+            n = collections.Counter(f(w) for w in re.findall(r"[^\W_]+", (r["text"] or "").lower()) if w not in stops)
+            if terms and all(n[t] for t in terms):
+                expected.append((-round(sum(n[t] / (n[t] + 1) for t in terms), 6), -r["created_at"].timestamp(), r["doc_id"]))
+        wanted = [x[2] for x in sorted(expected)[:50]]
+        index = search.postings(docs, stemmed)
+        for got in (search.search(docs, query, 50, stemmed=stemmed), search.search_postings(index, docs.drop("text"), query, 50, stemmed=stemmed)):
+            assert [r["doc_id"] for r in got.collect()] == wanted, (query, stemmed)
+
+
+def test_evaluation_driver(spark):
+    import json
+
+    from foliant.operators import evaluation
+
+    def native(name, content):
+        return [content.decode()]
+
+    def scan(name, content):
+        if b"boom" in content:
+            raise RuntimeError("bad")
+        return ["HEAD:", "scanned words"]
+
+    rows = [("lab/a.pdf", "a.pdf", b"%PDF native text that is long enough"), ("lab/b.pdf", "b.pdf", b"%PDF"), ("c_1.png", "c_1.png", b"boom"), ("xray-2.png", "xray-2.png", b"x")]
+    df = spark.createDataFrame(rows, "path string, name string, content binary")
+    conf = spark.createDataFrame([("lab/b.pdf", 30.0)], "doc_id string, confidence double")
+    got = {r["filename"]: r for r in evaluation.evaluate(df, native, scan, conf).collect()}
+    assert {k: (r["category"], r["path_taken"], r["failed"]) for k, r in got.items()} == {"lab/a.pdf": ("lab", "native", False), "lab/b.pdf": ("lab", "ocr", False), "c_1.png": ("uncategorized", "error", True), "xray-2.png": ("xray", "ocr", False)}
+    assert got["c_1.png"]["error"] == "RuntimeError: bad" and got["c_1.png"]["seconds"] is None and got["lab/a.pdf"]["seconds"] >= 0
+    assert "low_confidence" in got["lab/b.pdf"]["flags"] and len(got["c_1.png"]["flags"]) == 1
+    stats = evaluation.report(evaluation.evaluate(df, native, scan, conf))
+    lines = [json.loads(r["line"]) for r in evaluation.report_json(stats).collect()]
+    assert [x["category"] for x in lines] == [None, "lab", "uncategorized", "xray"] and lines[0]["docs"] == 4 and lines[0]["errors"] == 1
+
+
 def test_headline(spark):
     text = " ".join(["pad"] * 100 + ["hit", "near", "hit"] + ["pad"] * 100)
     s = spark.createDataFrame([(text,), (None,), ("none here",)], "text string").select(search.headline(["hit"])("text").alias("s"))
