@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import tempfile
 import uuid
@@ -32,17 +33,40 @@ def base_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Scratch folders that are not closed yet.
+_open: list[Scratch] = []
+
+
+@contextlib.contextmanager
+def temporary():
+    """Closes on leaving what was opened inside; what is to stay must have been written elsewhere by then."""
+    before = list(_open)
+    try:
+        yield
+    finally:
+        for s in [s for s in _open if s not in before]:
+            s.close()
+
+
+@atexit.register
+def _close_all() -> None:
+    for s in list(_open):
+        with contextlib.suppress(Exception):  # the session may be gone
+            s.close()
+
+
 class Scratch:
     """Named Parquet tables under one fresh folder; writing one cuts its lineage.
 
-    The tables live as long as the session needs the returned DataFrames. drop() removes
-    one that nothing reads any more, close() removes all of them.
+    The tables live as long as the session needs the returned DataFrames. drop() removes one that nothing reads any more,
+    close() removes all of them; temporary() does so for what is opened inside it, and the end of the program for the rest.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{base_dir(spark)}/foliant-{name}-{uuid.uuid4().hex}"
         self._n = 0
+        _open.append(self)
 
     def path(self, name: str) -> str:
         self._n += 1
@@ -90,6 +114,8 @@ class Scratch:
                 self.spark.conf.set(CLEANUP, before)
 
     def close(self) -> None:
+        if self in _open:
+            _open.remove(self)
         self._delete(self.root)
 
     def _delete(self, path: str) -> None:

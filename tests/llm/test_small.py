@@ -846,6 +846,34 @@ def test_calls_of_odd_chats(spark):
     assert {k: (r["level"], r["linked"], r["broken"]) for k, r in got.items()} == {"1:0": (0, False, ""), "1:1": (1, True, ""), "1:3": (1, False, "*"), "1:4": (1, False, "*")}
 
 
+def test_scratch(spark, tmp_path):
+    """Tables know their rows, are dropped, and go with the block that opened them; a cluster without a shared folder is an error."""
+    from foliant.llm import scratch as s
+
+    with s.temporary():
+        x = s.Scratch(spark, "x")
+        table, none = x.save(spark.range(7), "t"), x.save(spark.range(7).where("id < 0"), "n")
+        bucketed = x.save_bucketed(spark.range(9), "b", "id", 3)
+        assert s.counted(table)["rows"] == 7 and s.is_empty(none) and not s.is_empty(table) and bucketed.count() == 9
+        root = Path(x.root.removeprefix("file:"))
+        assert root.exists() and len(list(root.iterdir())) == 3
+        x.drop(table, bucketed)
+        assert len(list(root.iterdir())) == 1
+        before = spark.conf.get(s.CLEANUP, None)
+    assert not root.exists() and spark.conf.get(s.CLEANUP, None) == before
+
+    class Context:
+        master = "spark://host:7077"
+        _jsc = type("J", (), {"sc": lambda self: type("S", (), {"getCheckpointDir": lambda self: type("O", (), {"isDefined": lambda self: False})()})()})()
+
+    class Session:
+        conf = type("C", (), {"get": lambda self, *a: None})()
+        sparkContext = Context()
+
+    with pytest.raises(ValueError):
+        s.base_dir(Session())
+
+
 def test_repeated_rows(spark, texts):
     """Rows that stand twice come back twice, from each operator that gives a row for each."""
     from foliant.llm import license_scan, ngram_jaccard, pii_crf, quality_rules, suffix_dedup
