@@ -18,7 +18,7 @@ from foliant.llm.decontamination import leaks
 from foliant.llm.ngram_jaccard import jaccard_join
 from foliant.llm.pii_crf import mask_documents
 from foliant.llm.quality_rules import quality_rules
-from foliant.llm.scratch import Scratch, is_empty, small_or_shuffled
+from foliant.llm.scratch import Scratch, is_empty, small_or_shuffled, temporary
 
 #: Ids to drop that are broadcast at most; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
@@ -94,5 +94,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows (doc_id, n_tokens, ids_sha256, decoded_sha256, ids) of the documents that all stages keep."""
     docs, scratch = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "pipeline")
     for name, stage in STAGES:
-        docs = scratch.save(stage(spark, docs, sf_dir), name)
+        with temporary():  # a stage's own tables go when its result is written, and then the table that it read
+            out = scratch.save(stage(spark, docs, sf_dir), name)
+        scratch.drop(docs)
+        docs = out
     return docs
