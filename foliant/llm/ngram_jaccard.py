@@ -9,7 +9,8 @@ part of the hash space. Signatures are counted over all texts, and each text sea
 ones only, so many of them that a linked pair must still meet: what very many texts share, as a
 passage, makes no candidates of them. Candidates are compared block by block, with the population count of
 xor-ed bitmaps as an upper bound of the overlap before sorted arrays are intersected. A large group is first
-compared within blocks, then by one text of what these connect; only texts that are then still apart meet.
+compared within blocks, then by one text of what these connect; only texts that are then still apart meet, and of
+these the bitmaps travel first.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ BLOCK_DOCS, BLOCK_SHINGLES = 512, 400_000
 BROADCAST_ROWS = 500_000
 #: Tokens that a task combines before it sends them.
 COMBINE = 1 << 19
+#: Members that a component has in a block at least for one of them to stand for it in the others.
+HEADED = 8
 #: The part of a large group's blocks in which texts of several components are.
 MIXED = -1
 #: Lower thresholds would need tiles so small that most are empty.
@@ -232,13 +235,29 @@ def candidates(signed: DataFrame, scratch: Scratch) -> DataFrame:
     return kept.join(hubs, "s").where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
 
 
-def _arrays(k: int):
+def _arrays(k: int, packed: bool):
+    """(doc_id, text, …) to (doc_id, …, shingles): the sorted set, or its bitmap."""
+
     def run(batches):
         for batch, sets in _sets(batches, k):
             rest = [batch.column(i) for i in range(2, batch.num_columns)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *rest, pa.array([x.tobytes() for x in sets], pa.binary())], names=["doc_id", *batch.schema.names[2:], "shingles"])
+            data = [(_bitmaps([x], _width(len(x)))[0] if packed else x).tobytes() for x in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *rest, pa.array(data, pa.binary())], names=["doc_id", *batch.schema.names[2:], "shingles"])
 
-    return run
+    return trimmed(run)
+
+
+def _width(n: int) -> int:
+    """Words of the bitmap of a set of n, some four bits for each element."""
+    words = 1
+    while words * 64 < 4 * n and words < 256:
+        words *= 2
+    return words
+
+
+def _folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """A bitmap in fewer words, as if it had been made with these."""
+    return np.bitwise_or.reduce(bits.reshape(-1, words), axis=0)
 
 
 def _bitmaps(sets: list[np.ndarray], words: int) -> np.ndarray:
@@ -253,10 +272,7 @@ def _links(left: list[np.ndarray], right: list[np.ndarray] | None, t: Fraction)
     """Verified links between two blocks, or within one if right is None, as many as connect what is connected."""
     both = left + (right or [])
     size = np.array([len(x) for x in both], dtype=np.int64)
-    words = 1
-    while words * 64 < 4 * size.max() and words < 256:
-        words *= 2
-    bits = _bitmaps(both, words)
+    bits = _bitmaps(both, _width(int(size.max())))
     root = list(range(len(both)))
 
     def find(i):
@@ -264,16 +280,12 @@ def _links(left: list[np.ndarray], right: list[np.ndarray] | None, t: Fraction)
             root[i] = i = root[root[i]]
         return i
 
-    found, q, p = [], t.denominator, t.numerator
+    found = []
     for i in range(len(left)):
         j0 = i + 1 if right is None else len(left)
         if j0 >= len(both):
             break
-        differ = np.bitwise_count(bits[j0:] ^ bits[i]).sum(1, dtype=np.int64)
-        total = size[j0:] + size[i]
-        # each differing bit stands for an element of one set only: |A & B| <= (|A| + |B| - differ) / 2
-        most = np.minimum((total - differ) // 2, np.minimum(size[j0:], size[i]))
-        for j in np.flatnonzero(q * most >= p * (total - most)) + j0:
+        for j in np.flatnonzero(_possible(bits[j0:], size[j0:], bits[i], size[i], t)) + j0:
             a, b = find(i), find(int(j))
             if a != b and linked(len(np.intersect1d(both[i], both[j], assume_unique=True)), size[i].item(), size[j].item(), t):
                 root[max(a, b)] = min(a, b)
@@ -281,20 +293,56 @@ def _links(left: list[np.ndarray], right: list[np.ndarray] | None, t: Fraction)
     return found
 
 
+def _possible(bits: np.ndarray, size: np.ndarray, one: np.ndarray, n: int, t: Fraction) -> np.ndarray:
+    """Which of some sets may be linked with one, by their bitmaps and sizes.
+
+    Each differing bit stands for an element of one set only: |A & B| <= (|A| + |B| - differ) / 2.
+    """
+    differ, total = np.bitwise_count(bits ^ one).sum(1, dtype=np.int64), size + n
+    most = np.minimum((total - differ) // 2, np.minimum(size, n))
+    return t.denominator * most >= t.numerator * (total - most)
+
+
+def _sorted_sides(table: pa.Table) -> tuple[pa.Table, int]:
+    table = table.sort_by([("side", "ascending"), ("n", "ascending"), ("doc_id", "ascending")])
+    return table, sum(1 for x in table.column("side").to_pylist() if x == 0)
+
+
 def _verify(t: Fraction):
+    """Exact links between two blocks, or within one."""
+
     def run(key, table):
-        table = table.sort_by([("side", "ascending"), ("n", "ascending"), ("doc_id", "ascending")])
+        table, cut = _sorted_sides(table)
         ids = table.column("doc_id").to_pylist()
         sets = [np.frombuffer(x, dtype=np.uint64) for x in table.column("shingles").to_pylist()]
-        cut = sum(1 for x in table.column("side").to_pylist() if x == 0)
         found = _links(sets[:cut], sets[cut:] or None, t)
         return pa.table({"a": pa.array([ids[i] for i, _ in found], pa.int64()), "b": pa.array([ids[j] for _, j in found], pa.int64())})
 
     return run
 
 
+def _near(t: Fraction):
+    """Pairs of different components that may be linked by their bitmaps, between two blocks or within one."""
+
+    def run(key, table):
+        table, cut = _sorted_sides(table)
+        ids, root, size = (table.column(c).to_numpy() for c in ("doc_id", "root", "n"))
+        maps = [np.frombuffer(x, dtype=np.uint64) for x in table.column("shingles").to_pylist()]
+        words = min(len(x) for x in maps)
+        bits = np.stack([_folded(x, words) for x in maps])
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i in range(cut):
+            j0 = i + 1 if cut == len(ids) else cut
+            j = np.flatnonzero(_possible(bits[j0:], size[j0:], bits[i], size[i], t) & (root[j0:] != root[i])) + j0
+            a.append(np.full(len(j), ids[i]))
+            b.append(ids[j])
+        return pa.table({"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b))})
+
+    return run
+
+
 def blocked(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """rows (doc_id, n, g, part) with a column block: the documents of a part in order of size, cut by count and by weight.
+    """rows (doc_id, n, g, part, root) with a column block: the documents of a part in order of size, cut by count and by weight.
 
     Only the sizes of a part are put in order; documents of one size fall into its blocks by a hash, so no part is gathered.
     """
@@ -303,7 +351,7 @@ def blocked(rows: DataFrame, scratch: Scratch) -> DataFrame:
     scale = scratch.save(counted.select("g", "part", "n", F.coalesce(before, F.lit(0.0)).alias("before"), "weight"), "scale")
     within = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     placed = rows.join(small_or_shuffled(scale, BROADCAST_ROWS), ["g", "part", "n"])
-    return scratch.save(placed.select("doc_id", "n", "g", "part", F.floor(F.col("before") + within * F.col("weight")).cast("long").alias("block")), "blocks")
+    return scratch.save(placed.select("doc_id", "n", "g", "part", "root", F.floor(F.col("before") + within * F.col("weight")).cast("long").alias("block")), "blocks")
 
 
 def _meetings(placed: DataFrame, t: Fraction, inside: bool | None) -> DataFrame:
@@ -321,23 +369,33 @@ def _meetings(placed: DataFrame, t: Fraction, inside: bool | None) -> DataFrame:
     return x.join(y, F.col("x.g") == F.col("y.g")).where((mine <= theirs) & close & apart).select(F.col("x.g").alias("g"), mine.alias("i"), theirs.alias("j"))
 
 
-def _compared(docs: DataFrame, placed: DataFrame, met: DataFrame, k: int, t: Fraction, scratch: Scratch, name: str) -> DataFrame:
-    """Links (a, b) between the documents of the blocks that meet."""
+def _compared(docs: DataFrame, placed: DataFrame, met: DataFrame, k: int, t: Fraction, scratch: Scratch, name: str, exact: bool) -> DataFrame:
+    """Links (a, b) between the documents of the blocks that meet, or the pairs of different components (root) that bitmaps leave possible."""
     met = scratch.save(met, "met")
     sides = met.select("g", F.col("i").alias("at"), "i", "j", F.lit(0).alias("side")).union(met.where("i <> j").select("g", F.col("j").alias("at"), "i", "j", F.lit(1).alias("side")))
     busy = placed.withColumn("at", F.struct("part", "block")).join(small_or_shuffled(scratch.save(sides.select("g", "at").distinct(), "busy"), BROADCAST_ROWS), ["g", "at"], "left_semi")
-    keys = scratch.save(busy.select("doc_id", "g", "n", "at"), "keys")
-    arrays = docs.join(small_or_shuffled(keys, BROADCAST_ROWS), "doc_id").select("doc_id", "text", "g", "n", F.col("at.part").alias("part"), F.col("at.block").alias("block"))
-    arrays = arrays.mapInArrow(trimmed(_arrays(k)), "doc_id long, g long, n long, part long, block long, shingles binary")
+    keys = scratch.save(busy.select("doc_id", "g", "n", "root", "at"), "keys")
+    arrays = docs.join(small_or_shuffled(keys, BROADCAST_ROWS), "doc_id").select("doc_id", "text", "g", "n", "root", F.col("at.part").alias("part"), F.col("at.block").alias("block"))
+    arrays = arrays.mapInArrow(_arrays(k, not exact), "doc_id long, g long, n long, root long, part long, block long, shingles binary")
     pairs = arrays.withColumn("at", F.struct("part", "block")).join(small_or_shuffled(scratch.save(sides, "sides"), BROADCAST_ROWS), ["g", "at"])
-    pairs = pairs.select("doc_id", "n", "shingles", "g", F.col("i.part").alias("ip"), F.col("i.block").alias("ib"), F.col("j.part").alias("jp"), F.col("j.block").alias("jb"), "side")
-    return scratch.save(pairs.groupBy("g", "ip", "ib", "jp", "jb").applyInArrow(_verify(t), "a long, b long"), name)
+    pairs = pairs.select("doc_id", "n", "root", "shingles", "g", F.col("i.part").alias("ip"), F.col("i.block").alias("ib"), F.col("j.part").alias("jp"), F.col("j.block").alias("jb"), "side")
+    return scratch.save(pairs.groupBy("g", "ip", "ib", "jp", "jb").applyInArrow((_verify if exact else _near)(t), "a long, b long"), name)
+
+
+def _linked(docs: DataFrame, placed: DataFrame, met: DataFrame, k: int, t: Fraction, scratch: Scratch, name: str) -> DataFrame:
+    """Links (a, b) as _compared() finds them, for blocks of which most pairs are none: bitmaps travel first, and sets only of what these leave."""
+    possible = _compared(docs, placed, met, k, t, scratch, f"{name}-possible", False)
+    groups = scratch.save(components(possible, scratch), f"{name}-groups")
+    sized = groups.join(placed.select("doc_id", "n"), groups["node"] == placed["doc_id"]).select("doc_id", "n", F.col("root").alias("g"), F.lit(0).cast("long").alias("part"), F.lit(0).cast("long").alias("root"))
+    again = blocked(scratch.save(sized, f"{name}-sized"), scratch)
+    return _compared(docs, again, _meetings(again, t, None), k, t, scratch, name, True)
 
 
 def connected(docs: DataFrame, sized: DataFrame, k: int, t: Fraction, scratch: Scratch) -> DataFrame:
     """Components (node, root) of the links among the documents (doc_id, n, g) of each candidate group g."""
-    placed = blocked(sized.withColumn("part", F.lit(0).cast("long")), scratch)
-    links = _compared(docs, placed, _meetings(placed, t, True), k, t, scratch, "links")
+    zero = F.lit(0).cast("long")
+    placed = blocked(sized.withColumn("part", zero).withColumn("root", zero), scratch)
+    links = _compared(docs, placed, _meetings(placed, t, True), k, t, scratch, "links", True)
     labels = scratch.save(components(links, scratch), "labels")
     large = scratch.save(placed.groupBy("g").agg(F.max("block").alias("last")).where(F.col("last") > 0).select("g"), "large")
     if is_empty(large):
@@ -348,14 +406,15 @@ def connected(docs: DataFrame, sized: DataFrame, k: int, t: Fraction, scratch: S
         mine = small_or_shuffled(labels.select(F.col("node").alias("doc_id"), "root"), BROADCAST_ROWS, labels)
         return rest.join(mine, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
 
-    one = labelled(labels).groupBy("g", "block", "root").agg(F.min(F.struct("n", "doc_id")).alias("x")).select("x.doc_id", "x.n", "g", F.lit(0).cast("long").alias("part"))
+    # one text of each component of some size in each block stands for it
+    one = labelled(labels).groupBy("g", "block", "root").agg(F.min(F.struct("n", "doc_id")).alias("x"), F.count("*").alias("c")).where(F.col("c") >= HEADED).select("x.doc_id", "x.n", "g", zero.alias("part"), "root")
     heads = blocked(scratch.save(one, "heads"), scratch)
-    links = scratch.save(links.union(_compared(docs, heads, _meetings(heads, t, None), k, t, scratch, "headlinks")), "links")
+    links = scratch.save(links.union(_linked(docs, heads, _meetings(heads, t, None), k, t, scratch, "headlinks")), "links")
     named = scratch.save(labelled(scratch.save(components(links, scratch), "labels")).select("doc_id", "n", "g", "root"), "named")
     big = scratch.save(named.groupBy("g", "root").agg(F.count("*").alias("c")).where(F.col("c") >= BLOCK_DOCS).drop("c"), "big")
-    parts = named.join(small_or_shuffled(big.withColumn("part", F.col("root")), BROADCAST_ROWS, big), ["g", "root"], "left").select("doc_id", "n", "g", F.coalesce("part", F.lit(MIXED)).alias("part"))
+    parts = named.join(small_or_shuffled(big.withColumn("part", F.col("root")), BROADCAST_ROWS, big), ["g", "root"], "left").select("doc_id", "n", "g", "root", F.coalesce("part", F.lit(MIXED)).alias("part"))
     placed = blocked(scratch.save(parts, "parts"), scratch)
-    return components(links.union(_compared(docs, placed, _meetings(placed, t, False), k, t, scratch, "lastlinks")), scratch)
+    return components(links.union(_linked(docs, placed, _meetings(placed, t, False), k, t, scratch, "lastlinks")), scratch)
 
 
 def jaccard_components(docs: DataFrame, k: int, threshold: Fraction, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
