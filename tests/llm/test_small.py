@@ -767,18 +767,49 @@ def test_leaks(spark, texts):
         assert lcs(masks, len(a), b) == best[-1][-1]
 
 
-@pytest.mark.parametrize("share", [0.1, 0.3, 1.0])
-def test_leaks_of_a_hot_item(spark, share):
+@pytest.mark.parametrize(("n", "share"), [(999, 0.6), (1000, 0.01), (1001, 0.1), (1100, 1.0)])
+def test_leaks_of_a_hot_item(spark, n, share):
     """Over 1000 documents, one item in many of them, in all at last; a short item."""
     from foliant.llm.decontamination import leaks
 
     r = random.Random(8)
     items = [" ".join(base_words(r, 25)) + ". " + " ".join(base_words(r, 5)) + "." for _ in range(4)] + ["zyx wvu"]
-    some = [" ".join(base_words(r, 60)) for _ in range(1100)]
-    hosts = set(r.sample(range(1100), int(share * 1100)))
+    some = [" ".join(base_words(r, 60)) for _ in range(n)]
+    hosts = set(r.sample(range(n), int(share * n)))
     some = [f"{t} {items[0]} {t[:200]}" if i in hosts else t for i, t in enumerate(some)] + ["Zyx, wvu"]
     bench = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
-    assert {(x["doc_id"], x["item_id"]) for x in leaks(frame(spark, some), bench).collect()} == {(i, 0) for i in hosts} | {(1100, 4)}
+    assert {(x["doc_id"], x["item_id"]) for x in leaks(frame(spark, some), bench).collect()} == {(i, 0) for i in hosts} | {(n, 4)}
+
+
+def test_leaks_recall(spark):
+    """Against the longest common subsequence of every item with every stretch of every document: copies that lost or changed words, frequent ones and rare ones."""
+    from foliant.llm import decontamination as d
+
+    r = random.Random(61)
+    items = [" ".join(base_words(r, r.randint(18, 40))) + ". " + " ".join(base_words(r, 5)) + "." for _ in range(15)]
+    some = []
+    for k in range(240):
+        w = items[k % 15].split()
+        lost = r.choice([0.0, 0.1, 0.25, 0.35, 0.45, 0.6])
+        kept = [x if r.random() >= lost else r.choice(["", "zq" + x[:2]]) for x in w]
+        some.append(" ".join([*base_words(r, r.randint(0, 120)), *kept, *base_words(r, r.randint(0, 120))]))
+    words = lambda t: re.findall("[a-z0-9]+", t.lower())
+    truth = set()
+    for k, item in enumerate(items):
+        w, answer = words(item), set(words(d.split_answer(item)[1]))
+        masks: dict = {}
+        for i, x in enumerate(w):
+            masks[x] = masks.get(x, 0) | 1 << i
+        for i, t in enumerate(some):
+            x, span = words(t), len(w) + 16
+            for s in range(0, max(1, len(x) - span + 4), 4):
+                common = d.lcs(masks, len(w), x[s : s + span]) / len(w)
+                if common >= d.LEAK or (common >= d.PARAPHRASE and len(answer & set(x[s : s + span])) >= d.ANSWER * len(answer)):
+                    truth.add((i, k))
+                    break
+    found = {(x["doc_id"], x["item_id"]) for x in d.leaks(spark.createDataFrame(list(enumerate(some)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    assert len(truth) > 120 and len(found & truth) >= 0.9 * len(truth), (len(truth), len(found & truth))
+    print("recall", len(found & truth), len(truth), "more", len(found - truth))
 
 
 def test_licenses(spark):
