@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: With it set, an SQL execution removes its shuffle files when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: What scratch tables are written with: that, and Arrow batches of some MB, so that long texts don't make large ones.
+SETTINGS = {CLEANUP: "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 
 def session() -> SparkSession:
@@ -102,16 +104,18 @@ class Scratch:
 
     @contextlib.contextmanager
     def clean(self):
-        """Executions begun here remove their shuffle files when they end, also when they fail."""
-        before = self.spark.conf.get(CLEANUP, None)
-        self.spark.conf.set(CLEANUP, "true")
+        """Executions begun here have SETTINGS, so they remove their shuffle files when they end, also when they fail."""
+        before = {k: self.spark.conf.get(k, None) for k in SETTINGS}
         try:
+            for k, v in SETTINGS.items():
+                self.spark.conf.set(k, v)
             yield
         finally:
-            if before is None:
-                self.spark.conf.unset(CLEANUP)
-            else:
-                self.spark.conf.set(CLEANUP, before)
+            for k, v in before.items():
+                if v is None:
+                    self.spark.conf.unset(k)
+                else:
+                    self.spark.conf.set(k, v)
 
     def close(self) -> None:
         if self in _open:
