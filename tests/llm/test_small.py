@@ -877,6 +877,26 @@ def test_calls_of_odd_chats(spark):
     assert {k: (r["level"], r["linked"], r["broken"]) for k, r in got.items()} == {"1:0": (0, False, ""), "1:1": (1, True, ""), "1:3": (1, False, "*"), "1:4": (1, False, "*")}
 
 
+def test_components(spark, monkeypatch):
+    """In one task and over shuffles, against plain merging: chains, stars, loops, repeated and null ends, none at all."""
+    from foliant.llm import components as c
+    from foliant.llm.scratch import Scratch
+
+    r = random.Random(3)
+    for edges in ([], [(5, 5)], [(i, i + 1) for i in range(40)], [(0, i) for i in range(1, 30)] + [(99, i) for i in range(20, 35)], [(r.randint(0, 80), r.randint(0, 80)) for _ in range(50)] * 2):
+        root = {x: x for e in edges for x in e if len(set(e)) > 1}
+        for _ in root:
+            for a, b in edges:
+                if a != b:
+                    root[a] = root[b] = min(root[a], root[b])
+        df = spark.createDataFrame([*edges, (None, 1), (2, None)], "a long, b long")
+        for most in (c.LOCAL_EDGES, 0):
+            monkeypatch.setattr(c, "LOCAL_EDGES", most)
+            got = [tuple(x) for x in c.components(df, Scratch(spark, "c")).collect()]
+            assert len(got) == len(set(got)) and dict(got) == root
+        monkeypatch.undo()
+
+
 def test_scratch(spark, tmp_path):
     """Tables know their rows, are dropped, and go with the block that opened them; a cluster without a shared folder is an error."""
     from foliant.llm import scratch as s
