@@ -82,3 +82,35 @@ b AS (SELECT *, CAST(CAST(unhex(sha1(h)) AS BIT) AS VARCHAR) AS bits FROM p)
 SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(CAST(substr(bits, i * 5 + 1, 5) AS BIT) AS INTEGER) + 1, 1)), '') AS payload_digest,
 CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to FROM b
 """
+
+FILL_MIDDLE = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u, sha256('42:' || doc_id) AS h FROM documents),
+d AS (SELECT *, len(u) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM t),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (SELECT *, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a + 1:b], '') AS middle, array_to_string(u[b + 1:], '') AS suffix FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256 FROM p
+"""
+
+_FIELD = "CASE WHEN {x} IS NULL THEN '-' ELSE strlen(CAST({x} AS VARCHAR)) || ':' || {x} END"
+_LEAF = lambda n: "sha256(" + " || ".join(_FIELD.format(x=x) for x in ("doc_id", "source", "lang", n, "text")) + ")"
+_UP = "list_transform(range(1, len({x}) + 1, 2), lambda i: sha256({x}[i] || coalesce({x}[i + 1], '')))"
+
+#: Levels as lists of nodes; the check sum of an id is worked out bit by bit.
+MERKLE = f"""
+WITH RECURSIVE leaves AS (SELECT doc_id, lang, {_LEAF("n_chars")} AS leaf, {_LEAF("(n_chars + 1)")} AS changed, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i,
+xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda k: CAST(ascii(CAST(doc_id AS VARCHAR)[k]) AS BIGINT))),
+lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END))) % 7 = 0 AS tampered FROM documents),
+low AS (SELECT lang, 0 AS lvl, list(leaf ORDER BY doc_id) AS l FROM leaves GROUP BY lang UNION ALL SELECT lang, lvl + 1, {_UP.format(x="l")} FROM low WHERE len(l) > 1),
+subroots AS (SELECT lang, l[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS j FROM low WHERE len(l) = 1),
+high AS (SELECT 0 AS lvl, list(subroot ORDER BY j) AS l FROM subroots UNION ALL SELECT lvl + 1, {_UP.format(x="l")} FROM high WHERE len(l) > 1),
+step AS (SELECT d.doc_id, low.lvl AS lvl, (i >> low.lvl) % 2 = 1 AS is_right, l[xor(i >> low.lvl, 1) + 1] AS s FROM leaves AS d JOIN low ON low.lang IS NOT DISTINCT FROM d.lang AND len(l) > 1
+UNION ALL SELECT d.doc_id, 1000 + high.lvl, (j >> high.lvl) % 2 = 1, l[xor(j >> high.lvl, 1) + 1] FROM leaves AS d JOIN subroots AS r ON r.lang IS NOT DISTINCT FROM d.lang, high WHERE len(l) > 1),
+proof AS (SELECT doc_id, list({{'r': is_right, 's': s}} ORDER BY lvl) AS p, sha256(coalesce(string_agg(s, '' ORDER BY lvl), '')) AS proof_sha256 FROM step GROUP BY doc_id),
+fold AS (SELECT doc_id, 0 AS k, CASE WHEN tampered THEN changed ELSE leaf END AS node FROM leaves
+UNION ALL SELECT doc_id, k + 1, sha256(CASE WHEN p[k + 1].s IS NULL THEN node WHEN p[k + 1].r THEN p[k + 1].s || node ELSE node || p[k + 1].s END) FROM fold JOIN proof USING (doc_id) WHERE k < len(p)),
+done AS (SELECT doc_id, max_by(node, k) AS folded_root FROM fold GROUP BY doc_id)
+SELECT d.doc_id, leaf, subroot, (SELECT l[1] FROM high WHERE len(l) = 1) AS root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = (SELECT l[1] FROM high WHERE len(l) = 1) AS verified
+FROM leaves AS d JOIN subroots AS r ON r.lang IS NOT DISTINCT FROM d.lang JOIN done USING (doc_id) LEFT JOIN proof USING (doc_id)
+"""

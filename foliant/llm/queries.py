@@ -1,4 +1,4 @@
-"""Queries of the ten operators over the given tables, with the SQL that checks them where SQL can."""
+"""Queries of the operators over the given tables, with the SQL that checks them where SQL can."""
 
 from __future__ import annotations
 
@@ -77,12 +77,39 @@ def op10_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages_to_warc(table(spark, sf_dir, "pages"))
 
 
+def op11_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliant.llm.katz import score_documents
+
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    return score_documents(table(spark, sf_dir, "documents"), held_out)
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliant.llm.fill_middle import fill_middle, restored
+
+    made = fill_middle(table(spark, sf_dir, "documents"))
+    digests = (F.sha2(c, 256).alias(k) for k, c in (("output_sha256", F.col("output")), ("restored_sha256", restored())))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliant.llm.merkle import folded, leaf_of, manifest, siblings_digest
+
+    docs = table(spark, sf_dir, "documents")
+    more = (F.col("n_chars").cast("decimal(20,0)") + 1).cast("string")
+    changed = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, leaf_of(F.col("doc_id"), F.col("source"), F.col("lang"), more, F.col("text")))
+    rows = manifest(docs, carry=changed)
+    back = folded(F.coalesce("carried", "leaf"), F.col("proof"))
+    rows = rows.select("doc_id", "leaf", "subroot", "root", siblings_digest(F.col("proof")).alias("proof_sha256"), back.alias("folded_root"))
+    return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op3_tool_calls, op4_ngram_jaccard, op5_license_scan, op6_decontamination, op7_quality_rules, op8_byte_bpe, op9_pii_crf, op10_arc_to_warc)}
+    return {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op3_tool_calls, op4_ngram_jaccard, op5_license_scan, op6_decontamination, op7_quality_rules, op8_byte_bpe, op9_pii_crf, op10_arc_to_warc, op11_katz, op12_fill_middle, op13_merkle)}
 
 
 def oracle_sql() -> dict[str, str]:
     """The other operators' results are not SQL's to give: they are tested against brute force or held-out labels."""
     from foliant.llm import oracles as o
 
-    return {"op3_tool_calls": o.CALLS, "op4_ngram_jaccard": o.JACCARD, "op5_license_scan": o.LICENSES, "op10_arc_to_warc": o.WARC}
+    return {"op3_tool_calls": o.CALLS, "op4_ngram_jaccard": o.JACCARD, "op5_license_scan": o.LICENSES, "op10_arc_to_warc": o.WARC, "op12_fill_middle": o.FILL_MIDDLE, "op13_merkle": o.MERKLE}

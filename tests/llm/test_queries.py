@@ -13,7 +13,7 @@ def test_queries(spark, duck):
     from foliant.llm import queries as q
 
     made = q.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in made) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in made) == list(range(1, 14))
     for name, sql in q.oracle_sql().items():
         assert of_spark(made[name](spark, SMALL)) == of_duck(duck, sql), name
 
