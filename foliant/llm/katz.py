@@ -51,6 +51,16 @@ def unpack(b: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(kind.itemsize, -1).T).reshape(-1).view(kind)
 
 
+def pack_values(v: np.ndarray) -> tuple[bytes, bytes]:
+    """The distinct values and the place of each value in them: most tokens share their probability with others."""
+    u, at = np.unique(v, return_inverse=True)
+    return pack(u), pack(at.astype(np.uint32))
+
+
+def unpack_values(a: bytes, b: bytes) -> np.ndarray:
+    return unpack(a, np.float64)[unpack(b, np.uint32)]
+
+
 def _joined(parts: list[bytes], kind) -> np.ndarray:
     return np.concatenate([unpack(p, kind) for p in parts]) if parts else np.zeros(0, kind)
 
@@ -316,8 +326,9 @@ def _answer(words: Discounts, pairs: Discounts, left: float, hot: dict[int, tupl
                 p = np.where(c > 0, kept / np.repeat(divisor, length), np.repeat(weight, length) * lower)
                 log, at = np.log10(p), unpack(r["at"], np.uint32)
                 cut = np.cumsum([0, *r["sizes"]])
+                values, places = zip(*(pack_values(log[at[x:y]]) for x, y in zip(cut[:-1], cut[1:], strict=True)), strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(r["chunks"], pa.int64()), pa.array([r["bucket"]] * len(r["chunks"]), pa.int32()), pa.array([pack(log[at[x:y]]) for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary()), pa.nulls(len(r["chunks"]), pa.binary()), pa.array([2] * len(r["chunks"]), pa.int32())],
+                    [pa.array(r["chunks"], pa.int64()), pa.array([r["bucket"]] * len(r["chunks"]), pa.int32()), pa.array(values, pa.binary()), pa.array(places, pa.binary()), pa.array([2] * len(r["chunks"]), pa.int32())],
                     names=["chunk", "bucket", "a", "b", "kind"],
                 )
 
@@ -339,9 +350,9 @@ def _add(words: Discounts, left: float, parts: int):
         log = np.log10(_probability(words, left, x.counts))[(k & _U(0xFFFFFFFF)).astype(np.int64)]
         u, at = np.unique(k[known], return_inverse=True)
         order = x.order(u, parts, words.total)[0]
-        answers = sorted(((r["bucket"], r["a"]) for r in right.to_pylist() if r["kind"] == 2), key=lambda r: r[0])
+        answers = sorted(((r["bucket"], r["a"], r["b"]) for r in right.to_pylist() if r["kind"] == 2), key=lambda r: r[0])
         found = np.zeros(len(u))
-        found[order] = _joined([a for _, a in answers], np.float64)
+        found[order] = np.concatenate([np.zeros(0), *(unpack_values(a, b) for _, a, b in answers)])
         log[known] = found[at]
         c = x.counts[x.tokens[~x.first]]
         base = np.log10((c + 1) / (words.total + words.distinct + 1))
@@ -383,6 +394,7 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
     chunks = read.where("kind = 0").select("chunk", "a", "rows", "ids", "held", "sizes")
     asked = read.where("kind = 1").select("chunk", "bucket", "a", "b")
     known = scratch.save(asked.groupBy("bucket").applyInArrow(_words(parts), WORDS), "words", **sums)
+    scratch.drop_part(read, "kind=1")
     words = Discounts.of(_sums(counted(known)))
     # what discounting took is the unknown word's
     n = _sums(counted(known))

@@ -102,6 +102,10 @@ class Scratch:
             if p := getattr(t, "_scratch_path", None):
                 self._delete(p)
 
+    def drop_part(self, table: DataFrame, part: str) -> None:
+        """Removes the folder part, column=value, of a table that is in folders by that column."""
+        self._delete(f"{table._scratch_path}/{part}")
+
     @contextlib.contextmanager
     def clean(self):
         """Executions begun here have SETTINGS, so they remove their shuffle files when they end, also when they fail."""
