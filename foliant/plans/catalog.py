@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from foliant.functions.text import DIGIT, EDGES, GENERAL, HEADER_CHARS, NL, NOT_CAPITAL
 from foliant.operators import evaluation, export, regions, search, state, structure
+from foliant.operators.textindex import TextIndex
 from foliant.sources import files, sinks
+from foliant.sources.shared import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -262,10 +264,53 @@ def search_stemmed(spark, d):
     return search.search(_records(spark, d), "works licensing", stemmed=True).select("doc_id", "source", "rank")
 
 
-@query()
+def _index(spark, *generations: DataFrame, stemmed: bool = False) -> TextIndex:
+    index = TextIndex(spark, shared_folder(spark, "index"), stemmed)
+    for n, docs in enumerate(generations):
+        index.add(docs, n)
+    return index
+
+
+@query(_search_sql(["clown", "worthless"], "LIMIT 20"))
+def search_blocks(spark, d):
+    return _index(spark, _records(spark, d)).search("the CLOWN, worthless").select("doc_id", "source", "rank")
+
+
+WORDS = r"[\p{L}\p{Nd}]+"
+
+
+@query(
+    f"WITH page AS ({_search_sql(['worthless'], 'LIMIT 20')}), t AS (SELECT doc_id, rank, regexp_extract_all(text, '{WORDS}') AS w, regexp_split_to_array(text, '{WORDS}') AS g FROM page JOIN documents USING (doc_id)), "
+    "p AS (SELECT doc_id, unnest(list_filter(range(0, len(w)), lambda i: lower(w[i + 1]) = 'worthless')) AS place FROM t), "
+    "s AS (SELECT doc_id, place, count(*) OVER a AS n, max(place) OVER a + 1 AS hi FROM p WINDOW a AS (PARTITION BY doc_id ORDER BY place RANGE BETWEEN CURRENT ROW AND 34 FOLLOWING)), "
+    "b AS (SELECT doc_id, place AS lo, hi FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, place) = 1), "
+    "k AS (SELECT *, list_filter(range(0, 16), lambda k: least(len(w), hi + k) - greatest(0, lo - k) >= 15 OR (lo <= k AND hi + k >= len(w)))[1] AS k FROM t JOIN b USING (doc_id)), "
+    "e AS (SELECT *, greatest(0, lo - k) AS x, least(len(w), hi + k, greatest(0, lo - k) + 35) AS y FROM k) "
+    "SELECT doc_id, rank, array_to_string(list_transform(range(x, y), lambda i: CASE WHEN i > x THEN g[i + 1] ELSE '' END || CASE WHEN lower(w[i + 1]) = 'worthless' THEN '<b>' || w[i + 1] || '</b>' ELSE w[i + 1] END), '') AS snippet FROM e"
+)
 def search_headline(spark, d):
-    page = search.search(_records(spark, d), "worthless")
-    return page.select("doc_id", "rank", search.headline(search.query_terms(spark, "worthless"))("text").alias("snippet"))
+    index = _index(spark, _records(spark, d))
+    return index.headlines(index.search("worthless"), "worthless").select("doc_id", "rank", "snippet")
+
+
+#: Of the documents, some get another one's text later on, and some of these and of the others go.
+UPDATED = "SELECT * REPLACE (CASE WHEN doc_id % 5 = 0 THEN reverse(text) || ' clown WORTHLESS clown' ELSE text END AS text) FROM documents WHERE doc_id % 7 <> 3"
+
+
+def _updates(spark, d) -> list[DataFrame]:
+    docs = _records(spark, d)
+    changed = docs.where("doc_id % 5 = 0").withColumn("text", F.concat(F.reverse("text"), F.lit(" clown WORTHLESS clown")))
+    return [docs, changed, docs.where("doc_id % 7 = 3").withColumn("text", F.lit(None).cast("string"))]
+
+
+@query(_search_sql(["clown", "worthless"], "LIMIT 30 OFFSET 3").replace("FROM documents)", f"FROM ({UPDATED}))"))
+def search_updated(spark, d):
+    return _index(spark, *_updates(spark, d)).search("clown worthless", 30, 3).select("doc_id", "source", "rank")
+
+
+@query(_search_sql(["license"], "LIMIT 30").replace("FROM documents)", f"FROM ({UPDATED}))"))
+def search_compacted(spark, d):
+    return _index(spark, *_updates(spark, d)).compact(9).search("license", 30).select("doc_id", "source", "rank")
 
 
 SNIPPETS = [(1, "a <b>hit</b> and <b>two</b>"), (2, "none"), (3, "<b>x</b>"), (4, "a < b & <i>c</i>"), (5, "open <b>rest"), (6, "")]
