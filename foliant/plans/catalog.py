@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -107,56 +106,69 @@ def structure_ocr_mode(spark, d):
     return structure.sections(structure.lines(docs, F.coalesce(F.col("text_source") != "ocr", F.lit(True))))
 
 
-#: Texts with every branch that the tables lack.
-EDGE_TEXTS = [
-    (1, "NAME:\nJohn Smith\n\nRESULTS\nAll normal"), (2, "PANEL\nTest  Value\nHb  14\n\nWBC  7\nafter"), (3, "A | B | C\n1 || 3"), (4, "just some prose\nmore prose"),
-    (5, "::\nbody"), (6, "VALUE 12\nCAPS AFTER DIGIT\nx"), (7, "VALUE 12\n\nCAPS AFTER BLANK\nx"), (8, "A\r\nb\x0bc\x0cd\x1ce\x85f g"), (9, ""), (10, None),
-    (11, " HEAD　\n body "), (12, "x\ty\t\tz\nEND"), (13, "A" * 80 + "\nx\n" + "B" * 81 + "\ny"), (14, "10³ UNITS\nNEXT\nLAST"),
-    (15, "ǅ TITLE\nbody"), (16, "अआ\nDEVA ०\nEND"), (17, "   \n\t\n"), (18, "HEAD"), (19, "a  b\n\n\nc  d\ntext\ne  f"), (20, "| |  |\n  |"), (21, "① ITEM\nB:"), (22, "Tail: :\n:"),
-]
-EDGE = values(EDGE_TEXTS, "doc_id, text")
+#: The documents with every branch that their texts lack, by rules that are the same SQL in both engines: titles and blanks, aligned
+#: columns, pipes, tabs, capitals after digits, unusual line breaks, empty and null texts.
+_CAPITALS = "translate({x}, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')"
+EDGE_TEXT = f"""CASE doc_id % 8 WHEN 0 THEN replace(replace(text, '. ', ':' || chr(10) || chr(10)), ', ', chr(10) || '   ' || chr(10)) WHEN 1 THEN replace(replace(text, ' ', '  '), ',  ', chr(10) || chr(10))
+WHEN 2 THEN replace(replace(text, ' ', ' | '), '. | ', chr(10)) WHEN 3 THEN chr(9) || replace(replace(text, ' ', chr(9)), '.' || chr(9), chr(9) || chr(9) || chr(10)) WHEN 4 THEN {_CAPITALS.format(x="replace(replace(text, '. ', chr(10)), ', ', ' 12' || chr(10))")}
+WHEN 5 THEN replace(replace(replace(text, '. ', chr(13) || chr(10)), ', ', ':::' || chr(11)), ' the ', chr(12)) WHEN 6 THEN CASE WHEN doc_id % 3 = 0 THEN '' WHEN doc_id % 3 = 1 THEN chr(9) || chr(10) || '  ' END
+ELSE replace(text, '. ', chr(10) || '::' || chr(10) || ' | | ' || chr(10)) END"""
+EDGE = f"(SELECT doc_id, {EDGE_TEXT} AS text FROM documents)"
 
 
-def _edge(spark):
-    return spark.createDataFrame(EDGE_TEXTS, "doc_id int, text string")
+def _edge(spark, d):
+    return documents(spark, d).select("doc_id", F.expr(EDGE_TEXT).alias("text"))
 
 
 @query(lines_sql(EDGE) + "SELECT doc_id, part, title, content FROM sections")
 def structure_edge_cases(spark, d):
-    return structure.sections(structure.lines(_edge(spark)))
+    return structure.sections(structure.lines(_edge(spark, d)))
 
 
 @query(lines_sql(EDGE) + CELLS)
 def structure_edge_cells(spark, d):
-    return _cells(structure.heuristic_tables(structure.lines(_edge(spark))))
+    return _cells(structure.heuristic_tables(structure.lines(_edge(spark, d))))
 
 
-GRIDS = [
-    (1, [[["Test", "Value"], ["Hb", None]]]), (2, []), (3, [[["a", "b"], ["c"]], [], [["a", "b"], ["c", "d"]]]), (4, [[["a"], ["b"]], [["a", "b"]]]),
-    (5, [[["Clinic\nAddress", None, ""], ["Count", "", None], ["x", "1", "2"]]]), (6, [[["A\nB", ""], ["c", "d"]]]), (7, [[[" ", None], ["", ""], ["k", "v"], ["m", "n"]]]), (8, None),
-]
+#: Grids of a document's words: two to four columns, some rows too short, some with one cell, cells that are null, blank or have line breaks.
+_CELL = "CASE WHEN length({x}) % 5 = 0 THEN NULL WHEN length({x}) % 7 = 0 THEN ' ' ELSE replace({x}, ',', chr(10)) END"
+_FILLED = f"list_filter(r, lambda c: c IS NOT NULL AND regexp_replace(c, '{EDGES}', '', 'g') <> '')"
 
 
 @query(
-    "WITH g AS (SELECT doc_id, unnest(from_json(j, '[[[\"VARCHAR\"]]]')) AS t, generate_subscripts(from_json(j, '[[[\"VARCHAR\"]]]'), 1) AS k FROM " + values([(i, None if g is None else json.dumps(g)) for i, g in GRIDS], "doc_id, j") + "), "
-    f"f AS (SELECT doc_id, k, list_filter(t, lambda r: CASE len(list_filter(r, lambda c: c IS NOT NULL AND regexp_replace(c, '{EDGES}', '', 'g') <> '')) WHEN 0 THEN false WHEN 1 THEN NOT contains(list_filter(r, lambda c: c IS NOT NULL AND regexp_replace(c, '{EDGES}', '', 'g') <> '')[1], chr(10)) ELSE true END) AS t "
+    f"""WITH w AS (SELECT doc_id, string_split(text, ' ') AS w, 1 + doc_id % 4 AS k FROM documents), o AS (SELECT doc_id, unnest(range(0, 3)) AS o, w, k FROM w),
+    g AS (SELECT doc_id, o AS k, list_transform(range(0, CASE WHEN o = 2 AND doc_id % 3 = 0 THEN 1 ELSE 6 END), lambda r: list_transform(range(0, k - CASE WHEN r = 5 AND (doc_id + o) % 5 = 0 THEN 1 ELSE 0 END),
+    lambda c: CASE WHEN r = 2 AND c > 0 THEN NULL ELSE {_CELL.format(x="w[o * 24 + r * k + c + 1]")} END)) AS t FROM o), """
+    f"f AS (SELECT doc_id, k, list_filter(t, lambda r: CASE len({_FILLED}) WHEN 0 THEN false WHEN 1 THEN NOT contains({_FILLED}[1], chr(10)) ELSE true END) AS t "
     "FROM g WHERE len(t) >= 2 AND len(t[1]) >= 2 AND len(list_filter(t, lambda r: len(r) <> len(t[1]))) = 0), "
     "n AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS table_no, t FROM f WHERE len(t) >= 2) "
     "SELECT doc_id, table_no, CAST(i AS BIGINT) AS row_no, array_to_string(list_transform(t[i], lambda c: coalesce(c, '')), ' | ') AS raw_line FROM n, unnest(range(1, len(t) + 1)) AS u(i)"
 )
 def native_tables_clean(spark, d):
-    g = spark.createDataFrame(GRIDS, "doc_id int, t array<array<array<string>>>").select("doc_id", F.posexplode(structure.clean_native_tables(F.col("t"))).alias("k", "x"))
+    docs = documents(spark, d).select("doc_id", F.split("text", " ").alias("w"), (F.col("doc_id") % 4 + 1).cast("int").alias("k"))
+
+    def grid(o):
+        n = F.when((F.lit(o) == 2) & (F.col("doc_id") % 3 == 0), 0).otherwise(5)
+        ragged = lambda r: F.when((r == 5) & ((F.col("doc_id") + o) % 5 == 0), 1).otherwise(0)
+        word = lambda r, c: F.get("w", F.lit(o * 24) + r * F.col("k") + c)
+        cell = lambda x: F.when(F.length(x) % 5 == 0, None).when(F.length(x) % 7 == 0, " ").otherwise(F.replace(x, F.lit(","), F.lit("\n")))
+        row = lambda r: F.when(F.col("k") - ragged(r) > 0, F.transform(F.sequence(F.lit(0), F.col("k") - ragged(r) - 1), lambda c: F.when((r == 2) & (c > 0), None).otherwise(cell(word(r, c))))).otherwise(F.array().cast("array<string>"))
+        return F.transform(F.sequence(F.lit(0), n), row)
+
+    g = docs.select("doc_id", F.posexplode(structure.clean_native_tables(F.array(*map(grid, range(3))))).alias("k", "x"))
     rows = g.select("doc_id", (F.col("k") + 1).cast("long").alias("table_no"), F.posexplode("x.raw_lines").alias("r", "raw_line"))
     return rows.select("doc_id", "table_no", (F.col("r") + 1).cast("long").alias("row_no"), "raw_line")
 
 
-REGIONS = [(1, 1, 10, "Name Value\nHb 14"), (1, 2, 20, "  \n"), (2, 1, 30, None), (2, 2, 40, "ok"), (3, 1, 50, " ")]
+_REGION = "CASE doc_id % 4 WHEN 0 THEN ' ' || chr(9) || chr(10) WHEN 1 THEN left(text, 60) WHEN 2 THEN chr(10) || left(text, 5) END"
 
 
-@query("SELECT doc_id, CAST(x AS BIGINT) AS x, text AS region_text FROM " + values(REGIONS, "doc_id, ord, x, text") + f" WHERE text IS NOT NULL AND regexp_replace(text, '{EDGES}', '', 'g') <> ''")
+@query(f"SELECT doc_id % 50 AS doc_id, CAST(doc_id AS BIGINT) AS x, {_REGION} AS region_text FROM documents WHERE regexp_replace({_REGION}, '{EDGES}', '', 'g') <> ''")
 def ruled_regions_clean(spark, d):
-    r = spark.createDataFrame(REGIONS, "doc_id int, ord int, x int, text string").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", F.array("x", "x", "x", "x").alias("bbox"), F.col("text").alias("region_text")))).alias("r"))
-    return r.select("doc_id", F.explode(structure.clean_ruled_regions(F.col("r"))).alias("t")).select("doc_id", F.col("t.bbox")[0].cast("long").alias("x"), "t.region_text")
+    rows = documents(spark, d).select((F.col("doc_id") % 50).alias("doc"), F.col("doc_id").alias("x"), F.expr(_REGION).alias("text"))
+    box = F.array(*[F.col("x").cast("int")] * 4).alias("bbox")
+    r = rows.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("x", box, F.col("text").alias("region_text")))).alias("r"))
+    return r.select(F.col("doc").alias("doc_id"), F.explode(structure.clean_ruled_regions(F.col("r"))).alias("t")).select("doc_id", F.col("t.bbox")[0].cast("long").alias("x"), "t.region_text")
 
 
 @query(f"WITH p AS (SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, '. '), lambda x: regexp_replace(x, '{EDGES}', '', 'g')), lambda x: x <> ''), chr(10) || chr(10)) AS t FROM documents) SELECT doc_id, length(t) >= 20 AS accepted, CASE WHEN length(t) >= 20 THEN CAST(length(t) AS BIGINT) END AS n, md5(CASE WHEN length(t) >= 20 THEN t END) AS md5 FROM p")
@@ -165,30 +177,39 @@ def native_text_accept(spark, d):
     return documents(spark, d).select("doc_id", t.isNotNull().alias("accepted"), F.length(t).cast("long").alias("n"), F.md5(t).alias("md5"))
 
 
-NAMES = [("a.pdf", "%PDF-1.4"), ("b.PDF", "x"), ("c.png", "%PDF"), ("d.png", "PNG"), (".pdf", "x"), ("e/.pdf", ""), ("f.pdf\n", "x"), (None, "%PD"), ("", "%PDFx"), ("x/y/z.tiff", "II")]
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+
 
+#: Names and first bytes of files, from the pages' addresses and sources.
+_NAME = "CASE page_id % 8 WHEN 0 THEN url || '.pdf' WHEN 1 THEN url || 'x.PDF' WHEN 2 THEN url || '/.pdf' WHEN 3 THEN url || '.pdf' || chr(10) WHEN 4 THEN url || '/' WHEN 5 THEN '' WHEN 6 THEN url || '.png' END"
+_HEAD = "CASE WHEN page_id % 5 = 0 THEN '%PDF-1.' || page_id % 8 WHEN page_id % 5 = 1 THEN '%PD' ELSE left(html, 9) END"
 
-@query("SELECT name, head, coalesce(regexp_matches(lower(name), '[^/]\\.pdf\\z'), false) OR left(head, 4) = '%PDF' AS is_pdf, coalesce(nullif(string_split(coalesce(nullif(name, ''), 'upload'), '/')[-1], ''), 'upload') AS base FROM " + values(NAMES, "name, head"))
+
+@query(f"SELECT page_id, coalesce(regexp_matches(lower(name), '[^/]\\.pdf\\z'), false) OR left(head, 4) = '%PDF' AS is_pdf, coalesce(nullif(string_split(coalesce(nullif(name, ''), 'upload'), '/')[-1], ''), 'upload') AS base FROM (SELECT page_id, {_NAME} AS name, {_HEAD} AS head FROM pages)")
 def pdf_routing(spark, d):
-    df = spark.createDataFrame(NAMES, "name string, head string")
+    df = pages(spark, d).select("page_id", F.expr(_NAME).alias("name"), F.expr(_HEAD).alias("head"))
     key = files.storage_key(F.lit("k"), F.col("name"))
-    return df.select("name", "head", files.is_pdf(F.col("name"), F.encode("head", "utf-8")).alias("is_pdf"), F.substring(key, F.lit(3), F.length(key)).alias("base"))
+    return df.select("page_id", files.is_pdf(F.col("name"), F.encode("head", "utf-8")).alias("is_pdf"), F.substring(key, F.lit(3), F.length(key)).alias("base"))
 
 
-KEYS = [("a/b.png", True), ("../x", False), ("a/../../x", False), ("a/../b", True), ("/etc", False), ("a/./b/..", True), ("", True), ("..", False)]
+_KEY = "CASE page_id % 9 WHEN 0 THEN '../' || k WHEN 1 THEN k || '/../../../../x' WHEN 2 THEN '/' || k WHEN 3 THEN k || '/./..' WHEN 4 THEN '' WHEN 5 THEN 'a/../' || k || '/..' WHEN 6 THEN './' || k || '//../..' WHEN 7 THEN k || '/../../../..' ELSE k END"
 
 
-@query("SELECT key, ok AS inside FROM (VALUES " + ", ".join(f"({literal(k)}, {str(v).lower()})" for k, v in KEYS) + ") AS v(key, ok)")
+@query(f"SELECT page_id, NOT starts_with(key, '/') AND len(list_filter(range(1, len(p) + 1), lambda i: list_sum(list_transform(p[1:i], lambda x: CASE WHEN x = '..' THEN -1 WHEN x IN ('', '.') THEN 0 ELSE 1 END)) < 0)) = 0 AS inside FROM (SELECT *, string_split(key, '/') AS p FROM (SELECT page_id, {_KEY} AS key FROM (SELECT page_id, replace(replace(url, 'https://', ''), 'http://', '') AS k FROM pages)))")
 def path_guard(spark, d):
-    return spark.createDataFrame([(k,) for k, _ in KEYS], "key string").select("key", files.inside_root(F.col("key")).alias("inside"))
+    keys = pages(spark, d).select("page_id", F.expr("replace(replace(url, 'https://', ''), 'http://', '')").alias("k")).select("page_id", F.expr(_KEY).alias("key"))
+    return keys.select("page_id", files.inside_root(F.col("key")).alias("inside"))
 
 
-LANGS = [("eng",), ("eng+guj",), ("eng+guj+nep",), ("Eng",), ("en",), ("eng+",), ("eng\n",), ("",), ("fra+deu+xyz+xyz",), ("eng guj",)]
+_LANG = "CASE doc_id % 9 WHEN 0 THEN lang WHEN 1 THEN c || '+eng' WHEN 2 THEN c || '+' WHEN 3 THEN c || chr(10) WHEN 4 THEN upper(c) WHEN 5 THEN c || '+xyz+xyz+abc' WHEN 6 THEN '' WHEN 7 THEN c || ' eng' ELSE c END"
+_CODE = "CASE lang WHEN 'en' THEN 'eng' WHEN 'fr' THEN 'fra' WHEN 'de' THEN 'deu' ELSE 'spa' END"
 
 
-@query("SELECT lang, CASE WHEN NOT regexp_full_match(lang, '[a-z]{3}(\\+[a-z]{3})*') THEN '422' WHEN len(m) > 0 THEN '400:' || array_to_string(m, ',') ELSE 'ok' END AS outcome FROM (SELECT lang, list_sort(list_distinct(list_filter(string_split(lang, '+'), lambda x: x NOT IN ('eng', 'fra', 'guj')))) AS m FROM " + values(LANGS, "lang") + ")")
+@query(f"SELECT doc_id, CASE WHEN NOT regexp_full_match(code, '[a-z]{{3}}(\\+[a-z]{{3}})*') THEN '422' WHEN len(m) > 0 THEN '400:' || array_to_string(m, ',') ELSE 'ok' END AS outcome FROM (SELECT *, list_sort(list_distinct(list_filter(string_split(code, '+'), lambda x: x NOT IN ('eng', 'fra', 'guj')))) AS m FROM (SELECT doc_id, {_LANG} AS code FROM (SELECT doc_id, lang, {_CODE} AS c FROM documents)))")
 def lang_validate(spark, d):
-    return spark.createDataFrame(LANGS, "lang string").select("lang", files.lang_outcome(F.col("lang"), ["eng", "fra", "guj"]).alias("outcome"))
+    codes = documents(spark, d).select("doc_id", "lang", F.expr(_CODE).alias("c")).select("doc_id", F.expr(_LANG).alias("code"))
+    return codes.select("doc_id", files.lang_outcome(F.col("code"), ["eng", "fra", "guj"]).alias("outcome"))
 
 
 @query("SELECT doc_id, CASE WHEN n_chars = 0 THEN 400 WHEN n_chars > 20000 THEN 413 ELSE 202 END AS code FROM (SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN 0 ELSE n_chars END AS n_chars FROM documents)")
@@ -200,16 +221,17 @@ def intake_outcomes(spark, d):
     return files.intake(rows).select(F.col("name").cast("long").alias("doc_id"), "code")
 
 
-PAYLOADS = [
-    (1, json.dumps({"text": "t", "text_source": "native_pdf", "images": [{"page": 0, "image_base64": "aGVsbG8="}, {"page": 1, "image_base64": "!!!"}, {"page": 2}, {"page": 3, "image_base64": ""}], "table_regions": [{"region_text": "x"}, {"region_text": " "}]})),
-    (2, json.dumps({"text": "only"})), (3, "{}"),
-]
-
-
-@query("SELECT * FROM (VALUES (1, 't', 'native_pdf', 0, 1, 1), (2, 'only', 'ocr', 0, 0, 0), (3, '', 'ocr', 0, 0, 0)) AS v(id, text, text_source, n_tables, n_regions, n_images)")
+@query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '' ELSE text END AS text, CASE WHEN doc_id % 3 = 0 THEN 'native_pdf' ELSE 'ocr' END AS text_source, CAST(CASE WHEN doc_id % 7 = 0 THEN 0 ELSE 1 END AS INT) AS n_tables, CAST(len(list_filter(string_split(text, chr(10)), lambda x: doc_id % 6 <> 0 AND trim(x) <> '')) AS INT) AS n_regions, CAST(CASE WHEN doc_id % 5 > 0 THEN 1 ELSE 0 END + CASE WHEN doc_id % 5 = 4 THEN 1 ELSE 0 END AS INT) AS n_images, md5(CASE WHEN doc_id % 5 > 0 THEN source END) AS first_md5 FROM documents")
 def payload_decode(spark, d):
-    p = files.payload(F.col("j"))
-    return spark.createDataFrame(PAYLOADS, "id int, j string").select("id", p.alias("p")).select("id", "p.text", "p.text_source", F.size("p.tables").alias("n_tables"), F.size("p.table_regions").alias("n_regions"), F.size("p.images").alias("n_images"))
+    i = F.col("doc_id")
+    image = lambda n, data: F.struct(F.lit(n).alias("page"), data.alias("image_base64"))
+    # images of valid bytes, of none, without a value, of what isn't base64, and valid again: as many as the id says
+    images = F.slice(F.array(image(0, F.base64(F.encode("source", "utf-8"))), image(1, F.lit("")), image(2, F.lit(None).cast("string")), image(3, F.lit("!" + "é")), image(4, F.base64(F.lit(b"x")))), F.lit(1), F.when(i % 5 == 4, 5).otherwise((i % 5).cast("int")))
+    region = F.when(i % 6 != 0, F.transform(F.split(F.concat("text", F.lit("\n \t\n")), "\n"), lambda x: F.struct(x.alias("region_text"))))
+    tables = F.when(i % 7 != 0, F.array(F.array(F.array(F.lit("a"), F.lit(None).cast("string")))))
+    answer = F.to_json(F.struct(F.when(i % 4 != 0, F.col("text")).alias("text"), F.when(i % 3 == 0, "native_pdf").alias("text_source"), tables.alias("tables"), region.alias("table_regions"), images.alias("images")))
+    p = documents(spark, d).select("doc_id", files.payload(answer).alias("p"))
+    return p.select("doc_id", "p.text", "p.text_source", F.size("p.tables").alias("n_tables"), F.size("p.table_regions").alias("n_regions"), F.size("p.images").alias("n_images"), F.md5(F.get("p.images", F.lit(0))["data"]).alias("first_md5"))
 
 
 CREATED = "TIMESTAMP '2024-01-01 00:00:00' + to_seconds(CAST(doc_id AS BIGINT))"
@@ -313,13 +335,16 @@ def search_compacted(spark, d):
     return _index(spark, *_updates(spark, d)).compact(9).search("license", 30).select("doc_id", "source", "rank")
 
 
-SNIPPETS = [(1, "a <b>hit</b> and <b>two</b>"), (2, "none"), (3, "<b>x</b>"), (4, "a < b & <i>c</i>"), (5, "open <b>rest"), (6, "")]
+_SNIPPET = "replace(replace(replace(left(text, 300), ' the ', ' <b>the</b> '), ' de ', ' <b>de</b><b>!</b>'), ',', ' < & <i>,') || CASE doc_id % 4 WHEN 0 THEN '<b>open' WHEN 1 THEN '<b></b>' WHEN 2 THEN '<b>end</b>' ELSE '' END"
 
 
-@query("SELECT * FROM (VALUES (1, 1, 'a ', false), (1, 2, 'hit', true), (1, 3, ' and ', false), (1, 4, 'two', true), (2, 1, 'none', false), (3, 1, 'x', true), (4, 1, 'a < b & <i>c</i>', false), (5, 1, 'open ', false), (5, 2, 'rest', true)) AS v(id, n, text, bold)")
+@query(
+    f"WITH s AS (SELECT doc_id, string_split({_SNIPPET}, '<b>') AS p FROM documents), x AS (SELECT doc_id, unnest(flatten(list_transform(range(1, len(p) + 1), lambda i: CASE WHEN i = 1 THEN [{{'text': p[1], 'bold': false}}] ELSE [{{'text': split_part(p[i], '</b>', 1), 'bold': true}}, {{'text': split_part(p[i], '</b>', 2), 'bold': false}}] END))) AS x, "
+    "generate_subscripts(flatten(list_transform(range(1, len(p) + 1), lambda i: CASE WHEN i = 1 THEN [1] ELSE [1, 2] END)), 1) AS k FROM s) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS n, x.text AS text, x.bold AS bold FROM x WHERE x.text <> ''"
+)
 def highlight_parse(spark, d):
-    s = spark.createDataFrame(SNIPPETS, "id int, s string").select("id", F.posexplode(search.highlighted(F.col("s"))).alias("k", "x"))
-    return s.select("id", (F.col("k") + 1).alias("n"), "x.text", "x.bold")
+    s = documents(spark, d).select("doc_id", F.posexplode(search.highlighted(F.expr(_SNIPPET))).alias("k", "x"))
+    return s.select("doc_id", (F.col("k") + 1).cast("long").alias("n"), "x.text", "x.bold")
 
 
 STATUS = "['QUEUED', 'PROCESSING', 'DONE', 'FAILED'][doc_id % 4 + 1]"
@@ -348,12 +373,12 @@ def point_lookup(spark, d):
     return _records(spark, d).where(F.col("doc_id") == 7).select("doc_id", "source", "status", state.preview(F.col("text")).alias("preview"))
 
 
-FIGURES = [(1, 0, 2, 50.0, "embedded", "photo"), (1, 1, 0, 90.5, None, None), (1, 2, 0, 10.0, "detected", ""), (1, 3, None, None, "", "logo"), (1, 4, 0, 10.0, "embedded", "chart"), (2, 0, 1, 5.0, "detected", "stamp")]
+_FIGURE = "doc_id % 40 AS doc, doc_id AS ord, CASE WHEN doc_id % 6 > 0 THEN doc_id % 3 END AS page, CASE WHEN doc_id % 5 > 0 THEN CAST(n_chars % 50 AS DOUBLE) END AS top, CASE doc_id % 4 WHEN 0 THEN 'embedded' WHEN 1 THEN 'detected' WHEN 2 THEN '' END AS source, CASE doc_id % 7 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE lang END AS region_type_guess"
 
 
-@query("SELECT doc_id, ord, n, 'Figure ' || n || ' (page ' || (coalesce(page, 0) + 1) || ', ' || coalesce(nullif(source, ''), '?') || ': ' || coalesce(nullif(guess, ''), 'unknown') || ')' AS caption FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY coalesce(page, 0), coalesce(top, 0), ord) AS n FROM " + values(FIGURES, "doc_id, ord, page, top, source, guess") + ")")
+@query(f"SELECT doc AS doc_id, ord, n, 'Figure ' || n || ' (page ' || (coalesce(page, 0) + 1) || ', ' || coalesce(nullif(source, ''), '?') || ': ' || coalesce(nullif(region_type_guess, ''), 'unknown') || ')' AS caption FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY coalesce(page, 0), coalesce(top, 0), ord) AS n FROM (SELECT {_FIGURE} FROM documents))")
 def figure_captions(spark, d):
-    f = spark.createDataFrame(FIGURES, "doc_id int, ord int, page int, top double, source string, region_type_guess string")
+    f = documents(spark, d).selectExpr(*_FIGURE.split(", CASE")[0].split(", "), *("CASE" + x for x in _FIGURE.split(", CASE")[1:])).withColumnRenamed("doc", "doc_id")
     f = f.withColumn("bbox", F.when(F.col("top").isNotNull(), F.array(F.lit(0.0), "top", F.lit(1.0), F.lit(1.0))))
     return export.figures(f).select("doc_id", "ord", F.col("n").cast("long").alias("n"), "caption")
 
@@ -447,9 +472,13 @@ def eval_report(spark, d):
     return r.select("category", F.col("overall").cast("int").alias("overall"), "docs", "errors", "native", "ocr", *(F.round(c, 6).alias(c) for c in ("avg_seconds", "avg_confidence", "pct_low_confidence", "pct_near_empty_output", "pct_no_structure_detected")))
 
 
-@query("SELECT v, CASE WHEN v IS NULL THEN 'n/a' ELSE printf('%.2f', CAST(v AS DOUBLE)) || 's' END AS shown FROM (VALUES (1.006::DOUBLE), (1234567.891), (0.0), (NULL), (99.999)) AS t(v)")
+_VALUE = "CASE WHEN event_id % 11 > 0 THEN value * value / CASE WHEN event_id % 2 = 0 THEN 7.0 ELSE 0.013 END END"
+
+
+@query(f"SELECT event_id, CASE WHEN v IS NULL THEN 'n/a' ELSE printf('%.2f', v) || 's' END AS shown FROM (SELECT event_id, {_VALUE.replace('7.0', '7.0::DOUBLE').replace('0.013', '0.013::DOUBLE')} AS v FROM events)")
 def eval_format(spark, d):
-    return spark.createDataFrame([(1.006,), (1234567.891,), (0.0,), (None,), (99.999,)], "v double").select("v", evaluation.shown(F.col("v"), 2, "s").alias("shown"))
+    v = F.expr(_VALUE.replace("7.0", "7.0D").replace("0.013", "0.013D"))
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", evaluation.shown(v, 2, "s").alias("shown"))
 
 
 _DIGITS = "CASE WHEN {c} IS NULL THEN 'n/a' ELSE printf('%.{n}f', round({c}, {n})) || '{s}' END"
@@ -461,12 +490,13 @@ def eval_lines(spark, d):
     return lines.select(F.col("overall").cast("int").alias("overall"), "category", "line")
 
 
-PATHS = [("labs/a.pdf", "labs"), ("Scan_01.png", "scan"), ("__ab__12.pdf", "ab"), ("ab1.pdf", "uncategorized"), ("12.pdf", "uncategorized"), ("---.pdf", "uncategorized"), ("x/y/z.jpg", "x"), ("Report-final.PDF", "report-final")]
+_PATH = "CASE page_id % 6 WHEN 0 THEN k || '.pdf' WHEN 1 THEN '__' || split_part(k, '.', 1) || '_-12.pdf' WHEN 2 THEN page_id || '.png' WHEN 3 THEN left(k, 2) || page_id || '.pdf' WHEN 4 THEN '---.pdf' ELSE 'Scan-' || page_id || '.PDF' END"
 
 
-@query("SELECT * FROM " + values(PATHS, "path, category"))
+@query(f"SELECT page_id, CASE WHEN contains(path, '/') THEN split_part(path, '/', 1) ELSE coalesce(nullif(trim(lower(regexp_extract(regexp_replace(path, '\\.[^.]*$', ''), '^([A-Za-z_-]{{3,}})', 1)), '_-'), ''), 'uncategorized') END AS category FROM (SELECT page_id, {_PATH} AS path FROM (SELECT page_id, replace(replace(url, 'https://', ''), 'http://', '') AS k FROM pages))")
 def eval_categories(spark, d):
-    return spark.createDataFrame([(p,) for p, _ in PATHS], "path string").select("path", evaluation.category(F.col("path")).alias("category"))
+    paths = pages(spark, d).select("page_id", F.expr("replace(replace(url, 'https://', ''), 'http://', '')").alias("k")).select("page_id", F.expr(_PATH).alias("path"))
+    return paths.select("page_id", evaluation.category(F.col("path")).alias("category"))
 
 
 @query("SELECT doc_id, round(avg(CASE WHEN length(w) % 3 <> 0 AND length(w) > 1 THEN CAST(length(w) AS DOUBLE) END), 6) AS confidence FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w FROM documents) GROUP BY doc_id")
@@ -550,13 +580,14 @@ def state_current(spark, d):
     return state.current(log).select("doc_id", "status", "seq", "searchable_pdf_key")
 
 
-FAILURES = [(1, "extract", "timeout", "x", 240.0), (2, "extract", "timeout", "x", 0.5), (3, "extract", "http", "refused", 1.0), (4, "structure", "bug", "bad", 1.0), (5, "extract", None, None, 1.0)]
+_STAGE, _KIND = "CASE WHEN event_type = 'view' THEN 'structure' ELSE 'extract' END", "CASE event_type WHEN 'click' THEN 'timeout' WHEN 'signup' THEN NULL ELSE event_type END"
 
 
-@query("SELECT * FROM (VALUES (1, 'OCR service timed out after 240s'), (2, 'OCR service timed out after 0.5s'), (3, 'OCR extraction failed: refused'), (4, 'Structure parsing failed: bad'), (5, NULL)) AS v(id, error)")
+@query(f"SELECT event_id, CASE WHEN kind IS NULL THEN NULL WHEN stage = 'structure' THEN 'Structure parsing failed: ' || props WHEN kind = 'timeout' THEN 'OCR service timed out after ' || regexp_replace(printf('%.6f', seconds), '\\.?0+$', '') || 's' ELSE 'OCR extraction failed: ' || props END AS error FROM (SELECT event_id, {_STAGE} AS stage, {_KIND} AS kind, props, CASE WHEN event_id % 3 = 0 THEN floor(value) + 1 ELSE value END AS seconds FROM events)")
 def failure_routing(spark, d):
-    f = spark.createDataFrame(FAILURES, "id int, stage string, kind string, message string, seconds double")
-    return f.select("id", state.failure(F.col("stage"), F.col("kind"), F.col("message"), F.col("seconds")).alias("error"))
+    e = spark.read.parquet(f"{d}/events.parquet")
+    seconds = F.when(F.col("event_id") % 3 == 0, F.floor("value") + 1).otherwise(F.col("value"))
+    return e.select("event_id", state.failure(F.expr(_STAGE), F.expr(_KIND), F.col("props"), seconds).alias("error"))
 
 
 @query("SELECT doc_id, 'structure' AS stage FROM documents WHERE doc_id % 5 <> 0 UNION ALL SELECT doc_id, 'searchable_pdf' FROM documents WHERE doc_id % 5 <> 0 AND doc_id % 3 = 1")
