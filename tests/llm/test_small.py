@@ -812,6 +812,44 @@ def test_leaks_recall(spark):
     print("recall", len(found & truth), len(truth), "more", len(found - truth))
 
 
+def test_leaks_of_long_items(spark):
+    """Items of 12 to 2000 words, whole and with words lost, in texts of natural words: recall against the subsequence is at least 0.9, whole ones are all found."""
+    from foliant.llm import decontamination as d
+
+    r = random.Random(71)
+    items = [" ".join(base_words(r, n)) + ". " + " ".join(base_words(r, 5)) + "." for n in (12, 30, 44, 48, 60, 97, 200, 400, 600, 800, 1000, 2000)]
+    some, truth, whole = [], set(), set()
+    for i in range(240):
+        k = i % len(items)
+        lost = (0, 0, 0.2, 0.35)[i // len(items) % 4]
+        w = [x for x in items[k].split() if r.random() >= lost]
+        some.append(" ".join([*base_words(r, r.randint(0, 400)), *w, *base_words(r, r.randint(0, 400))]))
+        truth.add((i, k))
+        if not lost:
+            whole.add((i, k))
+    some += [" ".join(base_words(r, n)) for n in (5, 50, 3000, 6000)]
+    found = {(x["doc_id"], x["item_id"]) for x in d.leaks(spark.createDataFrame(list(enumerate(some)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    assert whole <= found <= truth and len(found) >= 0.9 * len(truth), (len(found), len(truth), [sum((i, k) in found for i, k in truth if k == n) for n in range(len(items))])
+
+
+def test_leaks_beside_a_frequent_word(spark):
+    """One word is two fifths of all tokens, of items and texts: whole copies are found, and nothing else; no text is compared with items that it can't hold."""
+    import numpy as np
+
+    from foliant.llm import decontamination as d
+
+    r = random.Random(72)
+    mixed = lambda n: " ".join("la" if r.random() < 0.4 else "".join(r.choices("abcdeiou", k=4)) for _ in range(n))
+    items = [mixed(70) for _ in range(100)]
+    some = [mixed(300) for _ in range(300)]
+    hosts = {(i, i % 100) for i in range(0, 300, 7)}
+    some = [f"{t} {items[i % 100]} {mixed(40)}" if (i, i % 100) in hosts else t for i, t in enumerate(some)]
+    got = d.leaks(spark.createDataFrame(list(enumerate(some)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    assert {(x["doc_id"], x["item_id"]) for x in got} == hosts
+    p, a = d.Pattern(np.array([1, 1, 1, 2, 3, 4])), np.array
+    assert len(p.of(a([1, 1, 1, 1, 7, 7]))) == 4 and len(p.of(a([1, 1, 7, 7, 7]))) == 0 and list(p.of(a([9, 4, 1, 0, 2]))) == [4, 1, 2]
+
+
 def test_licenses(spark):
     from foliant.llm.license_scan import KNOWN, LONG_TEXTS, anchors, known_digests, scan_licenses
 
