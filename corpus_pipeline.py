@@ -24,34 +24,41 @@ from foliant.llm.scratch import Scratch, is_empty, small_or_shuffled, temporary
 BROADCAST_ROWS = 500_000
 
 
-def _numbered(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """docs with a column _row, its own for each row: the id, or, of rows with a null or repeated one, a number above all ids.
+def _free(docs: DataFrame, name: str) -> str:
+    """name, with as many underscores more as docs needs not to have it; case doesn't tell columns apart."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
 
-    Only such rows are written; they are numbered once, so the numbers stay.
+
+def _numbered(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, str]:
+    """docs with one more column, its own for each row, and its name: the id, or, of rows with a null or repeated one, a number above all ids.
+
+    Only such rows are written; they are numbered once, so the numbers stay. Columns of docs keep their values, whatever their names.
     """
-    key = F.col("doc_id").cast("long")
-    odd = scratch.save(docs.groupBy(key.alias("_id")).agg(F.count("*").alias("_n")).where("_id is null or _n > 1").select("_id"), "oddids")
+    key, row, other = F.col("doc_id").cast("long"), _free(docs, "_row"), _free(docs, "_id")
+    odd = scratch.save(docs.groupBy(key.alias(other)).agg(F.count("*").alias("n")).where(F.col(other).isNull() | (F.col("n") > 1)).select(other), "oddids")
     if is_empty(odd):
-        return docs.withColumn("_row", key)
+        return docs.withColumn(row, key), row
     top = docs.agg(F.max(key)).first()[0]
     small = small_or_shuffled(odd, BROADCAST_ROWS)
-    same = key.eqNullSafe(F.col("_id"))
-    rows = scratch.save(docs.join(small, same, "left_semi").withColumn("_row", F.monotonically_increasing_id() + F.lit(0 if top is None else top + 1)), "oddrows")
-    return docs.join(small, same, "left_anti").withColumn("_row", key).union(rows)
+    same = key.eqNullSafe(F.col(other))
+    rows = scratch.save(docs.join(small, same, "left_semi").withColumn(row, F.monotonically_increasing_id() + F.lit(0 if top is None else top + 1)), "oddrows")
+    return docs.join(small, same, "left_anti").withColumn(row, key).union(rows), row
 
 
-def _without(docs: DataFrame, drop: DataFrame, scratch: Scratch, columns: list[str]) -> DataFrame:
-    """docs but for the rows in drop (_row), in the columns named."""
-    gone = scratch.save(drop.select("_row").distinct(), "drop")
-    return docs.join(small_or_shuffled(gone, BROADCAST_ROWS), "_row", "left_anti").select(*columns)
+def _without(docs: DataFrame, row: str, drop: DataFrame, scratch: Scratch, columns: list[str]) -> DataFrame:
+    """docs but for the rows whose number is in drop (doc_id), in the columns named."""
+    gone = scratch.save(drop.select(F.col("doc_id").alias(row)).distinct(), "drop")
+    return docs.join(small_or_shuffled(gone, BROADCAST_ROWS), row, "left_anti").select(*(f"`{c}`" for c in columns))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without those that the quality rules reject, row by row: null and empty texts, repeated and null ids are judged like any other row."""
     scratch = Scratch(spark, "quality-stage")
-    rows = _numbered(docs, scratch)
-    verdicts = quality_rules(rows, id_col="_row").withColumnRenamed("doc_id", "_row")
-    return _without(rows, verdicts.where("not kept"), scratch, docs.columns)
+    rows, row = _numbered(docs, scratch)
+    return _without(rows, row, quality_rules(rows, id_col=row).where("not kept"), scratch, docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,17 +68,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     texts without a word are in no group and stay.
     """
     scratch = Scratch(spark, "near-stage")
-    rows = _numbered(docs, scratch)
-    groups = jaccard_join(rows, k=5, threshold=Fraction(8, 10), id_col="_row").withColumnRenamed("doc_id", "_row")
-    return _without(rows, groups.where("component_id <> _row"), scratch, docs.columns)
+    rows, row = _numbered(docs, scratch)
+    groups = jaccard_join(rows, k=5, threshold=Fraction(8, 10), id_col=row)
+    return _without(rows, row, groups.where("component_id <> doc_id"), scratch, docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without those that leak an item of benchmark, row by row, whatever their ids; null and empty texts leak nothing."""
     scratch = Scratch(spark, "leaks-stage")
-    rows = _numbered(docs, scratch)
-    found = leaks(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="_row").withColumnRenamed("doc_id", "_row")
-    return _without(rows, found, scratch, docs.columns)
+    rows, row = _numbered(docs, scratch)
+    found = leaks(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=row)
+    return _without(rows, row, found, scratch, docs.columns)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
