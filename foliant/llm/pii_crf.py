@@ -383,4 +383,5 @@ def _mask(weights: np.ndarray, text_at: int, size_at: int | None):
 def mask_documents(docs: DataFrame, text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
     """docs with each span of personal data replaced by its kind in brackets, and the length column, if there is one, made anew."""
     size = docs.columns.index(size_col) if size_col in docs.columns else None
-    return docs.mapInArrow(_mask(trained(), docs.columns.index(text_col), size), docs.schema)
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # names with dots are no names to the call
+    return plain.mapInArrow(_mask(trained(), docs.columns.index(text_col), size), plain.schema).toDF(*docs.columns)

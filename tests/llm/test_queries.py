@@ -127,3 +127,24 @@ def test_pipeline_odd_rows(spark, empty):
     expected = {"quality_rules": 0, "ngram_jaccard": len(rows) - (not empty), "decontamination": len(rows), "pii": len(rows), "byte_bpe": len(rows)}
     for name, stage in c.STAGES:
         assert stage(spark, docs, SMALL).count() == expected[name], name
+
+
+def test_pipeline_clashing_columns(spark):
+    """Extra columns keep their values in every stage but the last, also under names that a stage could want for itself."""
+    import corpus_pipeline as c
+
+    names = ["_row", "_ID", "_id_", "_n", "_w", "n", "kept", "component_id", "item_id", "lcs", "a.b", "spans", "ids", "row", "rep", "g", "s", "key", "_c0"]
+    rows, _ = odd_corpus()
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names)
+    marked = [(*r, *(f"{n}{k}" for n in names)) for k, r in enumerate(rows)]
+    of = {r[5]: r for r in marked}
+    docs = spark.createDataFrame(marked, schema)
+    for name, stage in c.STAGES:
+        out = stage(spark, docs, SMALL)
+        got = out.collect()
+        assert got, name
+        if name != "byte_bpe":
+            assert out.columns == docs.columns
+            for r in map(tuple, got):
+                whole = of[r[5]]
+                assert r[5:] == whole[5:] and r[0] == whole[0] and (name == "pii" or r == whole)
