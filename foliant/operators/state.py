@@ -11,10 +11,22 @@ RECENT = 50
 
 
 def current(events: DataFrame, late: tuple[str, ...] = ("searchable_pdf_key",)) -> DataFrame:
-    """The last event of each document; the late columns hold the last value that isn't null, wherever it came."""
-    last = F.max_by(F.struct(*(c for c in events.columns if c not in ("doc_id", *late))), "seq")
-    rows = events.groupBy("doc_id").agg(last.alias("e"), *(F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c) for c in late if c in events.columns))
-    return rows.select("doc_id", "e.*", *(c for c in late if c in events.columns))
+    """The last event of each document; the late columns hold the last value that isn't null, wherever it came.
+
+    events may hold rows of snapshot(), in which a late column's value has the seq that it came with.
+    """
+    rows = snapshot(events, late)
+    return rows.drop(*(f"{c}_seq" for c in late))
+
+
+def snapshot(events: DataFrame, late: tuple[str, ...] = ("searchable_pdf_key",)) -> DataFrame:
+    """current() with {column}_seq for each late column: one row stands for all events of a document, also beside later ones."""
+    late = tuple(c for c in late if c in events.columns)
+    came = {c: F.coalesce(F.col(f"{c}_seq"), F.col("seq")) if f"{c}_seq" in events.columns else F.col("seq") for c in late}
+    last = F.max_by(F.struct(*(c for c in events.columns if c not in ("doc_id", *late, *(f"{c}_seq" for c in late)))), "seq")
+    pairs = [F.max(F.when(F.col(c).isNotNull(), F.struct(came[c].alias("seq"), F.col(c).alias("value")))).alias(c) for c in late]
+    rows = events.groupBy("doc_id").agg(last.alias("e"), *pairs)
+    return rows.select("doc_id", "e.*", *(F.col(f"{c}.value").alias(c) for c in late), *(F.col(f"{c}.seq").alias(f"{c}_seq") for c in late))
 
 
 def failure(stage: Column, kind: Column, message: Column, seconds: Column) -> Column:

@@ -12,6 +12,7 @@ from foliant.operators import evaluation, export, regions, search, state, struct
 from foliant.operators.textindex import TextIndex
 from foliant.sources import files, sinks
 from foliant.sources.shared import shared_folder
+from foliant.streaming.current import compact_log, current_rows, keep_current
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -368,7 +369,16 @@ def pdf_strategy(spark, d):
     return _records(spark, d).select("doc_id", export.pdf_strategy(F.col("text_source"), original, F.when(i % 5 != 0, F.lit("key"))).alias("strategy"), export.filename(i, F.lit("pdf")).alias("filename"))
 
 
-@query(f"SELECT doc_id, source, {STATUS} AS status, left(text, 500) || CASE WHEN length(text) > 500 THEN '…' ELSE '' END AS preview FROM documents WHERE doc_id = 7")
+LOOKUP = f"SELECT doc_id, source, {STATUS} AS status, left(text, 500) || CASE WHEN length(text) > 500 THEN '…' ELSE '' END AS preview FROM documents WHERE doc_id = 7"
+
+
+@query(LOOKUP)
+def point_lookup_keyed(spark, d):
+    table = sinks.write_keyed(_records(spark, d), "doc_id", shared_folder(spark, "records"), 16)
+    return sinks.lookup(table, "doc_id", 7).select("doc_id", "source", "status", state.preview(F.col("text")).alias("preview"))
+
+
+@query(LOOKUP)
 def point_lookup(spark, d):
     return _records(spark, d).where(F.col("doc_id") == 7).select("doc_id", "source", "status", state.preview(F.col("text")).alias("preview"))
 
@@ -572,11 +582,36 @@ def colourfulness(spark, d):
     return regions.colourfulness(p).select("key", F.round("colorfulness", 4).alias("colorfulness"))
 
 
-@query("WITH e AS (SELECT user_id AS doc, event_id AS seq, CASE event_type WHEN 'view' THEN 'QUEUED' ELSE upper(event_type) END AS status, CASE WHEN event_id % 6 = 0 THEN 'key' || event_id END AS k FROM events) SELECT doc AS doc_id, max_by(status, seq) AS status, max(seq) AS seq, max_by(k, CASE WHEN k IS NOT NULL THEN seq END) AS searchable_pdf_key FROM e GROUP BY doc")
-def state_current(spark, d):
-    e = spark.read.parquet(f"{d}/events.parquet")
+CURRENT = "WITH e AS (SELECT user_id AS doc, event_id AS seq, CASE event_type WHEN 'view' THEN 'QUEUED' ELSE upper(event_type) END AS status, CASE WHEN event_id % 6 = 0 THEN 'key' || event_id END AS k FROM events) SELECT doc AS doc_id, max_by(status, seq) AS status, max(seq) AS seq, max_by(k, CASE WHEN k IS NOT NULL THEN seq END) AS searchable_pdf_key FROM e GROUP BY doc"
+
+
+def _log(events: DataFrame) -> DataFrame:
     status = F.when(F.col("event_type") == "view", "QUEUED").otherwise(F.upper("event_type"))
-    log = e.select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("seq"), status.alias("status"), F.when(F.col("event_id") % 6 == 0, F.concat(F.lit("key"), F.col("event_id").cast("string"))).alias("searchable_pdf_key"))
+    return events.select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("seq"), status.alias("status"), F.when(F.col("event_id") % 6 == 0, F.concat(F.lit("key"), F.col("event_id").cast("string"))).alias("searchable_pdf_key"))
+
+
+@query(CURRENT)
+def state_current(spark, d):
+    return state.current(_log(spark.read.parquet(f"{d}/events.parquet"))).select("doc_id", "status", "seq", "searchable_pdf_key")
+
+
+@query(CURRENT)
+def state_stream(spark, d):
+    path, folder = f"{d}/events.parquet", shared_folder(spark, "current")
+    # a stream takes one file only by a pattern
+    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{d}/event[s].parquet")
+    keep_current(_log(events), f"{folder}/rows", f"{folder}/checkpoint").awaitTermination()
+    return current_rows(spark, f"{folder}/rows").select("doc_id", "status", "seq", "searchable_pdf_key")
+
+
+@query(CURRENT)
+def state_compacted(spark, d):
+    """The log in parts of its own order, the first of them made one row a document, twice, then all read together."""
+    folder = shared_folder(spark, "log")
+    _log(spark.read.parquet(f"{d}/events.parquet")).withColumn("batch", F.col("seq") % 5).write.partitionBy("batch").parquet(folder)
+    for upto in (1, 3):
+        compact_log(spark, folder, upto)
+    log = spark.read.option("mergeSchema", "true").parquet(folder).drop("batch")
     return state.current(log).select("doc_id", "status", "seq", "searchable_pdf_key")
 
 

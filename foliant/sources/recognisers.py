@@ -6,7 +6,6 @@ for, never a failure of the task.
 
 from __future__ import annotations
 
-import io
 import json
 import uuid
 import zlib
@@ -14,11 +13,12 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.operators.pixels import unpacked
 from foliant.sources.files import scanned_text
+from foliant.sources.shared import shared_folder
 
 #: What table regions are read with, whatever was asked for (fixed values).
 REGION_LANG, REGION_PSM = "eng", 6
@@ -75,6 +75,56 @@ def page_rows(files: DataFrame, rasterise: Callable[[str, bytes], Iterator[bytes
     return files.select("doc_id", "name", "content").mapInArrow(run, PAGES.format(kind))
 
 
+def page_ranges(files: DataFrame, count: Callable[[str, bytes], int], each: int = 8) -> DataFrame:
+    """A row (doc_id, name, content, first, end, error) for each `each` pages of files (doc_id, name, content): items of like work.
+
+    count(name, content) tells the pages without making them. A file for which it fails, or that has none, has one row with the
+    error. A file of many pages becomes many rows, each with the file's bytes, which intake bounds.
+    """
+
+    @F.pandas_udf("n int, error string")
+    def run(names: pd.Series, contents: pd.Series) -> pd.DataFrame:
+        out = []
+        for name, content in zip(names, contents, strict=True):
+            try:
+                n = count(name, bytes(content))
+                out.append((n, None if n > 0 else "no pages"))
+            except Exception as e:
+                out.append((0, message(e)))
+        return pd.DataFrame(out, columns=["n", "error"])
+
+    counted = files.select("doc_id", "name", "content").withColumn("r", run("name", "content"))
+    starts = F.when(F.col("r.n") > 0, F.sequence(F.lit(0), F.col("r.n") - 1, F.lit(each))).otherwise(F.array(F.lit(0)))
+    rows = counted.select("doc_id", "name", "content", F.explode(starts).alias("first"), F.col("r.n").alias("n"), F.col("r.error").alias("error"))
+    return rows.select("doc_id", "name", "content", "first", F.least("n", F.col("first") + each).alias("end"), "error")
+
+
+def ranged_pages(items: DataFrame, rasterise: Callable[[str, bytes, int, int], Iterator[bytes]], tasks: int) -> DataFrame:
+    """What page_rows() gives, of page_ranges() dealt evenly to so many tasks; rasterise(name, content, first, end) makes some pages.
+
+    A range that fails has an error at the page where it did, and the document's other ranges keep theirs; so has one that ends
+    before its last page.
+    """
+    kind = items.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                doc, name, content, first, end, error = (c[i].as_py() for c in batch.columns)
+                page = first
+                of = lambda image, error: pa.RecordBatch.from_arrays([pa.array([doc], batch.schema.field(0).type), pa.array([page], pa.int32()), pa.array([image], pa.binary()), pa.array([error], pa.string())], names=["doc_id", "page", "image", "error"])  # noqa: B023, E731
+                try:
+                    for image in rasterise(name, content, first, end) if error is None else ():
+                        yield of(image, None)
+                        page += 1
+                    if error is not None or page < end:
+                        yield of(None, error or "pages are missing")
+                except Exception as e:
+                    yield of(None, message(e))
+
+    return items.select("doc_id", "name", "content", "first", "end", "error").repartition(tasks).mapInArrow(run, PAGES.format(kind))
+
+
 def recognised_pages(pages: DataFrame, call: Callable[[bytes, str | None, int], str], lang: str | None = None, psm: int = 6) -> DataFrame:
     """pages (doc_id, page, image, error) with text; call(image, lang, psm) is made for each page by itself, an empty lang is none."""
 
@@ -185,35 +235,162 @@ def service(send: Callable[[bytes, str], tuple[int, bytes]], fields: dict[str, s
     return run
 
 
+def posted(files: DataFrame, send: Callable[[bytes, str], tuple[int, bytes]], fields: dict[str, str | None] | None = None, *, at_once: int = 4, empty_is_error: bool = False) -> DataFrame:
+    """files (doc_id, name, content) to (doc_id, body, kind, error), as service() gives them, with several requests in flight.
+
+    A task has at most at_once requests open and takes no further file before the oldest is answered, so it never holds more
+    than their answers; these come in the files' order. send bounds each request's time. A null content is not sent.
+    """
+
+    def one(name, content):
+        try:
+            status, body = send(*multipart(name or "upload", content, fields or {}))
+            if status != 200:
+                return None, "error", f"status {status}"
+            return (None, "error", "empty body") if empty_is_error and not body else (body, None, None)
+        except TimeoutError as e:
+            return None, "timeout", message(e)
+        except Exception as e:
+            return None, "error", message(e)
+
+    def run(batches):
+        from collections import deque
+        from concurrent.futures import ThreadPoolExecutor
+
+        def answered(open_):
+            doc, future = open_.popleft()
+            body, kind, error = (None, None, None) if future is None else future.result()
+            return pa.RecordBatch.from_arrays([doc, pa.array([body], pa.binary()), pa.array([kind], pa.string()), pa.array([error], pa.string())], names=["doc_id", "body", "kind", "error"])
+
+        with ThreadPoolExecutor(at_once) as pool:
+            open_: deque = deque()
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    if len(open_) == at_once:
+                        yield answered(open_)
+                    name, content = batch.column(1)[i].as_py(), batch.column(2)[i].as_py()
+                    open_.append((batch.column(0).slice(i, 1), None if content is None else pool.submit(one, name, content)))
+            while open_:
+                yield answered(open_)
+
+    return files.select("doc_id", "name", "content").mapInArrow(run, f"doc_id {files.schema['doc_id'].dataType.simpleString()}, {ANSWER}")
+
+
+def _object(number: int, body: bytes) -> bytes:
+    return b"%d 0 obj\n" % number + body + b"\nendobj\n"
+
+
+def pdf_head(pages: int) -> tuple[bytes, list[int]]:
+    """The first part of a PDF of so many pages, and where its objects 1 to 3 start."""
+    bodies = [b"<< /Type /Catalog /Pages 2 0 R >>", f"<< /Type /Pages /Count {pages} /Kids [{' '.join(f'{4 + 3 * i} 0 R' for i in range(pages))}] >>".encode(), b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica >>"]
+    out, starts = b"%PDF-1.4\n", []
+    for n, body in enumerate(bodies, 1):
+        starts.append(len(out))
+        out += _object(n, body)
+    return out, starts
+
+
+def pdf_page(i: int, width: int, height: int, rgb: bytes, text: str | None, dpi: int = 200) -> tuple[bytes, list[int]]:
+    """Page i's own objects 4 + 3 i to 6 + 3 i, which need nothing of other pages, and where they start in them: the image, and over it the text's lines, invisible but found by a search."""
+
+    def stream(head: str, data: bytes) -> bytes:
+        return f"<< {head} /Length {len(data)} >>\nstream\n".encode() + data + b"\nendstream"
+
+    w, h, lines = width * 72 / dpi, height * 72 / dpi, (text or "").split("\n")
+    size = max(1.0, min(12.0, h / max(1, len(lines))))
+    shown = "\n".join("(" + x.replace("\\", "\\\\").replace("(", "\\(").replace(")", "\\)") + ") Tj T*" for x in lines)
+    content = f"q {w:.2f} 0 0 {h:.2f} 0 0 cm /Im Do Q\nBT 3 Tr /F1 {size:.2f} Tf {size:.2f} TL 0 {h - size:.2f} Td\n{shown}\nET".encode("latin-1", "replace")
+    bodies = [
+        f"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 {w:.2f} {h:.2f}] /Resources << /Font << /F1 3 0 R >> /XObject << /Im {6 + 3 * i} 0 R >> >> /Contents {5 + 3 * i} 0 R >>".encode(),
+        stream("", content), stream(f"/Type /XObject /Subtype /Image /Width {width} /Height {height} /ColorSpace /DeviceRGB /BitsPerComponent 8 /Filter /FlateDecode", zlib.compress(rgb)),
+    ]
+    parts = [_object(4 + 3 * i + k, body) for k, body in enumerate(bodies)]
+    return b"".join(parts), [0, len(parts[0]), len(parts[0]) + len(parts[1])]
+
+
+def pdf_tail(starts: list[int], size: int) -> bytes:
+    """The last part, after size bytes: where each object starts."""
+    table = b"xref\n0 %d\n0000000000 65535 f \n" % (len(starts) + 1) + b"".join(b"%010d 00000 n \n" % x for x in starts)
+    return table + b"trailer\n<< /Size %d /Root 1 0 R >>\nstartxref\n%d\n%%%%EOF\n" % (len(starts) + 1, size)
+
+
 def pdf_of_scans(pages: list[tuple[int, int, bytes, str]], dpi: int = 200) -> bytes:
-    """A PDF of pages (width, height, RGB bytes, text): each the image, and over it the text's lines, invisible but found by a search."""
+    """A PDF of pages (width, height, RGB bytes, text)."""
     if not pages:
         raise ValueError("no pages")
-    out, offsets = io.BytesIO(), []
-    out.write(b"%PDF-1.4\n")
+    out, starts = pdf_head(len(pages))
+    parts, size = [out], len(out)
+    for i, page in enumerate(pages):
+        data, at = pdf_page(i, *page, dpi)
+        starts += [size + x for x in at]
+        size += len(data)
+        parts.append(data)
+    return b"".join([*parts, pdf_tail(starts, size)])
 
-    def put(body: bytes) -> None:
-        offsets.append(out.tell())
-        out.write(b"%d 0 obj\n" % len(offsets) + body + b"\nendobj\n")
 
-    def stream(head: str, data: bytes) -> bytes:
-        return f"<< {head} /Length {len(data)} >>\nstream\n".encode() + data + b"\nendstream"
+PART = "data binary, starts array<long>, error string"
+
+
+def searchable_pdf_parts(docs: DataFrame, pages: DataFrame, dpi: int = 200) -> DataFrame:
+    """(doc_id, ord, data, error): parts that make each document's searchable PDF one after the other; see searchable_pdfs().
+
+    A part is a page, before all the head, after all the table of places, which is a running sum of the parts' sizes. So a task
+    holds one page at a time, however many a document has. A page that fails gives its error in a row without data; such a
+    document's PDF is not to be used, nor that of one without pages, which has one row with that error.
+    """
+    order = Window.partitionBy("doc_id").orderBy("page")
+    numbered = pages.select("doc_id", "page", "image", "text", (F.row_number().over(order) - 1).alias("i"))
 
-    put(b"<< /Type /Catalog /Pages 2 0 R >>")
-    put(f"<< /Type /Pages /Count {len(pages)} /Kids [{' '.join(f'{4 + 3 * i} 0 R' for i in range(len(pages)))}] >>".encode())
-    put(b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica >>")
-    for i, (width, height, rgb, text) in enumerate(pages):
-        w, h, lines = width * 72 / dpi, height * 72 / dpi, (text or "").split("\n")
-        size = max(1.0, min(12.0, h / max(1, len(lines))))
-        shown = "\n".join("(" + x.replace("\\", "\\\\").replace("(", "\\(").replace(")", "\\)") + ") Tj T*" for x in lines)
-        content = f"q {w:.2f} 0 0 {h:.2f} 0 0 cm /Im Do Q\nBT 3 Tr /F1 {size:.2f} Tf {size:.2f} TL 0 {h - size:.2f} Td\n{shown}\nET".encode("latin-1", "replace")
-        put(f"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 {w:.2f} {h:.2f}] /Resources << /Font << /F1 3 0 R >> /XObject << /Im {6 + 3 * i} 0 R >> >> /Contents {5 + 3 * i} 0 R >>".encode())
-        put(stream("", content))
-        put(stream(f"/Type /XObject /Subtype /Image /Width {width} /Height {height} /ColorSpace /DeviceRGB /BitsPerComponent 8 /Filter /FlateDecode", zlib.compress(rgb)))
-    start = out.tell()
-    out.write(b"xref\n0 %d\n0000000000 65535 f \n" % (len(offsets) + 1) + b"".join(b"%010d 00000 n \n" % x for x in offsets))
-    out.write(b"trailer\n<< /Size %d /Root 1 0 R >>\nstartxref\n%d\n%%%%EOF\n" % (len(offsets) + 1, start))
-    return out.getvalue()
+    @F.pandas_udf(PART)
+    def page_part(numbers: pd.Series, images: pd.DataFrame, texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for i, image, text in zip(numbers, images.itertuples(index=False), texts, strict=True):
+            try:
+                rgb = unpacked(image.height, image.width, image.nChannels, image.data)[:, :, ::-1].tobytes()
+                out.append((*pdf_page(i, image.width, image.height, rgb, text, dpi), None))
+            except Exception as e:
+                out.append((None, None, message(e)))
+        return pd.DataFrame(out, columns=["data", "starts", "error"], dtype=object)
+
+    @F.pandas_udf("head binary, tail binary")
+    def ends(counts: pd.Series, starts: pd.Series, sizes: pd.Series) -> pd.DataFrame:
+        out = []
+        for n, at, size in zip(counts, starts, sizes, strict=True):
+            head, first = pdf_head(n)
+            out.append((head, pdf_tail(first + [len(head) + int(x) for x in at], len(head) + int(size))))
+        return pd.DataFrame(out, columns=["head", "tail"], dtype=object)
+
+    image = F.struct("image.height", "image.width", "image.nChannels", "image.data")
+    made = numbered.withColumn("r", page_part("i", image, "text")).select("doc_id", F.col("i").alias("ord"), "r.*")
+    # the pages are made once; from here on their rows are read
+    folder = shared_folder(docs.sparkSession, "pages")
+    made.write.parquet(folder)
+    made = docs.sparkSession.read.schema(made.schema).parquet(folder)
+    # only sizes and places meet; the pages' bytes stay in their rows
+    size = F.coalesce(F.length("data").cast("long"), F.lit(0))
+    before = F.sum(size).over(Window.partitionBy("doc_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = made.select("doc_id", "ord", "starts", size.alias("size"), F.coalesce(before, F.lit(0)).alias("before"))
+    places = sizes.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("n"), F.sum("size").alias("size"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("ord", "before", "starts"))), lambda x: F.transform(F.coalesce(x["starts"], F.array().cast("array<long>")), lambda s: s + x["before"]))).alias("at"))
+    both = docs.select("doc_id").join(places, "doc_id", "left")
+    whole = both.where("n is not null").withColumn("r", ends("n", "at", "size"))
+    none = F.lit(None).cast("string").alias("error")
+    edges = whole.select("doc_id", F.inline(F.array(F.struct(F.lit(-1).alias("ord"), F.col("r.head").alias("data"), none), F.struct(F.col("n").alias("ord"), F.col("r.tail").alias("data"), none))))
+    empty = both.where("n is null").select("doc_id", F.lit(0).alias("ord"), F.lit(None).cast("binary").alias("data"), F.lit("no pages").alias("error"))
+    return made.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "ord", "data", "error").union(edges).union(empty)
+
+
+def write_parts(parts: DataFrame, root: str, tasks: int) -> None:
+    """Parts (doc_id, ord, data, error) as a table in which a document's lie in order, so that a reader streams them one by one."""
+    parts.repartitionByRange(tasks, "doc_id", "ord").sortWithinPartitions("doc_id", "ord").write.parquet(root)
+
+
+def read_file(spark: SparkSession, root: str, doc_id) -> Iterator[bytes]:
+    """The bytes of a file that write_parts() left, part after part; one that failed raises ValueError."""
+    mine = spark.read.parquet(root).where(F.col("doc_id") == F.lit(doc_id))
+    if failed := mine.where("error is not null").select("error").first():
+        raise ValueError(failed[0])
+    for row in mine.orderBy("ord").select("data").toLocalIterator():
+        yield bytes(row["data"])
 
 
 def searchable_pdfs(docs: DataFrame, pages: DataFrame, dpi: int = 200) -> DataFrame:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import posixpath
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from foliant.sources.files import crop_key, inside_root
 
@@ -25,6 +27,27 @@ def read_blobs(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(BLOB).parquet(root)
 
 
+def write_keyed(rows: DataFrame, key: str, path: str, buckets: int) -> DataFrame:
+    """rows as a table in path, bucketed and sorted by key, with bloom filters of it, so that lookup() reads one bucket's matching groups."""
+    name = f"foliant_{uuid.uuid4().hex}"
+    dealt = rows.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).format("parquet").option("path", path)
+    dealt.option(f"parquet.bloom.filter.enabled#{key}", "true").saveAsTable(name)
+    return rows.sparkSession.table(name)
+
+
+def open_keyed(spark: SparkSession, schema: StructType, key: str, path: str, buckets: int) -> DataFrame:
+    """A table that write_keyed() left in path, in another session."""
+    name = f"foliant_{uuid.uuid4().hex}"
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    spark.sql(f"create table {name} ({columns}) using parquet options (path '{path}') clustered by (`{key}`) sorted by (`{key}`) into {buckets} buckets")
+    return spark.table(name)
+
+
+def lookup(table: DataFrame, key: str, value) -> DataFrame:
+    """The rows of one key, none of a null one."""
+    return table.where(F.col(key) == F.lit(value).cast(table.schema[key].dataType))
+
+
 def crops(regions: DataFrame) -> DataFrame:
     """regions (doc_id, ord, bbox, bbox_space, page, source, region_type_guess, width, height, format, data) with storage_key."""
     return regions.withColumn("storage_key", crop_key(F.col("doc_id").cast("string"), F.col("ord"), F.col("format")))
