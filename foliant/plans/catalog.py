@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from foliant.functions.text import DIGIT, EDGES, GENERAL, HEADER_CHARS, NL, NOT_CAPITAL
 from foliant.operators import evaluation, export, regions, search, state, structure
 from foliant.operators.textindex import TextIndex
+from foliant.operators.wordgrids import native_tables, word_grids
 from foliant.sources import files, sinks
 from foliant.sources.shared import shared_folder
 from foliant.streaming.current import compact_log, current_rows, keep_current
@@ -161,6 +162,42 @@ def native_tables_clean(spark, d):
     return rows.select("doc_id", "table_no", (F.col("r") + 1).cast("long").alias("row_no"), "raw_line")
 
 
+#: Words of a document on pages of fifteen lines of four: in columns on some pages, close together on others, and without a box on a few.
+_PLACED = "i // 60 AS page, i % 60 // 4 AS line, i % 4 AS col, w"
+
+
+def _placed(spark, d):
+    words = documents(spark, d).select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("[^ \\n]+"), F.lit(0))).alias("i", "w"))
+    page, col, line = F.floor(F.col("i") / 60), F.col("i") % 4, F.floor(F.col("i") % 60 / 4)
+    close = (F.col("doc_id") + page) % 3 == 0
+    x0 = F.when(close, col * 30).otherwise(col * 120 + F.length("w") % 7)
+    x1 = F.when(((F.col("doc_id") + page) % 7 == 0) & (F.col("i") % 60 == 1), None).when(close, x0 + 28).otherwise(x0 + F.least(F.length("w") * 5, F.lit(90)))
+    return words.select("doc_id", page.alias("page"), x0.alias("x0"), (line * 14 + col % 2).alias("y0"), x1.alias("x1"), (line * 14 + col % 2 + 10).alias("y1"), F.col("w").alias("text"))
+
+
+#: What the placement makes, without any boxes: lines of two and more words of a page in columns, where there are two.
+PLACED = f"""WITH w AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) - 1 AS i FROM (SELECT doc_id, regexp_extract_all(text, '[^ \n]+') AS w FROM documents)), p AS (SELECT doc_id, {_PLACED} FROM w),
+bad AS (SELECT DISTINCT doc_id, i // 60 AS page FROM w WHERE (doc_id + i // 60) % 7 = 0 AND i % 60 = 1),
+l AS (SELECT doc_id, page, line, string_agg(w, '|' ORDER BY col) AS cells, count(*) AS n FROM p WHERE (doc_id + page) % 3 <> 0 GROUP BY ALL HAVING count(*) >= 2),
+t AS (SELECT doc_id, page, count(*) AS n_rows, max(n) AS width, md5(string_agg(cells || CASE WHEN n < width THEN repeat('|', CAST(width - n AS BIGINT)) ELSE '' END, chr(10) ORDER BY line)) AS cells_md5 FROM (SELECT *, max(n) OVER (PARTITION BY doc_id, page) AS width FROM l) GROUP BY doc_id, page HAVING count(*) >= 2)
+"""
+
+
+@query(PLACED + "SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(page AS BIGINT) AS page, n_rows, width, cells_md5 FROM t ANTI JOIN bad USING (doc_id, page)")
+def native_word_grids(spark, d):
+    g = word_grids(_placed(spark, d))
+    rows = F.transform("rows", lambda r: F.array_join(r, "|", ""))
+    return g.select("doc_id", "page", F.size("rows").cast("long").alias("n_rows"), F.size(F.get("rows", F.lit(0))).cast("long").alias("width"), F.md5(F.array_join(rows, "\n")).alias("cells_md5"))
+
+
+@query(PLACED + "SELECT doc_id, count(*) AS n_tables, CAST(sum(n_rows) AS BIGINT) AS n_rows FROM t ANTI JOIN bad USING (doc_id, page) GROUP BY doc_id")
+def native_tables_structured(spark, d):
+    """Word boxes to grids to the structure of documents, of those that have some."""
+    docs = documents(spark, d).select("doc_id", "text").join(native_tables(_placed(spark, d)), "doc_id")
+    t = F.col("structure.tables")
+    return structure.parse_structure(docs).select("doc_id", F.size(t).cast("long").alias("n_tables"), F.aggregate(t, F.lit(0).cast("long"), lambda a, x: a + F.size(x["rows"])).alias("n_rows"))
+
+
 _REGION = "CASE doc_id % 4 WHEN 0 THEN ' ' || chr(9) || chr(10) WHEN 1 THEN left(text, 60) WHEN 2 THEN chr(10) || left(text, 5) END"
 
 
