@@ -93,10 +93,11 @@ def evaluate(files: DataFrame, native, recognise, confidence: DataFrame | None =
 
     path is under the samples' root, and gives the category. native (or None) and recognise are Python functions of (name,
     content) that return page texts; what they raise is the file's error. confidence: (doc_id, confidence), as word_confidence()
-    makes it; doc_id is the path. The rows are worth writing before a report, so that nothing is read twice.
+    makes it; doc_id is the path. What was read is written to the shared folder first, so each file is recognised once.
     """
     from foliant.operators.structure import parse_structure
     from foliant.sources.files import is_pdf, native_text, scanned_text
+    from foliant.sources.shared import shared_folder
 
     rows = files.select(F.col("path").alias("doc_id"), "name", "content").withColumn("_pdf", is_pdf(F.col("name"), F.col("content")))
     none = F.lit(None).cast("struct<pages:array<string>,error:string,seconds:double>")
@@ -105,6 +106,9 @@ def evaluate(files: DataFrame, native, recognise, confidence: DataFrame | None =
     rows = rows.withColumn("_r", timed(recognise)("name", F.when(F.col("_text").isNull(), F.col("content"))))
     text, used = F.coalesce("_text", scanned_text(F.col("_r.pages"))), F.col("_text").isNotNull()
     read = rows.select("doc_id", "name", text.alias("text"), used.alias("native"), text.isNull().alias("failed"), F.coalesce("_r.error", F.when(text.isNull(), F.lit("nothing was recognised"))).alias("error"), (F.coalesce("_n.seconds", F.lit(0.0)) + F.coalesce("_r.seconds", F.lit(0.0))).alias("seconds"))
+    folder = shared_folder(files.sparkSession, "read")
+    read.write.parquet(folder)
+    read = files.sparkSession.read.schema(read.schema).parquet(folder)
     parsed = parse_structure(read.select("doc_id", "text", F.when(~F.col("native"), "ocr").alias("text_source")))
     out = read.join(parsed, "doc_id", "left")
     out = out.withColumn("confidence", F.lit(None).cast("double")) if confidence is None else out.join(confidence, "doc_id", "left")

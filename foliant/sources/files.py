@@ -81,8 +81,8 @@ def _read(column: Column, kind) -> tuple[Column, Column]:
     return column, F.lit(None).cast("string")
 
 
-def extract(files: DataFrame, native: Callable | None, recognise: Callable) -> DataFrame:
-    """files (doc_id, name, content) to doc_id, text, text_source and error.
+def extract(files: DataFrame, native: Callable | None, recognise: Callable, keep: tuple[str, ...] = ()) -> DataFrame:
+    """files (doc_id, name, content) to doc_id, text, text_source and error, after the columns that keep names.
 
     native and recognise are column functions of (name, content) that give page texts, array<string>, or struct<pages,error>
     as recognisers.isolated() makes them. Each is planned once: a file that isn't one for it comes to it with null content,
@@ -103,7 +103,7 @@ def extract(files: DataFrame, native: Callable | None, recognise: Callable) -> D
     found = F.col("_n").isNotNull()
     problem = F.when(F.col("_bad"), F.lit("empty file")).when(~found, F.coalesce("_error", F.when(F.col("_scan").isNull(), F.lit("nothing was recognised"))))
     ok = problem.isNull()
-    return rows.select("doc_id", F.when(ok, F.coalesce("_n", "_scan")).alias("text"), F.when(ok, F.when(found, "native_pdf").otherwise("ocr")).alias("text_source"), problem.alias("error"))
+    return rows.select("doc_id", *keep, F.when(ok, F.coalesce("_n", "_scan")).alias("text"), F.when(ok, F.when(found, "native_pdf").otherwise("ocr")).alias("text_source"), problem.alias("error"))
 
 
 def payload(json: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from foliant.sources.files import crop_key, inside_root
+from foliant.sources.shared import file_system
 
 BLOB = "key string, data binary"
 RECORD = ("doc_id", "source", "status", "raw_file_path", "extracted_text", "structured_data", "image_regions", "error_message", "created_at", "updated_at")
@@ -60,6 +61,36 @@ def stored_regions(docs: DataFrame, regions: DataFrame) -> DataFrame:
     return docs.select("doc_id").join(some, "doc_id", "left").select("doc_id", F.transform("l", lambda x: x["m"]).alias("image_regions"))
 
 
+def store_crops(crops: DataFrame, root: str, batch: int) -> None:
+    """Stores crops (storage_key, data) of a batch: each content once, whatever batches and keys it comes with.
+
+    A batch overwrites its own part, so a repeated one adds nothing. Contents of other batches are known by their digests.
+    """
+    spark = crops.sparkSession
+    digest = F.sha2("data", 256)
+    rows = crops.where("data is not null").select("storage_key", digest.alias("digest"), "data")
+    known = _parts(spark, f"{root}/contents", batch)
+    fresh = rows.groupBy("digest").agg(F.first("data").alias("data"))
+    if known is not None:
+        fresh = fresh.join(known.select("digest"), "digest", "left_anti")
+    fresh.write.mode("overwrite").parquet(f"{root}/contents/batch={batch}")
+    rows.select("storage_key", "digest").distinct().write.mode("overwrite").parquet(f"{root}/keys/batch={batch}")
+
+
+def _parts(spark: SparkSession, folder: str, but: int) -> DataFrame | None:
+    """The parts of a folder that other batches wrote."""
+    fs, p = file_system(spark, folder)
+    parts = [s.getPath() for s in fs.listStatus(p)] if fs.exists(p) else []
+    others = [x.toString() for x in parts if x.getName().startswith("batch=") and x.getName() != f"batch={but}"]
+    return spark.read.parquet(*others) if others else None
+
+
+def read_crops(spark: SparkSession, root: str) -> DataFrame:
+    """(key, data) of store_crops(), of a key that came again what it was given last; for resolved()."""
+    last = spark.read.parquet(f"{root}/keys").groupBy("storage_key").agg(F.max_by("digest", "batch").alias("digest"))
+    return last.join(spark.read.parquet(f"{root}/contents").drop("batch"), "digest").select(F.col("storage_key").alias("key"), "data")
+
+
 def resolved(regions: DataFrame, blobs: DataFrame) -> DataFrame:
     """regions (storage_key, …) with data, null where the store lacks the key; the same key stored twice counts once."""
     once = blobs.groupBy("key").agg(F.first("data").alias("data"))
