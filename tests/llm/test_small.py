@@ -846,8 +846,9 @@ def test_leaks_beside_a_frequent_word(spark):
     some = [f"{t} {items[i % 100]} {mixed(40)}" if (i, i % 100) in hosts else t for i, t in enumerate(some)]
     got = d.leaks(spark.createDataFrame(list(enumerate(some)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
     assert {(x["doc_id"], x["item_id"]) for x in got} == hosts
-    p, a = d.Pattern(np.array([1, 1, 1, 2, 3, 4])), np.array
-    assert len(p.of(a([1, 1, 1, 1, 7, 7]))) == 4 and len(p.of(a([1, 1, 7, 7, 7]))) == 0 and list(p.of(a([9, 4, 1, 0, 2]))) == [4, 1, 2]
+    for p in (d.Pattern(np.array([1, 1, 1, 2, 3, 4])), d.Pattern(np.array([1, 1, 1, 2, 3, 4]), 10)):
+        a = np.array
+        assert len(p.of(a([1, 1, 1, 1, 7, 7]))) == 4 and len(p.of(a([1, 1, 7, 7, 7]))) == 0 and list(p.of(a([9, 4, 1, 0, 2]))) == [4, 1, 2] and len(p.of(a([3, 3, 3, 3]))) == 0
 
 
 def test_licenses(spark):
