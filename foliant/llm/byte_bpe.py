@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from foliant.llm.textbytes import column_bytes, lists, row_chunks, trimmed
 
 #: Words of which a worker keeps the ids at most, but for those of one chunk; it starts anew beyond that.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 80_000
 #: Bytes of text that are encoded before a batch of results is sent; a longer text is alone.
 CHUNK = 1 << 19
 #: Longer pre-tokens are merged one at a time, by a heap, rather than in the common fold.
