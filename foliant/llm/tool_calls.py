@@ -1,49 +1,77 @@
 """Chat formatting with linked tool calls, in DataFrame operations only.
 
 Calls and results are hash-joined by identifier, calls are levelled topologically by what they depend
-on, arguments are checked against the tools' schemas, and each exchange is written as canonical JSON:
+on, by pointer doubling, arguments are checked against the tools' schemas, and each exchange is written as canonical JSON:
 sorted keys, no blanks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.scratch import Scratch, is_empty, small_or_shuffled
+from foliant.llm.scratch import Scratch, counted, is_empty, small_or_shuffled
 
 #: JSON schema types by the head of the type name that Spark gives a variant (fixed values).
 TYPES = {"STRING": "string", "BIGINT": "integer", "DECIMAL": "number", "DOUBLE": "number", "FLOAT": "number", "BOOLEAN": "boolean", "ARRAY": "array", "OBJECT": "object", "VOID": "null"}
 #: Tools whose schemas are broadcast at most; those of more are joined by a shuffle.
 MOST_TOOLS = 10_000
+#: More than any level; weights on a cycle, which would double without end, stop there.
+HIGHEST = 1 << 40
+
+
+def _merged(rows: DataFrame) -> DataFrame:
+    """One row for each call and what it waits for, with n, the number of its rows that wait for something."""
+    key = ["conv_id", "call_id"]
+    one = rows.repartition(*key).groupBy(*key, "on").agg(F.max("w").alias("w"), F.max("b").alias("b"))
+    return one.withColumn("n", F.count("on").over(Window.partitionBy(*key)))
+
+
+def _bounded(weight: Column) -> Column:
+    """At most HIGHEST; null stays null."""
+    return F.when(weight < HIGHEST, weight).when(weight.isNotNull(), F.lit(HIGHEST))
 
 
 def levels(calls: DataFrame, scratch: Scratch) -> DataFrame:
     """calls (conv_id, call_id, depends_on array<string>) to (conv_id, call_id, level): 0 without dependencies, else one more than the highest.
 
-    Dependencies on calls that are not there are ignored. Calls on a cycle, or behind one, have level null. A round for each
-    level reads and writes only the dependencies that are still open, so rounds grow smaller and no plan grows.
+    Dependencies on calls that are not there are ignored. Calls on a cycle, or behind one, have level null.
+
+    A row (on, w, b) says that a call's level is at least b, and at least w more than that of the call on, if it waits for one. In each
+    round calls that wait for nothing are placed, and every row that waits for a placed call, or for one with a single row left, takes
+    that call's row instead, with weights added: pointers double. A chain of n calls takes log2(n) rounds; calls that each wait for
+    several take a round a level at most. Rows never grow in number, and a round reads only calls that are still open.
     """
     spark, key = calls.sparkSession, ["conv_id", "call_id"]
     nodes = calls.select(*key, F.coalesce("depends_on", F.array().cast("array<string>")).alias("d"))
     known = scratch.save(nodes.select(*key).distinct(), "nodes")
-    edges = nodes.select(*key, F.explode("d").alias("on")).distinct()
-    edges = scratch.save(edges.join(known.withColumnRenamed("call_id", "on"), ["conv_id", "on"], "left_semi"), "edges")
-    path, level = scratch.path("levels"), 0
-    done = scratch.save(known.join(edges.select(*key).distinct(), key, "left_anti"), "done")
-    with scratch.clean():
-        done.write.parquet(f"{path}/level=0")
-    while not is_empty(edges):
-        left = scratch.save(edges.join(done.withColumnRenamed("call_id", "on"), ["conv_id", "on"], "left_anti"), "edges")
-        now = scratch.save(edges.select(*key).distinct().join(left.select(*key).distinct(), key, "left_anti"), "done")
-        scratch.drop(edges, done)
-        edges, done, level = left, now, level + 1
+    edges = nodes.select(*key, F.explode("d").alias("on")).distinct().join(known.withColumnRenamed("call_id", "on"), ["conv_id", "on"], "left_semi")
+    start = known.join(edges, key, "left").select(*key, "on", F.when(F.col("on").isNotNull(), F.lit(1).cast("long")).alias("w"), F.lit(0).cast("long").alias("b"))
+    rows, path, turn = scratch.save(_merged(start), "waiting", open=F.sum("n")), scratch.path("steps"), 0
+    types = dict(known.dtypes)
+    schema = f"conv_id {types['conv_id']}, call_id string, on string, w long, b long"
+    while True:
         with scratch.clean():
-            done.write.parquet(f"{path}/level={level}")
-        if is_empty(done):
+            rows.where("n <= 1").groupBy(*key).agg(F.max("on").alias("on"), F.max("w").alias("w"), F.max("b").alias("b")).write.parquet(f"{path}/turn={turn}")
+        steps = spark.read.schema(schema).parquet(f"{path}/turn={turn}")
+        placed = steps.where("on is null")
+        if not counted(rows)["open"] or is_empty(placed):
             break
-    types = dict(known.dtypes)
-    placed = spark.read.schema(f"conv_id {types['conv_id']}, call_id string, level int").parquet(path)
+        ends = placed.select("conv_id", F.col("call_id").alias("on"), F.col("b").alias("end"))
+        wait = F.col("end").isNull()
+        steps = steps.join(ends, ["conv_id", "on"], "left").select(
+            "conv_id", F.col("call_id").alias("on"), F.when(wait, F.col("on")).alias("next"), F.when(wait, F.col("w")).alias("more"),
+            F.greatest("b", _bounded(F.col("w") + F.col("end"))).alias("least"), F.lit(True).alias("found"),
+        )
+        taken = rows.where("n > 0").join(steps, ["conv_id", "on"], "left").select(
+            *key, F.when(F.col("found"), F.col("next")).otherwise(F.col("on")).alias("on"),
+            F.when(F.col("found"), _bounded(F.col("w") + F.col("more"))).otherwise(F.col("w")).alias("w"),
+            F.when(F.col("found"), F.greatest("b", _bounded(F.col("w") + F.col("least")))).otherwise(F.col("b")).alias("b"),
+        )
+        after = scratch.save(_merged(taken), "waiting", open=F.sum("n"))
+        scratch.drop(rows)
+        rows, turn = after, turn + 1
+    placed = spark.read.schema(schema).parquet(f"{path}/*").where("on is null").select(*key, F.col("b").cast("int").alias("level"))
     return known.join(placed, key, "left")
 
 

@@ -907,6 +907,36 @@ def test_calls(spark):
     assert [r["level"] for r in link_calls(chain, results, tools).orderBy(F.col("call_id").substr(2, 3).cast("int")).collect()] == list(range(12))
 
 
+def test_levels_of_calls(spark, monkeypatch):
+    """Random graphs with loops, ladders and cycles against plain recursion; a chain of 1000 calls in about 10 rounds; columns of any name."""
+    from foliant.llm.scratch import Scratch
+    from foliant.llm.tool_calls import levels
+
+    def plain(graph):
+        level, again = {}, True
+        while again:
+            now = {v: max((level[u] + 1 for u in d if u in graph), default=0) for v, d in graph.items() if v not in level and all(u in level for u in d if u in graph)}
+            level, again = level | now, bool(now)
+        return level
+
+    r, graphs = random.Random(5), {}
+    for conv in range(12):  # mostly single dependencies, some several, also backwards, on themselves and on calls that are not there
+        n = r.randint(1, 30)
+        graphs[conv] = {f"c{i}": [f"c{r.randint(-1, i + (conv % 3 == 0))}" for _ in range(r.choice((0, 1, 1, 1, 2, 4)))] for i in range(n)}
+    graphs[20] = {f"c{i}": [f"c{i - 1}", f"c{i - 2}"] for i in range(9)}
+    graphs[21] = {f"c{i}": [f"c{(i + 1) % 7}"] for i in range(7)} | {"out": ["c3", "free"], "free": []}
+    graphs[22] = {f"c{i}": [f"c{i - 1}"] if i else [] for i in range(1000)}
+    schema = "conv_id long, call_id string, depends_on array<string>, on string, w string, b string, n string, level string, found string, next string"
+    calls = spark.createDataFrame([(c, v, d or None, *"abcdefg") for c, g in graphs.items() for v, d in g.items()], schema)
+    scratch, writes = Scratch(spark, "levels"), []
+    save = scratch.save
+    monkeypatch.setattr(scratch, "save", lambda df, name, *a, **k: writes.append(name) or save(df, name, *a, **k))
+    got = {(x["conv_id"], x["call_id"]): x["level"] for x in levels(calls, scratch).collect()}
+    want = {c: plain(g) for c, g in graphs.items()}
+    assert got == {(c, v): want[c].get(v) for c, g in graphs.items() for v in g}
+    assert writes.count("waiting") <= 13
+
+
 def test_calls_of_odd_chats(spark):
     """Turns of any role, null ones too."""
     from foliant.llm.tool_calls import calls_of_chat, link_calls
