@@ -10,18 +10,28 @@ older generation says of a document is void once a newer one has it. compact() m
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliant.operators.search import MAX_WORDS, MIN_WORDS, TOKEN, USUAL, _stemmed, check_page, query_terms, stop_words
+from foliant.functions.stem import porter
+from foliant.operators.search import MAX_WORDS, MIN_WORDS, TOKEN, USUAL, check_page, query_terms, stop_words
 from foliant.sources.shared import file_system, remove
 
 #: Bits of a document's number in its block, so 128 documents; and of a block's number in its generation.
 BLOCK_BITS, GENERATION_BITS = 7, 42
-#: Folders by lexeme, and tasks that one folder's blocks are dealt to when it is written, so that no lexeme is one task's.
-PARTS, SLOTS = 16, 4
+#: Folders by lexeme.
+PARTS = 16
+#: Blocks whose rows are formed at once.
+AT_ONCE = 8
+#: Documents with a later version that are broadcast at most when generations are made one; more are joined by a shuffle.
+BROADCAST_DOCS = 4_000_000
 #: Blocks that the first look takes, at least.
 FIRST = 16
 
@@ -30,11 +40,59 @@ def _rank(count: Column) -> Column:
     return count / (count + F.lit(1.0))
 
 
+def _lexemes(docs: pa.RecordBatch, stops: frozenset[str], stemmed: bool) -> pa.RecordBatch:
+    """(lexeme, block, top, newest, entries) of some blocks' documents (doc_id, created_at, block, words)."""
+    words, block = docs.column("words"), docs.column("block").to_numpy()
+    coded = words.flatten().dictionary_encode()
+    names = coded.dictionary.to_pylist()
+    counted = np.array([w not in stops for w in names], dtype=bool)
+    lexemes = sorted({porter(w) for w in names}) if stemmed else names
+    number = {w: i for i, w in enumerate(lexemes)}
+    of = np.array([number[porter(w) if stemmed else w] for w in names], dtype=np.int64)
+    size = pc.list_value_length(words).to_numpy()
+    doc, code = np.repeat(np.arange(len(size)), size), coded.indices.to_numpy()
+    # a place counts all words of the text as it is; stop words leave no postings
+    place = np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size)
+    some = counted[code]
+    doc, place, code = doc[some], place[some], of[code[some]]
+    run = np.cumsum(np.append(0, block[1:] != block[:-1]))
+    key = code * (run[-1] + 1) + run[doc]
+    order = np.argsort(key, kind="stable")
+    key, doc, place, code = key[order], doc[order], place[order], code[order]
+    new = np.append(True, key[1:] != key[:-1])[: len(key)]
+    row, entry = np.flatnonzero(new), np.flatnonzero(new | np.append(True, doc[1:] != doc[:-1])[: len(key)])
+    tf, mine = np.diff(np.append(entry, len(key))), doc[entry]
+    ends = np.searchsorted(entry, np.append(row, len(key)))
+    created = docs.column("created_at")
+    by_date = pc.sort_indices(created, null_placement="at_start").to_numpy().astype(np.int64)
+    rank = np.empty(len(by_date), dtype=np.int64)
+    rank[by_date] = np.arange(len(by_date))
+    top, newest = (np.maximum.reduceat(x, ends[:-1]) if len(row) else np.zeros(0, dtype=np.int64) for x in (tf, rank[mine]))
+    lists = lambda offsets, values: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+    places = lists(np.append(entry, len(key)), pa.array(place, pa.int32()))
+    entries = pa.StructArray.from_arrays([docs.column("doc_id").take(pa.array(mine)), created.take(pa.array(mine)), pa.array(tf, pa.int64()), places], names=["doc_id", "created_at", "tf", "places"])
+    columns = [pa.array(lexemes, pa.string()).take(pa.array(code[row])), pa.array(block[doc[row]]), pa.array(top, pa.int64()), created.take(pa.array(by_date[newest])), lists(ends, entries)]
+    return pa.RecordBatch.from_arrays(columns, names=["lexeme", "block", "top", "newest", "entries"])
+
+
+def _inverted(stops: frozenset[str], stemmed: bool):
+    """The function of Arrow batches that makes rows of postings, AT_ONCE blocks at a time; a block that two batches share has rows of both."""
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            block = batch.column("block").to_numpy()
+            starts = [*np.flatnonzero(np.append(True, block[1:] != block[:-1])[: len(block)])[::AT_ONCE].tolist(), len(block)]
+            for a, b in itertools.pairwise(starts):
+                yield _lexemes(batch.slice(a, b - a), stops, stemmed)
+
+    return run
+
+
 class TextIndex:
     """An index in a folder that the driver and all executors share: postings, and the documents (doc_id, text, created_at, …)."""
 
-    def __init__(self, spark: SparkSession, root: str, stemmed: bool = False, parts: int = PARTS, slots: int = SLOTS):
-        self.spark, self.root, self.stemmed, self.parts, self.slots = spark, root, stemmed, parts, slots
+    def __init__(self, spark: SparkSession, root: str, stemmed: bool = False, parts: int = PARTS):
+        self.spark, self.root, self.stemmed, self.parts = spark, root, stemmed, parts
 
     def generations(self) -> list[int]:
         fs, p = file_system(self.spark, f"{self.root}/docs")
@@ -58,19 +116,15 @@ class TextIndex:
         self._write(self._rows(self.spark.read.parquet(folder)), generation)
 
     def _rows(self, docs: DataFrame) -> DataFrame:
-        """(part, slot, lexeme, block, doc_id, created_at, tf, places), with the one shuffle that also forms the blocks' rows."""
-        # a place counts all words of the text as it is; stop words leave no postings
-        words = F.transform(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)), F.lower)
-        lexemes = _stemmed(words) if self.stemmed else words
-        rows = docs.where("text is not null").select("doc_id", "created_at", "block", F.posexplode(F.arrays_zip(words.alias("w"), lexemes.alias("l"))).alias("place", "x"))
-        rows = rows.where(~F.col("x.w").isin(stop_words(self.spark))).select("doc_id", "created_at", "block", "place", F.col("x.l").alias("lexeme"))
-        rows = rows.withColumns({"part": self._part(F.col("lexeme")), "slot": F.pmod("block", F.lit(self.slots))}).repartition("part", "slot")
-        return rows.groupBy("part", "slot", "lexeme", "block", "doc_id", "created_at").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("place")).alias("places"))
+        """(part, lexeme, block, top, newest, entries): rows of blocks, formed where their documents are, so nothing is shuffled."""
+        words = F.transform(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)), F.lower).alias("words")
+        rows = docs.where("text is not null").select("doc_id", "created_at", "block", words)
+        kind = {c: rows.schema[c].dataType.simpleString() for c in ("doc_id", "created_at")}
+        schema = f"lexeme string, block long, top long, newest {kind['created_at']}, entries array<struct<doc_id:{kind['doc_id']},created_at:{kind['created_at']},tf:bigint,places:array<int>>>"
+        return rows.mapInArrow(_inverted(frozenset(stop_words(self.spark)), self.stemmed), schema).withColumn("part", self._part(F.col("lexeme")))
 
     def _write(self, rows: DataFrame, generation: int) -> None:
-        entry = F.struct("doc_id", "created_at", "tf", "places")
-        blocks = rows.groupBy("part", "slot", "lexeme", "block").agg(F.max("tf").alias("top"), F.max("created_at").alias("newest"), F.collect_list(entry).alias("entries")).drop("slot")
-        blocks.sortWithinPartitions("part", "lexeme", "block").write.mode("overwrite").partitionBy("part").parquet(f"{self.root}/postings/gen={generation}")
+        rows.sortWithinPartitions("part", "lexeme", "block").write.mode("overwrite").partitionBy("part").parquet(f"{self.root}/postings/gen={generation}")
 
     def _part(self, lexeme: Column) -> Column:
         return F.pmod(F.xxhash64(lexeme), F.lit(self.parts)).cast("int")
@@ -90,7 +144,9 @@ class TextIndex:
 
     def bounds(self, terms: list[str]) -> DataFrame:
         """(gen, block, bound, newest) of the blocks that hold all terms; no document's rank in a block is above the bound."""
-        rows = self._of(terms).groupBy("gen", "block").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(_rank(F.col("top"))), 6).alias("bound"), F.min("newest").alias("newest"))
+        # a block whose documents were read by two tasks has a row of each
+        each = self._of(terms).groupBy("gen", "block", "lexeme").agg(F.max("top").alias("top"), F.max("newest").alias("newest"))
+        rows = each.groupBy("gen", "block").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(_rank(F.col("top"))), 6).alias("bound"), F.min("newest").alias("newest"))
         return rows.where(F.col("n") == len(terms)).drop("n")
 
     def _scored(self, terms: list[str], blocks: DataFrame) -> DataFrame:
@@ -142,13 +198,28 @@ class TextIndex:
         shown = snippet(F.col("_w"), F.col("_g"), F.col("lo"), F.col("hi"), F.col("hits"))
         return page.join(best, keys, "left").withColumns(parts).withColumn("snippet", shown).drop("lo", "hi", "hits", *parts)
 
+    def _void(self, out: TextIndex) -> DataFrame:
+        """(gen, block, void): the documents of a block that a newer generation has, written beside out's; broadcast where they are few."""
+        newest = self.documents().where(F.col("gen") > self.generations()[0]).groupBy("doc_id").agg(F.max("gen").alias("_g"))
+        old = self.documents().select("gen", "block", "doc_id").join(newest, "doc_id").where(F.col("_g") > F.col("gen"))
+        path = f"{out.root}/void"
+        old.groupBy("gen", "block").agg(F.collect_list("doc_id").alias("void")).write.mode("overwrite").parquet(path)
+        void = self.spark.read.parquet(path)
+        n = void.agg(F.sum(F.size("void"))).first()[0]
+        return F.broadcast(void) if (n or 0) <= BROADCAST_DOCS else void
+
     def compact(self, generation: int) -> TextIndex:
         """The same index as one generation in a folder of its own, without void rows; texts are not read for the postings."""
-        out = TextIndex(self.spark, f"{self.root}-{generation}", self.stemmed, self.parts, self.slots)
-        self._living(self.documents()).where("text is not null").drop("gen").write.mode("overwrite").parquet(f"{out.root}/docs/gen={generation}")
-        rows = self.postings().select("gen", "part", "lexeme", "block", F.explode("entries").alias("e")).select("gen", "part", "lexeme", "block", "e.*")
-        rows = self._living(rows).withColumn("slot", F.pmod("block", F.lit(self.slots))).drop("gen").repartition("part", "slot")
-        out._write(rows, generation)
+        out = TextIndex(self.spark, f"{self.root}-{generation}", self.stemmed, self.parts)
+        void = self._void(out)
+        gone = lambda i: F.coalesce(F.array_contains("void", i), F.lit(False))
+        docs = self.documents().where("text is not null").join(void, ["gen", "block"], "left").where(~gone(F.col("doc_id")))
+        docs.drop("gen", "void").write.mode("overwrite").parquet(f"{out.root}/docs/gen={generation}")
+        rows = self.postings().join(void, ["gen", "block"], "left")
+        rows = rows.withColumn("entries", F.when(F.col("void").isNull(), F.col("entries")).otherwise(F.filter("entries", lambda e: ~gone(e["doc_id"])))).where(F.size("entries") > 0)
+        best = {"top": F.array_max(F.transform("entries", lambda e: e["tf"])), "newest": F.array_max(F.transform("entries", lambda e: e["created_at"]))}
+        out._write(rows.withColumns(best).select("lexeme", "block", "top", "newest", "entries", "part"), generation)
+        remove(self.spark, f"{out.root}/void")
         return out
 
     def drop(self) -> None:
