@@ -6,7 +6,12 @@ that follow each other are a table, and its columns are what the cells cover whe
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.operators.structure import LEAST_COLUMNS, LEAST_ROWS
@@ -15,53 +20,155 @@ from foliant.operators.structure import LEAST_COLUMNS, LEAST_ROWS
 OVERLAP, CELL_GAP, ROW_GAP = 0.3, 1.0, 2.5
 
 
-def _number(starts: Column, window) -> Column:
-    return F.sum(starts.cast("int")).over(window.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+def _firsts(*keys: np.ndarray) -> np.ndarray:
+    """Whether a row begins a run of equal keys; keys are in order."""
+    new = np.zeros(len(keys[0]), dtype=bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return new
+
+
+def _count(new: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """How many rows of a run are new so far; first begins the runs."""
+    c = np.cumsum(new)
+    start = np.flatnonzero(first)
+    return c - np.repeat(c[start] - new[start], np.diff(np.append(start, len(new))))
+
+
+def _highest(value: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The greatest value of a run before each row; what the first row of a run has means nothing."""
+    known, rank = np.unique(value, return_inverse=True)
+    run = np.cumsum(first) - 1
+    best = np.maximum.accumulate(rank + run * len(known)) - run * len(known)
+    return known[np.append(0, best[:-1])] if len(value) else value
+
+
+def _above(a: np.ndarray, b: np.ndarray | float) -> np.ndarray:
+    """a > b as Spark has it: NaN, of infinite boxes, is above all."""
+    return (a > b) | (np.isnan(a) & ~np.isnan(b))
+
+
+def _texts(texts: list[str], order: np.ndarray, first: np.ndarray) -> list[str]:
+    """The texts of each run, in order, joined by blanks."""
+    start = np.flatnonzero(first).tolist()
+    mine = [texts[i] for i in order.tolist()]
+    return [mine[a] if b - a == 1 else " ".join(mine[a:b]) for a, b in zip(start, [*start[1:], len(mine)], strict=True)]
+
+
+def _page_grids(page: np.ndarray, x0, y0, x1, y1, texts: list[str], rank: np.ndarray) -> list[tuple[int, int, list[list[str | None]]]]:
+    """(page, table_no, rows) of whole pages' words, all of them with a box and a text; rank orders the texts."""
+    height = y1 - y0
+    down = np.lexsort((rank, x0, (y0 + y1) / 2, page))
+    first = _firsts(page[down])
+    row = np.empty(len(page), dtype=np.int64)
+    row[down] = _count(first | ~_above(_highest(y1[down], first) - OVERLAP * height[down], y0[down]), first)
+    across = np.lexsort((rank, x1, x0, row, page))
+    first = _firsts(page[across], row[across])
+    new = first | _above(x0[across] - _highest(x1[across], first), CELL_GAP * height[across])
+    # cells, in the order of their page, row and place
+    at = np.flatnonzero(new)
+    text = _texts(texts, across, new)
+    page, row, cell = page[across][at], row[across][at], _count(new, first)[at]
+    x0, y0 = (np.minimum.reduceat(v[across], at) for v in (x0, y0))
+    x1, y1 = (np.maximum.reduceat(v[across], at) for v in (x1, y1))
+    # rows: a table ends before a row of one cell and before a wide gap
+    at = np.flatnonzero(_firsts(page, row))
+    n = np.diff(np.append(at, len(page)))
+    top, bottom, of = np.minimum.reduceat(y0, at), np.maximum.reduceat(y1, at), page[at]
+    first = _firsts(of)
+    apart = first | (n < LEAST_COLUMNS)
+    apart[1:] |= (n[:-1] < LEAST_COLUMNS) | _above(top[1:] - bottom[:-1], ROW_GAP * (bottom[1:] - top[1:]))
+    table = np.repeat(_count(apart, first), n)
+    kept = np.repeat(n >= LEAST_COLUMNS, n)
+    page, row, cell, table, x0, x1 = (v[kept] for v in (page, row, cell, table, x0, x1))
+    text = [t for t, k in zip(text, kept.tolist(), strict=True) if k]
+    if not text:
+        return []
+    over = np.lexsort((row, x1, x0, table, page))
+    first = _firsts(page[over], table[over])
+    column = np.empty(len(page), dtype=np.int64)
+    column[over] = _count(first | _above(x0[over], _highest(x1[over], first)), first)
+    # cells of one row that cover a column together are one
+    order = np.lexsort((cell, column, row, table, page))
+    page, table, row, column = page[order], table[order], row[order], column[order]
+    new = _firsts(page, table, row, column)
+    at = np.flatnonzero(new)
+    text = _texts(text, order, new)
+    page, table, row, column = page[at], table[at], row[at], column[at]
+    starts = np.flatnonzero(_firsts(page, table))
+    width = np.maximum.reduceat(column, starts).tolist()
+    out: list[tuple[int, int, list[list[str | None]]]] = []
+    row, column, pages = row.tolist(), column.tolist(), page[starts].tolist()
+    for p, w, a, b in zip(pages, width, starts.tolist(), [*starts[1:].tolist(), len(row)], strict=True):
+        if w < LEAST_COLUMNS or row[a] == row[b - 1]:
+            continue
+        grid, last = [], None
+        for i in range(a, b):
+            if row[i] != last:
+                grid.append([None] * w)
+                last = row[i]
+            grid[-1][column[i] - 1] = text[i]
+        if len(grid) >= LEAST_ROWS:
+            out.append((p, out[-1][1] + 1 if out and out[-1][0] == p else 1, grid))
+    return out
+
+
+PACKED = ("x0", "y0", "x1", "y1", "text")
+
+
+def _packed(batches) -> Iterator[pa.RecordBatch]:
+    """Words that follow each other on a page as one row of lists."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        same = [batch.column(i).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False) for i in (0, 1)]
+        at = np.flatnonzero(_firsts(*same))
+        offsets = pa.array(np.append(at, batch.num_rows), pa.int32())
+        keys = [batch.column(i).take(pa.array(at)) for i in (0, 1)]
+        yield pa.RecordBatch.from_arrays([*keys, *(pa.ListArray.from_arrays(offsets, batch.column(i)) for i in range(2, 7))], names=[*batch.schema.names[:2], *PACKED])
+
+
+def _grids(batches) -> Iterator[pa.RecordBatch]:
+    """Grids of pages, each row one page's runs of words (doc_id, page, runs)."""
+    for batch in batches:
+        runs = batch.column(2)
+        count = pc.list_value_length(runs).to_numpy(zero_copy_only=False)
+        flat = runs.flatten()
+        fields = [flat.field(i) for i in range(5)]
+        words = np.asarray(pc.list_value_length(fields[4]).to_numpy(zero_copy_only=False), dtype=np.int64)
+        page = np.repeat(np.repeat(np.arange(len(count)), count), words)
+        x0, y0, x1, y1 = (pc.fill_null(f.flatten(), np.nan).to_numpy(zero_copy_only=False) for f in fields[:4])
+        sound = (x0 <= x1) & (y0 < y1)
+        texts = pc.utf8_trim(fields[4].flatten(), " ")
+        good = np.ones(len(count), dtype=bool)
+        good[page[~sound]] = False
+        some = np.flatnonzero(good[page] & pc.fill_null(pc.not_equal(texts, ""), False).to_numpy(zero_copy_only=False))
+        if not len(some):
+            continue
+        coded = texts.take(pa.array(some)).dictionary_encode()
+        code, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        place = np.empty(len(names), dtype=np.int64)
+        place[sorted(range(len(names)), key=lambda i: names[i].encode())] = np.arange(len(names))
+        found = _page_grids(page[some], *(v[some] for v in (x0, y0, x1, y1)), [names[i] for i in code.tolist()], place[code])
+        of = pa.array([p for p, _, _ in found], pa.int64())
+        keys = [batch.column(i).take(of) for i in (0, 1)]
+        yield pa.RecordBatch.from_arrays([*keys, pa.array([n for _, n, _ in found], pa.int32()), pa.array([g for _, _, g in found], pa.list_(pa.list_(pa.string())))], names=[*batch.schema.names[:2], "table_no", "rows"])
 
 
 def word_grids(words: DataFrame) -> DataFrame:
     """(doc_id, page, table_no, rows) of words (doc_id, page, x0, y0, x1, y1, text): grids by page from above, null where a row has no cell.
 
     rows go into structure.clean_native_tables(). A page on which a word has no box, or one that is no box, yields none; other
-    pages keep theirs. Words without text count for nothing. A page's words are one task's.
+    pages keep theirs. Words without text count for nothing. A page's words are one task's: they are packed where they stand,
+    meet with one shuffle, and many pages are worked out at once.
     """
-    page = ["doc_id", "page"]
-    box = [F.col(c).cast("double") for c in ("x0", "y0", "x1", "y1")]
-    sound = F.coalesce((box[0] <= box[2]) & (box[1] < box[3]) & ~F.isnan(box[2]) & ~F.isnan(box[3]), F.lit(False))
-    words = words.select(*page, *(b.alias(c) for b, c in zip(box, ("x0", "y0", "x1", "y1"), strict=True)), F.trim("text").alias("text"), sound.alias("sound"))
-    whole = Window.partitionBy(*page)
-    words = words.withColumn("good", F.min(F.col("sound").cast("int")).over(whole)).where("good = 1 and text <> ''").drop("good", "sound")
-    height = F.col("y1") - F.col("y0")
-    middle = (F.col("y0") + F.col("y1")) / 2
-    down = whole.orderBy(middle, "x0", "text")
-    above = F.max("y1").over(down.rowsBetween(Window.unboundedPreceding, -1))
-    rows = words.withColumn("new", F.coalesce(F.col("y0") >= above - OVERLAP * height, F.lit(True))).withColumn("r", _number(F.col("new"), down))
-    across = Window.partitionBy(*page, "r").orderBy("x0", "x1", "text")
-    before = F.max("x1").over(across.rowsBetween(Window.unboundedPreceding, -1))
-    cells = rows.withColumn("new", F.coalesce(F.col("x0") - before > CELL_GAP * height, F.lit(True))).withColumn("c", _number(F.col("new"), across))
-    ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "x1", "text"))), lambda w: w["text"]), " ")
-    cells = cells.groupBy(*page, "r", "c").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"), ordered.alias("text"))
-    row = Window.partitionBy(*page, "r")
-    cells = cells.withColumns({"n": F.count(F.lit(1)).over(row), "top": F.min("y0").over(row), "bottom": F.max("y1").over(row)})
-    # a table ends before a row of one cell and before a wide gap
-    lines = cells.select(*page, "r", "n", "top", "bottom").distinct()
-    order = whole.orderBy("r")
-    apart = F.coalesce((F.col("n") < LEAST_COLUMNS) | (F.lag("n").over(order) < LEAST_COLUMNS) | (F.col("top") - F.lag("bottom").over(order) > ROW_GAP * (F.col("bottom") - F.col("top"))), F.lit(True))
-    lines = lines.withColumn("t", _number(apart, order)).where(F.col("n") >= LEAST_COLUMNS).select(*page, "r", "t")
-    cells = cells.join(lines, [*page, "r"])
-    over = Window.partitionBy(*page, "t").orderBy("x0", "x1", "r")
-    covered = F.max("x1").over(over.rowsBetween(Window.unboundedPreceding, -1))
-    cells = cells.withColumn("new", F.coalesce(F.col("x0") > covered, F.lit(True))).withColumn("k", _number(F.col("new"), over))
-    cells = cells.withColumn("width", F.max("k").over(Window.partitionBy(*page, "t")))
-    # cells of one row that cover a column together are one
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c", "text"))), lambda x: x["text"]), " ")
-    cells = cells.groupBy(*page, "t", "r", "width", "k").agg(joined.alias("text"))
-    lines = cells.groupBy(*page, "t", "r", "width").agg(F.map_from_entries(F.collect_list(F.struct("k", "text"))).alias("m"))
-    grid = F.transform(F.sequence(F.lit(1), F.col("width").cast("int")), lambda k: F.try_element_at("m", k.cast("bigint")))
-    tables = lines.groupBy(*page, "t").agg(F.array_sort(F.collect_list(F.struct("r", grid.alias("cells")))).alias("x"), F.max("width").alias("width"))
-    tables = tables.where((F.size("x") >= LEAST_ROWS) & (F.col("width") >= LEAST_COLUMNS))
-    number = F.row_number().over(whole.orderBy("t"))
-    return tables.select(*page, number.alias("table_no"), F.transform("x", lambda x: x["cells"]).alias("rows"))
+    kind = {c: words.schema[c].dataType.simpleString() for c in ("doc_id", "page")}
+    keys = ", ".join(f"{c} {k}" for c, k in kind.items())
+    words = words.select("doc_id", "page", *(F.col(c).cast("double").alias(c) for c in PACKED[:4]), "text")
+    packed = words.mapInArrow(_packed, f"{keys}, " + ", ".join(f"{c} array<{'string' if c == 'text' else 'double'}>" for c in PACKED))
+    pages = packed.groupBy("doc_id", "page").agg(F.collect_list(F.struct(*PACKED)).alias("runs"))
+    return pages.mapInArrow(_grids, f"{keys}, table_no int, rows array<array<string>>")
 
 
 def native_tables(words: DataFrame) -> DataFrame:
