@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import io
+import itertools
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from xml.sax.saxutils import escape
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +24,8 @@ MIME = {
     "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document",
     "xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet",
 }
+#: Files that a task hands on at once.
+FILES = 64
 RULED = "ruled_line_region"
 NOTE = "Detected as a ruled table on a scanned page but not parsed into a grid; raw region text follows."
 IMAGE = "struct<storage_key:string,bbox:array<double>,page:int,source:string,region_type_guess:string,width:int,height:int,format:string>"
@@ -401,20 +405,28 @@ def render(docs: DataFrame, format_: str, reencode: Callable[[bytes], bytes] | N
     else:
         rows = docx_blocks(docs) if format_ == "docx" else xlsx_cells(docs)
 
-    def build(pdf: pd.DataFrame, figures: list[dict]) -> pd.DataFrame:
+    def build(rows: list[dict], figures: list[dict]) -> bytes:
         if format_ == "pdf":
-            pdf = pdf.sort_values(["page", "at"])
-            data = pdf_bytes([list(g["line"]) for _, g in pdf.groupby("page")])
-        elif format_ == "docx":
-            data = docx_bytes(pdf.sort_values("ord").to_dict("records"), figures, reencode)
-        else:
-            data = xlsx_bytes(pdf.to_dict("records"), figures)
-        return pd.DataFrame({"doc_id": [pdf["doc_id"].iloc[0]], "bytes": [data]})
+            rows = sorted(rows, key=lambda r: (r["page"], r["at"]))
+            return pdf_bytes([[r["line"] for r in page] for _, page in itertools.groupby(rows, key=lambda r: r["page"])])
+        if format_ == "docx":
+            return docx_bytes(sorted(rows, key=lambda r: r["ord"]), figures, reencode)
+        return xlsx_bytes(rows, figures)
+
+    def files(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, FILES):
+                some = batch.slice(i, FILES)
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([build(r.as_py(), []) for r in some.column(1)], pa.binary())], names=["doc_id", "bytes"])
+
+    def with_figures(pdf: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        figures = [{"n": int(r["n"]), "data": r["data"]} for r in found.to_dict("records")]
+        return pd.DataFrame({"doc_id": [pdf["doc_id"].iloc[0]], "bytes": [build(pdf.to_dict("records"), figures)]})
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, bytes binary"
     if format_ == "pdf" or "figures" not in docs.columns:
-        made = rows.groupBy("doc_id").applyInPandas(lambda pdf: build(pdf, []), schema)
+        made = rows.groupBy("doc_id").agg(F.collect_list(F.struct(*(c for c in rows.columns if c != "doc_id"))).alias("rows")).mapInArrow(files, schema)
     else:
         pictures = docs.select(F.col("doc_id").alias("of"), F.posexplode("figures").alias("n", "f")).select("of", (F.col("n") + 1).alias("n"), "f.data")
-        made = rows.groupBy("doc_id").cogroup(pictures.groupBy("of")).applyInPandas(lambda pdf, found: build(pdf, [{"n": int(r["n"]), "data": r["data"]} for r in found.to_dict("records")]), schema)
+        made = rows.groupBy("doc_id").cogroup(pictures.groupBy("of")).applyInPandas(with_figures, schema)
     return made.select("doc_id", filename(F.col("doc_id"), F.lit(format_)).alias("filename"), F.lit(MIME[format_]).alias("mime"), "bytes")
