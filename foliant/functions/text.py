@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 NL = r"\r\n|[\n\x0B\f\r\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 #: White space (fixed values).
 WS = r"[\t-\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+#: The characters of WS, for trims, which look at the ends of a text only.
+SPACES = "".join(map(chr, (*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: Digits beyond \p{Nd} (fixed values): superscripts, circled and other digit characters.
 _DIGITS = "B2-B3 B9 1369-1371 19DA 2070 2074-2079 2080-2089 2460-2468 2474-247C 2488-2490 24EA 24F5-24FD 24FF 2776-277E 2780-2788 278A-2792 10A40-10A43 10E60-10E68 11052-1105A 1F100-1F10A"
 DIGIT = r"[\p{Nd}" + "".join("-".join(rf"\x{{{x}}}" for x in part.split("-")) for part in _DIGITS.split()) + "]"
@@ -24,7 +26,12 @@ GENERAL = "General"
 
 def strip(x: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(x, EDGES, "")
+    return F.btrim(x, F.lit(SPACES))
+
+
+def strip_end(x: Column) -> Column:
+    """Without white space at the end."""
+    return F.rtrim(x, F.lit(SPACES))
 
 
 def blank(x: Column) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.functions.text import GENERAL, NL, default, is_header, is_table_row, row_cells, strip, title_of
+from foliant.functions.text import GENERAL, NL, default, is_header, is_table_row, row_cells, strip, strip_end, title_of
 
 TABLE = "struct<source:string,raw_lines:array<string>,rows:array<array<string>>,bbox:array<int>,region_text:string>"
 SECTION = "struct<title:string,content:string>"
@@ -29,7 +29,7 @@ def lines(docs: DataFrame, heuristic: Column | bool = True) -> DataFrame:
     flagged = rows.withColumn("before", F.lag("s").over(w)).where("s <> ''").withColumn("is_table", F.col("on") & is_table_row(F.col("s")))
     flagged = flagged.withColumn("is_header", ~F.col("is_table") & is_header(F.col("s"), F.col("before")))
     count = lambda c: F.sum(c.cast("long")).over(so_far)
-    return flagged.select("doc_id", "pos", F.regexp_replace("raw", r"[\s\x1C-\x1F\x{85}\p{Z}]+$", "").alias("raw"), "s", "is_table", "is_header", count(F.col("is_header")).alias("part"), count(~F.col("is_table")).alias("island"))
+    return flagged.select("doc_id", "pos", strip_end(F.col("raw")).alias("raw"), "s", "is_table", "is_header", count(F.col("is_header")).alias("part"), count(~F.col("is_table")).alias("island"))
 
 
 def _joined(name: str, condition: Column) -> Column:
