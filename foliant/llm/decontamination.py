@@ -2,7 +2,7 @@
 
 Passages of documents and benchmark items are TF-IDF vectors over the items' words, with document
 frequencies counted over the whole corpus; every word weighs, also one that all documents have. A
-randomised SVD, its products summed over the tasks, gives a latent space. Long items are searched in
+randomised SVD of all passages in one look, its products summed over the tasks, gives a latent space. Long items are searched in
 pieces; around passages whose cosine with a piece is high, or that hold much of its weight,
 the text is compared with the whole item word by word: a longest common subsequence that covers the item
 is a leak, a shorter one only if the item's answer is there too.
@@ -21,7 +21,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.scratch import Scratch
 from foliant.llm.textbytes import LETTERS, column_bytes, row_chunks, split, trimmed
 
 #: Words of a passage, and between the starts of passages.
@@ -30,10 +29,10 @@ WINDOW, STRIDE = 48, 16
 PIECE = 72
 #: Dimensions of the latent space, and extra ones of the random sketch.
 RANK, EXTRA = 160, 16
-#: Documents of the sample that the space is fitted on, about; items weigh so many times as much as the sample.
-SAMPLE_DOCS, ITEM_WEIGHT = 2000, 4.0
-#: Tasks that sum the products of the sample.
-TASKS = 4
+#: Items weigh so many times as much in the fit as all passages.
+ITEM_WEIGHT = 4.0
+#: Words of a row of the sums that tasks hand on.
+ROW_WORDS = 64
 #: Items that are searched for in one pass at most; more take more passes.
 BLOCK_ITEMS = 4000
 #: A passage is compared with an item from this cosine on, or if it holds this share of the item's weight, whatever else it holds.
@@ -219,61 +218,78 @@ class Rows:
         return out
 
 
-def _sketch(items: Items, right: np.ndarray | None, seed: int, width: int):
-    """A task's share of A'(A R), or of (A R)'(A R) if right is given: one row (bytes, passages)."""
+def _sketch(items: Items, width: int):
+    """A task's share of A'(A R), for a random R: rows (part, sums) of ROW_WORDS words each, and the passages as part -1."""
 
     def run(batches):
-        r = right if right is not None else np.random.default_rng(seed).standard_normal((len(items.vocabulary), width))
-        weighted = r * items.weights[:, None]
-        total, n = np.zeros((width, width) if right is not None else r.shape), 0
+        weighted = (_omega(items, width) * items.weights[:, None]).astype(np.float32)
+        total, n = np.zeros((len(items.vocabulary), width)), 0
         for _, h, first in _rows(items, batches):
             if (w := windows(items, h, first)) is None:
                 continue
             _, _, _, a, b, at, _ = w
-            y = _vectors(weighted, a, b, at) * _unit(a, b, at, items)[:, None]
+            y = _vectors(weighted, a, b, at) * _unit(a, b, at, items)[:, None] ** 2
             n += len(y)
-            if right is not None:
-                total += y.T @ y
-            else:
-                y *= _unit(a, b, at, items)[:, None]
-                # each word takes the sum over the passages that it is in
-                z = np.zeros((len(at) + 1, y.shape[1]))
-                np.add.at(z, a, y)
-                np.subtract.at(z, b, y)
-                z = np.cumsum(z, axis=0)[:-1]
-                order = np.argsort(at, kind="stable")
-                word, start = np.unique(at[order], return_index=True)
-                if len(word):
-                    total[word] += np.add.reduceat(z[order], start, axis=0) * items.weights[word, None]
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["part", "n"])
+            # each word takes the sum over the passages that it is in, which change at few places: a stretch between two has one sum
+            ends = np.unique(np.concatenate((a, b)))
+            if len(ends) < 2:
+                continue
+            z = np.zeros((len(ends), width))
+            by_start, by_end = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
+            for order, at_, sign in ((by_start, a, 1), (by_end, b, -1)):
+                place, start = np.unique(at_[order], return_index=True)
+                z[np.searchsorted(ends, place)] += sign * np.add.reduceat(y[order], start, axis=0)
+            z = np.cumsum(z, axis=0)[:-1]
+            stretch = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+            pair, k = np.unique(at[ends[0] : ends[-1]] * len(z) + stretch, return_counts=True)
+            word, of = pair // len(z), pair % len(z)
+            start = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+            total[word[start]] += np.add.reduceat(z[of] * k[:, None], start, axis=0)
+        total *= items.weights[:, None]
+        starts = [i for i in range(0, len(total), ROW_WORDS) if total[i : i + ROW_WORDS].any()]
+        yield pa.RecordBatch.from_arrays([pa.array([*starts, -1], pa.int64()), pa.array([*(total[i : i + ROW_WORDS].tobytes() for i in starts), np.float64(n).tobytes()], pa.binary())], names=["part", "sums"])
 
-    return run
+    return trimmed(run)
 
 
-def fit(docs: DataFrame, items: Items, n_docs: int, scratch: Scratch) -> None:
-    """Sets the items' latent space from a hashed sample of about SAMPLE_DOCS documents and from the items.
+def _omega(items: Items, width: int) -> np.ndarray:
+    return np.random.default_rng(SEED).standard_normal((len(items.vocabulary), width))
 
-    The sample is written first, so that all tasks search for it and only TASKS send their share of the products.
+
+def _summed(batches):
+    """The sums of each part of a task's rows; a part is one task's."""
+    found: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for part, sums in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            x = np.frombuffer(sums.as_buffer())
+            found[part] = found[part] + x if part in found else x.copy()
+    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([x.tobytes() for x in found.values()], pa.binary())], names=["part", "sums"])
+
+
+def fit(docs: DataFrame, items: Items) -> None:
+    """Sets the items' latent space from all passages of docs and from the items.
+
+    One look at the documents gives Y = K R for the weighted sum K of their and the items' products; the space is that of
+    Nystrom's approximation Y (R'Y)^-1 Y' of K. Each part of the sums is added up by one task, so the driver gets each once.
     """
-    share = min(1.0, SAMPLE_DOCS / max(n_docs, 1))
-    sample = scratch.save(docs.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1), "sample").coalesce(TASKS)
     width = min(RANK + EXTRA, len(items.vocabulary))
-    rows = Rows(items)
-
-    def total(right, shape):
-        out, n = np.zeros(shape), 0
-        for part, k in sample.mapInArrow(_sketch(items, right, SEED, width), "part binary, n long").collect():
-            out, n = out + np.frombuffer(bytes(part)).reshape(shape), n + k
-        return out, n
-
-    omega = np.random.default_rng(SEED).standard_normal((len(items.vocabulary), width))
-    y, n = total(None, omega.shape)
-    heavy = ITEM_WEIGHT * max(n, 1) / rows.n
-    q, _ = np.linalg.qr(y + heavy * rows.back(rows.times(omega), len(items.vocabulary)))
-    gram, _ = total(q, (width, width))
-    mine = rows.times(q)
-    values, vectors = np.linalg.eigh(gram + heavy * (mine.T @ mine))
-    items.basis = (q @ vectors[:, np.argsort(-values)[: min(RANK, width)]]).astype(np.float32)
+    rows, omega = Rows(items), _omega(items, width)
+    y, n = np.zeros(omega.shape), 0
+    for part, sums in docs.mapInArrow(_sketch(items, width), "part long, sums binary").repartition("part").mapInArrow(_summed, "part long, sums binary").collect():
+        x = np.frombuffer(bytes(sums))
+        if part < 0:
+            n = int(x[0])
+        else:
+            y[part : part + ROW_WORDS] = x.reshape(-1, width)
+    y += ITEM_WEIGHT * max(n, 1) / rows.n * rows.back(rows.times(omega), len(items.vocabulary))
+    # a shift keeps the factor definite: K + shift is what is approximated
+    shift = np.sqrt(len(y)) * np.finfo(np.float32).eps * max(float(np.linalg.norm(y, 2)), 1e-30)
+    y += shift * omega
+    core = omega.T @ y
+    values, vectors = np.linalg.eigh((core + core.T) / 2)
+    some = values > values.max() * 1e-12
+    left, _, _ = np.linalg.svd(y @ (vectors[:, some] / np.sqrt(values[some])), full_matrices=False)
+    items.basis = left[:, : min(RANK, width)].astype(np.float32)
     latent = rows.times(items.basis)
     kept = np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
     items.latent, items.lengths = (latent / kept).astype(np.float32), (rows.lengths * kept[:, 0]).astype(np.float32)
@@ -371,7 +387,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
-    scratch, out, last = Scratch(spark, "leaks"), None, None
+    out, last = None, None
     while True:
         block = bench if last is None else bench.where(F.col("item_id") > last)
         got = [tuple(r) for r in block.orderBy("item_id").limit(BLOCK_ITEMS).collect()]
@@ -392,7 +408,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         if not n:
             break
         items.weights = _weights(df, n)
-        fit(docs, items, n, scratch)
+        fit(docs, items)
         found = docs.mapInArrow(_search(items), HITS).groupBy("doc_id", "item_id").agg(F.max(F.struct("lcs", "answer", "cosine")).alias("m")).select("doc_id", "item_id", "m.cosine", "m.lcs", "m.answer")
         out = found if out is None else out.union(found)
         if len(got) < BLOCK_ITEMS:
