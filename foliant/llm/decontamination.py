@@ -21,10 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliant.llm.scratch import Scratch, counted
 from foliant.llm.textbytes import LETTERS, column_bytes, row_chunks, split, trimmed
 
 #: Words of a passage, and between the starts of passages.
 WINDOW, STRIDE = 48, 16
+#: Blocks of STRIDE words in a passage.
+BLOCKS = WINDOW // STRIDE
+#: Places that are summed one after the other at most.
+RUN = 16
 #: Words of a piece of an item at most; a passage holds two thirds of one.
 PIECE = 72
 #: Dimensions of the latent space, and extra ones of the random sketch.
@@ -44,20 +49,19 @@ LEAK, PARAPHRASE, ANSWER = 0.6, 0.5, 0.75
 SEED = 20240607
 #: Bytes of the items' words as dense rows at most.
 DENSE = 32 << 20
-CHUNK = 1 << 18
+#: Bytes of text and words that are worked on at once.
+CHUNK, WORDS = 1 << 18, 40_000
+
 
 class Vocabulary(dict):
     """The items' words, as bytes, to numbers; any other word is -1."""
 
-    def __missing__(self, word: bytes) -> int:
-        return -1
-
     def numbers(self, d: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the lower-cased words of each row, runs of letters, digits and anything beyond ASCII, and the rows' offsets into them."""
         texts = split(d, o, LETTERS)
         first = np.zeros(len(texts) + 1, dtype=np.int64)
         np.cumsum([len(t) for t in texts], out=first[1:])
-        return np.fromiter(itertools.chain.from_iterable(map(self.__getitem__, t) for t in texts), dtype=np.int64, count=int(first[-1])), first
+        return np.fromiter(map(self.get, itertools.chain.from_iterable(texts), itertools.repeat(-1)), dtype=np.int64, count=int(first[-1])), first
 
 
 def split_answer(text: str) -> tuple[str, str]:
@@ -96,6 +100,10 @@ class Items:
     lengths: np.ndarray | None = None
     least: int = 1
 
+    def kind(self) -> np.dtype:
+        """What words' numbers are written as."""
+        return np.dtype("<i2" if len(self.vocabulary) < 1 << 15 else "<i4")
+
     @staticmethod
     def read(rows: list[tuple[int, str]]) -> Items:
         def of(text):
@@ -114,44 +122,65 @@ class Items:
 
 
 def _rows(items: Items, batches) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """Ids, numbers of the words and the rows' offsets into them, some rows at a time: of texts, or of words that _numbered() has written."""
     for batch in batches:
         d, o = column_bytes(batch.column(1))
+        if pa.types.is_binary(batch.column(1).type) or pa.types.is_large_binary(batch.column(1).type):
+            kind = items.kind()
+            for a, b in row_chunks(o, WORDS * kind.itemsize):
+                yield batch.column(0).slice(a, b - a).to_pylist(), np.frombuffer(d[o[a] : o[b]].tobytes(), dtype=kind).astype(np.int64), (o[a : b + 1] - o[a]) // kind.itemsize
+            continue
         for a, b in row_chunks(o, CHUNK):
             h, first = items.vocabulary.numbers(d[o[a] : o[b]], o[a : b + 1] - o[a])
             yield batch.column(0).slice(a, b - a).to_pylist(), h, first
 
 
+def _numbered(items: Items):
+    """Each row's id and the numbers of its words as bytes, so that texts are parted once."""
+
+    def run(batches):
+        for ids, h, first in _rows(items, batches):
+            words = h.astype(items.kind())
+            bounds = pa.py_buffer((first * words.itemsize).astype(np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.Array.from_buffers(pa.binary(), len(ids), [None, bounds, pa.py_buffer(words.tobytes())])], names=["doc_id", "words"])
+
+    return trimmed(run)
+
+
 def _frequencies(items: Items):
     def run(batches):
-        df, n = np.zeros(len(items.vocabulary), dtype=np.int64), 0
+        df = np.zeros(len(items.vocabulary), dtype=np.int64)
         for ids, h, first in _rows(items, batches):
-            n += len(ids)
             row = np.repeat(np.arange(len(ids)), np.diff(first))
             keys = np.unique((row * len(df) + h)[h >= 0])
             df += np.bincount(keys % len(df), minlength=len(df))
         some = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(df[some], n))], names=["word", "df"])
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(df[some])], names=["word", "df"])
 
     return trimmed(run)
 
 
+def _blocks(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows in blocks of STRIDE words, those with words in BLOCKS at least: row, first and last word, and whether a passage begins there."""
+    size = np.diff(first)
+    n = np.where(size > 0, np.maximum(BLOCKS, -(-size // STRIDE)), 0)
+    row = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    lo = np.minimum(first[row] + place * STRIDE, first[row + 1])
+    return row, lo, np.minimum(lo + STRIDE, first[row + 1]), place <= n[row] - BLOCKS
+
+
 def windows(items: Items, h: np.ndarray, first: np.ndarray):
     """Passages with enough item words: document, first and last word, and the range of their item words; those words and their places."""
     kept = np.flatnonzero(h >= 0)
-    doc, lo, hi = [], [], []
-    busy = np.unique(np.searchsorted(first, kept, "right") - 1) if len(kept) else []
-    for i in busy:
-        n = first[i + 1] - first[i]
-        s = np.arange(0, max(1, n - WINDOW + STRIDE), STRIDE)
-        doc.append(np.full(len(s), i))
-        lo.append(first[i] + s)
-        hi.append(first[i] + np.minimum(s + WINDOW, n))
-    if not doc:
+    row, lo, hi, opens = _blocks(first)
+    g = np.flatnonzero(opens)
+    if not len(kept):
         return None
-    doc, lo, hi = map(np.concatenate, (doc, lo, hi))
+    lo, hi = lo[g], hi[g + BLOCKS - 1]
     a, b = np.searchsorted(kept, lo), np.searchsorted(kept, hi)
     some = b - a >= items.least
-    return doc[some], lo[some], hi[some], a[some], b[some], h[kept], kept
+    return row[g[some]], lo[some], hi[some], a[some], b[some], h[kept], kept
 
 
 def _weights(df: np.ndarray, n: int) -> np.ndarray:
@@ -159,32 +188,62 @@ def _weights(df: np.ndarray, n: int) -> np.ndarray:
     return np.log1p(n / np.maximum(df, 1))
 
 
-def _vectors(table: np.ndarray, a: np.ndarray, b: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Sums of the rows of a weighted table over each passage's item words; passages share the sums between their ends."""
-    ends = np.unique(np.concatenate((a, b)))
-    c = np.zeros((len(ends), table.shape[1]))
-    if len(ends) > 1:
-        from_, to = np.searchsorted(ends, a), np.searchsorted(ends, b)
-        inside = np.cumsum(np.bincount(from_, minlength=len(ends)) - np.bincount(to, minlength=len(ends)))[:-1] > 0
-        # stretches by length, the longest first: their first words, then the second ones of those that have one, and so on
-        length = np.where(inside, np.diff(ends), 0)
-        order = np.argsort(-length, kind="stable")
-        start, length = ends[:-1][order], length[order]
-        sums = np.zeros((len(order), table.shape[1]), dtype=table.dtype)
-        for j in range(int(length[0])):
-            m = int(np.searchsorted(-length, -j, "left"))
-            sums[:m] += table[at[start[:m] + j]]
-        between = np.empty_like(sums)
-        between[order] = sums
-        np.cumsum(between, axis=0, dtype=np.float64, out=c[1:])
-        return c[to] - c[from_]
-    return np.zeros((len(a), table.shape[1]))
-
-
-def _unit(a: np.ndarray, b: np.ndarray, at: np.ndarray, items: Items) -> np.ndarray:
-    """Inverse norms of the passages' TF-IDF vectors, words counted as if distinct."""
-    c = np.concatenate(([0.0], np.cumsum(items.weights[at] ** 2)))
-    return 1 / np.sqrt(np.maximum(c[b] - c[a], 1e-12))
+def _sums(table: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Sums of the rows of a table at places, over runs of so many places one after the other; long runs are summed by parts."""
+    most = int(size.max()) if len(size) else 0
+    if most > RUN:
+        parts = -(-size // RUN)
+        some = parts > 0
+        length = np.full(int(parts.sum()), RUN)
+        length[np.cumsum(parts)[some] - 1] = (size - (parts - 1) * RUN)[some]
+        return _sums(_sums(table, at, length), np.arange(len(length)), parts)
+    # runs by length, the longest first: their first places, then the second ones of those that have one, and so on
+    order = np.argsort(-size, kind="stable")
+    start, length = (np.cumsum(size) - size)[order], size[order]
+    sums = np.zeros((len(order), table.shape[1]), dtype=table.dtype)
+    for j in range(most):
+        m = int(np.searchsorted(-length, -j, "left"))
+        sums[:m] += table.take(at[start[:m] + j], axis=0)
+    out = np.empty_like(sums)
+    out[order] = sums
+    return out
+
+
+class Passages:
+    """The passages of some rows as sums over blocks, which they share."""
+
+    def __init__(self, items: Items, h: np.ndarray, first: np.ndarray):
+        self.kept = np.flatnonzero(h >= 0)
+        self.at = h[self.kept]
+        self.row, self.lo, self.hi, opens = _blocks(first)
+        self.a, self.b = np.searchsorted(self.kept, self.lo), np.searchsorted(self.kept, self.hi)
+        g = np.flatnonzero(opens)
+        #: Blocks where passages with enough item words begin.
+        self.begin = g[self.b[g + BLOCKS - 1] - self.a[g] >= items.least]
+
+    def vectors(self, table: np.ndarray) -> np.ndarray:
+        """Sums of the rows of a weighted table over each passage's item words."""
+        s = _sums(table, self.at, self.b - self.a)
+        v = s[self.begin]
+        for k in range(1, BLOCKS):
+            v += s[self.begin + k]
+        return v
+
+    def back(self, v: np.ndarray, total: np.ndarray) -> None:
+        """Adds to each word's row of total the vectors of the passages that it is in, as often as it is there."""
+        z = np.zeros((len(self.row), v.shape[1]), dtype=v.dtype)
+        for k in range(BLOCKS):
+            z[self.begin + k] += v
+        block = np.repeat(np.arange(len(z)), self.b - self.a)
+        order = np.argsort(self.at.astype(np.uint16) if len(total) <= 1 << 16 else self.at, kind="stable")
+        n = np.bincount(self.at, minlength=len(total))
+        some = np.flatnonzero(n)
+        total[some] += _sums(z, block[order], n[some])
+
+    def unit(self, items: Items) -> np.ndarray:
+        """Inverse norms of the passages' TF-IDF vectors, words counted as if distinct."""
+        c = np.concatenate(([0.0], np.cumsum(items.weights[self.at] ** 2)))
+        return 1 / np.sqrt(np.maximum(c[self.b[self.begin + BLOCKS - 1]] - c[self.a[self.begin]], 1e-12))
 
 
 class Rows:
@@ -225,26 +284,10 @@ def _sketch(items: Items, width: int):
         weighted = (_omega(items, width) * items.weights[:, None]).astype(np.float32)
         total, n = np.zeros((len(items.vocabulary), width)), 0
         for _, h, first in _rows(items, batches):
-            if (w := windows(items, h, first)) is None:
-                continue
-            _, _, _, a, b, at, _ = w
-            y = _vectors(weighted, a, b, at) * _unit(a, b, at, items)[:, None] ** 2
-            n += len(y)
-            # each word takes the sum over the passages that it is in, which change at few places: a stretch between two has one sum
-            ends = np.unique(np.concatenate((a, b)))
-            if len(ends) < 2:
-                continue
-            z = np.zeros((len(ends), width))
-            by_start, by_end = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
-            for order, at_, sign in ((by_start, a, 1), (by_end, b, -1)):
-                place, start = np.unique(at_[order], return_index=True)
-                z[np.searchsorted(ends, place)] += sign * np.add.reduceat(y[order], start, axis=0)
-            z = np.cumsum(z, axis=0)[:-1]
-            stretch = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
-            pair, k = np.unique(at[ends[0] : ends[-1]] * len(z) + stretch, return_counts=True)
-            word, of = pair // len(z), pair % len(z)
-            start = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-            total[word[start]] += np.add.reduceat(z[of] * k[:, None], start, axis=0)
+            p = Passages(items, h, first)
+            if len(p.begin):
+                p.back(p.vectors(weighted) * (p.unit(items)[:, None] ** 2).astype(np.float32), total)
+                n += len(p.begin)
         total *= items.weights[:, None]
         starts = [i for i in range(0, len(total), ROW_WORDS) if total[i : i + ROW_WORDS].any()]
         yield pa.RecordBatch.from_arrays([pa.array([*starts, -1], pa.int64()), pa.array([*(total[i : i + ROW_WORDS].tobytes() for i in starts), np.float64(n).tobytes()], pa.binary())], names=["part", "sums"])
@@ -344,10 +387,10 @@ def _search(items: Items):
         reach = np.where(size > PIECE, size, 0)
         for ids, h, first in _rows(items, batches):
             out = []
-            w = windows(items, h, first)
-            if w is not None and len(w[0]):
-                doc, lo, hi, a, b, at, kept = w
-                v = _vectors(weighted, a, b, at).astype(np.float32)
+            w = Passages(items, h, first)
+            if len(w.begin):
+                doc, lo, hi, at, kept = w.row[w.begin], w.lo[w.begin], w.hi[w.begin + BLOCKS - 1], w.at, w.kept
+                v = w.vectors(weighted)
                 held = v @ items.latent.T
                 cosine = held / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
                 p, piece = np.nonzero((cosine >= COSINE) | (held >= COVER * items.lengths))
@@ -387,7 +430,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
-    out, last = None, None
+    scratch, out, last = Scratch(spark, "leaks"), None, None
     while True:
         block = bench if last is None else bench.where(F.col("item_id") > last)
         got = [tuple(r) for r in block.orderBy("item_id").limit(BLOCK_ITEMS).collect()]
@@ -397,19 +440,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         items = Items.read(got)
         if not items.ids:
             continue
-        counts = docs.mapInArrow(_frequencies(items), "word long, df long").groupBy("word").agg(F.sum("df").alias("df")).collect()
-        df = np.zeros(len(items.vocabulary))
-        n = 0
-        for word, k in counts:
-            if word < 0:
-                n = k
-            else:
-                df[word] = k
+        words = scratch.save(docs.mapInArrow(_numbered(items), "doc_id long, words binary"), "words")
+        n = counted(words)["rows"]
         if not n:
             break
+        df = np.zeros(len(items.vocabulary))
+        for word, k in words.mapInArrow(_frequencies(items), "word long, df long").groupBy("word").agg(F.sum("df").alias("df")).collect():
+            df[word] = k
         items.weights = _weights(df, n)
-        fit(docs, items)
-        found = docs.mapInArrow(_search(items), HITS).groupBy("doc_id", "item_id").agg(F.max(F.struct("lcs", "answer", "cosine")).alias("m")).select("doc_id", "item_id", "m.cosine", "m.lcs", "m.answer")
+        fit(words, items)
+        found = words.mapInArrow(_search(items), HITS).groupBy("doc_id", "item_id").agg(F.max(F.struct("lcs", "answer", "cosine")).alias("m")).select("doc_id", "item_id", "m.cosine", "m.lcs", "m.answer")
+        found = scratch.save(found, "found")
+        scratch.drop(words)
         out = found if out is None else out.union(found)
         if len(got) < BLOCK_ITEMS:
             break
