@@ -2,7 +2,7 @@
 
 The distinct pre-tokens of a batch are folded all at once: every word starts as its bytes, and in
 each step the adjacent pair of least rank of every word is merged. Pair ranks come from a table made
-of the vocabulary; the results are kept for the words that return. Decoding concatenates the pieces.
+of the vocabulary, once, on the driver; a task keeps the results for the words that return. Decoding concatenates the pieces.
 
 encode_words_native() is the same fold as Spark higher-order functions over a literal rank map. It
 serves small tables of distinct words; see the README for why whole texts do not go through it.
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +21,14 @@ from pyspark.sql import functions as F
 
 from foliant.llm.textbytes import column_bytes, lists, row_chunks, trimmed
 
-#: Words of which a worker keeps the ids at most, but for those of one chunk; it starts anew beyond that.
+#: Words of which a task keeps the ids at most, but for those of one chunk; beyond that it keeps those that have returned, if they are few.
 CACHE_WORDS = 80_000
 #: Bytes of text that are encoded before a batch of results is sent; a longer text is alone.
 CHUNK = 1 << 19
 #: Longer pre-tokens are merged one at a time, by a heap, rather than in the common fold.
 LONG_WORD = 64
+#: The rank of a pair that doesn't merge.
+NONE = 1 << 40
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -34,12 +37,14 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-class Merger:
-    """The fold of ranked merges over many words. Ids are ranks; -1 pads."""
+class Vocabulary:
+    """A vocabulary as arrays that a worker opens fast: the pieces by rank, one after the other, and the pairs that merge."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
-        self.single = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
+        order = sorted(ranks, key=ranks.__getitem__)
+        self.ranks = np.array([ranks[p] for p in order], dtype=np.int64)
+        self.size = np.array([len(p) for p in order], dtype=np.int64)
+        self.pieces = b"".join(order)
         keys, values = [], []
         for piece, rank in ranks.items():
             for cut in range(1, len(piece)):
@@ -50,48 +55,87 @@ class Merger:
         order = np.argsort(np.array(keys, dtype=np.int64))
         self.keys, self.values = np.array(keys, dtype=np.int64)[order], np.array(values, dtype=np.int64)[order]
 
+
+class Merger:
+    """The fold of ranked merges over many words. Ids are ranks."""
+
+    def __init__(self, v: Vocabulary):
+        ends = np.cumsum(v.size)
+        self.ranks = dict(zip((v.pieces[a:b] for a, b in zip((ends - v.size).tolist(), ends.tolist(), strict=True)), v.ranks.tolist(), strict=True))
+        self.keys, self.values = v.keys, v.values
+        self.single = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int64)
+        self.bytes = np.frombuffer(v.pieces, dtype=np.uint8)
+        self.start, self.size = np.zeros((2, int(v.ranks.max()) + 1), dtype=np.int64)
+        self.start[v.ranks], self.size[v.ranks] = ends - v.size, v.size
+        self.names = list(map(str, range(len(self.size))))
+        #: Ranks of the pairs of bytes.
+        self.first = self.rank_of(np.repeat(self.single, 256), np.tile(self.single, 256))
+
     def pair(self, left: int, right: int) -> int | None:
         key = left << 32 | right
         at = int(np.searchsorted(self.keys, key))
         return int(self.values[at]) if at < len(self.keys) and self.keys[at] == key else None
 
     def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.full(len(left), NONE)
         key = left << 32 | right
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.values[at], 1 << 40)
-
-    def fold(self, words: list[bytes]) -> list[list[int]]:
-        out: list = [None] * len(words)
-        by: dict[int, list[int]] = {}
-        for i, w in enumerate(words):
-            rank = self.ranks.get(w)
-            if rank is not None:
-                out[i] = [rank]
-            elif len(w) > LONG_WORD:
-                out[i] = self.long(w)
-            else:
-                by.setdefault(len(w), []).append(i)
+        return np.where(self.keys[at] == key, self.values[at], NONE)
+
+    def merged(self, text: np.ndarray):
+        """The fold over words of one length, as rows of bytes: ranges of rows that have so many ids, and these."""
+        ids, rank, live = self.single[text], self.first[text[:, :-1].astype(np.int64) << 8 | text[:, 1:]], np.arange(len(text))
+        while len(live):
+            if not rank.shape[1]:
+                yield live, ids
+                return
+            at = rank.argmin(1)
+            least = rank[np.arange(len(at)), at]
+            go = least < NONE
+            if not go.all():
+                yield live[~go], ids[~go]
+                live, ids, rank, at, least = live[go], ids[go], rank[go], at[go], least[go]
+            # every row that is left loses one id, so rows stay of one length, and only the two pairs of the new id change
+            k, row = np.arange(ids.shape[1] - 1), np.arange(len(at))
+            ids = np.where(k <= at[:, None], ids[:, :-1], ids[:, 1:])
+            ids[row, at] = least
+            rank = np.where(k[:-1] < at[:, None], rank[:, :-1], rank[:, 1:])
+            for some, shift in ((at > 0, -1), (at < ids.shape[1] - 1, 0)):
+                r, c = row[some], at[some] + shift
+                rank[r, c] = self.rank_of(ids[r, c], ids[r, c + 1])
+
+    def fold(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, one after the other, and the words' offsets into them."""
+        found = list(map(self.ranks.get, words))
+        done, by = [], {}
+        for i, (w, rank) in enumerate(zip(words, found, strict=True)):
+            if rank is None:
+                if len(w) > LONG_WORD:
+                    done.append((np.array([i]), np.array([self.long(w)], dtype=np.int64)))
+                else:
+                    by.setdefault(len(w), []).append(i)
         for n, rows in by.items():
-            ids = self.single[np.frombuffer(b"".join(words[i] for i in rows), dtype=np.uint8).reshape(-1, n)]
-            live = np.arange(len(rows))
-            rank = self.rank_of(ids[:, :-1], ids[:, 1:])
-            while len(live):
-                r = rank[live]
-                at = r.argmin(1)
-                least = r[np.arange(len(live)), at]
-                go = least < 1 << 40
-                live, at, least = live[go], at[go], least[go]
-                if not len(live):
-                    break
-                cut = ids[live]
-                k = np.arange(n)[None, :]
-                moved = np.where(k <= at[:, None], cut, np.concatenate((cut[:, 1:], np.full((len(live), 1), -1)), 1))
-                moved[np.arange(len(live)), at] = least
-                ids[live] = moved
-                rank[live] = self.rank_of(moved[:, :-1], moved[:, 1:])
-            for i, row in zip(rows, ids.tolist(), strict=True):
-                out[i] = [x for x in row if x >= 0]
-        return out
+            text = np.frombuffer(b"".join(map(words.__getitem__, rows)), dtype=np.uint8).reshape(-1, n)
+            rows = np.array(rows)
+            done += [(rows[live], ids) for live, ids in self.merged(text)]
+        whole = np.array([-1 if x is None else x for x in found], dtype=np.int64)
+        at = np.flatnonzero(whole >= 0)
+        done.append((at, whole[at, None]))
+        first = np.zeros(len(words) + 1, dtype=np.int64)
+        for rows, ids in done:
+            first[rows + 1] = ids.shape[1]
+        np.cumsum(first, out=first)
+        out = np.zeros(int(first[-1]), dtype=np.int64)
+        for rows, ids in done:
+            out[first[rows, None] + np.arange(ids.shape[1])] = ids
+        return out, first
+
+    def text(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The pieces of ids one after the other, and the ends of each."""
+        size = self.size[ids]
+        ends = np.cumsum(size)
+        return self.bytes[np.repeat(self.start[ids] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)].tobytes(), ends
 
     def long(self, word: bytes) -> list[int]:
         """One long word: a heap of pairs over a linked list."""
@@ -120,52 +164,55 @@ class Merger:
 class Codec:
     """Both directions, with the words that return kept: a word to its ids as one string, such a string to its bytes."""
 
-    def __init__(self, pattern: str, ranks: dict[bytes, int]):
+    def __init__(self, pattern: str, vocabulary: Vocabulary):
         import regex
 
         self.split = regex.compile(pattern).findall
-        self.merger = Merger(ranks)
-        self.pieces = {v: k for k, v in ranks.items()}
+        self.merger = Merger(vocabulary)
         self.known: dict[str, str] = {}
         self.bytes: dict[str, bytes] = {}
+        self.returned: set[str] = set()
 
     def encode(self, texts: list[str]) -> list[list[str]]:
         """For each text the ids of each pre-token, joined by blanks."""
         split = [self.split(t) for t in texts]
-        fresh = list({w for words in split for w in words}.difference(self.known))
-        for w, ids in zip(fresh, self.merger.fold([w.encode("utf-8", "replace") for w in fresh]), strict=True):
-            self.known[w] = key = " ".join(map(str, ids))
-            self.bytes[key] = b"".join(map(self.pieces.__getitem__, ids))
-        return [list(map(self.known.__getitem__, words)) for words in split]
+        words = set().union(*split)
+        fresh = words.difference(self.known)
+        self.returned |= words.difference(fresh)
+        fresh = list(fresh)
+        ids, first = self.merger.fold([w.encode("utf-8", "replace") for w in fresh])
+        names = list(map(self.merger.names.__getitem__, ids.tolist()))
+        text, ends = self.merger.text(ids)
+        first, ends = first.tolist(), np.concatenate(([0], ends))[first].tolist()
+        keys = [" ".join(names[a:b]) for a, b in itertools.pairwise(first)]
+        self.known.update(zip(fresh, keys, strict=True))
+        self.bytes.update(zip(keys, (text[a:b] for a, b in itertools.pairwise(ends)), strict=True))
+        return [list(map(self.known.__getitem__, w)) for w in split]
 
     def decode(self, parts: list[str]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, parts))
 
     def trim(self) -> None:
         if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-            self.bytes.clear()
+            self.known = {w: self.known[w] for w in self.returned} if 4 * len(self.returned) <= 3 * CACHE_WORDS else {}
+            self.bytes = {k: self.bytes[k] for k in self.known.values()}
+            self.returned = set()
 
 
-#: The codec of this worker, kept between tasks: (number of the broadcast vocabulary, pattern) to codec; one at a time.
-_codecs: dict[tuple[int, str], Codec] = {}
-#: Driver: (application, path, pattern) to the broadcast vocabulary, so that a table encoded again sends nothing anew.
+#: Driver: (application, path) to the broadcast vocabulary, so that a table encoded again sends nothing anew.
 _shared: dict[tuple[str, str], object] = {}
 
 
 def _vocabulary(spark, path: str):
     key = (spark.sparkContext.applicationId, path)
     if key not in _shared:
-        _shared[key] = spark.sparkContext.broadcast(load_ranks(path))
+        _shared[key] = spark.sparkContext.broadcast(Vocabulary(load_ranks(path)))
     return _shared[key]
 
 
-def _run(pattern: str, shared, number: int, with_ids: bool):
+def _run(pattern: str, shared, with_ids: bool):
     def run(batches):
-        codec = _codecs.get((number, pattern))
-        if codec is None:
-            _codecs.clear()
-            codec = _codecs[number, pattern] = Codec(pattern, shared.value)
+        codec = Codec(pattern, shared.value)  # of this task: a worker that waits or does other work holds no words
         for batch in batches:
             _, offsets = column_bytes(batch.column(1))
             for a, b in row_chunks(offsets, CHUNK):
@@ -199,12 +246,12 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool =
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
     shared = _vocabulary(docs.sparkSession, path)
-    return rows.mapInArrow(_run(pattern, shared, shared._jbroadcast.id(), with_ids), schema)
+    return rows.mapInArrow(_run(pattern, shared, with_ids), schema)
 
 
 def _decode(shared):
     def run(batches):
-        pieces = {v: k for k, v in shared.value.items()}
+        pieces = {v: k for k, v in Merger(shared.value).ranks.items()}
         for batch in batches:
             out = [None if ids is None else b"".join(map(pieces.__getitem__, ids)) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "bytes"])
