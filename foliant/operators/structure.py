@@ -1,7 +1,7 @@
 """Sections and tables of document texts.
 
 A document becomes rows of lines; one shuffle on the document serves the look at the previous line and
-both running counts, and the regrouping. There is also parse_structure for the nested result.
+both running counts, and the regrouping. parse_structure, for the nested result, keeps a document's lines in its row.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from foliant.functions.text import GENERAL, NL, default, is_header, is_table_row
 TABLE = "struct<source:string,raw_lines:array<string>,rows:array<array<string>>,bbox:array<int>,region_text:string>"
 SECTION = "struct<title:string,content:string>"
 LEAST_ROWS = LEAST_COLUMNS = 2
+#: Parts sections and tables while a document's lines stand in one text. Like the line break it is one of NL, so no line holds it.
+BLOCK = "\x1d"
 
 
 def lines(docs: DataFrame, heuristic: Column | bool = True) -> DataFrame:
@@ -71,24 +73,29 @@ def parse_structure(docs: DataFrame) -> DataFrame:
     """doc_id, structure<sections, tables> for docs (doc_id, text[, native_tables][, ruled_regions][, text_source]).
 
     Grids given win over regions given, and both over aligned lines, judged before cleaning; aligned lines are no tables
-    where text_source is `ocr`. Documents without lines get empty arrays.
+    where text_source is `ocr`. Documents without lines get empty arrays. Nothing moves: each row of docs is a document of its own.
     """
     have = {c: F.col(c) if c in docs.columns else F.lit(None).cast(t) for c, t in (("native_tables", "array<array<array<string>>>"), ("ruled_regions", "array<struct<bbox:array<int>,page:int,region_text:string,source:string>>"), ("text_source", "string"))}
     docs = docs.withColumns(have)
     native, ruled = F.coalesce(F.size("native_tables") > 0, F.lit(False)), F.coalesce(F.size("ruled_regions") > 0, F.lit(False))
     on = (default(F.col("text_source"), "") != "ocr") & ~native & ~ruled
-    rows = lines(docs, on)
-    # the lines are made once: those of a section or table meet, then those of a document, all in the partition of its id
-    number = F.when(F.col("is_table"), F.col("island")).otherwise(F.col("part")).alias("no")
-    title = F.max(F.when(F.col("is_header"), title_of(F.col("s")))).alias("title")
-    body = F.array_join(_joined("s", ~F.col("is_table") & ~F.col("is_header")), "\n").alias("content")
-    table = F.array_sort(F.collect_list(F.when(F.col("is_table"), F.struct("pos", "raw", "s")))).alias("l")
-    blocks = rows.groupBy("doc_id", "is_table", number).agg(title, body, table)
-    section = F.when(~F.col("is_table") & ((F.col("no") > 0) | (F.col("content") != "")), F.struct("no", F.coalesce("title", F.lit(GENERAL)).alias("title"), "content"))
-    grid = F.when(F.col("is_table"), F.struct("no", F.transform("l", lambda x: x["raw"]).alias("raw_lines"), F.transform("l", lambda x: row_cells(x["s"])).alias("rows")))
-    found = blocks.groupBy("doc_id").agg(F.array_sort(F.collect_list(section)).alias("s"), F.array_sort(F.collect_list(grid)).alias("t"))
-    none = F.array().cast(f"array<{TABLE}>")
-    guessed = F.transform("t", lambda x: F.struct(F.lit("heuristic").alias("source"), x["raw_lines"].alias("raw_lines"), x["rows"].alias("rows"), F.lit(None).cast("array<int>").alias("bbox"), F.lit(None).cast("string").alias("region_text")).cast(TABLE))
-    tables = F.when(native, clean_native_tables(F.col("native_tables"))).when(ruled, clean_ruled_regions(F.col("ruled_regions"))).otherwise(F.coalesce(guessed, none))
-    parts = F.coalesce(F.transform("s", lambda x: F.struct(x["title"].alias("title"), x["content"].alias("content")).cast(SECTION)), F.array().cast(f"array<{SECTION}>"))
-    return docs.select("doc_id", "native_tables", "ruled_regions").join(found, "doc_id", "left").select("doc_id", F.struct(parts.alias("sections"), tables.alias("tables")).alias("structure"))
+    both = F.transform(F.split("text", NL), lambda raw: F.struct(strip_end(raw).alias("raw"), strip(raw).alias("s")))
+    rows = docs.select("doc_id", "native_tables", "ruled_regions", on.alias("on"), both.alias("l"))
+    # each line beside the one before it; the last place has none
+    before = F.concat(F.array(F.lit(None).cast("struct<raw:string,s:string>")), F.col("l"))
+    beside = F.filter(F.zip_with("l", before, lambda x, b: F.struct(x["raw"].alias("raw"), x["s"].alias("s"), b["s"].alias("before"))), lambda x: x["s"] != "")
+    in_table = lambda x: F.col("on") & is_table_row(x["s"])
+    flagged = F.transform(beside, lambda x: F.struct(x["raw"], x["s"], in_table(x).alias("is_table"), (~in_table(x) & is_header(x["s"], x["before"])).alias("is_header")))
+    rows = rows.select("doc_id", "native_tables", "ruled_regions", flagged.alias("l"))
+    # sections: one text, in which headers begin blocks
+    text = F.array_join(F.transform(F.filter("l", lambda x: ~x["is_table"]), lambda x: F.when(x["is_header"], F.concat(F.lit(BLOCK), x["s"])).otherwise(x["s"])), "\n")
+    part = lambda title, content: F.struct(title.alias("title"), content.alias("content")).cast(SECTION)
+    headed = lambda p: part(title_of(F.substring_index(p, "\n", 1)), F.coalesce(F.get(F.split(p, "\n", 2), F.lit(1)), F.lit("")))
+    parts = F.transform(F.split(text, f"\n?{BLOCK}"), lambda p, i: F.when(i == 0, part(F.lit(GENERAL), p)).otherwise(headed(p)))
+    parts = F.coalesce(F.filter(parts, lambda x, i: (i > 0) | (x["content"] != "")), F.array().cast(f"array<{SECTION}>"))
+    # tables: one text, in which what is no table's line ends a block
+    text = F.array_join(F.transform("l", lambda x: F.when(x["is_table"], x["raw"]).otherwise(BLOCK)), "\n")
+    blocks = F.filter(F.transform(F.split(text, BLOCK), lambda p: F.btrim(p, F.lit("\n"))), lambda p: p != "")
+    guessed = F.transform(blocks, lambda p: F.struct(F.lit("heuristic").alias("source"), F.split(p, "\n").alias("raw_lines"), F.transform(F.split(p, "\n"), lambda raw: row_cells(strip(raw))).alias("rows"), F.lit(None).cast("array<int>").alias("bbox"), F.lit(None).cast("string").alias("region_text")).cast(TABLE))
+    tables = F.when(native, clean_native_tables(F.col("native_tables"))).when(ruled, clean_ruled_regions(F.col("ruled_regions"))).otherwise(F.coalesce(guessed, F.array().cast(f"array<{TABLE}>")))
+    return rows.select("doc_id", F.struct(parts.alias("sections"), tables.alias("tables")).alias("structure"))

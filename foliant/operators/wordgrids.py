@@ -1,4 +1,4 @@
-"""Grids from the boxes of words, for pages whose text is embedded: rows, cells, tables and columns by windows over a page.
+"""Grids from the boxes of words, for pages whose text is embedded: rows, cells, tables and columns by the places of a page's words.
 
 Words that overlap vertically are a row; of its words those with a wide gap before them begin a cell. Rows of two or more cells
 that follow each other are a table, and its columns are what the cells cover when laid over one another.
@@ -6,13 +6,14 @@ that follow each other are a table, and its columns are what the cells cover whe
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foliant.operators.structure import LEAST_COLUMNS, LEAST_ROWS
 
@@ -38,10 +39,23 @@ def _count(new: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 def _highest(value: np.ndarray, first: np.ndarray) -> np.ndarray:
     """The greatest value of a run before each row; what the first row of a run has means nothing."""
-    known, rank = np.unique(value, return_inverse=True)
-    run = np.cumsum(first) - 1
-    best = np.maximum.accumulate(rank + run * len(known)) - run * len(known)
-    return known[np.append(0, best[:-1])] if len(value) else value
+    best, begin = value.copy(), np.flatnonzero(first)
+    place = np.arange(len(value)) - np.repeat(begin, np.diff(np.append(begin, len(value))))
+    step, longest = 1, place.max(initial=0)
+    while step <= longest:
+        best[step:] = np.where(place[step:] >= step, np.maximum(best[step:], best[:-step]), best[step:])
+        step *= 2
+    return np.append(best[:1], best[:-1])
+
+
+def _order(*keys: np.ndarray) -> np.ndarray:
+    """The stable order of rows by keys, the first one above the others; most often they are in order."""
+    tie = np.ones(max(len(keys[0]) - 1, 0), dtype=bool)
+    for k in keys:
+        if (tie & ~(k[:-1] <= k[1:])).any():
+            return np.lexsort(keys[::-1])
+        tie &= k[:-1] == k[1:]
+    return np.arange(len(keys[0]))
 
 
 def _above(a: np.ndarray, b: np.ndarray | float) -> np.ndarray:
@@ -49,21 +63,27 @@ def _above(a: np.ndarray, b: np.ndarray | float) -> np.ndarray:
     return (a > b) | (np.isnan(a) & ~np.isnan(b))
 
 
-def _texts(texts: list[str], order: np.ndarray, first: np.ndarray) -> list[str]:
+def _lists(size: np.ndarray, items: pa.Array) -> pa.Array:
+    """The items as lists of these sizes."""
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), items)
+
+
+def _texts(texts: pa.Array, order: np.ndarray, first: np.ndarray) -> pa.Array:
     """The texts of each run, in order, joined by blanks."""
-    start = np.flatnonzero(first).tolist()
-    mine = [texts[i] for i in order.tolist()]
-    return [mine[a] if b - a == 1 else " ".join(mine[a:b]) for a, b in zip(start, [*start[1:], len(mine)], strict=True)]
+    mine = texts.take(pa.array(order))
+    return mine if first.all() else pc.binary_join(_lists(np.diff(np.append(np.flatnonzero(first), len(first))), mine), " ")
 
 
-def _page_grids(page: np.ndarray, x0, y0, x1, y1, texts: list[str], rank: np.ndarray) -> list[tuple[int, int, list[list[str | None]]]]:
-    """(page, table_no, rows) of whole pages' words, all of them with a box and a text; rank orders the texts."""
+def _page_grids(page: np.ndarray, x0, y0, x1, y1, texts: pa.Array, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Pages, numbers on their page, and rows of the tables in whole pages' words, all of these with a box and a text; rank orders the texts."""
+    if not len(page):
+        return page, page, _lists(page, _lists(page, texts))
     height = y1 - y0
-    down = np.lexsort((rank, x0, (y0 + y1) / 2, page))
+    down = _order(page, (y0 + y1) / 2, x0, rank)
     first = _firsts(page[down])
     row = np.empty(len(page), dtype=np.int64)
     row[down] = _count(first | ~_above(_highest(y1[down], first) - OVERLAP * height[down], y0[down]), first)
-    across = np.lexsort((rank, x1, x0, row, page))
+    across = _order(page, row, x0, x1, rank)
     first = _firsts(page[across], row[across])
     new = first | _above(x0[across] - _highest(x1[across], first), CELL_GAP * height[across])
     # cells, in the order of their page, row and place
@@ -79,39 +99,52 @@ def _page_grids(page: np.ndarray, x0, y0, x1, y1, texts: list[str], rank: np.nda
     first = _firsts(of)
     apart = first | (n < LEAST_COLUMNS)
     apart[1:] |= (n[:-1] < LEAST_COLUMNS) | _above(top[1:] - bottom[:-1], ROW_GAP * (bottom[1:] - top[1:]))
+    # of tables with two rows at least: others have no grid
+    begin = np.flatnonzero(apart)
+    rows = np.diff(np.append(begin, len(n)))
     table = np.repeat(_count(apart, first), n)
-    kept = np.repeat(n >= LEAST_COLUMNS, n)
+    kept = np.repeat((n >= LEAST_COLUMNS) & np.repeat(rows >= LEAST_ROWS, rows), n)
     page, row, cell, table, x0, x1 = (v[kept] for v in (page, row, cell, table, x0, x1))
-    text = [t for t, k in zip(text, kept.tolist(), strict=True) if k]
-    if not text:
-        return []
-    over = np.lexsort((row, x1, x0, table, page))
+    text = text.filter(pa.array(kept))
+    if not len(page):
+        return page, page, _lists(page, _lists(page, text))
+    over = _order(page, table, x0, x1, row)
     first = _firsts(page[over], table[over])
     column = np.empty(len(page), dtype=np.int64)
     column[over] = _count(first | _above(x0[over], _highest(x1[over], first)), first)
     # cells of one row that cover a column together are one
-    order = np.lexsort((cell, column, row, table, page))
+    order = _order(page, table, row, column, cell)
     page, table, row, column = page[order], table[order], row[order], column[order]
     new = _firsts(page, table, row, column)
-    at = np.flatnonzero(new)
     text = _texts(text, order, new)
-    page, table, row, column = page[at], table[at], row[at], column[at]
-    starts = np.flatnonzero(_firsts(page, table))
-    width = np.maximum.reduceat(column, starts).tolist()
-    out: list[tuple[int, int, list[list[str | None]]]] = []
-    row, column, pages = row.tolist(), column.tolist(), page[starts].tolist()
-    for p, w, a, b in zip(pages, width, starts.tolist(), [*starts[1:].tolist(), len(row)], strict=True):
-        if w < LEAST_COLUMNS or row[a] == row[b - 1]:
-            continue
-        grid, last = [], None
-        for i in range(a, b):
-            if row[i] != last:
-                grid.append([None] * w)
-                last = row[i]
-            grid[-1][column[i] - 1] = text[i]
-        if len(grid) >= LEAST_ROWS:
-            out.append((p, out[-1][1] + 1 if out and out[-1][0] == p else 1, grid))
-    return out
+    page, table, row, column = page[new], table[new], row[new], column[new]
+    first, begins = _firsts(page, table), _firsts(page, table, row)
+    starts = np.flatnonzero(first)
+    width, rows = np.maximum.reduceat(column, starts), np.add.reduceat(begins.astype(np.int64), starts)
+    sound = (width >= LEAST_COLUMNS) & (rows >= LEAST_ROWS)
+    kept = np.repeat(sound, np.diff(np.append(starts, len(page))))
+    of, width, rows = page[starts][sound], width[sound], rows[sound]
+    # each cell has its place in the grids, all laid end to end
+    wide = np.repeat(width, rows)
+    place = (np.cumsum(wide) - wide)[np.cumsum(begins[kept]) - 1] + column[kept] - 1
+    at = np.full(wide.sum(), -1)
+    at[place] = np.flatnonzero(kept)
+    return of, _count(np.ones(len(of), dtype=np.int64), _firsts(of)), _lists(rows, _lists(wide, text.take(pa.array(at, mask=at < 0))))
+
+
+def _found(page: np.ndarray, boxes: Iterable[pa.Array], texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Tables, as _page_grids() has them, of words whose pages are numbered; a word without a sound box spoils its page."""
+    x0, y0, x1, y1 = (pc.fill_null(b, np.nan).to_numpy(zero_copy_only=False) for b in boxes)
+    sound = (x0 <= x1) & (y0 < y1)
+    texts = pc.utf8_trim(texts, " ")
+    good = np.ones(page.max(initial=-1) + 1, dtype=bool)
+    good[page[~sound]] = False
+    some = np.flatnonzero(good[page] & pc.fill_null(pc.not_equal(texts, ""), False).to_numpy(zero_copy_only=False))
+    texts = texts.take(pa.array(some))
+    coded = texts.dictionary_encode()
+    place = np.empty(len(coded.dictionary), dtype=np.int64)
+    place[pc.sort_indices(coded.dictionary).to_numpy()] = np.arange(len(place))
+    return _page_grids(page[some], *(v[some] for v in (x0, y0, x1, y1)), texts, place[coded.indices.to_numpy()])
 
 
 PACKED = ("x0", "y0", "x1", "y1", "text")
@@ -138,22 +171,50 @@ def _grids(batches) -> Iterator[pa.RecordBatch]:
         fields = [flat.field(i) for i in range(5)]
         words = np.asarray(pc.list_value_length(fields[4]).to_numpy(zero_copy_only=False), dtype=np.int64)
         page = np.repeat(np.repeat(np.arange(len(count)), count), words)
-        x0, y0, x1, y1 = (pc.fill_null(f.flatten(), np.nan).to_numpy(zero_copy_only=False) for f in fields[:4])
-        sound = (x0 <= x1) & (y0 < y1)
-        texts = pc.utf8_trim(fields[4].flatten(), " ")
-        good = np.ones(len(count), dtype=bool)
-        good[page[~sound]] = False
-        some = np.flatnonzero(good[page] & pc.fill_null(pc.not_equal(texts, ""), False).to_numpy(zero_copy_only=False))
-        if not len(some):
-            continue
-        coded = texts.take(pa.array(some)).dictionary_encode()
-        code, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-        place = np.empty(len(names), dtype=np.int64)
-        place[sorted(range(len(names)), key=lambda i: names[i].encode())] = np.arange(len(names))
-        found = _page_grids(page[some], *(v[some] for v in (x0, y0, x1, y1)), [names[i] for i in code.tolist()], place[code])
-        of = pa.array([p for p, _, _ in found], pa.int64())
-        keys = [batch.column(i).take(of) for i in (0, 1)]
-        yield pa.RecordBatch.from_arrays([*keys, pa.array([n for _, n, _ in found], pa.int32()), pa.array([g for _, _, g in found], pa.list_(pa.list_(pa.string())))], names=[*batch.schema.names[:2], "table_no", "rows"])
+        of, number, rows = _found(page, (f.flatten() for f in fields[:4]), fields[4].flatten())
+        keys = [batch.column(i).take(pa.array(of)) for i in (0, 1)]
+        yield pa.RecordBatch.from_arrays([*keys, pa.array(number, pa.int32()), rows], names=[*batch.schema.names[:2], "table_no", "rows"])
+
+
+#: So many words, of whole documents, are worked out at once.
+CHUNK = 30_000
+
+
+def _whole(batches: Iterable[pa.RecordBatch], first: int) -> Iterator[pa.RecordBatch]:
+    """The rows of batches, parted only before those whose column `first` is true."""
+    held, n = [], 0
+    for batch in batches:
+        at = np.flatnonzero(batch.column(first).to_numpy(zero_copy_only=False))
+        if len(at) and n + at[-1] >= CHUNK:
+            yield pa.concat_batches([*held, batch.slice(0, at[-1])])
+            held, n, batch = [], 0, batch.slice(at[-1])
+        held.append(batch)
+        n += batch.num_rows
+    if n:
+        yield pa.concat_batches(held)
+
+
+def _of_documents(kept: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of words that follow each other by documents, documents with their grids: so many columns of theirs, whether a word is a document's first, page, box, text."""
+
+    def run(batches):
+        for words in _whole(batches, kept):
+            first = words.column(kept).to_numpy(zero_copy_only=False)
+            doc = np.cumsum(first) - 1
+            pages = words.column(kept + 1).dictionary_encode(null_encoding="encode")
+            code = pages.indices.to_numpy(zero_copy_only=False)
+            # words of a page may stand apart
+            at = np.flatnonzero(_firsts(doc, code))
+            known, number = np.unique(doc[at] * len(pages.dictionary) + code[at], return_inverse=True)
+            page = np.repeat(number, np.diff(np.append(at, len(doc))))
+            of, table_no, rows = _found(page, words.columns[kept + 2 : kept + 6], words.column(kept + 6))
+            of_doc, of_page = np.divmod(known[of], len(pages.dictionary))
+            grids = pa.StructArray.from_arrays([pages.dictionary.take(pa.array(of_page)), pa.array(table_no, pa.int32()), rows], names=["page", "table_no", "rows"])
+            firsts = pa.array(np.flatnonzero(first))
+            out = [words.column(i).take(firsts) for i in range(kept)]
+            yield pa.RecordBatch.from_arrays([*out, _lists(np.bincount(of_doc, minlength=len(firsts)), grids)], names=[*words.schema.names[:kept], "grids"])
+
+    return run
 
 
 def word_grids(words: DataFrame) -> DataFrame:
@@ -171,6 +232,22 @@ def word_grids(words: DataFrame) -> DataFrame:
     return pages.mapInArrow(_grids, f"{keys}, table_no int, rows array<array<string>>")
 
 
+def document_grids(docs: DataFrame, words: Column, box: Callable[[Column, Column], Column] = lambda i, w: w) -> DataFrame:
+    """docs with grids, an array of (page, table_no, rows) by page and place as word_grids() has them, of the words in each document's own row.
+
+    words is an array, of structs (page, x0, y0, x1, y1, text) or of what box makes such a struct of, given a word's number and the
+    word. Nothing moves and nothing is joined: a row's words follow each other in its task, and the first one carries the row's columns.
+    """
+    rows = docs.select("*", F.posexplode_outer(words).alias("_i", "_w"))
+    first, at = F.coalesce(F.col("_i") == 0, F.lit(True)), box(F.col("_i"), F.col("_w"))
+    rows = rows.select(*(F.when(first, F.col(f"`{c}`")).alias(c) for c in docs.columns), first.alias("_first"), at["page"].alias("_page"), *(at[c].cast("double").alias(f"_{c}") for c in PACKED[:4]), at["text"].alias("_text"))
+    page = rows.schema["_page"].dataType
+    grid = T.StructType([T.StructField("page", page), T.StructField("table_no", T.IntegerType()), T.StructField("rows", T.ArrayType(T.ArrayType(T.StringType())))])
+    kept = [T.StructField(f.name, f.dataType) for f in docs.schema]
+    made = rows.mapInArrow(_of_documents(len(kept)), T.StructType([*kept, T.StructField("grids", T.ArrayType(grid))]))
+    return made.withColumn("grids", F.array_sort("grids"))
+
+
 def native_tables(words: DataFrame) -> DataFrame:
     """(doc_id, native_tables) for parse_structure(): all grids of a document by page and place."""
     grids = word_grids(words).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "table_no", "rows"))).alias("g"))
